@@ -10,6 +10,7 @@ from checks import sql as S
 from checks.registry import query
 from seriesmill import testbed as T
 from seriesmill.config import ForecastConfig, TreatmentPolicy
+from seriesmill.functions import text
 from seriesmill.operators import fitters, models
 from seriesmill.operators import forecasting as FC
 from seriesmill.operators import panel as P
@@ -477,3 +478,13 @@ def _(spark, sf):
     return fr.where(F.col("fits.Median").isNotNull()).select(
         "series_id", "measure", "fold", F.round(F.element_at("fits.Median", 1), 4).alias("yhat")
     )
+
+
+@query("model_label", S.q(cv_sql("marca"), """SELECT CASE model_alias WHEN 'Naive' THEN 'Último valor (Naive)' WHEN 'MediaMovel3' THEN 'Média móvel 3M'
+ WHEN 'MediaMovel6' THEN 'Média móvel 6M' WHEN 'MediaMovel12' THEN 'Média móvel 12M' WHEN 'HistoricAverage' THEN 'Média histórica'
+ WHEN 'SeasonalNaive' THEN 'Sazonal Naive (mesmo mês ano anterior)' WHEN 'RegLinearDrift' THEN 'Regressão / tendência linear (Drift)'
+ WHEN 'CrostonSBA' THEN 'Demanda intermitente (Croston-SBA)' WHEN 'TSB' THEN 'Demanda intermitente (TSB)' ELSE model_alias END AS label,
+ count(*) AS n_rows FROM cv GROUP BY ALL"""))
+def _(spark, sf):
+    rows = cv_rows(spark, sf, "marca").select(text.model_label(F.col("model_alias")).alias("label"))
+    return rows.groupBy("label").agg(F.count("*").alias("n_rows"))

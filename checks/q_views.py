@@ -13,12 +13,14 @@ from checks.q_ingest import canonical
 from checks.registry import query
 from seriesmill import testbed as T
 from seriesmill.functions.periods import shift_date
+from seriesmill.functions.text import chip_label
 from seriesmill.operators import forecasting as FC
 from seriesmill.operators import mat as M
 from seriesmill.operators import scenarios as SC
 from seriesmill.plans import exports as X
 from seriesmill.plans import views as V
 from seriesmill.session import scratch_dir
+from seriesmill.sources import store
 
 GRID = [shift_date(T.HISTORY_END, k) for k in range(-59, 1)]
 DIMS = ["tipo", "marca", "ean"]
@@ -440,3 +442,19 @@ def _(spark, sf):
     path = scratch_dir(spark, "quality_csv")
     X.write_csv(X.quality_frame(canonical(spark, sf).issues), path)
     return spark.read.csv(path, sep=";", header=True).groupBy("code").agg(F.count("*").alias("n_rows"))
+
+
+@query("chip_label", S.q(ENT, "SELECT entity_id, tipo || ' / ' || marca || ' / ' || ean AS label FROM entities"))
+def _(spark, sf):
+    return T.entities(spark, sf).select("entity_id", chip_label([F.col(d) for d in DIMS]).alias("label"))
+
+
+@query("save_preparation", S.q(S.prep("marca"), "SELECT adjustment_reason, count(*) AS n_rows, round(sum(y), 2) AS total FROM prep GROUP BY ALL"))
+def _(spark, sf):
+    """Saved twice under one content key; the second write replaces the first."""
+    path = scratch_dir(spark, "preparations")
+    vals = values(spark, sf, "marca")
+    store.save_preparation(vals, path, "p1")
+    store.save_preparation(vals, path, "p1")
+    back = spark.read.parquet(path).where(F.col("preparation_id") == "p1")
+    return back.groupBy("adjustment_reason").agg(F.count("*").alias("n_rows"), F.round(F.sum("y"), 2).alias("total"))

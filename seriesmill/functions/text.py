@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from seriesmill.config import MODEL_LABELS
+
 # Blank tokens, measure labels and formula characters.
 BLANKS = ("", "-", "--", "n/a", "N/A")
 MEASURE_LABELS = {
@@ -71,5 +73,11 @@ def chip_label(parts: list[Column]) -> Column:
     return F.concat_ws(" / ", *[F.when(p != "", p) for p in parts])
 
 
+def model_label(alias: Column) -> Column:
+    """Display name of a method; an unknown alias stands for itself."""
+    flat = [F.lit(x) for pair in MODEL_LABELS.items() for x in pair]
+    return F.coalesce(F.try_element_at(F.create_map(*flat), alias), alias)
+
+
 def looks_like(name: str, words: set[str]) -> bool:
     return any(w in words for w in re.split(r"[^0-9a-zà-ÿ]+", name.lower()))
