@@ -220,11 +220,13 @@ def generate_scenarios(
     scenarios: tuple[Scenario, ...],
     periods: list[date],
     regressor_names: dict[str, str] | None = None,
+    with_base: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(predictions, issues, factor trace) of all scenarios, per method; the base stays as it is.
 
     Blocked scenarios are found on entities × periods, not on predictions. Their list has at
-    most one row per scenario setting, which is what bounds the broadcast.
+    most one row per scenario setting, which is what bounds the broadcast. ``with_base`` emits
+    the base in the same pass, so the forecasts behind it are computed once.
     """
     spark = base.sparkSession
     clashes = family_clashes(scenarios, regressor_names or {})
@@ -232,15 +234,16 @@ def generate_scenarios(
     open_ = tuple(s for s in scenarios if s.scenario_id != BASE and s.scenario_id not in clashing)
     issues = _clash_issues(spark, clashes)
     if not open_:
-        nothing = base.where(F.lit(False))
-        return nothing, issues, compile_assumptions(entities, periods, ())
+        rest = base if with_base else base.where(F.lit(False))
+        return rest.withColumn("factor", F.lit(1.0)), issues, compile_assumptions(entities, periods, ())
     rules = tuple(r for s in open_ for r in s.rules)
     ties = priority_ties(entities, periods, rules)
     issues = issues.unionByName(
         ties.groupBy("scenario_id", "code").agg(F.count("*").alias("n_cells")).select("scenario_id", "code", "n_cells")
     )
     tied = F.broadcast(ties.select("scenario_id").distinct())
-    applied = apply_scenario(base, entities, open_, periods).join(tied, "scenario_id", "left_anti")
+    wanted = (Scenario(BASE), *open_) if with_base else open_
+    applied = apply_scenario(base, entities, wanted, periods).join(tied, "scenario_id", "left_anti")
     trace = compile_assumptions(entities, periods, rules).join(tied, "scenario_id", "left_anti")
     return applied, issues, trace
 

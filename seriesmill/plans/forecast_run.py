@@ -66,11 +66,10 @@ def run_forecast(
     predictions, issues = base, None
     if scenarios:
         names = {s.regressor_id: s.name for s in regressors}
-        source = base
         refits = [s for s in scenarios if s.overrides and regressors]
         shared = tuple(s for s in scenarios if s not in refits)
-        more, issues, _ = SC.generate_scenarios(source, owners, shared, horizon, names)
-        predictions = base.unionByName(more.select(*base.columns))
+        more, issues, _ = SC.generate_scenarios(base, owners, shared, horizon, names, with_base=True)
+        predictions = more.select(*base.columns)
         for s in refits:
             own = scenario_refit(base, modelled, owners, regressor_values, regressors, study, config, folds, horizon, s)
             extra, more_issues, _ = SC.generate_scenarios(own, owners, (s,), horizon, names)

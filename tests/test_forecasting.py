@@ -1,0 +1,441 @@
+"""Invariants and brute-force checks of preparation, methods, hierarchy and scenarios."""
+
+from dataclasses import replace
+from datetime import date
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from checks.q_hierarchy import rule
+from seriesmill.config import (
+    ForecastConfig,
+    HierarchyConfig,
+    MappingConfig,
+    RegressorSpec,
+    Scenario,
+    StudyConfig,
+    TreatmentPolicy,
+)
+from seriesmill.functions import ids
+from seriesmill.functions.periods import shift_date
+from seriesmill.operators import fitters, forecasting, global_trees, hierarchy, mat, normalize, panel, quality, regressors, scenarios
+from seriesmill.plans import exports, forecast_run, views
+from seriesmill.sources import scan
+
+END = date(2025, 12, 1)
+STUDY = StudyConfig("t", ("grupo", "item"), END)
+ZERO = TreatmentPolicy(duplicates="sum", missing="zero")
+CONFIG = ForecastConfig(horizon=6, cv_windows=2)
+MONTHS = [shift_date(END, k) for k in range(-59, 1)]
+
+
+def observations(spark, series):
+    """series: name → values ending at END (None leaves a gap)."""
+    rows = []
+    for name, values in series.items():
+        for ds, y in zip(MONTHS[-len(values):], values):
+            if y is not None:
+                rows.append((name, "unidades", name, ds, float(y)))
+    df = spark.createDataFrame(rows, "series_id string, measure string, entity_id string, ds date, y double")
+    return df.select("series_id", "measure", "entity_id", "ds", F.col("y").cast("decimal(20,2)").alias("y_raw")).withColumn(
+        "_order", F.monotonically_increasing_id()
+    )
+
+
+def frame(spark, series, config=CONFIG, fitted=True):
+    values = quality.prepare(observations(spark, series), STUDY, ZERO).values
+    rows = panel.train_panel(values, STUDY, config, panel.calendar_folds(STUDY, config))
+    return forecasting.forecast_frame(rows, STUDY, config, fitted)
+
+
+def finals(spark, series, fitted=True):
+    rows = forecasting.final_forecast(frame(spark, series, fitted=fitted)).orderBy("ds").collect()
+    out = {}
+    for r in rows:
+        out.setdefault((r["node_id"], r["model_alias"]), []).append(r["yhat"])
+    return out
+
+
+RNG = np.random.default_rng(7)
+SEASONAL = [round(100 + 30 * np.sin(2 * np.pi * i / 12) + i, 2) for i in range(60)]
+SPARSE = [int(v) if u > 0.7 else 0 for v, u in zip(RNG.integers(1, 20, 48), RNG.random(48))]
+
+
+def test_constant_and_linear_series(spark):
+    got = finals(spark, {"flat": [50] * 40, "line": [10 + 2 * i for i in range(40)]})
+    for (node, alias), values in got.items():
+        assert len(values) == 6
+        if node == "flat" and alias not in ("CrostonSBA",):
+            assert values == pytest.approx([50] * 6, rel=1e-4), alias
+    ahead = [10 + 2 * (39 + k) for k in range(1, 7)]
+    assert got["line", "RegLinearDrift"] == pytest.approx(ahead)
+    assert got["line", "Holt"] == pytest.approx(ahead, rel=1e-6)
+    assert got["line", "AutoAR"] == pytest.approx(ahead, rel=1e-3)
+
+
+def test_seasonal_methods_follow_the_cycle(spark):
+    got = finals(spark, {"s": SEASONAL})
+    truth = [100 + 30 * np.sin(2 * np.pi * i / 12) + i for i in range(60, 66)]
+    assert got["s", "SeasonalNaive"] == SEASONAL[48:54]
+    for alias in ("AutoETS", "AutoAR", "AutoTheta"):
+        assert np.abs(np.array(got["s", alias]) - truth).max() < 12, alias
+
+
+def brute_croston(ys, a=0.1):
+    z = q = None
+    gap = 1
+    for y in ys:
+        if y > 0:
+            z = y if z is None else a * y + (1 - a) * z
+            q = gap if q is None else a * gap + (1 - a) * q
+            gap = 1
+        else:
+            gap += 1
+    return z / q * (1 - a / 2)
+
+
+def brute_tsb(ys, a=0.2):
+    p = z = None
+    for y in ys:
+        d = float(y > 0)
+        p = d if p is None else a * d + (1 - a) * p
+        if y > 0:
+            z = y if z is None else a * y + (1 - a) * z
+    return p * z
+
+
+def test_intermittent_methods_against_loops(spark):
+    got = finals(spark, {"i": SPARSE}, fitted=False)
+    first = next(i for i, v in enumerate(SPARSE) if v >= 0)
+    assert got["i", "CrostonSBA"] == pytest.approx([brute_croston(SPARSE[first:])] * 6)
+    assert got["i", "TSB"] == pytest.approx([brute_tsb(SPARSE[first:])] * 6)
+
+
+def test_no_leak_from_after_the_cutoff(spark):
+    changed = SEASONAL[:-6] + [v * 10 for v in SEASONAL[-6:]]
+    first = panel.calendar_folds(STUDY, CONFIG)[0].cutoff
+
+    def fold(series):
+        rows = forecasting.cv_predictions(frame(spark, {"s": series})).where(F.col("cutoff") == F.lit(first))
+        return {(r["model_alias"], r["ds"]): r["yhat"] for r in rows.collect()}
+
+    a, b = fold(SEASONAL), fold(changed)
+    assert a.keys() == b.keys() and len(a) > 30
+    assert all(a[k] == pytest.approx(b[k]) for k in a)
+
+
+def test_eligibility_zero_short_and_floor(spark):
+    series = {"zero": [0] * 30, "short": [5, 6, 7], "down": [100 - 9 * i for i in range(12)]}
+    rows = frame(spark, series, fitted=False).select("series_id", "model_alias", "failure_reason").distinct().collect()
+    by = {}
+    for r in rows:
+        by.setdefault(r["series_id"], set()).add(r["model_alias"])
+    assert by["zero"] == {"ZeroBaseline"}
+    assert by["short"] == {"Naive"}
+    assert "SeasonalNaive" in by["down"]
+    got = finals(spark, series, fitted=False)
+    assert got["down", "RegLinearDrift"] == [0.0] * 6 or min(got["down", "RegLinearDrift"]) >= 0.0
+    scores = forecasting.select_model(forecasting.score_models(forecasting.cv_predictions(frame(spark, series, fitted=False))), CONFIG)
+    chosen = {r["node_id"]: r["selection_reason"] for r in scores.where("selected").collect()}
+    assert chosen["zero"] == "perfil_zero_total"
+
+
+def test_user_list_selects_every_method(spark):
+    config = replace(CONFIG, models=("Naive", "HistoricAverage"))
+    scores = forecasting.score_models(forecasting.cv_predictions(frame(spark, {"s": SEASONAL}, config)))
+    rows = forecasting.select_model(scores, config).collect()
+    assert {(r["model_alias"], r["selected"], r["selection_reason"]) for r in rows} == {
+        ("Naive", True, "usuario"), ("HistoricAverage", True, "usuario"),
+    }
+
+
+def test_data_driven_windows_equal_the_calendar(spark):
+    values = quality.prepare(observations(spark, {"s": SEASONAL}), STUDY, ZERO).values
+    for wanted in (1, 2, 4):
+        config = replace(CONFIG, cv_windows=wanted)
+        found = panel.collect_folds(panel.cv_windows(values, STUDY, config))
+        assert found == panel.calendar_folds(STUDY, config)
+
+
+def test_fill_policies_duplicates_and_winsor(spark):
+    obs = observations(spark, {"g": [10, None, 30, None], "d": [1, 2, 3, 4]})
+    extra = obs.where("series_id = 'd'").withColumns({"_order": F.col("_order") + 10**6, "y_raw": F.lit(100).cast("decimal(20,2)")})
+    both = obs.unionByName(extra)
+
+    def ys(policy, sid):
+        rows = quality.prepare(both, STUDY, policy).values.where(F.col("series_id") == sid).orderBy("ds").collect()
+        return [r["y"] for r in rows]
+
+    assert ys(TreatmentPolicy(missing="zero"), "g") == [10, 0, 30, 0]
+    assert ys(TreatmentPolicy(missing="ffill"), "g") == [10, 10, 30, 30]
+    assert ys(TreatmentPolicy(missing="keep_gaps"), "g") == [10, 30]
+    assert ys(TreatmentPolicy(missing="exclude_series"), "g") == []
+    assert ys(TreatmentPolicy(), "d") == [1, 2, 3, 4]
+    assert ys(TreatmentPolicy(duplicates="sum"), "d") == [101, 102, 103, 104]
+    capped = quality.prepare(both, STUDY, TreatmentPolicy(outliers="winsorize", upper_quantile=0.5)).values
+    rows = capped.where("series_id = 'd'").orderBy("ds").collect()
+    assert [r["y"] for r in rows] == [1, 2, 2.5, 2.5]
+    assert [r["was_adjusted"] for r in rows] == [False, False, True, True]
+    gone = quality.prepare(both, STUDY, TreatmentPolicy(missing="exclude_series")).excluded.collect()
+    assert [r["series_id"] for r in gone] == ["g"]
+
+
+def test_gap_before_the_grid_start(spark):
+    early = shift_date(MONTHS[0], -2)
+    rows = [("s", "unidades", "s", early, 5.0), ("s", "unidades", "s", MONTHS[2], 7.0)]
+    df = spark.createDataFrame(rows, "series_id string, measure string, entity_id string, ds date, y double")
+    df = df.select("series_id", "measure", "entity_id", "ds", F.col("y").cast("decimal(20,2)").alias("y_raw"), F.lit(0).alias("_order"))
+    zero = quality.prepare(df, STUDY, ZERO).values.orderBy("ds").collect()
+    assert [r["y"] for r in zero][:4] == [0, 0, 7, 0] and len(zero) == 60
+    kept = quality.prepare(df, STUDY, replace(ZERO, missing="ffill")).values.orderBy("ds").collect()
+    assert kept[0]["ds"] == MONTHS[2] and len(kept) == 58
+
+
+def test_outliers_against_numpy(spark):
+    ys = [10.0, 11, 9, 10, 12, 8, 10, 500, 11, 9]
+    values = quality.prepare(observations(spark, {"o": ys}), STUDY, ZERO).values
+    flagged = [r["y"] for r in quality.outlier_flags(values, 12).where("is_outlier").collect()]
+    dev = np.abs(np.array(ys) - np.median(ys))
+    assert flagged == [y for y, d in zip(ys, dev) if d > 3 * 1.4826 * np.median(dev)] == [500.0]
+
+
+def tree(spark):
+    rows = [("A", "a1"), ("A", "a2"), ("B", "b1")]
+    df = spark.createDataFrame(rows, "grupo string, item string")
+    return df.select(
+        F.col("item").alias("entity_id"), "grupo", "item",
+        F.create_map(F.lit("grupo"), F.col("grupo"), F.lit("item"), F.col("item")).alias("dims"),
+    )
+
+
+LEVELS = HierarchyConfig((("grupo",), ("grupo", "item")), include_total=True)
+
+
+def test_parents_are_the_sum_of_children(spark):
+    series = {"a1": SEASONAL, "a2": SPARSE, "b1": [5] * 30}
+    predictions = forecasting.final_forecast(frame(spark, series, fitted=False))
+    bridge = hierarchy.node_bridge(tree(spark), LEVELS)
+    up = hierarchy.reconcile_bottom_up(predictions, bridge, LEVELS)
+    total = up.where("level = 'Total' AND model_alias = 'Naive'").agg(F.sum("yhat")).first()[0]
+    leaves = predictions.where("model_alias = 'Naive'").agg(F.sum("yhat")).first()[0]
+    assert total == pytest.approx(leaves)
+    statuses = {(r["level"], r["model_alias"]): r["status"] for r in up.collect()}
+    assert statuses["A", "Naive"] == "ok"
+    partial = hierarchy.reconcile_bottom_up(predictions.where("node_id <> 'a2'"), bridge, LEVELS)
+    assert {r["status"] for r in partial.where("level IN ('A', 'Total')").collect()} == {"partial_coverage"}
+
+
+def test_annual_step_golden(spark):
+    r = rule("r", "s", "price", "valor", "annual_step", 0.05, date(2026, 4, 1))
+    days = [date(2026, 3, 1), date(2026, 4, 1), date(2027, 3, 1), date(2027, 4, 1)]
+    df = spark.createDataFrame([(d,) for d in days], "ds date")
+    got = [x[0] for x in df.orderBy("ds").select(scenarios.rule_factor(r, F.col("ds"))).collect()]
+    assert got == pytest.approx([1.0, 1.05, 1.05, 1.1025])
+
+
+def test_inline_and_table_factors_agree(spark):
+    predictions = forecasting.final_forecast(frame(spark, {"a1": SEASONAL, "a2": SEASONAL, "b1": SEASONAL}, fitted=False))
+    days = [shift_date(END, k) for k in range(1, 7)]
+    sc = Scenario("s", (
+        rule("1", "s", "p", "unidades", "pulse", 0.5, days[1], days[2], 2, grupo=("A",)),
+        rule("2", "s", "p", "unidades", "step", -0.2, days[0], None, 1),
+        rule("3", "s", "q", "unidades", "step", 0.1, days[3], None, 0, ("a2",), item=("a1", "a2")),
+        rule("4", "s", "q", "valor", "step", 9.0, days[0]),
+    ))
+    key = ["node_id", "ds", "model_alias"]
+    a = scenarios.apply_scenario(predictions, tree(spark), (sc,), days)
+    b = scenarios.apply_scenario(predictions, tree(spark), (sc,), days, inline_limit=0)
+    joined = a.select(*key, F.col("factor").alias("x")).join(b.select(*key, F.col("factor").alias("y")), key)
+    assert joined.count() == predictions.count()
+    assert joined.where("abs(x - y) > 1e-12").count() == 0
+    a1 = a.where("node_id = 'a1' AND model_alias = 'Naive'").orderBy("ds").collect()
+    assert [r["factor"] for r in a1] == pytest.approx([0.8, 1.5, 1.5, 0.88, 0.88, 0.88])
+
+
+def test_ties_and_clashes_block_a_scenario(spark):
+    predictions = forecasting.final_forecast(frame(spark, {"a1": SEASONAL}, fitted=False))
+    days = [shift_date(END, k) for k in range(1, 7)]
+    tied = Scenario("t", (rule("1", "t", "p", "unidades", "step", 0.1, days[0]), rule("2", "t", "p", "unidades", "step", 0.2, days[4])))
+    clash = Scenario("c", (rule("1", "c", "p", "unidades", "step", 0.1, days[0]),), {"r": {}})
+    out, issues, _ = scenarios.generate_scenarios(predictions, tree(spark), (tied, clash, Scenario("copy")), days, {"r": "p"})
+    assert {r["scenario_id"] for r in out.select("scenario_id").distinct().collect()} == {"copy"}
+    assert {(r["scenario_id"], r["code"]) for r in issues.collect()} == {
+        ("t", "E_SCENARIO_PRIORITY_TIE"), ("c", "E_SCENARIO_REG_FAMILY_DUP"),
+    }
+
+
+def test_long_rule_lists_are_chunked(spark):
+    days = [shift_date(END, 1)]
+    many = tuple(rule(str(i), "s", f"f{i}", "unidades", "step", 0.0, days[0]) for i in range(scenarios.RULE_CHUNK + 5))
+    assert scenarios.rule_expand(tree(spark), days, many).count() == 3 * len(many)
+
+
+def test_mat_positions_golden(spark):
+    values = quality.prepare(observations(spark, {"s": SEASONAL}), STUDY, ZERO).values
+    rows = views.leaf_history(values).select("node_id", "measure", "ds", "y")
+    assert mat.mat_history(rows).count() == 49
+    gappy = rows.where(F.col("ds") != F.lit(MONTHS[30]))
+    assert mat.mat_history(gappy).count() == 49 - 12
+
+
+def test_global_model(spark):
+    series = {f"s{i}": [round(20 + i + 5 * np.sin(j / 2 + i), 2) for j in range(40)] for i in range(25)}
+    values = quality.prepare(observations(spark, series), STUDY, ZERO).values
+    rows = panel.train_panel(values, STUDY, CONFIG, [])
+    trained = global_trees.train_global_model(values, "unidades", 12, iterations=3)
+    got = global_trees.forecast_global(rows, trained, 12, 6).collect()
+    assert trained.status == "ok" and len(got) == 25
+    assert all(len(r["raw"]) == 6 and min(r["raw"]) >= 0 for r in got)
+    few = global_trees.train_global_model(values.where("series_id < 's11'"), "unidades", 12, iterations=3)
+    assert few.status == "below_minimum"
+    assert global_trees.forecast_global(rows, few, 12, 6).first()["failure_reason"] == "below_minimum"
+
+
+def regressor_rows(spark, future=True):
+    rows = [("r", d, float(i % 7), False) for i, d in enumerate(MONTHS)]
+    if future:
+        rows += [("r", shift_date(END, k), float(k), True) for k in range(1, 7)]
+    return spark.createDataFrame(rows, "regressor_id string, ds date, value double, is_future boolean")
+
+
+def test_exogenous_recovers_a_linear_effect(spark):
+    ys = [round(50 + 4 * (i % 7), 2) for i in range(60)]
+    values = quality.prepare(observations(spark, {"a1": ys, "b1": ys}), STUDY, ZERO).values
+    specs = (RegressorSpec("r", "promo", {"grupo": ("A",)}),)
+    reg = regressor_rows(spark)
+    days = [shift_date(END, k) for k in range(1, 7)]
+    ahead = regressors.regressor_future(reg, specs, days, END)
+    rows = regressors.exogenous_panel(values, tree(spark), reg, ahead, specs, STUDY, CONFIG, [])
+    got = {r["series_id"]: r for r in regressors.ar_exog(rows, 12).collect()}
+    assert got["a1"]["raw"] == pytest.approx([50 + 4 * k for k in range(1, 7)], rel=1e-2)
+    assert got["b1"]["failure_reason"] == "regressor_unavailable"
+    none = regressors.regressor_future(regressor_rows(spark, False), specs, days, END)
+    rows = regressors.exogenous_panel(values, tree(spark), regressor_rows(spark, False), none, specs, STUDY, CONFIG, [])
+    why = {r["series_id"]: r["failure_reason"] for r in regressors.ar_exog(rows, 12).collect()}
+    assert why["a1"] == "regressor_future_unavailable"
+
+
+def test_collinear_regressors_of_either_sign(spark):
+    rows = [("a", d, float(i), False) for i, d in enumerate(MONTHS)] + [("b", d, -2.0 * i, False) for i, d in enumerate(MONTHS)]
+    values = spark.createDataFrame(rows, "regressor_id string, ds date, value double, is_future boolean")
+    specs = (RegressorSpec("a", "a", fill_policy="explicit_hold"), RegressorSpec("b", "b", fill_policy="explicit_hold"))
+    codes = [r["code"] for r in regressors.regressor_validate(values, specs, []).collect()]
+    assert codes == ["E_REGRESSOR_COLLINEAR"]
+
+
+def test_fitter_failure_keeps_a_row(spark):
+    def broken(y, h, season):
+        return np.full((y.shape[0], h), np.nan)
+
+    values = quality.prepare(observations(spark, {"s": SEASONAL}), STUDY, ZERO).values
+    rows = panel.train_panel(values, STUDY, CONFIG, panel.calendar_folds(STUDY, CONFIG))
+    got = fitters.fit_panel(rows, {"broken": broken}, 12).collect()
+    assert len(got) == 3 and all(r["fits"]["broken"] is None for r in got)
+
+
+def test_whole_run_with_everything(spark):
+    series = {"a1": SEASONAL, "a2": SPARSE, "b1": [20 + (i % 7) for i in range(60)]}
+    days = [shift_date(END, k) for k in range(1, 7)]
+    sc = (Scenario("up", (rule("1", "up", "p", "unidades", "step", 0.1, days[0]),)), Scenario("what", (), {"r": {days[0]: 3.0}}))
+    out = forecast_run.run_forecast(
+        observations(spark, series), tree(spark), replace(STUDY, measures=("unidades",)), ZERO, CONFIG, LEVELS, sc,
+        (RegressorSpec("r", "promo"),), regressor_rows(spark), keep_frame=True,
+    )
+    names = {r["scenario_id"] for r in out["predictions"].select("scenario_id").distinct().collect()}
+    assert names == {"base", "up", "what"}
+    assert out["summary"].first()["status"] == "completed"
+    keys = ["node_id", "measure", "scenario_id", "ds", "model_alias"]
+    assert out["predictions"].groupBy(*keys).count().where("count > 1").count() == 0
+    assert out["aggregates"].groupBy(*keys).count().where("count > 1").count() == 0
+    assert "AutoAR_X" in {r["model_alias"] for r in out["scores"].collect()}
+    assert out["nodes"].where("level = 'Total'").first()["n_entities"] == 3
+
+
+def test_independent_mode_forecasts_the_level(spark):
+    series = {"a1": SEASONAL, "a2": SEASONAL, "b1": SEASONAL}
+    cfg = replace(LEVELS, mode="independent", forecast_level=0)
+    out = forecast_run.run_forecast(observations(spark, series), tree(spark), STUDY, ZERO, CONFIG, cfg, fitted=False)
+    naive = out["predictions"].where("model_alias = 'Naive'").select("yhat").distinct().collect()
+    assert sorted(r["yhat"] for r in naive) == pytest.approx([SEASONAL[-1], 2 * SEASONAL[-1]])
+
+
+def test_gap_policy_uses_windows_from_the_data(spark):
+    series = {"s": SEASONAL[:20] + [None] + SEASONAL[21:]}
+    out = forecast_run.run_forecast(
+        observations(spark, series), tree(spark), STUDY, TreatmentPolicy(missing="keep_gaps"), CONFIG, fitted=False
+    )
+    assert out["cv"].where("evaluated").count() > 0
+
+
+def test_messy_long_rows(spark):
+    rows = [
+        (1, "A", "Mol", "0123", "2026-07", "100", "1500,00"),
+        (2, "", "", "", "2026-07", "1", "1"),
+        (3, "A", "Mol", "0123", "2026-13", "1", "1"),
+        (4, "A", "Other", "0123", "2026-08", "1,5", "R$ 1.234,56"),
+        (5, "A", "Mol", "0123", "2026-09", "n/a", "-"),
+    ]
+    df = spark.createDataFrame(rows, "n long, classe string, molecula string, ean string, periodo string, un string, val string")
+    mapping = MappingConfig(
+        ("classe", "ean"), {"classe": "classe", "molecula": "molecula", "ean": "ean"}, {"unidades": "un", "valor": "val"}, "periodo"
+    )
+    out = normalize.normalize_long(df, STUDY, mapping, F.concat(F.lit("r"), F.col("n")), F.col("n"))
+    found = sorted((r["code"], r["source_row_id"]) for r in out.issues.collect())
+    assert found == [
+        ("E_DATE_AMBIGUOUS", "r3"), ("E_KEY_EMPTY", "r2"), ("E_ROW_INVALID", "r5"), ("E_ROW_INVALID", "r5"), ("E_UNITS_FRACTION", "r4"),
+    ]
+    values = sorted((r["source_row_id"], r["measure"], float(r["y_raw"])) for r in out.observations.collect())
+    assert values == [("r1", "unidades", 100.0), ("r1", "valor", 1500.0), ("r4", "valor", 1234.56)]
+    entity = out.entities.collect()
+    assert len(entity) == 1 and '"molecula":"Mol"' in entity[0]["dimensions_json"]
+    assert out.source_rows.count() == 5
+    keyed = df.where("ean <> ''").withColumn("eid", ids.entity_id([("classe", F.col("classe")), ("ean", F.col("ean"))]))
+    clash = normalize.dimension_conflicts(keyed, ["molecula"], "eid", "n").collect()
+    assert [(r["first_value"], r["conflict_rows"]) for r in clash] == [("Mol", 1)]
+
+
+def test_digest_ignores_order_and_sees_values(spark):
+    obs = observations(spark, {"s": SEASONAL, "t": SPARSE})
+    a = normalize.content_digest(obs).first()
+    assert a == normalize.content_digest(obs.orderBy(F.desc("ds")).repartition(5)).first()
+    assert a != normalize.content_digest(obs.withColumn("y_raw", (F.col("y_raw") + 1).cast("decimal(20,2)"))).first()
+
+
+def test_autodetect_needs_twelve_periods(spark):
+    names = ["classe", "produto"] + [f"2025{m:02d}" for m in range(1, 13)]
+    wide = spark.createDataFrame([tuple("1" for _ in names)], names)
+    study, mapping = scan.autodetect_wide(wide)
+    assert study.dimensions == ("classe", "produto") and study.history_end == date(2025, 12, 1)
+    assert scan.autodetect_wide(wide.drop("202501")) is None
+
+
+def test_skewed_source_with_one_hot_series(spark):
+    """A third of the rows belong to one series and period; results stay whole."""
+    n = 90_000
+    hot = F.col("id") % 3 == 0
+    df = spark.range(n).select(
+        F.when(hot, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 500).cast("string"))).alias("series_id"),
+        F.lit("unidades").alias("measure"),
+        F.when(hot, "hot").otherwise(F.concat(F.lit("s"), (F.col("id") % 500).cast("string"))).alias("entity_id"),
+        F.when(hot, F.lit(END)).otherwise(F.add_months(F.lit(END), -(F.col("id") % 24).cast("int"))).alias("ds"),
+        F.lit(1).cast("decimal(20,2)").alias("y_raw"),
+        F.col("id").alias("_order"),
+    )
+    values = quality.prepare(df, STUDY, ZERO).values
+    assert values.agg(F.sum("y")).first()[0] == n
+    assert values.where("series_id = 'hot'").first()["y"] == n / 3
+
+
+def test_wide_export_and_formula_guard(spark):
+    values = quality.prepare(observations(spark, {"a1": SEASONAL}), STUDY, ZERO).values
+    history = views.leaf_history(values)
+    predictions = forecasting.final_forecast(frame(spark, {"a1": SEASONAL}, fitted=False))
+    tags = {"run_id": "=r", "preparation_id": "p", "dataset_id": "d"}
+    long = exports.export_long(history, predictions, tree(spark), ["grupo"], tags)
+    wide = exports.to_wide(long, ["grupo"], MONTHS, [shift_date(END, k) for k in range(1, 7)], "Naive")
+    row = wide.first()
+    assert row["historico_2025-12-01"] == row["previsao_2026-01-01"] == SEASONAL[-1]
+    safe, counted = exports.protect_table(long)
+    assert counted.first()["n_protected"] == long.count()
+    assert safe.first()["run_id"] == "'=r"
