@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+CONTROL = "".join(map(chr, range(1, 32)))
+
 
 def clean_key(value: Column) -> Column:
     """Key text without control characters; null becomes the empty string."""
-    return F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), "[\\x00-\\x1f]", "")
+    return F.translate(F.coalesce(value.cast("string"), F.lit("")), CONTROL, "")
 
 
 def json_string(value: Column) -> Column:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.config import MODEL_LABELS
 
-# Blank tokens, measure labels and formula characters.
-BLANKS = ("", "-", "--", "n/a", "N/A")
+# Measure labels, formula characters and the shape of a number.
 MEASURE_LABELS = {
     "un": "unidades",
     "unidade": "unidades",
@@ -26,16 +25,18 @@ NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def parse_number(text: Column, decimal: str = ",", thousands: str = "") -> Column:
-    """Text to double: blanks are null, thousands marks, currency and spaces are dropped."""
-    raw = F.trim(text)
-    s = raw
+    """Text to double; thousands marks, currency and spaces are dropped, anything else odd is null.
+
+    Blank marks such as ``-`` and ``n/a`` match no number and need no test of their own. Each
+    branch cleans the text once.
+    """
+    s = F.btrim(text, F.lit(" \t\r\n\u00a0"))
     if thousands:
         s = F.replace(s, F.lit(thousands), F.lit(""))
-    s = F.regexp_replace(s, "R\\$|[ \\u00a0]", "")
+    s = F.translate(F.replace(s, F.lit("R$"), F.lit("")), " \u00a0", "")
     if decimal == ",":
-        both = s.contains(".") & s.contains(",")
-        s = F.translate(F.when(both, F.replace(s, F.lit("."), F.lit(""))).otherwise(s), ",", ".")
-    return F.when(raw.isin(*BLANKS), F.lit(None).cast("double")).when(s.rlike(NUMBER), s.try_cast("double"))
+        s = F.when(text.contains(","), F.translate(s, ",.", ".")).otherwise(s)
+    return F.regexp_extract(s, NUMBER, 0).try_cast("double")
 
 
 def measure_of_label(text: Column) -> Column:

@@ -13,10 +13,20 @@ from pyspark.sql import functions as F
 
 from seriesmill.config import MappingConfig, StudyConfig
 from seriesmill.functions import ids
+from seriesmill.functions.once import once
 from seriesmill.functions.periods import parse_period
 from seriesmill.functions.text import measure_of_label, parse_number
 
-ISSUE_TYPE = "array<struct<code:string,severity:string,message:string>>"
+# Issue codes and their severities.
+KEY_EMPTY = ("E_KEY_EMPTY", "error", "row without any key value")
+BAD_DATE = ("E_DATE_AMBIGUOUS", "error", "period could not be read")
+NOT_NUMERIC = ("E_ROW_INVALID", "warning", "value is not numeric")
+FRACTION = ("E_UNITS_FRACTION", "error", "units must be whole")
+BAD_LABEL = ("E_MEASURE_UNKNOWN", "error", "measure label is unknown")
+CONFLICT = ("E_DIMENSION_CONFLICT", "error", "dimension changes between rows of one entity")
+# End of fixed values.
+
+CELL_TYPE = "array<struct<measure:string,ds:date,raw:string>>"
 
 
 @dataclass(frozen=True)
@@ -31,22 +41,6 @@ def _issue(code: str, severity: str, message: str) -> Column:
     return F.struct(F.lit(code).alias("code"), F.lit(severity).alias("severity"), F.lit(message).alias("message"))
 
 
-def _one_of(*cases: tuple[Column, Column]) -> Column:
-    """The first matching issue as a one-element array, else an empty array."""
-    out = F.array().cast(ISSUE_TYPE)
-    for condition, issue in reversed(cases):
-        out = F.when(condition, F.array(issue)).otherwise(out)
-    return out
-
-
-KEY_EMPTY = ("E_KEY_EMPTY", "error", "row without any key value")
-BAD_DATE = ("E_DATE_AMBIGUOUS", "error", "period could not be read")
-NOT_NUMERIC = ("E_ROW_INVALID", "warning", "value is not numeric")
-FRACTION = ("E_UNITS_FRACTION", "error", "units must be whole")
-BAD_LABEL = ("E_MEASURE_UNKNOWN", "error", "measure label is unknown")
-CONFLICT = ("E_DIMENSION_CONFLICT", "error", "dimension changes between rows of one entity")
-
-
 def require_columns(columns: list[str], mapping: MappingConfig) -> list[tuple[str, str]]:
     """Schema check before any row is read: (code, column) of everything missing."""
     have = set(columns)
@@ -63,55 +57,81 @@ def require_columns(columns: list[str], mapping: MappingConfig) -> list[tuple[st
     return found
 
 
-def _values(columns: dict[str, str]) -> Column:
-    flat = [x for name, col in columns.items() for x in (F.lit(name), ids.clean_key(F.col(f"`{col}`")))]
+def _map(columns: dict[str, str], clean: dict[str, str]) -> Column:
+    flat = [x for name, col in columns.items() for x in (F.lit(name), F.col(clean[col]))]
     return F.create_map(*flat) if flat else F.create_map().cast("map<string,string>")
 
 
-def _annotate(df: DataFrame, mapping: MappingConfig, row_id: Column, row_order: Column) -> DataFrame:
-    keys = [(c, ids.clean_key(F.col(f"`{c}`"))) for c in mapping.key_columns]
+def _annotate(df: DataFrame, mapping: MappingConfig, row_id: Column, row_order: Column, parsed: dict[str, Column]) -> DataFrame:
+    used = dict.fromkeys(
+        [*mapping.key_columns, *mapping.dimension_columns.values(), *mapping.attribute_columns.values()]
+    )
+    clean = {c: f"_c{i}" for i, c in enumerate(used)}
+    rows = once(
+        df,
+        {
+            "source_row_id": row_id.cast("string"),
+            "_order": row_order.cast("long"),
+            **{name: ids.clean_key(F.col(f"`{c}`")) for c, name in clean.items()},
+            **parsed,
+        },
+    )
+    keys = [(c, F.col(clean[c])) for c in mapping.key_columns]
     empty = F.lit(True)
     for _, value in keys:
         empty = empty & (value == "")
-    return df.select(
-        "*",
-        row_id.cast("string").alias("source_row_id"),
-        row_order.cast("long").alias("_order"),
+    return rows.select(
+        *[F.col(f"`{c}`") for c in df.columns],
+        "source_row_id",
+        "_order",
+        *parsed,
         empty.alias("_no_key"),
         ids.entity_id(keys).alias("entity_id"),
         F.to_json(F.create_map(*[x for c, v in keys for x in (F.lit(c), v)])).alias("key_json"),
-        _values(mapping.dimension_columns).alias("dims"),
-        _values(mapping.attribute_columns).alias("attrs"),
+        _map(mapping.dimension_columns, clean).alias("dims"),
+        _map(mapping.attribute_columns, clean).alias("attrs"),
     )
 
 
-def _cell_issues(value: Column, measure: Column) -> Column:
-    return _one_of(
-        (value.isNull(), _issue(*NOT_NUMERIC)),
-        ((measure == "unidades") & (value != F.floor(value)), _issue(*FRACTION)),
-    )
-
+def _finish(rows: DataFrame, cells: Column, mapping: MappingConfig, raw_columns: list[str]) -> Canonical:
+    """``rows`` carry ``_bad`` (a row issue or null); bad rows keep one empty cell for the log.
 
-def _finish(rows: DataFrame, cells: DataFrame, raw_columns: list[str]) -> Canonical:
-    bad_rows = rows.select("source_row_id", "entity_id", F.explode("_issues").alias("i"))
-    bad_cells = cells.select("source_row_id", "entity_id", F.explode("_cell_issues").alias("i"))
-    issues = bad_rows.unionByName(bad_cells).select(
-        "i.code", "i.severity", "i.message", "source_row_id", "entity_id"
+    Observations and issues are two filters over the same cells, each one pass over the source.
+    """
+    hole = F.array(F.struct(F.lit(None), F.lit(None), F.lit(None))).cast(CELL_TYPE)
+    per_cell = rows.select(
+        "source_row_id",
+        "_order",
+        "entity_id",
+        "_bad",
+        F.explode(F.when(F.col("_bad").isNull(), cells.cast(CELL_TYPE)).otherwise(hole)).alias("c"),
     )
-    observations = cells.where(F.size("_cell_issues") == 0).select(
+    value = parse_number(F.col("c.raw"), mapping.decimal_separator, mapping.thousands_separator)
+    per_cell = once(per_cell, {"y": value})
+    y = F.col("y")
+    issue = (
+        F.when(F.col("_bad").isNotNull(), F.col("_bad"))
+        .when(y.isNull(), _issue(*NOT_NUMERIC))
+        .when((F.col("c.measure") == "unidades") & (y != F.floor(y)), _issue(*FRACTION))
+    )
+    marked = per_cell.withColumn("i", issue)
+    observations = marked.where(F.col("i").isNull()).select(
         "source_row_id",
         "_order",
         "entity_id",
-        ids.series_id(F.col("entity_id"), F.col("measure")).alias("series_id"),
-        "ds",
-        "measure",
-        F.col("y").cast("decimal(20,2)").alias("y_raw"),
+        ids.series_id(F.col("entity_id"), F.col("c.measure")).alias("series_id"),
+        "c.ds",
+        "c.measure",
+        y.cast("decimal(20,2)").alias("y_raw"),
         F.lit(True).alias("observed"),
     )
+    issues = marked.where(F.col("i").isNotNull()).select(
+        "i.code", "i.severity", "i.message", "source_row_id", "entity_id"
+    )
     source_rows = rows.select(
         "source_row_id", "_order", F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw_columns])).alias("raw_json")
     )
-    return Canonical(observations, build_entities(rows.where(F.size("_issues") == 0)), source_rows, issues)
+    return Canonical(observations, build_entities(rows.where(F.col("_bad").isNull())), source_rows, issues)
 
 
 def normalize_long(
@@ -119,26 +139,15 @@ def normalize_long(
 ) -> Canonical:
     """One observation per (row, measure column)."""
     ds = parse_period(F.col(f"`{mapping.period_column}`"), mapping.period_format)
-    rows = _annotate(df, mapping, row_id, row_order).withColumn("ds", ds)
-    rows = rows.withColumn(
-        "_issues", _one_of((F.col("_no_key"), _issue(*KEY_EMPTY)), (F.col("ds").isNull(), _issue(*BAD_DATE)))
-    )
-    numbers = F.array(
+    rows = _annotate(df, mapping, row_id, row_order, {"_ds": ds})
+    bad = F.when(F.col("_no_key"), _issue(*KEY_EMPTY)).when(F.col("_ds").isNull(), _issue(*BAD_DATE))
+    cells = F.array(
         *[
-            F.struct(
-                F.lit(measure).alias("measure"),
-                parse_number(F.col(f"`{c}`"), mapping.decimal_separator, mapping.thousands_separator).alias("y"),
-            )
+            F.struct(F.lit(measure), F.col("_ds"), F.coalesce(F.col(f"`{c}`"), F.lit("")))
             for measure, c in mapping.measure_columns.items()
         ]
     )
-    cells = (
-        rows.where(F.size("_issues") == 0)
-        .select("source_row_id", "_order", "entity_id", "ds", F.explode(numbers).alias("n"))
-        .select("source_row_id", "_order", "entity_id", "ds", "n.measure", "n.y")
-        .withColumn("_cell_issues", _cell_issues(F.col("y"), F.col("measure")))
-    )
-    return _finish(rows, cells, df.columns)
+    return _finish(rows.withColumn("_bad", bad), cells, mapping, df.columns)
 
 
 def unpivot_wide(df: DataFrame, mapping: MappingConfig, id_columns: list[str]) -> DataFrame:
@@ -162,20 +171,15 @@ def normalize_wide(
         measure = F.lit(next(iter(mapping.measure_columns)))
     else:
         measure = F.lit(None).cast("string")
-    rows = _annotate(df, mapping, row_id, row_order).withColumn("measure", measure)
-    rows = rows.withColumn(
-        "_issues", _one_of((F.col("_no_key"), _issue(*KEY_EMPTY)), (F.col("measure").isNull(), _issue(*BAD_LABEL)))
-    )
-    cells = unpivot_wide(
-        rows.where(F.size("_issues") == 0), mapping, ["source_row_id", "_order", "entity_id", "measure"]
+    rows = _annotate(df, mapping, row_id, row_order, {"_measure": measure})
+    bad = F.when(F.col("_no_key"), _issue(*KEY_EMPTY)).when(F.col("_measure").isNull(), _issue(*BAD_LABEL))
+    cells = F.array(
+        *[
+            F.struct(F.col("_measure"), F.lit(day), F.coalesce(F.col(f"`{c}`"), F.lit("")))
+            for c, day in mapping.wide_periods.items()
+        ]
     )
-    cells = cells.withColumn(
-        "y",
-        parse_number(
-            F.coalesce(F.col("raw_value"), F.lit("")), mapping.decimal_separator, mapping.thousands_separator
-        ),
-    ).withColumn("_cell_issues", _cell_issues(F.col("y"), F.col("measure")))
-    return _finish(rows, cells, df.columns)
+    return _finish(rows.withColumn("_bad", bad), cells, mapping, df.columns)
 
 
 def build_entities(rows: DataFrame) -> DataFrame:

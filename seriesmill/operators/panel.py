@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seriesmill.config import MIN_FINAL_HISTORY, MIN_FIRST_TRAIN, ForecastConfig, StudyConfig
+from seriesmill.functions.once import once
 from seriesmill.functions.periods import period_sequence, shift_date
 from seriesmill.operators.quality import SERIES
 
@@ -102,9 +103,14 @@ def train_panel(
     rows = arrays.select("*", F.explode(F.array(*entries)).alias("w")).select(
         *SERIES, "n_total", "n_positive", "n_negative", "n_zero", "points", "w.fold", "w.cutoff", "w.h"
     )
-    rows = rows.withColumn("train", F.filter("points", lambda p: p["ds"] <= F.col("cutoff"))).withColumn(
-        "eval_dates",
-        period_sequence(F.add_months("cutoff", step), F.add_months("cutoff", F.col("h") * step), step),
+    rows = once(
+        rows,
+        {
+            "train": F.filter("points", lambda p: p["ds"] <= F.col("cutoff")),
+            "eval_dates": period_sequence(
+                F.add_months("cutoff", step), F.add_months("cutoff", F.col("h") * step), step
+            ),
+        },
     )
     actual = F.transform(
         "eval_dates", lambda d: F.get(F.filter("points", lambda p: p["ds"] == d), F.lit(0))["y"]
