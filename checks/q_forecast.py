@@ -41,7 +41,7 @@ def scores(spark, sf, grain="ean"):
 
 
 def predictions(spark, sf, grain="marca", limits=False):
-    return FC.final_forecast(frame(spark, sf, grain, limits=limits))
+    return FC.final_forecast(frame(spark, sf, grain, limits=limits), native_only=True)
 
 
 def rounded(df, *cols, digits=4):
@@ -367,7 +367,7 @@ SELECT p.node_id, p.measure, p.model_alias, p.ds, round(greatest(yhat - r, 0.0),
 FROM p JOIN rad ON rad.node_id = p.node_id AND rad.model_alias = p.model_alias AND rad.step = least(k, 3)""").replace(")\n, er AS", "),\ner AS"))
 def _(spark, sf):
     fr = frame(spark, sf, "marca")
-    out = FC.conformal_intervals(FC.final_forecast(fr), FC.cv_predictions(fr), 80)
+    out = FC.conformal_intervals(FC.final_forecast(fr, native_only=True), FC.cv_predictions(fr), 80)
     out = out.where("interval_method = 'conformal'").select("node_id", "measure", "model_alias", "ds", "lo80", "hi80")
     return rounded(out, "lo80", "hi80", digits=7)
 
@@ -409,14 +409,14 @@ SELECT ev.measure, ev.model_alias, round(avg(abs(e)), 7) AS mae, round(sqrt(avg(
 FROM ev JOIN shape ON shape.measure = ev.measure AND shape.model_alias = ev.model_alias GROUP BY ev.measure, ev.model_alias""").replace(")\n, pairs", "),\npairs"))
 def _(spark, sf):
     fr = frame(spark, sf)
-    out = FC.backtest_by_model(FC.cv_predictions(fr), FC.final_forecast(fr))
+    out = FC.backtest_by_model(FC.cv_predictions(fr), FC.final_forecast(fr, native_only=True))
     return metric_digits(out)
 
 
 @query("eval_x_models", S.q(fin_sql("ean"), POOLED + "\nSELECT measure, model_alias, fold, count(*) AS n_rows, count(DISTINCT node_id) AS n_nodes FROM ev GROUP BY ALL").replace(")\n, pairs", "),\npairs"))
 def _(spark, sf):
     fr = frame(spark, sf)
-    pairs = FC.final_forecast(fr).select("node_id", "measure", "model_alias").distinct()
+    pairs = FC.final_forecast(fr, native_only=True).select("node_id", "measure", "model_alias").distinct()
     rows = FC.cv_predictions(fr).where("evaluated").join(pairs, ["node_id", "measure", "model_alias"], "left_semi")
     return rows.groupBy("measure", "model_alias", "fold").agg(
         F.count("*").alias("n_rows"), F.count_distinct("node_id").alias("n_nodes")
@@ -437,7 +437,7 @@ def _(spark, sf):
 def _(spark, sf):
     fr = frame(spark, sf, "marca")
     best = FC.best_model_per_node(FC.select_model(FC.score_models(FC.cv_predictions(fr)), CONFIG))
-    rows = FC.final_forecast(fr).join(best.select("node_id", "measure", "model_alias"), ["node_id", "measure", "model_alias"])
+    rows = FC.final_forecast(fr, native_only=True).join(best.select("node_id", "measure", "model_alias"), ["node_id", "measure", "model_alias"])
     return rows.groupBy("measure", "ds").agg(F.count("*").alias("n_nodes"), F.round(F.sum("yhat"), 4).alias("total"))
 
 

@@ -138,7 +138,7 @@ prof AS (""",
 def _(spark, sf):
     level = H.aggregate_history(values(spark, sf), bridge(spark, sf), 0)
     panel = P.train_panel(level, T.STUDY, CONFIG, P.calendar_folds(T.STUDY, CONFIG))
-    out = FC.final_forecast(FC.forecast_frame(panel, T.STUDY, CONFIG, fitted=False, limits=False))
+    out = FC.final_forecast(FC.forecast_frame(panel, T.STUDY, CONFIG, fitted=False, limits=False), native_only=True)
     return rounded(out.select("node_id", "measure", "model_alias", "ds", "yhat"), "yhat", digits=2)
 
 

@@ -162,7 +162,7 @@ def _(spark, sf):
     ents, vals = T.entities(spark, sf, "marca"), values(spark, sf, "marca")
     cuts = P.calendar_folds(T.STUDY, CONFIG)
     frame = FC.forecast_frame(panel(spark, sf, "marca"), T.STUDY, CONFIG, False, False)
-    base = FC.final_forecast(frame)
+    base = FC.final_forecast(frame, native_only=True)
     out = RUN.scenario_refit(base, vals, ents, reg, specs, T.STUDY, CONFIG, cuts, PERIODS, Scenario("what-if", (), OVERRIDES))
     return out.groupBy("measure", "model_alias", "ds").agg(F.count("*").alias("n_rows"), F.round(F.sum("yhat"), 2).alias("total"))
 
@@ -239,7 +239,7 @@ def _(spark, sf):
 @query("export_manifest", S.q(fin_sql("marca"), "SELECT 'run' AS section, 'n_predictions' AS key, CAST(count(*) AS VARCHAR) AS value FROM fin UNION ALL SELECT 'run', 'n_series', CAST(count(DISTINCT node_id) AS VARCHAR) FROM fin UNION ALL SELECT 'study', 'history_end', '2001-08-01' UNION ALL SELECT 'forecast', 'horizon', '12'"))
 def _(spark, sf):
     frame = FC.forecast_frame(panel(spark, sf, "marca"), T.STUDY, CONFIG, False, False)
-    summary = FC.run_summary(values(spark, sf, "marca"), FC.final_forecast(frame))
+    summary = FC.run_summary(values(spark, sf, "marca"), FC.final_forecast(frame, native_only=True))
     counts = summary.select(
         F.explode(F.create_map(F.lit("n_predictions"), F.col("n_predictions").cast("string"), F.lit("n_series"), F.col("n_series").cast("string"))).alias("key", "value")
     ).select(F.lit("run").alias("section"), "key", "value")

@@ -176,7 +176,7 @@ def view(spark, sf, dimension="tipo", **kw):
     fr = frame(spark, sf, limits=True)
     cv = FC.cv_predictions(fr)
     scores = FC.select_model(FC.score_models(cv), CONFIG)
-    return V.series_view(values(spark, sf), FC.final_forecast(fr), cv, scores, T.entities(spark, sf), dimension, **kw)
+    return V.series_view(values(spark, sf), FC.final_forecast(fr, native_only=True), cv, scores, T.entities(spark, sf), dimension, **kw)
 
 
 VIEW = f"WITH {fin_sql('ean').strip()}{SCORES}{SELECT},{ENT}"
@@ -225,7 +225,7 @@ def _(spark, sf):
  GROUP BY tipo, f.measure, f.model_alias, f.ds""")
 def _(spark, sf):
     fr = frame(spark, sf)
-    out = V.series_by_model(FC.final_forecast(fr), FC.cv_predictions(fr), T.entities(spark, sf), "tipo")
+    out = V.series_by_model(FC.final_forecast(fr, native_only=True), FC.cv_predictions(fr), T.entities(spark, sf), "tipo")
     return rounded(rounded(out, "yhat"), "wape_pooled", digits=9)
 
 
@@ -265,7 +265,7 @@ def run_tables(spark, sf):
         "values": values(spark, sf, "marca"),
         "cv": cv,
         "scores": FC.select_model(FC.score_models(cv), CONFIG),
-        "predictions": FC.final_forecast(fr),
+        "predictions": FC.final_forecast(fr, native_only=True),
     }
 
 

@@ -45,9 +45,11 @@ def forecast_frame(
     if fitted_names:
         source = fitters.with_fits(panel, fitted_names, season)
     none = F.lit(None).cast(NO_LIMITS)
-    entries = []
+    entries, any_scored = [], F.lit(False)
     for spec in specs:
         usable = F.col("n") >= spec.min_train
+        scored = F.col("cv_n") >= spec.min_train
+        any_scored = any_scored | (models.eligible(spec) & scored)
         point = models.point_forecast(spec.alias, season) if spec.native else F.col(f"fits.{spec.alias}")
         width = models.half_widths(spec.alias, season, config.interval_level) if spec.interval and limits else none
         wanted = (F.col("fold") == FINAL_FOLD) & models.interval_allowed() & usable
@@ -59,6 +61,7 @@ def forecast_frame(
                     F.when(usable, point).alias("raw"),
                     F.when(wanted, width).alias("width"),
                     F.when(usable, "").otherwise("insufficient_history").alias("failure_reason"),
+                    (scored if spec.native else F.lit(None).cast("boolean")).alias("evaluable"),
                 ),
             )
         )
@@ -69,11 +72,13 @@ def forecast_frame(
             none.alias("raw"),
             none.alias("width"),
             F.lit("insufficient_history").alias("failure_reason"),
+            F.lit(False).alias("evaluable"),
         ),
     )
     kept = F.filter(F.array(*entries, short), lambda m: m.isNotNull())
     meta = ["fold", "cutoff", "h", "n", "n_total", "n_positive", "n_negative", "n_zero", "eval_dates", "actuals"]
-    out = source.select(*SERIES, *meta, F.explode(kept).alias("m")).select(*SERIES, *meta, "m.*")
+    out = source.select(*SERIES, *meta, any_scored.alias("any_evaluable"), F.explode(kept).alias("m"))
+    out = out.select(*SERIES, *meta, "any_evaluable", "m.*")
     return out.withColumn("failure_reason", F.when(
         (F.col("failure_reason") == "") & F.col("raw").isNull(), "model_failed"
     ).otherwise(F.col("failure_reason")))
@@ -197,21 +202,22 @@ def select_model(scores: DataFrame, config: ForecastConfig) -> DataFrame:
     ).drop("_place")
 
 
-def final_forecast(frame: DataFrame, backtested: bool = True) -> DataFrame:
+def final_forecast(frame: DataFrame, native_only: bool = False) -> DataFrame:
     """Future values of every method that had an evaluable fold; with none, Naive as fallback.
 
-    Whether a method was evaluated comes from its own backtest rows in the same partition.
+    Array methods are evaluable by their training length alone (``native_only`` frames), so
+    nothing is sorted. A fit can also fail, so otherwise the backtest rows of the same partition
+    decide.
     """
-    scored = (F.col("fold") != FINAL_FOLD) & F.col("raw").isNotNull() & F.exists("actuals", lambda a: a.isNotNull())
-    by_model = Window.partitionBy("series_id", "measure", "model_alias")
-    by_series = Window.partitionBy("series_id", "measure")
-    rows = frame
-    if backtested:
-        rows = rows.withColumns(
+    if native_only:
+        rows = frame.withColumns({"_m": F.col("evaluable").cast("int"), "_any": F.col("any_evaluable").cast("int")})
+    else:
+        scored = (F.col("fold") != FINAL_FOLD) & F.col("raw").isNotNull() & F.exists("actuals", lambda a: a.isNotNull())
+        by_model = Window.partitionBy("series_id", "measure", "model_alias")
+        by_series = Window.partitionBy("series_id", "measure")
+        rows = frame.withColumns(
             {"_m": F.max(scored.cast("int")).over(by_model), "_any": F.max(scored.cast("int")).over(by_series)}
         )
-    else:
-        rows = rows.withColumns({"_m": F.lit(1), "_any": F.lit(1)})
     fallback = (F.col("_any") == 0) & (F.col("model_alias") == "Naive")
     rows = rows.where((F.col("fold") == FINAL_FOLD) & F.col("raw").isNotNull() & ((F.col("_m") == 1) | fallback))
     cells = F.transform(

@@ -73,15 +73,22 @@ def calendar_folds(study: StudyConfig, config: ForecastConfig) -> list[Fold]:
     return [Fold(j, shift_date(study.history_end, -(k - j) * h * study.step)) for j in range(k)]
 
 
-def series_arrays(values: DataFrame) -> DataFrame:
-    """One row per series: its ordered points (bounded by the grid) and counts for eligibility."""
-    y = F.col("y")
+def series_arrays(values: DataFrame, folds: list[Fold] = (), reach: int = 0) -> DataFrame:
+    """One row per series: its ordered points (bounded by the grid), counts for eligibility, and
+    per fold the training and test sizes (``reach`` months of test), all in one aggregate."""
+    y, ds = F.col("y"), F.col("ds")
+    sizes = []
+    for f in folds:
+        past = ds <= F.lit(f.cutoff)
+        sizes.append(F.count_if(past).alias(f"train_{f.number}"))
+        sizes.append(F.count_if(~past & (ds <= F.lit(shift_date(f.cutoff, reach)))).alias(f"test_{f.number}"))
     return values.groupBy(*SERIES).agg(
         F.sort_array(F.collect_list(F.struct("ds", "y"))).alias("points"),
         F.count("*").alias("n_total"),
         F.count_if(y > 0).alias("n_positive"),
         F.count_if(y < 0).alias("n_negative"),
         F.count_if(y == 0).alias("n_zero"),
+        *sizes,
     )
 
 
@@ -91,42 +98,62 @@ def train_panel(
     """Training values, evaluation dates and actuals per (series, fold).
 
     ``final`` adds the pseudo-fold that trains on everything; its dates lie in the future.
+    ``cv_n`` is the longest training part of a fold that can be evaluated. Points are ordered,
+    so a fold is a slice of known length.
     """
     step, h_cv = study.step, config.resolved_cv_horizon(study)
-    arrays = series_arrays(values)
+    arrays = series_arrays(values, folds, h_cv * step)
     last = F.element_at(F.col("points"), -1)["ds"]
+    usable = [
+        F.when((F.col(f"test_{f.number}") > 0) & (F.col(f"train_{f.number}") >= MIN_FINAL_HISTORY), F.col(f"train_{f.number}"))
+        for f in folds
+    ]
     entries = [
-        F.struct(F.lit(f.number).alias("fold"), F.lit(f.cutoff).alias("cutoff"), F.lit(h_cv).alias("h")) for f in folds
+        F.struct(
+            F.lit(f.number).alias("fold"),
+            F.lit(f.cutoff).alias("cutoff"),
+            F.lit(h_cv).alias("h"),
+            F.col(f"train_{f.number}").alias("n"),
+        )
+        for f in folds
     ]
     if final:
-        entries.append(F.struct(F.lit(FINAL_FOLD).alias("fold"), last.alias("cutoff"), F.lit(config.horizon).alias("h")))
-    rows = arrays.select("*", F.explode(F.array(*entries)).alias("w")).select(
-        *SERIES, "n_total", "n_positive", "n_negative", "n_zero", "points", "w.fold", "w.cutoff", "w.h"
+        entries.append(
+            F.struct(
+                F.lit(FINAL_FOLD).alias("fold"), last.alias("cutoff"), F.lit(config.horizon).alias("h"), F.col("n_total").alias("n")
+            )
+        )
+    counts = ["n_total", "n_positive", "n_negative", "n_zero"]
+    rows = (
+        arrays.withColumn("cv_n", F.coalesce(F.greatest(F.lit(0).cast("long"), *usable, F.lit(0).cast("long")), F.lit(0)))
+        .select(*SERIES, *counts, "cv_n", "points", F.explode(F.array(*entries)).alias("w"))
+        .select(*SERIES, *counts, "cv_n", "points", "w.*")
+        .where((F.col("n") >= MIN_FINAL_HISTORY) | (F.col("fold") == FINAL_FOLD))
     )
+    n = F.col("n").cast("int")
     rows = once(
         rows,
         {
-            "train": F.filter("points", lambda p: p["ds"] <= F.col("cutoff")),
+            "train": F.slice("points", F.lit(1), n),
+            "rest": F.slice("points", n + 1, F.size("points")),
             "eval_dates": period_sequence(
                 F.add_months("cutoff", step), F.add_months("cutoff", F.col("h") * step), step
             ),
         },
     )
     actual = F.transform(
-        "eval_dates", lambda d: F.get(F.filter("points", lambda p: p["ds"] == d), F.lit(0))["y"]
+        "eval_dates", lambda d: F.get(F.filter("rest", lambda p: p["ds"] == d), F.lit(0))["y"]
     )
     return rows.select(
         *SERIES,
-        "n_total",
-        "n_positive",
-        "n_negative",
-        "n_zero",
+        *counts,
+        "cv_n",
         "fold",
         "cutoff",
         "h",
         "eval_dates",
         F.when(F.col("fold") == FINAL_FOLD, F.array().cast("array<double>")).otherwise(actual).alias("actuals"),
-        F.transform("train", lambda p: p["ds"]).alias("dss"),
-        F.transform("train", lambda p: p["y"]).alias("ys"),
-        F.size("train").cast("long").alias("n"),
-    ).where((F.col("n") >= MIN_FINAL_HISTORY) | (F.col("fold") == FINAL_FOLD))
+        F.col("train.ds").alias("dss"),
+        F.col("train.y").alias("ys"),
+        "n",
+    )

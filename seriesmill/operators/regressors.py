@@ -225,6 +225,8 @@ def ar_exog(panel: DataFrame, season: int) -> DataFrame:
             .when(F.col("raw").isNull(), "model_failed")
             .otherwise(""),
             "width": F.lit(None).cast("array<double>"),
+            "evaluable": F.lit(None).cast("boolean"),
+            "any_evaluable": F.lit(None).cast("boolean"),
         }
     ).drop("_why", "xs", "x_next")
 

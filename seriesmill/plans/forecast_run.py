@@ -62,7 +62,7 @@ def run_forecast(
         frame = cut_lineage(frame)
     cv = FC.cv_predictions(frame)
     scores = FC.select_model(FC.score_models(cv), config)
-    base = FC.final_forecast(frame)
+    base = FC.final_forecast(frame, native_only=not (fitted or regressors or global_iterations))
     predictions, issues = base, None
     if scenarios:
         names = {s.regressor_id: s.name for s in regressors}
