@@ -249,20 +249,30 @@ def with_fits(panel: DataFrame, names: list[str], season: int) -> DataFrame:
     return fit_panel(panel, {n: FITTERS[n] for n in names}, season)
 
 
+def _fit_exogenous_batch(ys: pd.Series, xs: pd.Series, x_next: pd.Series, h: pd.Series, season: int) -> pd.Series:
+    """Rows of equal length, regressor count and horizon are stacked, as in ``_fit_batch``."""
+    out = np.full(len(ys), None, dtype=object)
+    groups: dict[tuple[int, int, int], list[int]] = {}
+    for i, (y, x, f, steps) in enumerate(zip(ys, xs, x_next, h)):
+        if x is not None and f is not None and len(y) >= MIN_LENGTH:
+            groups.setdefault((len(y), len(x[0]), int(steps)), []).append(i)
+    for (_, _, steps), rows in groups.items():
+        for part in np.array_split(rows, -(-len(rows) // CHUNK)):
+            y = np.vstack([np.asarray(ys.iloc[i], dtype=float) for i in part])
+            past = np.stack([np.stack(list(xs.iloc[i])).astype(float) for i in part])
+            future = np.stack([np.stack(list(x_next.iloc[i])).astype(float) for i in part])
+            with np.errstate(all="ignore"):
+                found = _lists(auto_ar(y, steps, season, past, future))
+            for i, row in zip(part, found):
+                out[i] = row
+    return pd.Series(out)
+
+
 def fit_exogenous(panel: DataFrame, season: int) -> DataFrame:
     """Autoregression with the panel's ``xs`` (history × regressor) and ``x_next`` columns."""
 
     def fit(ys: pd.Series, xs: pd.Series, x_next: pd.Series, h: pd.Series) -> pd.Series:
-        out = []
-        for y, x, f, steps in zip(ys, xs, x_next, h):
-            row = None
-            if x is not None and f is not None and len(y) >= MIN_LENGTH:
-                past, future = np.stack(list(x)).astype(float), np.stack(list(f)).astype(float)
-                if np.isfinite(past).all() and np.isfinite(future).all():
-                    with np.errstate(all="ignore"):
-                        row = _lists(auto_ar(np.asarray(y, float)[None], int(steps), season, past[None], future[None]))[0]
-            out.append(row)
-        return pd.Series(out)
+        return _fit_exogenous_batch(ys, xs, x_next, h, season)
 
     udf = F.pandas_udf(fit, T.ArrayType(T.DoubleType()))
     return panel.withColumn("raw", udf("ys", "xs", "x_next", "h"))

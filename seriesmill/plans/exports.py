@@ -166,7 +166,7 @@ def protect_table(df: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def write_csv(df: DataFrame, path: str, delimiter: str = ";") -> None:
-    protect_table(df)[0].write.mode("overwrite").csv(path, sep=delimiter, header=True)
+    protect_table(df)[0].write.mode("overwrite").csv(path, sep=delimiter, header=True, escape='"')
 
 
 def write_by_model(wide: DataFrame, path: str) -> None:

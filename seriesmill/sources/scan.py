@@ -24,7 +24,7 @@ def scan_text_table(
 ) -> DataFrame:
     """Delimited text with every cell as a string: no inference, blanks as empty text."""
     reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("mode", "PERMISSIVE")
-    raw = reader.csv(path, header=header, inferSchema=False, enforceSchema=True)
+    raw = reader.option("escape", '"').csv(path, header=header, inferSchema=False, enforceSchema=True)
     return raw.toDF(*dedup_header(raw.columns)).na.fill("")
 
 

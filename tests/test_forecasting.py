@@ -439,3 +439,13 @@ def test_wide_export_and_formula_guard(spark):
     safe, counted = exports.protect_table(long)
     assert counted.first()["n_protected"] == long.count()
     assert safe.first()["run_id"] == "'=r"
+
+
+def test_csv_round_trip_keeps_text(spark, tmp_path):
+    rows = [("0012", 'say "x"; y', ""), ("0013", "a,b", "-5")]
+    df = spark.createDataFrame(rows, "ean string, name string, v string")
+    path = str(tmp_path / "out")
+    exports.write_csv(df, path)
+    back = {tuple(r) for r in scan.scan_text_table(spark, path).collect()}
+    assert back == {("0012", 'say "x"; y', ""), ("0013", "a,b", "'-5")}
+    assert scan.sniff_delimiter(spark, path).first()["delimiter"] == ";"
