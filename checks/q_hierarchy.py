@@ -133,13 +133,13 @@ prof AS (""",
         ).replace("FROM prep JOIN wins", "FROM aggp JOIN wins").replace("LEFT JOIN prep p", "LEFT JOIN aggp p"),
     )
     .replace("FROM prep GROUP BY ALL),\nfulp", "FROM aggp GROUP BY ALL),\nfulp")
-    .join(["WITH ", "\nSELECT node_id, measure, model_alias, ds, round(yhat, 2) AS yhat FROM fin"]),
+    .join(["WITH ", "\nSELECT node_id, measure, model_alias, ds, round(yhat, 4) AS yhat FROM fin"]),
 )
 def _(spark, sf):
     level = H.aggregate_history(values(spark, sf), bridge(spark, sf), 0)
     panel = P.train_panel(level, T.STUDY, CONFIG, P.calendar_folds(T.STUDY, CONFIG))
     out = FC.final_forecast(FC.forecast_frame(panel, T.STUDY, CONFIG, fitted=False, limits=False), native_only=True)
-    return rounded(out.select("node_id", "measure", "model_alias", "ds", "yhat"), "yhat", digits=2)
+    return rounded(out.select("node_id", "measure", "model_alias", "ds", "yhat"), "yhat")
 
 
 RECON = f"""{fin_sql("ean")},{ENT},
@@ -329,6 +329,12 @@ app AS (SELECT scn.scenario_id, fin.node_id, fin.entity_id, fin.measure, fin.mod
              AND fac.ds = fin.ds AND fac.measure = fin.measure)"""
 
 
+UNTIED = FACTORED.replace(
+    "(VALUES ('copy'), ('growth')) t(scenario_id))",
+    "(VALUES ('copy'), ('growth'), ('tied')) t(scenario_id) WHERE scenario_id NOT IN (SELECT scenario_id FROM ties))",
+)
+
+
 @query("apply_scenario", FACTORED + " SELECT scenario_id, node_id, measure, model_alias, ds, round(yhat, 6) AS yhat, round(factor, 9) AS factor FROM app")
 def _(spark, sf):
     out = SC.apply_scenario(predictions(spark, sf), T.entities(spark, sf, "marca"), (COPY, GROWTH), PERIODS)
@@ -345,7 +351,7 @@ def _(spark, sf):
     )
 
 
-@query("generate_scenarios", FACTORED + " SELECT scenario_id, measure, model_alias, ds, count(*) AS n_rows, round(sum(yhat), 4) AS total FROM app GROUP BY ALL")
+@query("generate_scenarios", UNTIED + " SELECT scenario_id, measure, model_alias, ds, count(*) AS n_rows, round(sum(yhat), 4) AS total FROM app GROUP BY ALL")
 def _(spark, sf):
     out, _, _ = SC.generate_scenarios(
         predictions(spark, sf), T.entities(spark, sf, "marca"), SCENARIOS, PERIODS, {"r-price": "price"}

@@ -147,10 +147,17 @@ def _(spark, sf):
     return out.select("series_id", "measure", "fold", "failure_reason", F.transform("raw", lambda v: F.round(v, 3)).alias("yhat"))
 
 
-@query("ar_exog_status", f"""WITH {S.prep("marca").strip()}, dims AS (SELECT DISTINCT entity_id, tipo, marca FROM obs),
- t AS (SELECT series_id, entity_id FROM prep GROUP BY ALL)
- SELECT CASE WHEN marca = 'Brand#2' THEN 'regressor_future_unavailable' WHEN tipo IN ('ECONOMY', 'SMALL') THEN '' ELSE 'regressor_unavailable' END AS failure_reason,
-        count(*) AS n_series FROM t JOIN dims USING (entity_id) GROUP BY ALL""")
+@query("ar_exog_status", f"""WITH {S.prep("marca").strip()},{REG}, dims AS (SELECT DISTINCT entity_id, tipo, marca FROM obs),
+ sc AS (SELECT entity_id, 'AFRICA' AS regressor_id FROM dims WHERE tipo IN ('ECONOMY', 'SMALL')
+        UNION ALL SELECT entity_id, 'EUROPE' FROM dims WHERE marca = 'Brand#2'),
+ hist AS (SELECT p.series_id, bool_or(past.value IS NULL) AS holes FROM prep p JOIN sc USING (entity_id)
+          LEFT JOIN past ON past.regressor_id = sc.regressor_id AND past.ds = p.ds GROUP BY p.series_id),
+ fut AS (SELECT entity_id, bool_or(ahead.value IS NULL) AS holes FROM sc CROSS JOIN hor
+         LEFT JOIN ahead ON ahead.regressor_id = sc.regressor_id AND ahead.ds = hor.ds GROUP BY entity_id),
+ t AS (SELECT series_id, entity_id, count(*) AS n FROM prep GROUP BY ALL)
+ SELECT CASE WHEN hist.holes IS NULL OR hist.holes THEN 'regressor_unavailable' WHEN fut.holes THEN 'regressor_future_unavailable'
+             WHEN n < 8 THEN 'insufficient_history' ELSE '' END AS failure_reason, count(*) AS n_series
+ FROM t LEFT JOIN hist USING (series_id) LEFT JOIN fut USING (entity_id) GROUP BY ALL""")
 def _(spark, sf):
     out = R.ar_exog(exogenous(spark, sf, specs=(SPECS[0], SPECS[2]), folds=False), T.STUDY.season)
     return out.groupBy("failure_reason").agg(F.count("*").alias("n_series"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.q_forecast import CONFIG, RANK, SCORES, SELECT, cv_sql, fin_sql, frame, metric_digits, predictions, rounded, values
-from checks.q_hierarchy import BRIDGE, ENT, GROWTH, PERIODS, SCENARIOS, bridge
+from checks.q_hierarchy import BRIDGE, ENT, PERIODS, SCENARIOS, UNTIED, bridge
 from checks.q_ingest import canonical
 from checks.registry import query
 from seriesmill import testbed as T
@@ -321,7 +321,7 @@ def _(spark, sf):
     return V.cascade_items(T.entities(spark, sf), "tipo", ("ECONOMY", "PROMO"), "marca")
 
 
-@query("distinct_scenarios", S.q(fin_sql("marca"), "SELECT 'base' AS scenario_id WHERE (SELECT count(*) FROM fin) > 0 UNION ALL VALUES ('copy'), ('growth')"))
+@query("distinct_scenarios", UNTIED + " SELECT DISTINCT scenario_id FROM app UNION SELECT 'base' FROM fin")
 def _(spark, sf):
     base = predictions(spark, sf)
     more, _, _ = SC.generate_scenarios(base, T.entities(spark, sf, "marca"), SCENARIOS, PERIODS, {"r-price": "price"})
