@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.q_forecast import CONFIG, cv_sql, fin_sql, frame, models_sql, predictions, rounded, values
+from checks.q_forecast import CONFIG, cv_sql, fin_sql, predictions, rounded, values
 from checks.registry import query
 from seriesmill import testbed as T
 from seriesmill.config import AssumptionRule, Scenario
