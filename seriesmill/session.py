@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,6 +32,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A folder next to the checkpoints, which every executor can reach."""
+    """A fresh folder next to the checkpoints, which every executor can reach.
+
+    Each call names another one: a frame built earlier keeps the files it still has to read.
+    """
     ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}"
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a frame once to a fresh scratch folder and read it from there."""
+    path = scratch_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
