@@ -57,3 +57,11 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     for k in range(width):
         out = mixed(out + h[k : k + n])
     return out
+
+
+def bounded_batches(spark: SparkSession, rows: int = 400) -> None:
+    """Let Arrow batches hold no more rows than this, so long texts can't fill a Python worker."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(rows))
