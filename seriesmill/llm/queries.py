@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from seriesmill.llm.op10_ngram_jaccard import op10_ngram_jaccard
+from seriesmill.llm.op4_decontaminate import op4_decontaminate
+from seriesmill.llm.op6_mix_sources import ORACLE_SQL as OP6_SQL
+from seriesmill.llm.op6_mix_sources import op6_mix_sources
 from seriesmill.llm.op8_quality_rules import op8_quality_rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_decontaminate": op4_decontaminate,
+    "op6_mix_sources": op6_mix_sources,
     "op8_quality_rules": op8_quality_rules,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_mix_sources": OP6_SQL,
+}
