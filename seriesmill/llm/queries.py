@@ -6,18 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from seriesmill.llm.op1_pii import op1_pii
 from seriesmill.llm.op10_ngram_jaccard import op10_ngram_jaccard
 from seriesmill.llm.op4_decontaminate import op4_decontaminate
 from seriesmill.llm.op6_mix_sources import ORACLE_SQL as OP6_SQL
 from seriesmill.llm.op6_mix_sources import op6_mix_sources
 from seriesmill.llm.op8_quality_rules import op8_quality_rules
+from seriesmill.llm.op9_warc import ORACLE_SQL as OP9_SQL
+from seriesmill.llm.op9_warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii": op1_pii,
     "op4_decontaminate": op4_decontaminate,
     "op6_mix_sources": op6_mix_sources,
     "op8_quality_rules": op8_quality_rules,
+    "op9_warc": op9_warc,
     "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 ORACLES: dict[str, str] = {
     "op6_mix_sources": OP6_SQL,
+    "op9_warc": OP9_SQL,
 }
