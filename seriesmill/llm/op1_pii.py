@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.functions.once import once
-from seriesmill.llm.text import table
+from seriesmill.llm.text import aside, restored, table
 
 KINDS = ("email", "ip", "card", "phone")
 LABELLED_ROWS = 3000
@@ -298,7 +298,7 @@ def score(model, f: Column) -> Column:
 def _detected(docs: DataFrame) -> DataFrame:
     """Add to each row the base spans and ``extra``, the spans that the trees add."""
     model, limits = fitted(docs.sparkSession)
-    rows = docs.select(F.struct("*").alias("row"), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    rows = docs.select(*aside(docs), "doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     rows = _proposals(_base(rows))
     some = F.size("wide") > 0
     judged = F.transform("wide", lambda w: w.withField("p", score(model, w["f"])).dropFields("f"))
@@ -365,12 +365,12 @@ def redacted(docs: DataFrame) -> DataFrame:
 
     last = F.array_max(F.transform("spans", lambda y: y["e"]))
     clean = F.concat(F.array_join(F.transform("spans", piece), ""), F.substring(F.col("text"), last + 1, F.length("text")))
-    rows = once(rows, {"clean": F.when(F.size("spans") > 0, clean).otherwise(F.col("row.text"))})
-    out = [
-        F.col("clean").alias("text") if c == "text" else F.length("clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.`{c}`")
-        for c in docs.columns
-    ]
-    return rows.select(*out)
+    out = restored(docs)
+    rows = once(rows, {"clean": F.when(F.size("spans") > 0, clean).otherwise(out["text"])})
+    out["text"] = F.col("clean").alias("text")
+    if "n_chars" in out:
+        out["n_chars"] = F.length("clean").cast(docs.schema["n_chars"].dataType).alias("n_chars")
+    return rows.select(*out.values())
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

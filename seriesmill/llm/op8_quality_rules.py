@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.functions.once import once
-from seriesmill.llm.text import SPACE, table, word_array
+from seriesmill.llm.text import SPACE, aside, restored, table, word_array
 
 # Frequent function words of each language.
 COMMON_WORDS = {
@@ -46,7 +46,7 @@ def _length_without(text: Column, pattern: str) -> Column:
 
 
 def _measured(docs: DataFrame) -> DataFrame:
-    """Add words, character classes and common-word counts to rows with columns row, id, lang, text."""
+    """Add words, character classes and common-word counts to rows with columns doc_id, lang, text."""
     step = once(docs, {"words": word_array(F.col("text")), "left0": _length_without(F.col("text"), "[a-z]+")})
     chain = [
         ("left1", "left0", SPACE),
@@ -147,7 +147,7 @@ def _dup_lines(text: Column) -> Column:
 def _rows(docs: DataFrame) -> DataFrame:
     lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
     return docs.select(
-        F.struct("*").alias("row"),
+        *aside(docs),
         F.col("doc_id"),
         lang.cast("string").alias("lang"),
         F.coalesce(F.col("text"), F.lit("")).alias("text"),
@@ -159,7 +159,7 @@ def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
 
     At most one row per entry of ``COMMON_WORDS`` comes back.
     """
-    known = _with_shares(_measured(_rows(docs).where(F.col("lang").isin(list(COMMON_WORDS))).drop("row")))
+    known = _with_shares(_measured(_rows(docs).where(F.col("lang").isin(list(COMMON_WORDS))).drop(*[f"__in_{k}" for k in range(len(docs.columns))])))
     common = 1 - F.get("word_share", F.lit(len(VOCABULARY)))
     sized = known.where(F.col("char_share").isNotNull() & (common >= MIN_COMMON_SHARE))
     sums = [F.avg(F.get("char_share", F.lit(k))).alias(f"c{k}") for k in range(7)]
@@ -228,7 +228,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    return _judged(docs, references(docs)).where("kept").select("row.*")
+    return _judged(docs, references(docs)).where("kept").select(*restored(docs).values())
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

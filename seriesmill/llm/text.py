@@ -65,3 +65,12 @@ def bounded_batches(spark: SparkSession, rows: int = 400) -> None:
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+
+
+def aside(docs: DataFrame) -> list[Column]:
+    """All columns under names that no other column has, to be given back by ``restored``."""
+    return [docs[f"`{c}`"].alias(f"__in_{k}") for k, c in enumerate(docs.columns)]
+
+
+def restored(docs: DataFrame) -> dict[str, Column]:
+    return {c: F.col(f"__in_{k}").alias(c) for k, c in enumerate(docs.columns)}
