@@ -4,12 +4,13 @@ Documents link when their sets of distinct 5-word shingles share at least 80 % o
 The component of each document is found without expanding groups of copies into pairs:
 
 1. Equal sets are one vertex: they meet by the digest of the sorted shingle hashes.
-2. *Answers from a similar set.* A few min-hash keys bring each set to the smallest set that shares
-   a key; sketches pick the likely ones and exact overlaps decide. Sets linked to a common one share
-   its component, so no pair inside a component is ever looked at again.
+2. *Answers from a similar set.* A few min-hash keys bring each set to a few sets that share a key;
+   marks (parities of the set in 1024 classes, whose differences are a lower bound of the sets')
+   rule most out and exact overlaps decide. Sets linked to a common one share its component, so no
+   pair inside a component is ever looked at again.
 3. *Skipping in the index.* The rest is an exact prefix join: common shingles are ordered last, an
-   index list is skipped whole if it holds a single component, and inside a list sizes and
-   positions rule out pairs that cannot reach the limit.
+   index list is skipped whole if it holds a single component, and inside a list sizes, positions
+   and, in long lists, marks rule out pairs that cannot reach the limit before they are made.
 4. Two components that meet are first compared by their own representatives. If those link, all
    other pairs of the two are skipped; if not, the overlap of the representatives and those of the
    members with them bound the overlap of a pair, and most are skipped without reading a set.
@@ -46,9 +47,11 @@ from seriesmill.session import written
 WIDTH = 5
 PERCENT = 80
 KEYS = 4
-SKETCH = 64
-#: Sketches that agree less than this aren't compared in step 2; step 3 sees them.
-LIKELY = 0.75
+#: Sets of a shared key that the others are compared with in step 2.
+CENTRES = 4
+MARKS = 1024
+#: Index lists with more members than this also compare marks before a pair is made.
+LONG_LIST = 64
 ORDERED_LAST = 65_536
 FILTER_BITS = 22
 
@@ -77,21 +80,17 @@ def _prefix_size(n: int) -> int:
 _SEEDS = mixed(np.arange(1, KEYS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _sketch(s: np.ndarray) -> bytes:
-    """Min-hashes by one permutation: a byte of the smallest hash in each of SKETCH ranges."""
-    m = mixed(s + np.uint64(0x632BE59BD9B4E019))
-    out = np.full(SKETCH, np.uint64(0xFFFFFFFFFFFFFFFF))
-    m.sort()
-    where, first = np.unique(m >> np.uint64(58), return_index=True)
-    out[where.astype(np.int64)] = m[first]
-    return (out & np.uint64(255)).astype(np.uint8).tobytes()
+def _marks(s: np.ndarray) -> np.ndarray:
+    """Parities of a set in MARKS classes: two sets differ in at least as many shingles as marks."""
+    odd = np.bincount((mixed(s + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(54)).astype(np.int64), minlength=MARKS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
-_SEEN = "kind int, id long, n long, digest binary, keys array<long>, sketch binary, token long, df long"
+_SEEN = "kind int, id long, n long, digest binary, keys array<long>, marks array<long>, token long, df long"
 
 
 def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,11 +112,11 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for i, text in zip(pdf["id"], pdf["text"], strict=True):
             s = shingle_set(text)
             if not len(s):
-                rows.append((0, i, 0, b"", [], b"", None, None))
+                rows.append((0, i, 0, b"", [], [], None, None))
                 continue
             digest = xxhash.xxh3_128_digest(s.tobytes())
             keys = np.array([mixed(s ^ seed).min() for seed in _SEEDS])
-            rows.append((0, i, len(s), digest, _signed(keys).tolist(), _sketch(s), None, None))
+            rows.append((0, i, len(s), digest, _signed(keys).tolist(), _marks(s).tolist(), None, None))
             if digest not in seen:
                 seen.add(digest)
                 tokens.append(s[: _prefix_size(len(s))])
@@ -135,7 +134,7 @@ def _first_pass(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["kind", "id", "n", "digest", "keys", "sketch", "token", "df"])
+    out = pd.DataFrame(rows, columns=["kind", "id", "n", "digest", "keys", "marks", "token", "df"])
     return out.astype({"kind": "int32", "id": "Int64", "n": "Int64", "token": "Int64", "df": "Int64"})
 
 
@@ -227,54 +226,64 @@ def _links():
     return 100 * F.col("overlap") >= PERCENT * union
 
 
+def _near_marks(x: str, y: str):
+    """Whether the marks allow a link: linked sets differ in few enough shingles."""
+    apart = sum((F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(MARKS // 64)), F.lit(0))
+    return (100 + PERCENT) * apart <= (100 - PERCENT) * (F.col("n_a") + F.col("n_b"))
+
+
+def _near_sizes():
+    return 100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b")
+
+
+def _with_marks(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
+    """Pairs (a, b) whose sizes and marks allow a link."""
+    x = vertices.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a"))
+    y = vertices.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("marks").alias("marks_b"))
+    near = pairs.join(x, "a").join(y, "b").where(_near_sizes() & _near_marks("marks_a", "marks_b"))
+    return near.select("a", "b").distinct()
+
+
 def _star_pairs(vertices: DataFrame) -> DataFrame:
-    """Pairs (set, smallest id that shares a key with it) whose sketches look alike."""
-
-    @F.pandas_udf(T.DoubleType())
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        p = np.frombuffer(b"".join(x), np.uint8).reshape(-1, SKETCH)
-        q = np.frombuffer(b"".join(y), np.uint8).reshape(-1, SKETCH)
-        return pd.Series((p == q).mean(axis=1))
-
-    keyed = vertices.select("id", "n", "sketch", F.posexplode("keys").alias("which", "key"))
-    least = keyed.groupBy("which", "key").agg(
-        F.min_by(F.struct(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("other")), "id").alias("m"),
-        F.count("*").alias("members"),
-    )
-    met = keyed.join(least.where("members > 1").select("which", "key", "m.*"), ["which", "key"])
-    sized = (F.col("id") > F.col("b")) & (100 * F.least("n", "n_b") >= PERCENT * F.greatest("n", "n_b"))
-    return (
-        met.where(sized)
-        .select(F.col("id").alias("a"), "b", "sketch", "other")
-        .where(alike("sketch", "other") >= LIKELY)
-        .select("a", "b")
-        .distinct()
-    )
+    """Pairs (set, one of a few sets that share a key with it)."""
+    keyed = vertices.select("id", F.posexplode("keys").alias("which", "key"))
+    centres = [F.min(F.struct(F.xxhash64("id", F.lit(k)).alias("h"), F.col("id").alias("b"))).alias(f"c{k}") for k in range(CENTRES)]
+    met = keyed.groupBy("which", "key").agg(F.count("*").alias("members"), *centres).where("members > 1")
+    chosen = met.select("which", "key", F.array_distinct(F.array(*[F.col(f"c{k}.b") for k in range(CENTRES)])).alias("centres"))
+    pairs = keyed.join(chosen, ["which", "key"]).select("id", F.explode("centres").alias("centre")).where("id <> centre")
+    ordered = pairs.select(F.greatest("id", "centre").alias("a"), F.least("id", "centre").alias("b")).distinct()
+    return _with_marks(ordered, vertices)
 
 
-def _index_pairs(prefixes: DataFrame) -> DataFrame:
+def _index_pairs(prefixes: DataFrame, vertices: DataFrame) -> DataFrame:
     """Pairs of different components that the prefix index can't rule out."""
     rows = prefixes.select("id", "n", "component", F.posexplode("prefix").alias("pos", "token"))
     lists = Window.partitionBy("token")
     mixed_lists = (
         rows.withColumn("lo", F.min("component").over(lists))
         .withColumn("hi", F.max("component").over(lists))
+        .withColumn("members", F.count("*").over(lists))
         .where("lo < hi")
-        .select("token", "id", "n", "pos", "component")
+        .select("token", "id", "n", "pos", "component", "members")
     )
     kept = written(mixed_lists, "lists")
-    x = kept.select("token", *[F.col(c).alias(f"{c}_a") for c in ("id", "n", "pos", "component")])
-    y = kept.select("token", *[F.col(c).alias(f"{c}_b") for c in ("id", "n", "pos", "component")])
+    names = ("id", "n", "pos", "component")
     # the sizes must be near; what is left after both positions must hold the overlap needed
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    return (
-        x.join(y, "token")
-        .where("component_a < component_b")
-        .where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-        .where((100 + PERCENT) * rest >= PERCENT * (F.col("n_a") + F.col("n_b")))
-        .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "component_a", "component_b", "n_a", "n_b")
-        .distinct()
-    )
+    possible = _near_sizes() & ((100 + PERCENT) * rest >= PERCENT * (F.col("n_a") + F.col("n_b")))
+
+    def met(rows: DataFrame, more: tuple[str, ...], also) -> DataFrame:
+        x = rows.select("token", *[F.col(c).alias(f"{c}_a") for c in (*names, *more)])
+        y = rows.select("token", *[F.col(c).alias(f"{c}_b") for c in (*names, *more)])
+        return (
+            x.join(y, "token")
+            .where((F.col("component_a") < F.col("component_b")) & possible & also)
+            .select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), "component_a", "component_b", "n_a", "n_b")
+        )
+
+    long_lists = kept.where(F.col("members") > LONG_LIST).join(vertices.select("id", "marks"), "id")
+    short = met(kept.where(F.col("members") <= LONG_LIST), (), F.lit(True))
+    return short.unionAll(met(long_lists, ("marks",), _near_marks("marks_a", "marks_b"))).distinct()
 
 
 def _known(links: DataFrame, member: str, root: str, name: str) -> DataFrame:
@@ -282,7 +291,7 @@ def _known(links: DataFrame, member: str, root: str, name: str) -> DataFrame:
     return links.groupBy(F.col("a").alias(member), F.col("b").alias(root)).agg(F.max("overlap").alias(name))
 
 
-def _rest_links(pairs: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame:
+def _rest_links(pairs: DataFrame, near: DataFrame, sets: DataFrame, vertices: DataFrame) -> DataFrame:
     """Links among the pairs left by the index; representatives are compared first."""
     probes = _compared(pairs.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")), sets)
     probes = written(probes.withColumn("linked", _links()), "probes")
@@ -297,7 +306,7 @@ def _rest_links(pairs: DataFrame, near: DataFrame, sets: DataFrame) -> DataFrame
     own_b = F.when(F.col("b") == F.col("component_b"), F.lit(0)).otherwise(F.col("n_b") - F.col("with_b"))
     most = F.col("seen") + own_a + own_b
     possible = (100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    left = open_pairs.where(F.coalesce(possible, F.lit(True)))
+    left = _with_marks(open_pairs.where(F.coalesce(possible, F.lit(True))).select("a", "b"), vertices)
     return probes.where("linked").select("a", "b").unionAll(_compared(left, sets).where(_links()).select("a", "b"))
 
 
@@ -319,7 +328,7 @@ def classes(docs: DataFrame) -> DataFrame:
     last = np.sort(common.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
     same = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
     vertices = rows.where("n > 0").join(same, ["digest", "id"], "left_semi").dropDuplicates(["id", "digest"])
-    vertices = written(vertices.select("id", "n", "keys", "sketch"), "vertices")
+    vertices = written(vertices.select("id", "n", "keys", "marks"), "vertices")
 
     stars = written(_star_pairs(vertices), "stars")
     wanted = _filter(stars.select(F.col("a").alias("id")).unionAll(stars.select(F.col("b").alias("id"))))
@@ -327,11 +336,11 @@ def classes(docs: DataFrame) -> DataFrame:
     near = written(_compared(stars, second.where(F.col("set").isNotNull())).where(_links()), "near")
 
     labels = _labelled(vertices.select("id").distinct(), near)
-    pairs = written(_index_pairs(second.select("id", "n", "prefix").join(labels, "id")), "pairs")
+    pairs = written(_index_pairs(second.select("id", "n", "prefix").join(labels, "id"), vertices), "pairs")
     ends = [pairs.select(F.col(c).alias("id")) for c in ("a", "b", "component_a", "component_b")]
     wanted = _filter(ends[0].unionAll(ends[1]).unionAll(ends[2]).unionAll(ends[3]))
     sets = written(texts.mapInPandas(_sets(wanted), "id long, n long, set binary"), "sets")
-    links = near.select("a", "b").unionAll(_rest_links(pairs, near.select("a", "b", "overlap"), sets))
+    links = near.select("a", "b").unionAll(_rest_links(pairs, near.select("a", "b", "overlap"), sets, vertices))
 
     final = _labelled(vertices.select("id").distinct(), links)
     roots = same.join(final, "id").select("digest", "component")
