@@ -33,8 +33,10 @@ from seriesmill.llm.text import bounded_batches, table
 from seriesmill.session import scratch_dir
 
 MIN_REVISIT = 1000
-#: Bytes of html per archive file, about: a file is one row for its reader.
-FILE_BYTES = 16 << 20
+#: Records in an archive file at most: a file is one row for its reader.
+FILE_RECORDS = 5000
+#: Deflate level of a member.
+LEVEL = 1
 STEP = 1 << 16
 DATE = "2024-01-01T00:00:00Z"
 READ = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -95,7 +97,7 @@ def record(page_id, url, payload: bytes, digest: str, kind: str, refers_to) -> b
 
 
 def member(data: bytes) -> bytes:
-    pack = zlib.compressobj(6, zlib.DEFLATED, 31)
+    pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return pack.compress(data) + pack.flush()
 
 
@@ -109,13 +111,10 @@ def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Write the pages as archive files of about ``FILE_BYTES`` of html."""
+    """Write the pages as archive files of at most ``FILE_RECORDS`` records, where the plan left them."""
     bounded_batches(pages.sparkSession, 100)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    files = max(1, -(-int(total) // FILE_BYTES))
-    planned = plan(pages).repartition(files)
-    data = planned.mapInPandas(_members, "data binary")
-    data.select(F.col("data").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    data = plan(pages).mapInPandas(_members, "data binary").select(F.col("data").cast("string").alias("value"))
+    data.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def members(steps: Iterator[bytes]) -> Iterator[bytes]:
