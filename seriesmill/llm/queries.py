@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from seriesmill.llm.op1_pii import op1_pii
 from seriesmill.llm.op10_ngram_jaccard import op10_ngram_jaccard
+from seriesmill.llm.op2_substring_dedup import op2_substring_dedup
 from seriesmill.llm.op3_lm_scoring import op3_lm_scoring
 from seriesmill.llm.op4_decontaminate import op4_decontaminate
 from seriesmill.llm.op6_mix_sources import ORACLE_SQL as OP6_SQL
@@ -18,6 +19,7 @@ from seriesmill.llm.op9_warc import op9_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_decontaminate": op4_decontaminate,
     "op6_mix_sources": op6_mix_sources,
