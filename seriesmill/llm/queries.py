@@ -11,8 +11,10 @@ from seriesmill.llm.op10_ngram_jaccard import op10_ngram_jaccard
 from seriesmill.llm.op2_substring_dedup import op2_substring_dedup
 from seriesmill.llm.op3_lm_scoring import op3_lm_scoring
 from seriesmill.llm.op4_decontaminate import op4_decontaminate
+from seriesmill.llm.op5_html_text import op5_html_text
 from seriesmill.llm.op6_mix_sources import ORACLE_SQL as OP6_SQL
 from seriesmill.llm.op6_mix_sources import op6_mix_sources
+from seriesmill.llm.op7_quality_classifier import op7_quality_classifier
 from seriesmill.llm.op8_quality_rules import op8_quality_rules
 from seriesmill.llm.op9_warc import ORACLE_SQL as OP9_SQL
 from seriesmill.llm.op9_warc import op9_warc
@@ -22,7 +24,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_lm_scoring": op3_lm_scoring,
     "op4_decontaminate": op4_decontaminate,
+    "op5_html_text": op5_html_text,
     "op6_mix_sources": op6_mix_sources,
+    "op7_quality_classifier": op7_quality_classifier,
     "op8_quality_rules": op8_quality_rules,
     "op9_warc": op9_warc,
     "op10_ngram_jaccard": op10_ngram_jaccard,
