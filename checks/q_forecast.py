@@ -12,7 +12,7 @@ from seriesmill import testbed as T
 from seriesmill.config import ForecastConfig, TreatmentPolicy
 from seriesmill.functions import text
 from seriesmill.operators import fitters, models
-from seriesmill.operators import forecasting as FC
+from seriesmill.operators import backtest as FC
 from seriesmill.operators import panel as P
 from seriesmill.operators import quality as Q
 
@@ -472,7 +472,7 @@ def median_of_last(y, h, season):
     return np.repeat(np.median(y[:, -season:], axis=1)[:, None], h, axis=1)
 
 
-@query("fit_panel", S.q(cv_sql("ean"), """SELECT series_id, measure, fold, round(list_median(ys[-12:]), 4) AS yhat FROM trp WHERE n >= 8"""))
+@query("fit_panel", S.q(cv_sql("ean"), """SELECT series_id, measure, fold, round(list_median(ys[-12:]), 4) AS yhat FROM trp WHERE n >= 1"""))
 def _(spark, sf):
     fr = fitters.fit_panel(panel(spark, sf, final=False), {"Median": median_of_last}, T.STUDY.season)
     return fr.where(F.col("fits.Median").isNotNull()).select(

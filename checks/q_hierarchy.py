@@ -13,7 +13,7 @@ from checks.registry import query
 from seriesmill import testbed as T
 from seriesmill.config import AssumptionRule, Scenario
 from seriesmill.functions.periods import shift_date
-from seriesmill.operators import forecasting as FC
+from seriesmill.operators import backtest as FC
 from seriesmill.operators import hierarchy as H
 from seriesmill.operators import panel as P
 from seriesmill.operators import scenarios as SC
@@ -337,15 +337,22 @@ UNTIED = FACTORED.replace(
 
 @query("apply_scenario", FACTORED + " SELECT scenario_id, node_id, measure, model_alias, ds, round(yhat, 6) AS yhat, round(factor, 9) AS factor FROM app")
 def _(spark, sf):
-    out = SC.apply_scenario(predictions(spark, sf), T.entities(spark, sf, "marca"), (COPY, GROWTH), PERIODS)
+    out = SC.apply_scenario(predictions(spark, sf), T.entities(spark, sf, "marca"), (COPY, GROWTH))
     out = out.select("scenario_id", "node_id", "measure", "model_alias", "ds", "yhat", "factor")
     return rounded(rounded(out, "yhat", digits=6), "factor", digits=9)
 
 
+MANY = Scenario(
+    "growth",
+    GROWTH.rules
+    + tuple(AssumptionRule(f"none-{k}", "growth", f"none-{k}", "unidades", "step", 0.0, PERIODS[0]) for k in range(100)),
+)
+
+
 @query("apply_factors", FACTORED + " SELECT scenario_id, measure, ds, count(*) AS n_rows, count_if(factor <> 1) AS n_touched FROM app GROUP BY ALL")
 def _(spark, sf):
-    """The same through the compiled table, as lists beyond the inline limit go."""
-    out = SC.apply_scenario(predictions(spark, sf), T.entities(spark, sf, "marca"), (COPY, GROWTH), PERIODS, inline_limit=0)
+    """The same with a hundred rules more that change nothing."""
+    out = SC.apply_scenario(predictions(spark, sf), T.entities(spark, sf, "marca"), (COPY, MANY))
     return out.groupBy("scenario_id", "measure", "ds").agg(
         F.count("*").alias("n_rows"), F.count_if(F.col("factor") != 1).alias("n_touched")
     )
@@ -375,7 +382,7 @@ def _(spark, sf):
  UNION ALL SELECT 'base', measure, count(*) FROM fin GROUP BY measure""")
 def _(spark, sf):
     base = predictions(spark, sf)
-    out = SC.apply_scenario(base, T.entities(spark, sf, "marca"), (COPY, GROWTH), PERIODS)
+    out = SC.apply_scenario(base, T.entities(spark, sf, "marca"), (COPY, GROWTH))
     both = base.unionByName(out.drop("factor"))
     return both.groupBy("scenario_id", "measure").agg(F.count("*").alias("n_rows"))
 
@@ -384,7 +391,7 @@ def _(spark, sf):
  round((yhat - yhat_base) / nullif(yhat_base, 0), 6) AS variation FROM app WHERE scenario_id = 'growth'""")
 def _(spark, sf):
     base = predictions(spark, sf)
-    grown = SC.apply_scenario(base, T.entities(spark, sf, "marca"), (GROWTH,), PERIODS)
+    grown = SC.apply_scenario(base, T.entities(spark, sf, "marca"), (GROWTH,))
     out = SC.scenario_vs_base(grown, base).select(
         "scenario_id", "node_id", "measure", "model_alias", "ds", "yhat", "yhat_base", "variation"
     )

@@ -12,7 +12,7 @@ from checks.q_hierarchy import ENT, GROWTH, PERIODS, RECON, WITH_TOTAL
 from checks.registry import query
 from seriesmill import testbed as T
 from seriesmill.config import ForecastConfig, RegressorSpec, Scenario
-from seriesmill.operators import forecasting as FC
+from seriesmill.operators import backtest as FC
 from seriesmill.operators import global_trees as G
 from seriesmill.operators import panel as P
 from seriesmill.operators import regressors as R

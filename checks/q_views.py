@@ -14,7 +14,7 @@ from checks.registry import query
 from seriesmill import testbed as T
 from seriesmill.functions.periods import shift_date
 from seriesmill.functions.text import chip_label
-from seriesmill.operators import forecasting as FC
+from seriesmill.operators import backtest as FC
 from seriesmill.operators import mat as M
 from seriesmill.operators import scenarios as SC
 from seriesmill.plans import exports as X

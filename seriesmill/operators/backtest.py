@@ -147,15 +147,14 @@ def error_metrics(prefix_keys: list[str], rows: DataFrame, extra: list[Column] =
 def score_models(cv: DataFrame) -> DataFrame:
     """Scores per (node, measure, method); methods without evaluable folds keep an ineligible row.
 
-    Folds are counted as bits (there are a few per run), so one aggregate pass is enough.
+    Distinct folds are collected per method (as many as the settings ask for), so one aggregate
+    pass is enough.
     """
     scores = error_metrics(
         [*NODE, "model_alias"],
         cv,
         [
-            F.bit_count(F.coalesce(F.bit_or(F.when(F.col("evaluated"), F.expr("shiftleft(1L, fold)"))), F.lit(0).cast("long")))
-            .cast("long")
-            .alias("n_folds"),
+            F.size(F.collect_set(F.when(F.col("evaluated"), F.col("fold")))).cast("long").alias("n_folds"),
             F.first("all_zero").alias("all_zero"),
             F.first("mostly_zero").alias("mostly_zero"),
         ],

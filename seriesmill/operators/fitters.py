@@ -177,7 +177,8 @@ def auto_ar(
 ) -> np.ndarray:
     """Order search over p ≤ 3, one seasonal lag and first differences, by AICc on one sample."""
     s, n = y.shape
-    best, out = np.full(s, np.inf), np.repeat(y[:, -1:], h, axis=1)
+    # a series that no order fits stays without an answer
+    best, out = np.full(s, np.inf), np.full((s, h), np.nan)
     seasonal = season > 1 and n >= 2 * season + 8
     start = (season if seasonal else 3) + 1
     for d in (0, 1):
@@ -217,10 +218,10 @@ def _lists(values: np.ndarray) -> list:
     return [list(map(float, row)) if np.isfinite(row).all() else None for row in values]
 
 
-def _fit_batch(ys: pd.Series, h: pd.Series, chosen: dict[str, Fitter], season: int) -> pd.DataFrame:
+def _fit_batch(ys: pd.Series, h: pd.Series, chosen: dict[str, Fitter], season: int, least: int) -> pd.DataFrame:
     out = {name: np.full(len(ys), None, dtype=object) for name in chosen}
     lengths, horizons = ys.map(len).to_numpy(), h.to_numpy()
-    for n, steps in {(a, b) for a, b in zip(lengths, horizons) if a >= MIN_LENGTH}:
+    for n, steps in {(a, b) for a, b in zip(lengths, horizons) if a >= least}:
         rows = np.flatnonzero((lengths == n) & (horizons == steps))
         for part in np.array_split(rows, -(-len(rows) // CHUNK)):
             stacked = np.vstack([np.asarray(ys.iloc[i], dtype=float) for i in part])
@@ -232,21 +233,22 @@ def _fit_batch(ys: pd.Series, h: pd.Series, chosen: dict[str, Fitter], season: i
     return pd.DataFrame(out)
 
 
-def fit_panel(panel: DataFrame, chosen: dict[str, Fitter], season: int) -> DataFrame:
+def fit_panel(panel: DataFrame, chosen: dict[str, Fitter], season: int, least: int = 1) -> DataFrame:
     """Add ``fits``: one array of h values per fitter; null where a fitter could not answer.
 
-    Any user function ``(values[series, time], h, season) -> values[series, h]`` can be passed.
+    Any user function ``(values[series, time], h, season) -> values[series, h]`` can be passed; it
+    is called for every series of at least ``least`` values.
     """
     schema = T.StructType([T.StructField(name, T.ArrayType(T.DoubleType())) for name in chosen])
 
     def fit(ys: pd.Series, h: pd.Series) -> pd.DataFrame:
-        return _fit_batch(ys, h, chosen, season)
+        return _fit_batch(ys, h, chosen, season, least)
 
     return panel.withColumn("fits", F.pandas_udf(fit, schema)("ys", "h"))
 
 
 def with_fits(panel: DataFrame, names: list[str], season: int) -> DataFrame:
-    return fit_panel(panel, {n: FITTERS[n] for n in names}, season)
+    return fit_panel(panel, {n: FITTERS[n] for n in names}, season, MIN_LENGTH)
 
 
 def _fit_exogenous_batch(ys: pd.Series, xs: pd.Series, x_next: pd.Series, h: pd.Series, season: int) -> pd.Series:

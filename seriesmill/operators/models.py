@@ -1,4 +1,4 @@
-"""Forecasting methods that are plain array expressions, their limits and eligibility."""
+"""Methods that are plain array expressions, their limits and eligibility."""
 
 from __future__ import annotations
 
@@ -80,7 +80,7 @@ def candidate_registry(study: StudyConfig, config: ForecastConfig, fitted: bool
         ModelSpec(
             alias=m,
             rank=MODEL_RANK[m],
-            min_train=study.season if m == "SeasonalNaive" else MIN_TRAIN[m],
+            min_train=(config.season_length or study.season) if m == "SeasonalNaive" else MIN_TRAIN[m],
             intermittent=m in INTERMITTENT_MODELS,
             native=m in NATIVE,
             interval=m in ("Naive", "HistoricAverage", "SeasonalNaive", "RegLinearDrift"),
@@ -161,7 +161,7 @@ def point_forecast(alias: str, season: int) -> Column:
     if alias == "HistoricAverage":
         return F.array_repeat(_mean(ys), h)
     if alias == "SeasonalNaive":
-        return _steps(h, lambda k: F.element_at(ys, (-season + F.pmod(k - 1, F.lit(season))).cast("int")))
+        return _steps(h, lambda k: F.try_element_at(ys, (-season + F.pmod(k - 1, F.lit(season))).cast("int")))
     if alias == "RegLinearDrift":
         slope = (last - F.element_at(ys, 1)) / (n - 1)
         return _steps(h, lambda k: last + k * slope)

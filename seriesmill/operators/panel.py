@@ -25,13 +25,23 @@ class Fold:
     cutoff: date
 
 
+def fold_count(n: int, h: int, wanted: int) -> int:
+    """Folds of ``h`` periods that ``n`` periods allow, at most ``wanted``.
+
+    Every fold leaves at least MIN_FIRST_TRAIN periods before the first. Calendars too short for
+    that many whole folds still give one, if more than three periods stand before it.
+    """
+    whole = max(0, min(wanted * h, n - MIN_FIRST_TRAIN)) // h
+    if whole >= MIN_FIRST_TRAIN or n >= MIN_FIRST_TRAIN * h:
+        return whole
+    return max(whole, 1) * (n > h + 3)
+
+
 def folds_possible(n: Column, h: int, wanted: int) -> Column:
-    """Largest K ≤ wanted whose first training part keeps at least three periods."""
-    by_length = F.floor(n / h)
-    by_train = F.floor((n - MIN_FIRST_TRAIN) / h)
-    k = F.greatest(F.least(F.lit(wanted), by_length, by_train), F.lit(0))
-    scarce = (k < MIN_FIRST_TRAIN) & (by_length < MIN_FIRST_TRAIN)
-    return F.when(scarce, F.when(n > h + 3, F.greatest(k, F.lit(1))).otherwise(0)).otherwise(k).cast("int")
+    """``fold_count`` of a column, looked up: from the last entry on the count doesn't change."""
+    most = max(wanted, MIN_FIRST_TRAIN) * h + MIN_FIRST_TRAIN + 1
+    counts = F.array(*[F.lit(fold_count(k, h, wanted)) for k in range(most + 1)])
+    return F.get(counts, F.least(n, F.lit(most)).cast("int"))
 
 
 def cv_windows(values: DataFrame, study: StudyConfig, config: ForecastConfig) -> DataFrame:
@@ -66,10 +76,7 @@ def collect_folds(windows: DataFrame) -> list[Fold]:
 def calendar_folds(study: StudyConfig, config: ForecastConfig) -> list[Fold]:
     """The same folds from the study grid alone, for series filled up to its end: no data pass."""
     h = config.resolved_cv_horizon(study)
-    n = study.history_periods
-    k = max(0, min(config.cv_windows, n // h, (n - MIN_FIRST_TRAIN) // h))
-    if k < MIN_FIRST_TRAIN and n // h < MIN_FIRST_TRAIN:
-        k = max(1, k) if n > h + 3 else 0
+    k = fold_count(study.history_periods, h, config.cv_windows)
     return [Fold(j, shift_date(study.history_end, -(k - j) * h * study.step)) for j in range(k)]
 
 

@@ -129,17 +129,28 @@ def densify(dedup: DataFrame, study: StudyConfig) -> DataFrame:
     """Every grid period from a series' first date on; one window, no grid cross join.
 
     Each row spans the periods up to the next one, so gaps are exploded out of the row before
-    them and the last seen value is already at hand (``carried``).
+    them and the last seen value is already at hand (``carried``). Dates between grid periods (months
+    of a quarterly study, say) are not periods: they have no value here (``off_grid`` lists them),
+    but a series that begins with one begins at the period after it.
     """
     start = F.lit(grid_start(study.history_end, study.history_periods, study.step))
     end = F.lit(study.history_end)
     by_series = Window.partitionBy("series_id").orderBy("ds")
-    following = F.add_months(F.lead("ds").over(by_series), -study.step)
-    y = F.col("y_raw").cast("double")
-    spans = dedup.withColumn("_next", following).select(
+    place = _periods_from_end(study)
+    on_grid = place["on_grid"]
+    opening = ~on_grid & (F.row_number().over(by_series) == 1)
+    known = dedup.select(
+        *SERIES,
+        F.when(on_grid, F.col("ds")).otherwise(place["next"]).alias("ds"),
+        F.when(on_grid, F.col("y_raw").cast("double")).alias("_y"),
+        on_grid.alias("_on"),
+        opening.alias("_opens"),
+    ).where("_on or _opens")
+    following = F.add_months(F.lead("ds").over(Window.partitionBy("series_id").orderBy("ds", "_on")), -study.step)
+    spans = known.withColumn("_next", following).select(
         *SERIES,
         F.col("ds").alias("_at"),
-        y.alias("_y"),
+        "_y",
         F.explode(
             period_sequence(F.greatest("ds", start), F.least(F.coalesce("_next", end), end), study.step)
         ).alias("ds"),
@@ -153,6 +164,24 @@ def densify(dedup: DataFrame, study: StudyConfig) -> DataFrame:
     )
 
 
+def _periods_from_end(study: StudyConfig) -> dict[str, Column]:
+    """Whether ``ds`` is a period of the grid, and the first period on or after it."""
+    end = study.history_end
+    months = (F.year("ds") - end.year) * 12 + F.month("ds") - end.month
+    late = (F.dayofmonth("ds") > end.day).cast("int")
+    up = months + late
+    return {
+        "on_grid": (F.pmod(months, F.lit(study.step)) == 0) & (F.dayofmonth("ds") == end.day),
+        "next": F.add_months(F.lit(end), (up + F.pmod(-up, F.lit(study.step))).cast("int")),
+    }
+
+
+def off_grid(dedup: DataFrame, study: StudyConfig) -> DataFrame:
+    """Observed rows whose date is not a period of the study, as issues."""
+    rows = dedup.where(~_periods_from_end(study)["on_grid"])
+    return rows.select(*SERIES, "ds", F.lit("E_DATE_OFF_GRID").alias("code"), F.lit("warning").alias("severity"))
+
+
 def fill_zero(dense: DataFrame) -> DataFrame:
     return _filled(dense, F.lit(0.0), "zero_preenchido")
 

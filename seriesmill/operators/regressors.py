@@ -17,16 +17,12 @@ from seriesmill.operators import fitters, models
 from seriesmill.operators.panel import FINAL_FOLD, Fold, train_panel
 from seriesmill.operators.scenarios import in_scope
 
-MAX_REGRESSORS = 5
 COLLINEAR = 0.999
 MIN_PAIRS = 3
 
 
 def _enabled(specs: tuple[RegressorSpec, ...]) -> list[RegressorSpec]:
-    live = [s for s in specs if s.enabled]
-    if len(live) > MAX_REGRESSORS:
-        raise ValueError(f"at most {MAX_REGRESSORS} regressors per run")
-    return live
+    return [s for s in specs if s.enabled]
 
 
 def by_date(values: DataFrame, specs: tuple[RegressorSpec, ...]) -> DataFrame:
@@ -159,6 +155,24 @@ def regressor_future(
     )
 
 
+def _as_known(spec: RegressorSpec, place: int):
+    """The value of a regressor at a date after a fold's cutoff, as it was known at the cutoff.
+
+    One known in advance has its real value, one that is held its last value up to the cutoff; any
+    other is unavailable, as it is in the final fit.
+    """
+    if spec.known_in_advance:
+        return lambda d: F.get(F.try_element_at("_calendar", d), F.lit(place))
+    if spec.fill_policy != "explicit_hold":
+        return lambda d: F.lit(None).cast("double")
+    past = F.filter(
+        F.map_entries("_calendar"),
+        lambda e: (e["key"] <= F.col("cutoff")) & F.get(e["value"], F.lit(place)).isNotNull(),
+    )
+    last = F.array_max(F.transform(past, lambda e: F.struct(e["key"], F.get(e["value"], F.lit(place)).alias("v"))))
+    return lambda d: last["v"]
+
+
 def exogenous_panel(
     series: DataFrame,
     entities: DataFrame,
@@ -185,10 +199,14 @@ def exogenous_panel(
         entities.select("entity_id", "dims"), "entity_id", "left"
     )
     scoped = F.array(*[in_scope(s.scope, F.col("dims")) for s in live])
+    live_at_fold = [_as_known(s, i) for i, s in enumerate(live)]
+
+    def scoped_only(values: Column) -> Column:
+        return F.filter(values, lambda _, i: F.element_at(scoped, i + 1))
 
     def matrix(dates: Column) -> Column:
         def at(d: Column) -> Column:
-            return F.filter(F.try_element_at("_calendar", d), lambda _, i: F.element_at(scoped, i + 1))
+            return scoped_only(F.try_element_at("_calendar", d))
 
         return F.transform(dates, at)
 
@@ -196,7 +214,9 @@ def exogenous_panel(
         {
             "n_regressors": F.size(F.filter(scoped, lambda s: s)),
             "xs": matrix(F.col("dss")),
-            "x_next": matrix(F.col("eval_dates")),
+            "x_next": F.when(F.col("fold") == FINAL_FOLD, matrix(F.col("eval_dates"))).otherwise(
+                F.transform("eval_dates", lambda d: scoped_only(F.array(*[value(d) for value in live_at_fold])))
+            ),
         }
     ).drop("_one", "_calendar", "dims")
 

@@ -1,7 +1,7 @@
 """What-if rules: scope, windows, priorities and factors.
 
-Rules are settings. Up to ``INLINE_RULES`` they become one Column expression evaluated beside
-the forecast; longer lists go through the compiled (entity, period) table and an equi-join.
+Rules are settings: they become Column expressions evaluated beside the forecast, on the dates of
+its own rows. Priorities and ties are resolved inside the row as well, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -15,8 +15,6 @@ from pyspark.sql import functions as F
 from seriesmill.config import AssumptionRule, Scenario
 from seriesmill.operators.models import floor_zero
 
-INLINE_RULES = 64
-RULE_CHUNK = 256
 BASE = "base"
 
 
@@ -59,7 +57,8 @@ def rule_factor(rule: AssumptionRule, period: Column) -> Column:
 
 
 def _live(rules: tuple[AssumptionRule, ...]) -> list[AssumptionRule]:
-    return [r for r in rules if r.enabled]
+    """Enabled rules that leave something of the value; a rate of -1 or less does not."""
+    return [r for r in rules if r.enabled and r.rate > -1]
 
 
 def _families(rules: list[AssumptionRule]) -> dict[tuple[str, str], list[AssumptionRule]]:
@@ -78,63 +77,91 @@ def factor_expression(rules: tuple[AssumptionRule, ...], entity: Column, dims: C
     return out
 
 
-def rule_expand(entities: DataFrame, periods: list[date], rules: tuple[AssumptionRule, ...]) -> DataFrame:
-    """(scenario, entity, period, family, measure, rule) wherever a rule applies.
+KIND = "array<struct<scenario_id:string,family:string,measure:string,rule_id:string,priority:int,factor:double>>"
+CELL = ["scenario_id", "entity_id", "period", "family", "measure"]
 
-    Rules and periods are settings, so each entity row expands in place: no join of rules with
-    entities. Long rule lists are cut into chunks to keep each expression small.
-    """
-    live = _live(rules)
-    parts = [_expand(entities, periods, live[i : i + RULE_CHUNK]) for i in range(0, max(len(live), 1), RULE_CHUNK)]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+
+def _dated(entities: DataFrame, periods: list[date]) -> DataFrame:
+    return entities.select("entity_id", "dims", F.explode(F.array(*[F.lit(p) for p in periods])).alias("period"))
 
 
-def _expand(entities: DataFrame, periods: list[date], rules: list[AssumptionRule]) -> DataFrame:
-    dates = entities.select("entity_id", "dims", F.explode(F.array(*[F.lit(p) for p in periods])).alias("period"))
+def _hit(rule: AssumptionRule) -> Column:
+    """The rule as a struct where it applies, else null."""
     entity, dims, period = F.col("entity_id"), F.col("dims"), F.col("period")
-    hits = [
-        F.when(
-            rule_applies(r, entity, dims, period),
-            F.struct(
-                F.lit(r.scenario_id).alias("scenario_id"),
-                F.lit(r.family).alias("family"),
-                F.lit(r.measure).alias("measure"),
-                F.lit(r.rule_id).alias("rule_id"),
-                F.lit(r.priority).alias("priority"),
-                rule_factor(r, period).alias("factor"),
-            ),
-        )
-        for r in rules
-    ]
-    kind = "array<struct<scenario_id:string,family:string,measure:string,rule_id:string,priority:int,factor:double>>"
-    found = F.filter(F.array(*hits), lambda h: h.isNotNull()) if hits else F.array().cast(kind)
+    return F.when(
+        rule_applies(rule, entity, dims, period),
+        F.struct(
+            F.lit(rule.scenario_id).alias("scenario_id"),
+            F.lit(rule.family).alias("family"),
+            F.lit(rule.measure).alias("measure"),
+            F.lit(rule.rule_id).alias("rule_id"),
+            F.lit(rule.priority).alias("priority"),
+            rule_factor(rule, period).alias("factor"),
+        ),
+    )
+
+
+def _unpacked(dates: DataFrame, hits: list[Column]) -> DataFrame:
+    found = F.filter(F.array(*hits), lambda h: h.isNotNull()) if hits else F.array().cast(KIND)
     return dates.select("entity_id", "period", F.explode(found).alias("r")).select("entity_id", "period", "r.*")
 
 
-CELL = ["scenario_id", "entity_id", "period", "family", "measure"]
+def _cells(rules: tuple[AssumptionRule, ...]) -> dict[tuple[str, str, str], list[AssumptionRule]]:
+    """Live rules by scenario, family and measure, the one that wins first."""
+    out = defaultdict(list)
+    for rule in sorted(_live(rules), key=lambda r: (-r.priority, r.rule_id)):
+        out[rule.scenario_id, rule.family, rule.measure].append(rule)
+    return out
+
+
+def rule_expand(entities: DataFrame, periods: list[date], rules: tuple[AssumptionRule, ...]) -> DataFrame:
+    """(scenario, entity, period, family, measure, rule) wherever a rule applies.
+
+    Rules and periods are settings, so each entity row expands in place in a single pass.
+    """
+    return _unpacked(_dated(entities, periods), [_hit(r) for r in _live(rules)])
 
 
 def compile_assumptions(entities: DataFrame, periods: list[date], rules: tuple[AssumptionRule, ...]) -> DataFrame:
-    """One factor per (scenario, entity, period, family, measure): the highest priority wins."""
-    order = Window.partitionBy(*CELL).orderBy(F.desc("priority"), "rule_id")
-    rows = rule_expand(entities, periods, rules)
-    return rows.withColumn("_place", F.row_number().over(order)).where("_place = 1").drop("_place")
+    """One factor per (scenario, entity, period, family, measure): the highest priority wins.
+
+    The rules of a cell are settings in order of priority, so the winner is the first that applies.
+    """
+    winners = [F.coalesce(*[_hit(r) for r in members]) for members in _cells(rules).values()]
+    return _unpacked(_dated(entities, periods), winners)
 
 
-def priority_ties(entities: DataFrame, periods: list[date], rules: tuple[AssumptionRule, ...]) -> DataFrame:
-    """Cells whose top priority is shared; their scenario must not be applied."""
-    rows = rule_expand(entities, periods, rules)
-    top = F.max("priority").over(Window.partitionBy(*CELL))
-    return (
-        rows.withColumn("_top", top)
-        .where(F.col("priority") == F.col("_top"))
-        .groupBy(*CELL, "priority")
-        .agg(F.count("*").alias("n_rules"))
-        .where("n_rules > 1")
-        .withColumn("code", F.lit("E_SCENARIO_PRIORITY_TIE"))
+def priority_ties(
+    entities: DataFrame, periods: list[date], rules: tuple[AssumptionRule, ...], cells: DataFrame | None = None
+) -> DataFrame:
+    """Cells whose top priority is shared; their scenario must not be applied.
+
+    Only cells in which two rules have the same priority are looked at. ``cells`` (entity_id,
+    period) names the dates of each entity, instead of the same periods for all.
+    """
+    tied = []
+    for members in _cells(rules).values():
+        if len({r.priority for r in members}) == len(members):
+            continue
+        hits = F.filter(F.array(*[_hit(r) for r in members]), lambda h: h.isNotNull())
+        top = F.filter(hits, lambda h: h["priority"] == F.get(hits, F.lit(0))["priority"])
+        tied.append(F.when(F.size(top) > 1, F.struct(F.get(top, F.lit(0)).alias("r"), F.size(top).cast("long").alias("n_rules"))))
+    if cells is None or not tied:
+        dates = _dated(entities, periods)
+    else:
+        dates = cells.select("entity_id", "period").distinct().join(entities.select("entity_id", "dims"), "entity_id")
+    none = F.array().cast(f"array<struct<r:{KIND[6:-1]},n_rules:bigint>>")
+    found = F.filter(F.array(*tied), lambda t: t.isNotNull()) if tied else none
+    rows = dates.select("entity_id", "period", F.explode(found).alias("t"))
+    return rows.select(
+        "t.r.scenario_id",
+        "entity_id",
+        "period",
+        "t.r.family",
+        "t.r.measure",
+        "t.r.priority",
+        "t.n_rules",
+        F.lit("E_SCENARIO_PRIORITY_TIE").alias("code"),
     )
 
 
@@ -148,21 +175,13 @@ def _scaled(rows: DataFrame) -> DataFrame:
     return rows.withColumns({c: floor_zero(F.col(c) * F.col("factor")) for c in ("yhat", "lo80", "hi80")})
 
 
-def apply_scenario(
-    predictions: DataFrame,
-    entities: DataFrame,
-    scenarios: tuple[Scenario, ...],
-    periods: list[date],
-    inline_limit: int = INLINE_RULES,
-) -> DataFrame:
-    """Base predictions repeated per scenario with yhat and limits times the factor, floored at zero."""
+def apply_scenario(predictions: DataFrame, entities: DataFrame, scenarios: tuple[Scenario, ...]) -> DataFrame:
+    """Base predictions repeated per scenario with yhat and limits times the factor, floored at zero.
+
+    A scenario's rules are those it holds; the dates are those of the predictions.
+    """
     names = F.array(*[F.lit(s.scenario_id) for s in scenarios])
     rows = predictions.withColumn("scenario_id", F.explode(names))
-    rules = tuple(r for s in scenarios for r in s.rules)
-    if len(rules) > inline_limit:
-        factors = factor_product(compile_assumptions(entities, periods, rules))
-        joined = rows.join(factors, ["scenario_id", "entity_id", "ds", "measure"], "left")
-        return _scaled(joined.withColumn("factor", F.coalesce("factor", F.lit(1.0))))
     with_dims = rows.join(entities.select("entity_id", "dims"), "entity_id", "left")
     factor = F.lit(1.0)
     for s in scenarios:
@@ -221,12 +240,14 @@ def generate_scenarios(
     periods: list[date],
     regressor_names: dict[str, str] | None = None,
     with_base: bool = False,
+    own_dates: bool = False,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(predictions, issues, factor trace) of all scenarios, per method; the base stays as it is.
 
     Blocked scenarios are found on entities × periods, not on predictions. Their list has at
     most one row per scenario setting, which is what bounds the broadcast. ``with_base`` emits
-    the base in the same pass, so the forecasts behind it are computed once.
+    the base in the same pass, so the forecasts behind it are computed once. With ``own_dates``
+    ties are looked for on the dates of the base's rows instead of ``periods``.
     """
     spark = base.sparkSession
     clashes = family_clashes(scenarios, regressor_names or {})
@@ -237,13 +258,14 @@ def generate_scenarios(
         rest = base if with_base else base.where(F.lit(False))
         return rest.withColumn("factor", F.lit(1.0)), issues, compile_assumptions(entities, periods, ())
     rules = tuple(r for s in open_ for r in s.rules)
-    ties = priority_ties(entities, periods, rules)
+    cells = base.select("entity_id", F.col("ds").alias("period")) if own_dates else None
+    ties = priority_ties(entities, periods, rules, cells)
     issues = issues.unionByName(
         ties.groupBy("scenario_id", "code").agg(F.count("*").alias("n_cells")).select("scenario_id", "code", "n_cells")
     )
     tied = F.broadcast(ties.select("scenario_id").distinct())
     wanted = (Scenario(BASE), *open_) if with_base else open_
-    applied = apply_scenario(base, entities, wanted, periods).join(tied, "scenario_id", "left_anti")
+    applied = apply_scenario(base, entities, wanted).join(tied, "scenario_id", "left_anti")
     trace = compile_assumptions(entities, periods, rules).join(tied, "scenario_id", "left_anti")
     return applied, issues, trace
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.config import ForecastConfig, HierarchyConfig, RegressorSpec, Scenario, StudyConfig, TreatmentPolicy
 from seriesmill.functions.periods import shift_date
-from seriesmill.operators import forecasting as FC
+from seriesmill.operators import backtest as FC
 from seriesmill.operators import global_trees as G
 from seriesmill.operators import hierarchy as H
 from seriesmill.operators import panel as P
@@ -68,11 +68,11 @@ def run_forecast(
         names = {s.regressor_id: s.name for s in regressors}
         refits = [s for s in scenarios if s.overrides and regressors]
         shared = tuple(s for s in scenarios if s not in refits)
-        more, issues, _ = SC.generate_scenarios(base, owners, shared, horizon, names, with_base=True)
+        more, issues, _ = SC.generate_scenarios(base, owners, shared, horizon, names, with_base=True, own_dates=True)
         predictions = more.select(*base.columns)
         for s in refits:
             own = scenario_refit(base, modelled, owners, regressor_values, regressors, study, config, folds, horizon, s)
-            extra, more_issues, _ = SC.generate_scenarios(own, owners, (s,), horizon, names)
+            extra, more_issues, _ = SC.generate_scenarios(own, owners, (s,), horizon, names, own_dates=True)
             predictions = predictions.unionByName(extra.select(*base.columns))
             issues = issues.unionByName(more_issues)
     out = {"values": modelled, "cv": cv, "scores": scores, "predictions": predictions}
@@ -100,9 +100,15 @@ def _exogenous(modelled, owners, values, specs, study, config, folds, horizon, o
 
 
 def scenario_refit(base, modelled, owners, values, specs, study, config, folds, horizon, scenario) -> DataFrame:
-    """Base predictions with the exogenous method forecast again on the scenario's regressor values."""
+    """Base predictions with the exogenous method forecast again on the scenario's regressor values.
+
+    Rows that could not be forecast again stay as they are in the base.
+    """
     again = FC.final_forecast(_exogenous(modelled, owners, values, specs, study, config, folds, horizon, scenario.overrides))
-    return base.where(F.col("model_alias") != "AutoAR_X").unionByName(again.select(*base.columns))
+    rows = ["node_id", "measure", "model_alias", "ds"]
+    kept = base.where(F.col("model_alias") == "AutoAR_X").join(again.select(*rows), rows, "left_anti")
+    others = base.where(F.col("model_alias") != "AutoAR_X")
+    return others.unionByName(kept.select(*base.columns)).unionByName(again.select(*base.columns))
 
 
 def _global(modelled, panel, study, config, folds, season, iterations) -> DataFrame:

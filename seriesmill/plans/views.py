@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seriesmill.operators import forecasting as FC
+from seriesmill.operators import backtest as FC
 from seriesmill.operators import mat as M
 
 # Reason texts and limits of the exceptions ranking.

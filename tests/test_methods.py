@@ -19,7 +19,7 @@ from seriesmill.config import (
 )
 from seriesmill.functions import ids
 from seriesmill.functions.periods import shift_date
-from seriesmill.operators import fitters, forecasting, global_trees, hierarchy, mat, normalize, panel, quality, regressors, scenarios
+from seriesmill.operators import fitters, backtest, global_trees, hierarchy, mat, normalize, panel, quality, regressors, scenarios
 from seriesmill.plans import exports, forecast_run, views
 from seriesmill.sources import scan
 
@@ -46,11 +46,11 @@ def observations(spark, series):
 def frame(spark, series, config=CONFIG, fitted=True):
     values = quality.prepare(observations(spark, series), STUDY, ZERO).values
     rows = panel.train_panel(values, STUDY, config, panel.calendar_folds(STUDY, config))
-    return forecasting.forecast_frame(rows, STUDY, config, fitted)
+    return backtest.forecast_frame(rows, STUDY, config, fitted)
 
 
 def finals(spark, series, fitted=True):
-    rows = forecasting.final_forecast(frame(spark, series, fitted=fitted)).orderBy("ds").collect()
+    rows = backtest.final_forecast(frame(spark, series, fitted=fitted)).orderBy("ds").collect()
     out = {}
     for r in rows:
         out.setdefault((r["node_id"], r["model_alias"]), []).append(r["yhat"])
@@ -117,7 +117,7 @@ def test_no_leak_from_after_the_cutoff(spark):
     first = panel.calendar_folds(STUDY, CONFIG)[0].cutoff
 
     def fold(series):
-        rows = forecasting.cv_predictions(frame(spark, {"s": series})).where(F.col("cutoff") == F.lit(first))
+        rows = backtest.cv_predictions(frame(spark, {"s": series})).where(F.col("cutoff") == F.lit(first))
         return {(r["model_alias"], r["ds"]): r["yhat"] for r in rows.collect()}
 
     a, b = fold(SEASONAL), fold(changed)
@@ -136,15 +136,15 @@ def test_eligibility_zero_short_and_floor(spark):
     assert "SeasonalNaive" in by["down"]
     got = finals(spark, series, fitted=False)
     assert got["down", "RegLinearDrift"] == [0.0] * 6 or min(got["down", "RegLinearDrift"]) >= 0.0
-    scores = forecasting.select_model(forecasting.score_models(forecasting.cv_predictions(frame(spark, series, fitted=False))), CONFIG)
+    scores = backtest.select_model(backtest.score_models(backtest.cv_predictions(frame(spark, series, fitted=False))), CONFIG)
     chosen = {r["node_id"]: r["selection_reason"] for r in scores.where("selected").collect()}
     assert chosen["zero"] == "perfil_zero_total"
 
 
 def test_user_list_selects_every_method(spark):
     config = replace(CONFIG, models=("Naive", "HistoricAverage"))
-    scores = forecasting.score_models(forecasting.cv_predictions(frame(spark, {"s": SEASONAL}, config)))
-    rows = forecasting.select_model(scores, config).collect()
+    scores = backtest.score_models(backtest.cv_predictions(frame(spark, {"s": SEASONAL}, config)))
+    rows = backtest.select_model(scores, config).collect()
     assert {(r["model_alias"], r["selected"], r["selection_reason"]) for r in rows} == {
         ("Naive", True, "usuario"), ("HistoricAverage", True, "usuario"),
     }
@@ -214,7 +214,7 @@ LEVELS = HierarchyConfig((("grupo",), ("grupo", "item")), include_total=True)
 
 def test_parents_are_the_sum_of_children(spark):
     series = {"a1": SEASONAL, "a2": SPARSE, "b1": [5] * 30}
-    predictions = forecasting.final_forecast(frame(spark, series, fitted=False))
+    predictions = backtest.final_forecast(frame(spark, series, fitted=False))
     bridge = hierarchy.node_bridge(tree(spark), LEVELS)
     up = hierarchy.reconcile_bottom_up(predictions, bridge, LEVELS)
     total = up.where("level = 'Total' AND model_alias = 'Naive'").agg(F.sum("yhat")).first()[0]
@@ -235,7 +235,7 @@ def test_annual_step_golden(spark):
 
 
 def test_inline_and_table_factors_agree(spark):
-    predictions = forecasting.final_forecast(frame(spark, {"a1": SEASONAL, "a2": SEASONAL, "b1": SEASONAL}, fitted=False))
+    predictions = backtest.final_forecast(frame(spark, {"a1": SEASONAL, "a2": SEASONAL, "b1": SEASONAL}, fitted=False))
     days = [shift_date(END, k) for k in range(1, 7)]
     sc = Scenario("s", (
         rule("1", "s", "p", "unidades", "pulse", 0.5, days[1], days[2], 2, grupo=("A",)),
@@ -244,9 +244,10 @@ def test_inline_and_table_factors_agree(spark):
         rule("4", "s", "q", "valor", "step", 9.0, days[0]),
     ))
     key = ["node_id", "ds", "model_alias"]
-    a = scenarios.apply_scenario(predictions, tree(spark), (sc,), days)
-    b = scenarios.apply_scenario(predictions, tree(spark), (sc,), days, inline_limit=0)
-    joined = a.select(*key, F.col("factor").alias("x")).join(b.select(*key, F.col("factor").alias("y")), key)
+    a = scenarios.apply_scenario(predictions, tree(spark), (sc,))
+    b = scenarios.factor_product(scenarios.compile_assumptions(tree(spark), days, sc.rules)).withColumnRenamed("entity_id", "node_id")
+    found = a.join(b.select("node_id", "ds", "measure", F.col("factor").alias("y")), ["node_id", "ds", "measure"], "left")
+    joined = found.select(*key, F.col("factor").alias("x"), F.coalesce("y", F.lit(1.0)).alias("y"))
     assert joined.count() == predictions.count()
     assert joined.where("abs(x - y) > 1e-12").count() == 0
     a1 = a.where("node_id = 'a1' AND model_alias = 'Naive'").orderBy("ds").collect()
@@ -254,7 +255,7 @@ def test_inline_and_table_factors_agree(spark):
 
 
 def test_ties_and_clashes_block_a_scenario(spark):
-    predictions = forecasting.final_forecast(frame(spark, {"a1": SEASONAL}, fitted=False))
+    predictions = backtest.final_forecast(frame(spark, {"a1": SEASONAL}, fitted=False))
     days = [shift_date(END, k) for k in range(1, 7)]
     tied = Scenario("t", (rule("1", "t", "p", "unidades", "step", 0.1, days[0]), rule("2", "t", "p", "unidades", "step", 0.2, days[4])))
     clash = Scenario("c", (rule("1", "c", "p", "unidades", "step", 0.1, days[0]),), {"r": {}})
@@ -265,12 +266,48 @@ def test_ties_and_clashes_block_a_scenario(spark):
     }
 
 
-def test_long_rule_lists_are_chunked(spark):
+def test_long_rule_lists(spark):
     days = [shift_date(END, 1)]
-    many = tuple(rule(str(i), "s", f"f{i}", "unidades", "step", 0.0, days[0]) for i in range(scenarios.RULE_CHUNK + 5))
+    many = tuple(rule(str(i), "s", f"f{i}", "unidades", "step", 0.0, days[0]) for i in range(300))
     assert scenarios.rule_expand(tree(spark), days, many).count() == 3 * len(many)
 
 
+def test_rules_follow_the_dates_of_the_rows(spark):
+    """A series that ends early gets its factors on its own dates, with few rules or with many."""
+    early = {"a1": SEASONAL[:-3]}
+    values = quality.prepare(observations(spark, early), STUDY, TreatmentPolicy(missing="keep_gaps")).values
+    rows = backtest.final_forecast(backtest.forecast_frame(panel.train_panel(values, STUDY, CONFIG, []), STUDY, CONFIG, False))
+    one = (rule("1", "s", "p", "unidades", "step", 0.5, shift_date(END, -12)),)
+    many = one + tuple(rule(f"n{k}", "s", f"n{k}", "unidades", "step", 0.0, END) for k in range(100))
+    for rules in (one, many):
+        out = scenarios.apply_scenario(rows, tree(spark), (Scenario("s", rules),)).where("measure = 'unidades'")
+        assert out.count() and out.where("abs(factor - 1.5) > 1e-9").count() == 0
+
+
+def test_rates_that_leave_nothing_are_ignored(spark):
+    days = [shift_date(END, 1)]
+    rules = (rule("1", "s", "p", "unidades", "step", -1.0, days[0]), rule("2", "s", "p", "unidades", "step", 0.5, days[0]))
+    assert {r["rule_id"] for r in scenarios.compile_assumptions(tree(spark), days, rules).collect()} == {"2"}
+
+
+def test_dates_between_periods_are_not_lost_silently(spark):
+    """Monthly rows in a quarterly study: every grid period keeps its own value, the rest are issues."""
+    study = StudyConfig("q", ("item",), history_end=END, history_periods=8, model_frequency="quarterly")
+    months = [shift_date(END, k - 11) for k in range(12)]
+    rows = spark.createDataFrame([("s", "s", "unidades", d, float(k)) for k, d in enumerate(months)], "entity_id string, series_id string, measure string, ds date, y_raw double")
+    dense = quality.densify(rows, study).orderBy("ds").collect()
+    assert [(r["ds"], r["y"]) for r in dense] == [(months[k], float(k)) for k in (2, 5, 8, 11)]
+    assert quality.off_grid(rows, study).count() == 8
+
+
+def test_many_folds_are_counted(spark):
+    rows = [("n", "unidades", "Naive", k, True, 1.0, 2.0, False, False) for k in range(70)]
+    frame_ = spark.createDataFrame(rows, "node_id string, measure string, model_alias string, fold int, evaluated boolean, y_actual double, yhat double, all_zero boolean, mostly_zero boolean")
+    for c in [c for c in backtest.NODE if c not in frame_.columns]:
+        frame_ = frame_.withColumn(c, F.lit("x"))
+    assert backtest.score_models(frame_).first()["n_folds"] == 70
+
+
 def test_mat_positions_golden(spark):
     values = quality.prepare(observations(spark, {"s": SEASONAL}), STUDY, ZERO).values
     rows = views.leaf_history(values).select("node_id", "measure", "ds", "y")
@@ -430,7 +467,7 @@ def test_skewed_source_with_one_hot_series(spark):
 def test_wide_export_and_formula_guard(spark):
     values = quality.prepare(observations(spark, {"a1": SEASONAL}), STUDY, ZERO).values
     history = views.leaf_history(values)
-    predictions = forecasting.final_forecast(frame(spark, {"a1": SEASONAL}, fitted=False))
+    predictions = backtest.final_forecast(frame(spark, {"a1": SEASONAL}, fitted=False))
     tags = {"run_id": "=r", "preparation_id": "p", "dataset_id": "d"}
     long = exports.export_long(history, predictions, tree(spark), ["grupo"], tags)
     wide = exports.to_wide(long, ["grupo"], MONTHS, [shift_date(END, k) for k in range(1, 7)], "Naive")
