@@ -5,18 +5,20 @@ Suffixes are first dealt out so that equal strings meet, then each part is searc
 
 * *Anchors.* Of each ``LENGTH`` bytes the hash of one ``GRAM``-byte string is the smallest; it
   depends on the bytes alone, so equal strings have equal anchors. Documents are packed into pieces
-  of about ``PIECE_BYTES``; a first exchange of anchor hashes (six bytes each, once per piece)
-  tells each piece which of its anchors occur elsewhere. All others are done with.
-* *Expansion.* The bytes around shared anchors meet by anchor. Contexts that are equal as a whole
-  are settled by their smallest id. For the rest, a block of contexts gets its Burrows-Wheeler
+  of about ``PIECE_BYTES``. A first exchange sends ten bytes an anchor: its hash, a hash of its
+  context (all ``LENGTH``-byte strings around it) and its document. Contexts that occur whole in a
+  smaller id are settled there. Only anchors with several contexts remain, and of these only the
+  smallest id of each context.
+* *Expansion.* The bytes of those contexts meet by anchor. A block of them gets its Burrows-Wheeler
   transform, and all intervals of suffixes with a common prefix are extended backwards by one
   character at a time, breadth first: after step l exactly the boundaries with a common prefix
   shorter than l are known. It stops at ``LENGTH``; the intervals left are the classes of equal
   strings, and the smallest id of each decides.
 
-An anchor found in more than ``HOT_PIECES`` pieces is not dealt by its hash but by each of its
-strings' own bytes, and equal contexts of a piece travel once, so no part grows with the number of
-copies. Nothing is collected on the driver; lost tasks are redone from written pieces.
+An anchor with more than ``HOT_CONTEXTS`` contexts (the ends of a passage that stands in very many
+documents) is not dealt by its hash but by each of its strings' own bytes, so no group of strings
+grows with the number of copies. Nothing is collected on the driver; lost tasks are redone from
+written pieces. Contexts are compared by 64 bits inside their bucket.
 
 Defined cases: a null text counts as empty; texts shorter than ``LENGTH`` lose nothing; a null id is
 larger than any other; rows with the same id don't remove from one another; an empty table gives an
@@ -40,11 +42,11 @@ from seriesmill.llm.text import bounded_batches, mixed, table
 from seriesmill.session import written
 
 LENGTH = 50
-GRAM = 25
+GRAM = 20
 PIECE_BYTES = 2 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 8 << 20
 BLOCK_CHARS = 1 << 20
-HOT_PIECES = 512
+HOT_CONTEXTS = 20_000
 NULL_ID = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -120,7 +122,7 @@ def _packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 class _Docs:
-    """A piece, its anchors and the distinct anchor hashes in order."""
+    """A piece and its anchors, with the bytes that their contexts take."""
 
     def __init__(self, r):
         self.ids = np.frombuffer(r.ids, np.int64)
@@ -131,62 +133,81 @@ class _Docs:
 
     def find(self) -> None:
         self.at, self.hash = anchors(np.frombuffer(self.data, np.uint8), self.ends)
-        self.distinct, self.which = np.unique(self.hash, return_inverse=True)
         self.row = np.searchsorted(self.ends, self.at, "right")
+        self.lo = np.maximum(self.starts[self.row], self.at - (LENGTH - GRAM))
+        self.hi = np.minimum(self.ends[self.row], self.at + LENGTH)
 
+    def dealt(self, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+        """The anchors of each bucket, in the order of the piece."""
+        where = _bucket(self.hash, buckets)
+        order = np.argsort(where, kind="stable")
+        for b, own in zip(*_cuts(where[order]), strict=True):
+            yield int(b), order[own]
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
+def _cuts(x: np.ndarray) -> tuple[np.ndarray, list[slice]]:
+    """The values of a sorted array and where each stands."""
+    values, first = np.unique(x, return_index=True)
+    return values, [slice(a, b) for a, b in zip(first, np.r_[first[1:], len(x)], strict=True)]
 
-def _short(h: np.ndarray) -> np.ndarray:
-    """Six bytes of each hash."""
-    return np.ascontiguousarray(h[:, None].view(np.uint8).reshape(-1, 8)[:, :6])
+
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int64)
 
 
 def _announced(buckets: int):
-    """The anchors of a piece by bucket: a superset filter needs no more than short hashes."""
+    """The anchors of a piece by bucket: low bytes of their hashes and of their contexts', and documents."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_64_intdigest
         for pdf in batches:
             for r in pdf.itertuples(index=False):
                 p = _Docs(r)
                 p.find()
-                again = np.bincount(p.which, minlength=len(p.distinct)) > 1
-                where = _bucket(p.distinct, buckets)
+                whole = memoryview(p.data)
+                sign = np.fromiter((digest(whole[a:b]) for a, b in zip(p.lo.tolist(), p.hi.tolist(), strict=True)), np.uint64, len(p.at))
+                low, sign = p.hash.astype(np.uint32), sign.astype(np.uint32)
                 rows = []
-                for b in np.unique(where):
-                    lo, hi = np.searchsorted(where, b), np.searchsorted(where, b, "right")
-                    rows.append((int(b), r.piece, _short(p.distinct[lo:hi]).tobytes(), np.packbits(again[lo:hi]).tobytes()))
-                yield pd.DataFrame(rows, columns=["bucket", "piece", "hashes", "again"])
+                for b, own in p.dealt(buckets):
+                    docs, local = np.unique(p.row[own], return_inverse=True)
+                    rows.append((b, r.piece, low[own].tobytes(), sign[own].tobytes(), p.ids[docs].tobytes(), local.astype(np.uint16).tobytes()))
+                yield pd.DataFrame(rows, columns=["bucket", "piece", "hashes", "signs", "ids", "docs"])
 
     return run
 
 
-def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """For each piece: which of its anchors are shared, and which of these are hot."""
-    wide = []
-    for x in pdf["hashes"]:
-        h = np.zeros((len(x) // 6, 8), np.uint8)
-        h[:, :6] = np.frombuffer(x, np.uint8).reshape(-1, 6)
-        wide.append(h.view(np.uint64).ravel())
-    every, count = np.unique(np.concatenate(wide), return_counts=True)
-    rows = []
-    for r, h in zip(pdf.itertuples(index=False), wide, strict=True):
-        n = count[np.searchsorted(every, h)]
-        again = np.unpackbits(np.frombuffer(r.again, np.uint8), count=len(h)).astype(bool)
-        shared, hot = np.packbits((n > 1) | again), np.packbits(n > HOT_PIECES)
-        rows.append((r.piece, r.bucket, len(h), shared.tobytes(), hot.tobytes()))
-    return pd.DataFrame(rows, columns=["piece", "bucket", "n", "shared", "hot"])
+SETTLED, OPEN, HOT = 1, 2, 4
 
 
-def _flags(r) -> tuple[np.ndarray, np.ndarray]:
-    """The answers of all buckets, which are in the order of the hashes."""
-    out = []
-    for name in ("shared", "hot"):
-        bits = [np.unpackbits(np.frombuffer(a[name], np.uint8), count=a["n"]) for a in r.answers]
-        out.append(np.concatenate(bits).astype(bool) if bits else np.empty(0, bool))
-    return out[0], out[1]
+def _answered(pdf: pd.DataFrame) -> pd.DataFrame:
+    """What is known of each anchor of a bucket: settled by a smaller id, or open, and whether hot."""
+    sizes = [len(x) // 4 for x in pdf["hashes"]]
+    key = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["hashes"]]).astype(np.uint64) << np.uint64(32)
+    key |= np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["signs"]])
+    ids = np.concatenate([np.frombuffer(i, np.int64)[np.frombuffer(d, np.uint16)] for i, d in zip(pdf["ids"], pdf["docs"], strict=True)])
+    order = np.lexsort((ids, key))
+    sorted_key = key[order]
+    new = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
+    least = ids[order][np.flatnonzero(new)]
+    context = np.cumsum(new) - 1
+    # contexts of each anchor hash
+    high = sorted_key[new] >> np.uint64(32)
+    group = np.cumsum(np.r_[True, high[1:] != high[:-1]]) - 1
+    contexts = np.bincount(group)[group]
+    settled = ids[order] > least[context]
+    flags = np.where(settled, SETTLED, np.where(contexts[context] > 1, OPEN, 0) + np.where(contexts[context] > HOT_CONTEXTS, HOT, 0))
+    back = np.empty(len(key), np.uint8)
+    back[order] = flags
+    parts = np.split(back, np.cumsum(sizes)[:-1])
+    return pd.DataFrame({"piece": pdf["piece"], "bucket": pdf["bucket"], "flags": [x.tobytes() for x in parts]})
+
+
+def _flags(p: _Docs, answers, buckets: int) -> np.ndarray:
+    told = {a["bucket"]: a["flags"] for a in answers}
+    out = np.zeros(len(p.at), np.uint8)
+    for b, own in p.dealt(buckets):
+        out[own] = np.frombuffer(told[b], np.uint8)
+    return out
 
 
 _SPANS = "piece string, rows binary, starts binary, ends binary"
@@ -201,53 +222,38 @@ def _contexts(buckets: int):
             for r in pdf.itertuples(index=False):
                 p = _Docs(r)
                 p.find()
-                shared, hot = _flags(r)
-                yield from _emitted(p, r.piece, shared, hot, buckets)
+                yield from _emitted(p, r.piece, _flags(p, r.answers, buckets), buckets)
 
     return run
 
 
-def _emitted(p: _Docs, piece: str, shared: np.ndarray, hot: np.ndarray, buckets: int) -> Iterator[pd.DataFrame]:
-    pick = np.flatnonzero(shared[p.which]) if len(p.at) else np.empty(0, np.int64)
-    at, row = p.at[pick], p.row[pick]
-    lo = np.maximum(p.starts[row], at - (LENGTH - GRAM))
-    hi = np.minimum(p.ends[row], at + LENGTH)
-    key, is_hot = p.hash[pick], hot[p.which[pick]]
-    if is_hot.any():
+def _emitted(p: _Docs, piece: str, flags: np.ndarray, buckets: int) -> Iterator[pd.DataFrame]:
+    names = [x.split()[0] for x in _CONTEXTS.split(", ")]
+    whole = p.hi - p.lo >= LENGTH
+    settled = np.flatnonzero((flags & SETTLED > 0) & whole)
+    if len(settled):
+        row, lo, size = p.row[settled], p.lo[settled], (p.hi - p.lo)[settled]
+        own = [x.astype(np.uint32).tobytes() for x in (row, lo - p.starts[row], size)]
+        yield pd.DataFrame([(-1, piece, b"", own[0], b"", own[1], own[2], b"")], columns=names)
+    pick = np.flatnonzero((flags & OPEN > 0) & whole)
+    row, lo, hi, key, hot = p.row[pick], p.lo[pick], p.hi[pick], p.hash[pick], flags[pick] & HOT > 0
+    if hot.any():
         # each string of a hot anchor by itself, dealt by its own bytes
-        n = np.maximum(0, hi[is_hot] - lo[is_hot] - LENGTH + 1)
-        first = np.repeat(lo[is_hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        n = hi[hot] - lo[hot] - LENGTH + 1
+        first = np.repeat(lo[hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         own = np.fromiter((xxhash.xxh3_64_intdigest(p.data[s : s + LENGTH]) for s in first.tolist()), np.uint64, len(first))
-        row = np.concatenate([row[~is_hot], np.repeat(row[is_hot], n)])
-        lo, hi = np.concatenate([lo[~is_hot], first]), np.concatenate([hi[~is_hot], first + LENGTH])
-        key = np.concatenate([key[~is_hot], own])
-    long_enough = hi - lo >= LENGTH
-    row, lo, hi, key = row[long_enough], lo[long_enough], hi[long_enough], key[long_enough]
-    ids = p.ids[row]
-    sign = np.fromiter((xxhash.xxh3_64_intdigest(p.data[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)), np.uint64, len(lo))
-    order = np.lexsort((ids, sign, key))
-    key, sign, ids, row, lo, hi = (x[order] for x in (key, sign, ids, row, lo, hi))
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (sign[1:] != sign[:-1])
-    least = ids[np.flatnonzero(new)][np.cumsum(new) - 1] if len(key) else ids
-    settled = ids > least
-    names = [x.split()[0] for x in _CONTEXTS.split(", ")]
-    place = lo - p.starts[row]
-    if settled.any():
-        own = [(row[settled]).astype(np.uint32), place[settled].astype(np.uint32), (hi - lo)[settled].astype(np.uint32)]
-        yield pd.DataFrame([(-1, piece, b"", own[0].tobytes(), b"", own[1].tobytes(), own[2].tobytes(), b"")], columns=names)
-    rest = ~settled
-    key, ids, row, lo, hi, place = (x[rest] for x in (key, ids, row, lo, hi, place))
+        row = np.concatenate([row[~hot], np.repeat(row[hot], n)])
+        lo, hi = np.concatenate([lo[~hot], first]), np.concatenate([hi[~hot], first + LENGTH])
+        key = np.concatenate([key[~hot], own])
     where = _bucket(key, buckets)
+    order = np.argsort(where, kind="stable")
     pack = zstandard.ZstdCompressor(1)
     rows = []
-    for b in np.unique(where):
-        x, y = np.searchsorted(where, b), np.searchsorted(where, b, "right")
-        data = b"".join([p.data[s:e] for s, e in zip(lo[x:y].tolist(), hi[x:y].tolist(), strict=True)])
-        rows.append(
-            (int(b), piece, key[x:y].tobytes(), row[x:y].astype(np.uint32).tobytes(), ids[x:y].tobytes(),
-             place[x:y].astype(np.uint32).tobytes(), (hi - lo)[x:y].astype(np.uint32).tobytes(), pack.compress(data))
-        )
+    for b, at in zip(*_cuts(where[order]), strict=True):
+        x = order[at]
+        data = b"".join([p.data[s:e] for s, e in zip(lo[x].tolist(), hi[x].tolist(), strict=True)])
+        small = [v.astype(np.uint32).tobytes() for v in (row[x], lo[x] - p.starts[row[x]], (hi - lo)[x])]
+        rows.append((int(b), piece, key[x].tobytes(), small[0], p.ids[row[x]].tobytes(), small[1], small[2], pack.compress(data)))
     if rows:
         yield pd.DataFrame(rows, columns=names)
 
@@ -263,13 +269,24 @@ def equal_strings(text: np.ndarray, length: int) -> np.ndarray:
     changes.
     """
     n = len(text)
-    rank = text.astype(np.int64)
-    depth = 1
+    # the first four symbols at once: 15 bits each hold the bytes, and ends in the order they stand
+    _, small = np.unique(text, return_inverse=True)
+    rank, depth = small.astype(np.int64), 1
+    bits = int(rank.max()).bit_length()
+    while depth < 4 and bits * 2 * depth <= 62:
+        behind = np.zeros(n, np.int64)
+        behind[: n - depth] = rank[depth:]
+        rank = (rank << (bits * depth)) | behind
+        depth *= 2
     while depth < length:
         behind = np.zeros(n, np.int64)
         behind[: n - depth] = rank[depth:] + 1
-        key = rank * (int(behind.max()) + 1) + behind
-        order = np.argsort(key, kind="stable")
+        if int(rank.max()) * (int(behind.max()) + 1) < 1 << 62:
+            key = rank * (int(behind.max()) + 1) + behind
+            order = np.argsort(key, kind="stable")
+        else:
+            key = np.unique(rank, return_inverse=True)[1] * (n + 1) + np.unique(behind, return_inverse=True)[1]
+            order = np.argsort(key, kind="stable")
         new = np.ones(n, np.int64)
         new[1:] = key[order][1:] != key[order][:-1]
         rank = np.empty(n, np.int64)
@@ -446,11 +463,9 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     buckets = max(8, -(-size // BUCKET_BYTES))
     pieces = written(texts.mapInPandas(_packed, _PIECE), "pieces")
     spread = min(buckets, 100_000)
-    asked = pieces.mapInPandas(_announced(buckets), "bucket long, piece string, hashes binary, again binary")
-    answers = asked.repartition(spread, "bucket").groupBy("bucket").applyInPandas(
-        _answered, "piece string, bucket long, n int, shared binary, hot binary"
-    )
-    told = answers.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("bucket", "n", "shared", "hot"))).alias("answers"))
+    asked = pieces.mapInPandas(_announced(buckets), "bucket long, piece string, hashes binary, signs binary, ids binary, docs binary")
+    answers = asked.repartition(spread, "bucket").groupBy("bucket").applyInPandas(_answered, "piece string, bucket long, flags binary")
+    told = answers.groupBy("piece").agg(F.collect_list(F.struct("bucket", "flags")).alias("answers"))
     contexts = pieces.join(told, "piece").mapInPandas(_contexts(buckets), _CONTEXTS)
     met = contexts.repartition(spread, "bucket", F.when(F.col("bucket") == -1, F.col("piece"))).sortWithinPartitions("bucket")
     spans = met.mapInPandas(_searched, _SPANS)

@@ -158,8 +158,8 @@ def test_hot_anchors_are_dealt_by_their_strings():
     def gone(hot):
         p = op2_substring_dedup._Docs(piece)
         p.find()
-        every = np.ones(len(p.distinct), bool)
-        batches = op2_substring_dedup._emitted(p, "p", every, every & hot, 4)
+        flags = np.full(len(p.at), op2_substring_dedup.OPEN + op2_substring_dedup.HOT * hot, np.uint8)
+        batches = op2_substring_dedup._emitted(p, "p", flags, 4)
         import pandas as pd
 
         rows = pd.concat(list(batches)).sort_values("bucket", kind="stable")
