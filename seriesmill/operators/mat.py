@@ -1,4 +1,4 @@
-"""Moving annual totals: twelve consecutive periods, components floored at zero."""
+"""Moving annual totals: the consecutive periods of twelve months, components floored at zero."""
 
 from __future__ import annotations
 
@@ -19,23 +19,23 @@ def rolling_mat(rows: DataFrame, keys: list[str], value: str, step: int = 1, spa
 
 
 def mat_history(history: DataFrame, step: int = 1) -> DataFrame:
-    return rolling_mat(history, ["node_id", "measure"], "y", step).where("mat IS NOT NULL").drop("y")
+    return rolling_mat(history, ["node_id", "measure"], "y", step, SPAN // step).where("mat IS NOT NULL").drop("y")
 
 
 def mat_forecast(history: DataFrame, predictions: DataFrame, step: int = 1) -> DataFrame:
     """MAT positions of the forecast dates, per scenario and method.
 
-    Only the last eleven history periods can reach a forecast date, so just those are repeated
+    Only the last periods of a year less one can reach a forecast date, so just those are repeated
     per method before the window.
     """
     recent = Window.partitionBy("node_id", "measure").orderBy(F.desc("ds"))
-    tail = history.withColumn("_r", F.row_number().over(recent)).where(F.col("_r") < SPAN)
+    tail = history.withColumn("_r", F.row_number().over(recent)).where(F.col("_r") < SPAN // step)
     curves = predictions.select("node_id", "measure", "scenario_id", "model_alias").distinct()
     past = curves.join(tail.select("node_id", "measure", "ds", F.col("y").alias("value")), ["node_id", "measure"])
     future = predictions.select("node_id", "measure", "scenario_id", "model_alias", "ds", F.col("yhat").alias("value"))
     both = past.withColumn("is_forecast", F.lit(False)).unionByName(future.withColumn("is_forecast", F.lit(True)))
     keys = ["node_id", "measure", "scenario_id", "model_alias"]
-    return rolling_mat(both, keys, "value", step).where("is_forecast AND mat IS NOT NULL").select(*keys, "ds", "mat")
+    return rolling_mat(both, keys, "value", step, SPAN // step).where("is_forecast AND mat IS NOT NULL").select(*keys, "ds", "mat")
 
 
 def mat_direct(predictions: DataFrame) -> DataFrame:

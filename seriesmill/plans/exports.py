@@ -76,13 +76,17 @@ def export_long(
     ids: dict[str, str],
     base: DataFrame | None = None,
     mat: bool = False,
+    step: int = 1,
 ) -> DataFrame:
-    """History and forecast in one long table with dimensions, base value, limits and run ids."""
+    """History and forecast in one long table with dimensions, base value, limits and run ids.
+
+    ``step`` is the number of months in a period; annual totals take twelve months of them.
+    """
     past, ahead = history_rows(history), forecast_rows(predictions, base)
     if mat:
         points = history.select("node_id", "measure", "ds", "y")
-        old = M.mat_history(points).select("node_id", "measure", "ds", "mat")
-        new = M.mat_forecast(points, predictions)
+        old = M.mat_history(points, step).select("node_id", "measure", "ds", "mat")
+        new = M.mat_forecast(points, predictions, step)
         past = past.join(old, ["node_id", "measure", "ds"]).withColumn("valor", F.col("mat")).drop("mat")
         ahead = ahead.join(new, ["node_id", "measure", "scenario_id", "model_alias", "ds"])
         ahead = ahead.withColumn("valor", F.col("mat")).drop("mat")

@@ -39,6 +39,9 @@ def run_forecast(
     (backtest, final, scenarios) share one computation and lost executors do not repeat it.
     ``entities`` carry the hierarchy dimensions and a ``dims`` map.
     """
+    problems = [*study.validate(), *config.validate()]
+    if problems:
+        raise ValueError("; ".join(f"{name}: {text}" for name, text in problems))
     values = Q.prepare(observations, study, policy).values
     bridge = H.node_bridge(entities, hierarchy) if hierarchy else None
     modelled, owners = values, entities

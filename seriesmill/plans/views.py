@@ -135,41 +135,43 @@ def equivalent_history_variation(predictions: DataFrame, history: DataFrame, hor
     )
 
 
-def history_kpis(history: DataFrame, keys: list[str]) -> DataFrame:
+def history_kpis(history: DataFrame, keys: list[str], step: int = 1) -> DataFrame:
     """Last annual total, yearly change, compound growth, extremes and spread per group.
 
-    ``history`` is (keys, ds, y), one row per date. Annual figures need an unbroken calendar.
+    ``history`` is (keys, ds, y), one row per date, ``step`` months apart. Annual figures need an
+    unbroken calendar and take the periods of a year.
     """
+    year = 12 // step
     recent = Window.partitionBy(*keys).orderBy(F.desc("ds"))
     ranked = history.withColumn("_r", F.row_number().over(recent))
     size = Window.partitionBy(*keys)
     ranked = ranked.withColumn("_n", F.count("*").over(size))
-    blocks = F.floor(F.col("_n") / 12)
+    blocks = F.floor(F.col("_n") / year)
 
     def window_sum(low, high):
         return F.sum(F.when((F.col("_r") > low) & (F.col("_r") <= high), F.col("y")))
 
     out = ranked.groupBy(*keys).agg(
         F.count("*").alias("hist_months"),
-        (F.months_between(F.max("ds"), F.min("ds")) + 1 == F.count("*")).alias("_dense"),
-        window_sum(F.lit(0), F.lit(12)).alias("_mat"),
-        window_sum(F.lit(12), F.lit(24)).alias("_prev"),
-        window_sum(12 * (blocks - 1), 12 * blocks).alias("_first"),
+        (F.months_between(F.max("ds"), F.min("ds")) / step + 1 == F.count("*")).alias("_dense"),
+        window_sum(F.lit(0), F.lit(year)).alias("_mat"),
+        window_sum(F.lit(year), F.lit(2 * year)).alias("_prev"),
+        window_sum(year * (blocks - 1), year * blocks).alias("_first"),
         F.max("y").alias("max"),
         F.min(F.struct(-F.col("y"), F.col("ds"))).alias("_max_at"),
         F.min("y").alias("min"),
         F.min(F.struct("y", "ds")).alias("_min_at"),
         F.stddev_samp("y").alias("std"),
     )
-    n, years = F.col("hist_months"), F.floor(F.col("hist_months") / 12) - 1
-    mat = F.when(F.col("_dense") & (n >= 12), F.col("_mat"))
+    n, years = F.col("hist_months"), F.floor(F.col("hist_months") / year) - 1
+    mat = F.when(F.col("_dense") & (n >= year), F.col("_mat"))
     out = out.withColumn("mat", mat)
-    grown = F.col("_dense") & (n >= 36) & (F.col("_first") > 0) & (F.col("mat") >= 0)
+    grown = F.col("_dense") & (n >= 3 * year) & (F.col("_first") > 0) & (F.col("mat") >= 0)
     return out.select(
         *keys,
         "hist_months",
         "mat",
-        F.when(F.col("_dense") & (n >= 24), F.try_divide(F.col("mat") - F.col("_prev"), F.col("_prev"))).alias("yoy"),
+        F.when(F.col("_dense") & (n >= 2 * year), F.try_divide(F.col("mat") - F.col("_prev"), F.col("_prev"))).alias("yoy"),
         F.when(grown, F.pow(F.col("mat") / F.col("_first"), F.lit(1.0) / years) - 1).alias("cagr"),
         F.when(grown, years).alias("cagr_years"),
         "max",

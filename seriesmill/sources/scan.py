@@ -6,10 +6,12 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 
 from seriesmill.config import MappingConfig, StudyConfig
 from seriesmill.functions.periods import infer_frequency, parse_period_header
 from seriesmill.functions.text import looks_like
+from seriesmill.session import written
 
 # Candidate separators, in order of preference, and name hints per column role.
 DELIMITERS = (";", ",", "\t")
@@ -17,15 +19,31 @@ MEASURE_WORDS = {"unidades", "valor", "value", "units", "qty", "quantity", "vend
 PERIOD_WORDS = {"periodo", "period", "date", "data", "mes", "month"}
 MIN_WIDE_PERIODS = 12
 # End of fixed values.
+#: Blocks whose row counts (some 200 bytes each) are sent to every task.
+SENT_BLOCKS = 100_000
 
 
 def scan_text_table(
     spark: SparkSession, path: str, delimiter: str = ";", encoding: str = "UTF-8", header: bool = True
 ) -> DataFrame:
-    """Delimited text with every cell as a string: no inference, blanks as empty text."""
-    reader = spark.read.option("sep", delimiter).option("encoding", encoding).option("mode", "PERMISSIVE")
-    raw = reader.option("escape", '"').csv(path, header=header, inferSchema=False, enforceSchema=True)
-    return raw.toDF(*dedup_header(raw.columns)).na.fill("")
+    """Delimited text with every cell as a string: no inference, blanks as empty text.
+
+    Column names come from the header line as it is written: the reader itself would rename repeated
+    ones first.
+    """
+
+    def reader():
+        return spark.read.option("sep", delimiter).option("encoding", encoding).option("escape", '"')
+
+    plain = reader().csv(path, header=False, inferSchema=False)
+    if not header:
+        return plain.na.fill("")
+    line = plain.first()
+    if line is None:
+        return plain
+    names = dedup_header([c if c is not None else f"_c{k}" for k, c in enumerate(line)])
+    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
+    return reader().schema(schema).csv(path, header=True, mode="PERMISSIVE", enforceSchema=True).na.fill("")
 
 
 def sniff_delimiter(spark: SparkSession, path: str) -> DataFrame:
@@ -92,23 +110,29 @@ def inspect_source(df: DataFrame) -> DataFrame:
 
 
 def number_rows(df: DataFrame, first: int = 0) -> DataFrame:
-    """Dense row numbers in scan order without a global sort.
+    """Dense row numbers in file order (path, then place in the file) without a global sort.
 
-    Each scan split counts its own rows; only one row per split is ordered to get the offsets.
-    ``df`` must be a plain scan or a checkpointed frame, so both passes see the same splits.
+    Each block of a file counts its own rows; only one row per block is ordered to get the offsets,
+    written once, and sent to all tasks if there are at most ``SENT_BLOCKS`` of them. Frames that
+    don't come from files are numbered by their partitions. ``df`` must be a plain scan or a
+    checkpointed frame, so both passes see the same blocks.
     """
-    tagged = df.withColumn("_mono", F.monotonically_increasing_id()).withColumns(
-        {"_split": F.shiftright("_mono", 33), "_local": F.col("_mono").bitwiseAND((1 << 33) - 1)}
-    )
-    sizes = tagged.groupBy("_split").agg(F.count("*").alias("_n"))
-    before = F.coalesce(
-        F.sum("_n").over(Window.orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-    )
-    offsets = sizes.select("_split", before.alias("_before"))
+    try:
+        placed = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"))
+    except AnalysisException:
+        part = F.shiftright(F.monotonically_increasing_id(), 33)
+        placed = df.select("*", F.lit("").alias("_path"), part.alias("_block"))
+    tagged = placed.withColumn("_mono", F.monotonically_increasing_id())
+    sizes = tagged.groupBy("_path", "_block").agg(F.count("*").alias("_n"), F.min("_mono").alias("_least"))
+    earlier = Window.orderBy("_path", "_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_least")
+    offsets = written(sizes.select("_path", "_block", before.alias("_before")), "offsets")
+    if offsets.count() <= SENT_BLOCKS:
+        offsets = F.broadcast(offsets)
     return (
-        tagged.join(offsets, "_split")
-        .withColumn("row_index", F.col("_before") + F.col("_local") + first)
-        .drop("_mono", "_split", "_local", "_before")
+        tagged.join(offsets, ["_path", "_block"])
+        .withColumn("row_index", F.col("_before") + F.col("_mono") + first)
+        .drop("_mono", "_path", "_block", "_before")
     )
 
 

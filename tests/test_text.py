@@ -101,16 +101,28 @@ def test_number_rows_over_many_splits(spark):
     assert all(r["v"] == 3 * r["row_index"] for r in out)
 
 
+def test_headers_and_file_order(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("x;a;a\n1;2;3\n4;5;6\n")
+    (tmp_path / "b.csv").write_text("x;a;a\n" + "7;8;9\n" * 5000)
+    df = scan.scan_text_table(spark, str(tmp_path / "*.csv"))
+    assert df.columns == ["x", "a", "a_2"]
+    rows = {r["source_row_id"]: r["raw_json"] for r in scan.assign_source_row_id(df).collect()}
+    assert len(rows) == 5002 and set(rows) == {f"r{k}" for k in range(5002)}
+    assert json.loads(rows["r0"]) == {"x": "1", "a": "2", "a_2": "3"} and json.loads(rows["r1"])["x"] == "4"
+
+
 def test_config_checks():
     study = StudyConfig("s", ("a",), date(2026, 8, 1))
     assert study.validate() == []
     bad = StudyConfig(" ", (), None, 61, ("peso",), "monthly", "monthly", "direct", "z")
     assert {k for k, _ in bad.validate()} == {
-        "name", "dimensions", "analysis_level", "measures", "history_end", "mat_mode", "history_periods",
+        "name", "dimensions", "analysis_level", "measures", "history_end", "mat_mode",
     }
+    assert [k for k, _ in bad.validate({"monthly": 60})].count("history_periods") == 1
     assert ForecastConfig().validate() == []
     worse = ForecastConfig(0, 0, 1, 101, ("a",) * 6, 0, 42, False)
-    assert len(worse.validate()) == 6
+    assert {k for k, _ in worse.validate()} == {"horizon", "season_length", "nonnegative_output", "interval_level", "cv_horizon"}
+    assert len(worse.validate(most_models=5)) == 6
     assert json.loads(study.to_json())["history_end"] == "2026-08-01"
 
 
