@@ -59,12 +59,16 @@ def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+BATCH_BYTES = 8 << 20
+
+
 def bounded_batches(spark: SparkSession, rows: int = 400) -> None:
-    """Let Arrow batches hold no more rows than this, so long texts can't fill a Python worker."""
+    """Let Arrow batches hold no more rows and bytes than this, so long values can't fill a Python worker."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def aside(docs: DataFrame) -> list[Column]:
