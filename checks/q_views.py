@@ -449,12 +449,24 @@ def _(spark, sf):
     return T.entities(spark, sf).select("entity_id", chip_label([F.col(d) for d in DIMS]).alias("label"))
 
 
+@query("persist_run", S.q(fin_sql("marca"), "SELECT node_id, measure, model_alias, ds, round(yhat, 6) AS yhat FROM fin"))
+def _(spark, sf):
+    """Half of a run first, then all of it: the stored run is the whole one, each key once."""
+    root = scratch_dir(spark, "runs")
+    rows = predictions(spark, sf)
+    store.persist_run({"predictions": rows.where("measure = 'valor'").withColumn("yhat", F.lit(-1.0))}, root, "r1")
+    store.persist_run({"predictions": rows}, root, "r1")
+    store.persist_run({"predictions": rows.limit(5)}, root, "r2")
+    back = store.load_run(spark, root, "r1", "predictions")
+    return rounded(back.select("node_id", "measure", "model_alias", "ds", "yhat"), "yhat", digits=6)
+
+
 @query("save_preparation", S.q(S.prep("marca"), "SELECT adjustment_reason, count(*) AS n_rows, round(sum(y), 2) AS total FROM prep GROUP BY ALL"))
 def _(spark, sf):
-    """Saved twice under one content key; the second write replaces the first."""
+    """Saved twice under one content key; the second time nothing is written."""
     path = scratch_dir(spark, "preparations")
     vals = values(spark, sf, "marca")
-    store.save_preparation(vals, path, "p1")
-    store.save_preparation(vals, path, "p1")
+    assert store.save_preparation(vals, path, "p1")
+    assert not store.save_preparation(vals.limit(0), path, "p1")
     back = spark.read.parquet(path).where(F.col("preparation_id") == "p1")
     return back.groupBy("adjustment_reason").agg(F.count("*").alias("n_rows"), F.round(F.sum("y"), 2).alias("total"))

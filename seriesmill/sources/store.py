@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from seriesmill.operators.normalize import Canonical
+from seriesmill.session import written
 
 # Primary keys of the stored result tables.
 FORECAST_KEY = ["run_id", "node_id", "measure", "scenario_id", "ds", "model_alias"]
@@ -40,9 +42,44 @@ def replace_partition(df: DataFrame, path: str, column: str, value: str) -> None
     )
 
 
-def save_preparation(values: DataFrame, path: str, preparation_id: str) -> None:
-    """Keyed by content hash, so writing the same preparation twice changes nothing."""
+def stored_partition(spark: SparkSession, path: str, column: str, value: str) -> DataFrame | None:
+    """The rows of one partition, or None if there are none yet."""
+    try:
+        rows = spark.read.parquet(path).where(F.col(column) == value)
+    except AnalysisException:
+        return None
+    return None if rows.isEmpty() else rows
+
+
+def save_preparation(values: DataFrame, path: str, preparation_id: str) -> bool:
+    """Keyed by content hash: a preparation that is stored already is not computed again."""
+    if stored_partition(values.sparkSession, path, "preparation_id", preparation_id) is not None:
+        return False
     replace_partition(values, path, "preparation_id", preparation_id)
+    return True
+
+
+RUN_TABLES = {"predictions": FORECAST_KEY, "cv": CV_KEY, "scores": SCORE_KEY, "nodes": NODE_KEY}
+
+
+def persist_run(results: dict[str, DataFrame], root: str, run_id: str) -> None:
+    """Write the result tables of a run; rows with the keys of stored ones replace them.
+
+    Only the run's own partitions are read and rewritten. The merged rows are written aside first,
+    because a partition can't be read while it is replaced.
+    """
+    for name, keys in RUN_TABLES.items():
+        if name not in results:
+            continue
+        rows = results[name].drop("run_id").withColumn("run_id", F.lit(run_id))
+        batch = rows.dropDuplicates(keys)
+        old = stored_partition(rows.sparkSession, f"{root}/{name}", "run_id", run_id)
+        merged = batch if old is None else upsert(old.select(*batch.columns), batch, keys)
+        replace_partition(written(merged, name), f"{root}/{name}", "run_id", run_id)
+
+
+def load_run(spark: SparkSession, root: str, run_id: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{root}/{name}").where(F.col("run_id") == run_id)
 
 
 def last_per_key(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
