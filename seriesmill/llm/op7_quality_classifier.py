@@ -21,7 +21,6 @@ are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -92,35 +91,48 @@ def _sampled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["good", "shapes", "words"])
 
 
-def fitted(labelled: DataFrame) -> Evidence:
-    """Fit on the labelled rows (good, text, doc_id) with the smallest hashes, TRAIN_ROWS at most."""
-    chosen = labelled.select("good", "text", F.xxhash64(F.lit(SEED), "doc_id").alias("h")).orderBy("h").limit(TRAIN_ROWS)
-    frame = chosen.select("good", "text").mapInPandas(_sampled, "good boolean, shapes array<string>, words array<binary>")
-    seen: tuple[Counter, Counter] = (Counter(), Counter())
-    rows: list[tuple[bool, list[str], list[bytes]]] = []
-    for r in frame.toLocalIterator():
-        words = [bytes(w) for w in r["words"]]
-        rows.append((r["good"], list(r["shapes"]), words))
-        seen[r["good"]].update(words)
-    y = np.array([g for g, _, _ in rows], float)
-    if not len(y) or y.min() == y.max():
-        return Evidence({}, {})
-    n = (float((1 - y).sum()), float(y.sum()))
+def _coded(shapes: dict[str, int], words: dict[bytes, int]):
+    """The numbers of a row's features."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for good, fs, ws in zip(pdf["good"], pdf["shapes"], pdf["words"], strict=True):
+                own = [shapes[f] for f in fs] + [words[w] for w in words.keys() & set(map(bytes, ws))]
+                rows.append((bool(good), np.array(own, np.int32).tobytes()))
+            yield pd.DataFrame(rows, columns=["good", "codes"])
 
-    def telling(w: bytes) -> float:
-        a, b = seen[0][w], seen[1][w]
-        p, q = (a + 0.5) / (n[0] + 1), (b + 0.5) / (n[1] + 1)
-        return abs(np.log(p / q)) * np.sqrt(a + b)
+    return run
 
-    common = [w for w in seen[0].keys() | seen[1].keys() if seen[0][w] + seen[1][w] >= MIN_DOCS]
-    words = sorted(common, key=lambda w: (-telling(w), w))[:WORDS]
-    shapes = sorted({f for _, fs, _ in rows for f in fs})
+
+def fitted(labelled: DataFrame) -> Evidence:
+    """Fit on the rows (good, text), TRAIN_ROWS at most; words are chosen by Spark, WORDS at most.
+
+    The driver holds the numbers of the features of each row (some hundred bytes).
+    """
+    frame = written(labelled.select("good", "text").mapInPandas(_sampled, "good boolean, shapes array<string>, words array<binary>"), "sample")
+    n = [frame.where(~F.col("good")).count(), frame.where("good").count()]
+    if not n[0] or not n[1]:
+        return Evidence({}, {})
+    p, q = (F.col("bad_n") + 0.5) / (n[0] + 1), (F.col("good_n") + 0.5) / (n[1] + 1)
+    counted = (
+        frame.select("good", F.explode("words").alias("word"))
+        .groupBy("word")
+        .agg(F.count_if("good").alias("good_n"), F.count_if(~F.col("good")).alias("bad_n"))
+        .where(F.col("good_n") + F.col("bad_n") >= MIN_DOCS)
+        .withColumn("telling", F.abs(F.log(p / q)) * F.sqrt(F.col("good_n") + F.col("bad_n")))
+    )
+    words = [bytes(r["word"]) for r in counted.orderBy(F.desc("telling"), "word").limit(WORDS).select("word").collect()]
+    shapes = sorted(r["f"] for r in frame.select(F.explode("shapes").alias("f")).distinct().collect())
     names = {"": 0} | {f: k for k, f in enumerate([*shapes, *words], 1)}
-    x = np.zeros((len(rows), len(names)), np.float32)
+    codes = frame.mapInPandas(
+        _coded({f: names[f] for f in shapes}, {w: names[w] for w in words}), "good boolean, codes binary"
+    ).collect()
+    y = np.array([r["good"] for r in codes], float)
+    x = np.zeros((len(codes), len(names)), np.float32)
     x[:, 0] = 1
-    for k, (_, fs, ws) in enumerate(rows):
-        x[k, [names[f] for f in fs]] = 1
-        x[k, [names[w] for w in ws if w in names]] = 1
+    for k, r in enumerate(codes):
+        x[k, np.frombuffer(r["codes"], np.int32)] = 1
     weight = np.where(y > 0, 0.5 / n[1], 0.5 / n[0])
     w, past = np.zeros(len(names)), np.full(len(names), 1e-8)
     for _ in range(300):
