@@ -45,7 +45,7 @@ LENGTH = 50
 GRAM = 20
 PIECE_BYTES = 2 << 20
 BUCKET_BYTES = 8 << 20
-BLOCK_CHARS = 1 << 20
+BLOCK_CHARS = 1 << 16
 HOT_CONTEXTS = 20_000
 NULL_ID = (1 << 63) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -269,39 +269,35 @@ def equal_strings(text: np.ndarray, length: int) -> np.ndarray:
     changes.
     """
     n = len(text)
-    # the first four symbols at once: 15 bits each hold the bytes, and ends in the order they stand
-    _, small = np.unique(text, return_inverse=True)
-    rank, depth = small.astype(np.int64), 1
-    bits = int(rank.max()).bit_length()
+    # several symbols at once for a start, as many as fit into one number
+    rank, depth, bits = text.astype(np.int64), 1, int(text.max()).bit_length()
     while depth < 4 and bits * 2 * depth <= 62:
         behind = np.zeros(n, np.int64)
         behind[: n - depth] = rank[depth:]
         rank = (rank << (bits * depth)) | behind
         depth *= 2
-    while depth < length:
-        behind = np.zeros(n, np.int64)
-        behind[: n - depth] = rank[depth:] + 1
-        if int(rank.max()) * (int(behind.max()) + 1) < 1 << 62:
-            key = rank * (int(behind.max()) + 1) + behind
-            order = np.argsort(key, kind="stable")
-        else:
-            key = np.unique(rank, return_inverse=True)[1] * (n + 1) + np.unique(behind, return_inverse=True)[1]
-            order = np.argsort(key, kind="stable")
+    key = rank
+    while True:
+        order = np.argsort(key, kind="stable")
         new = np.ones(n, np.int64)
         new[1:] = key[order][1:] != key[order][:-1]
         rank = np.empty(n, np.int64)
-        rank[order] = np.cumsum(new) - 1
+        rank[order] = np.cumsum(new)
+        if depth >= length:
+            break
+        key = rank * (n + 1)
+        key[: n - depth] += rank[depth:]
         depth *= 2
     before = text[order - 1]
-    walk = np.argsort(before, kind="stable")
+    walk = np.argsort(before.astype(np.uint16) if before.max() < 1 << 16 else before, kind="stable")
     symbol_changes = np.ones(n, bool)
     symbol_changes[1:] = before[walk][1:] != before[walk][:-1]
-    interval = np.zeros(n, np.int32)
+    interval, boundary = np.zeros(n, np.int32), np.ones(n, bool)
     for _ in range(length):
-        moved = interval[walk]
-        boundary = symbol_changes.copy()
-        boundary[1:] |= moved[1:] != moved[:-1]
-        interval = np.cumsum(boundary, dtype=np.int32)
+        moved = interval.take(walk)
+        np.not_equal(moved[1:], moved[:-1], out=boundary[1:])
+        np.logical_or(boundary, symbol_changes, out=boundary)
+        np.cumsum(boundary, dtype=np.int32, out=interval)
     out = np.empty(n, np.int64)
     out[order] = interval
     return out
