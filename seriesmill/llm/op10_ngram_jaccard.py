@@ -350,9 +350,14 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns."""
-    first = classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, docs["doc_id"] == F.col("__first"), "left_semi")
+    """The documents that are the smallest of their component, with all their columns.
+
+    Of rows with the same id one stays; they are only looked for in the texts if an id repeats.
+    """
+    first = classes(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__first")).agg(F.count("*").alias("__n"))
+    first = written(first, "first")
+    kept = docs.join(first, docs["doc_id"] == F.col("__first"), "left_semi")
+    return kept if first.where("__n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

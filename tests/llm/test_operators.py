@@ -445,6 +445,8 @@ def test_jaccard_components(spark):
     kept = op10_ngram_jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(k for k, (_, c) in want.items() if k == c)
+    twice = op10_ngram_jaccard.one_of_each(docs.where("doc_id < 8").unionAll(docs.where("doc_id < 8")))
+    assert sorted(r["doc_id"] for r in twice.collect()) == sorted(k for k, (_, c) in want.items() if k == c and k < 8)
     assert op10_ngram_jaccard.classes(docs.limit(0)).count() == 0
 
 
