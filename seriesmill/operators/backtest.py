@@ -255,8 +255,11 @@ def final_forecast(frame: DataFrame, native_only: bool = False) -> DataFrame:
     )
 
 
-def conformal_intervals(predictions: DataFrame, cv: DataFrame, level: int) -> DataFrame:
-    """Limits for point-only methods from the quantile of absolute backtest errors per step."""
+def conformal_intervals(predictions: DataFrame, cv: DataFrame, level: int, any_history: bool = True) -> DataFrame:
+    """Limits for point-only methods from the quantile of absolute backtest errors per step.
+
+    With ``any_history`` off, rows marked as too short for limits stay without.
+    """
     order = Window.partitionBy("node_id", "measure", "model_alias", "cutoff").orderBy("ds")
     steps = cv.where("evaluated").withColumn("step", F.row_number().over(order))
     spread = steps.groupBy("node_id", "measure", "model_alias", "step").agg(
@@ -272,6 +275,8 @@ def conformal_intervals(predictions: DataFrame, cv: DataFrame, level: int) -> Da
     joined = rows.join(horizon, ["node_id", "measure", "model_alias"], "left")
     radius = F.try_element_at("_by_step", F.least("step", "_last"))
     open_ = F.col("lo80").isNull() & radius.isNotNull()
+    if not any_history:
+        open_ = open_ & (F.col("interval_method") != "unavailable_insufficient_history")
     return joined.withColumns(
         {
             "lo80": F.when(open_, F.greatest(F.col("yhat") - radius, F.lit(0.0))).otherwise(F.col("lo80")),

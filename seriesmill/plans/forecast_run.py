@@ -66,6 +66,7 @@ def run_forecast(
     cv = FC.cv_predictions(frame)
     scores = FC.select_model(FC.score_models(cv), config)
     base = FC.final_forecast(frame, native_only=not (fitted or regressors or global_iterations))
+    base = FC.conformal_intervals(base, cv, config.interval_level, any_history=False).select(*base.columns)
     predictions, issues = base, None
     if scenarios:
         names = {s.regressor_id: s.name for s in regressors}

@@ -5,6 +5,7 @@ import os
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from checks import registry
 from checks.compare import duck, verdict
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -16,7 +17,7 @@ def con():
     return duck(SF)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, con, name):
     df = queries()[name](spark, SF)
     rows = [tuple(r) for r in df.collect()]
