@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,8 +42,26 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+_passing: list[list[str]] = []
+
+
+def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write a frame once to a fresh scratch folder and read it from there."""
     path = scratch_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
+    if _passing and not keep:
+        _passing[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def passing_tables(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside go at the end, unless kept: nothing read later may depend on them."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        context = spark.sparkContext
+        for path in _passing.pop():
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
