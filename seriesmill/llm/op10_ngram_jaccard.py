@@ -42,7 +42,7 @@ from pyspark.sql.window import Window
 
 from seriesmill.llm.graph import components
 from seriesmill.llm.text import bounded_batches, lower_words, mixed, table, window_hashes, word_hashes
-from seriesmill.session import written
+from seriesmill.session import passing_tables, written
 
 WIDTH = 5
 PERCENT = 80
@@ -354,8 +354,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Of rows with the same id one stays; they are only looked for in the texts if an id repeats.
     """
-    first = classes(docs).where("doc_id = component_id").groupBy(F.col("doc_id").alias("__first")).agg(F.count("*").alias("__n"))
-    first = written(first, "first")
+    with passing_tables(docs.sparkSession):
+        smallest = classes(docs).where("doc_id = component_id")
+        first = smallest.groupBy(F.col("doc_id").alias("__first")).agg(F.count("*").alias("__n"))
+        first = written(first, "first", keep=True)
     kept = docs.join(first, docs["doc_id"] == F.col("__first"), "left_semi")
     return kept if first.where("__n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
 
