@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of the passages.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of the passages.
 
-Every run of ``SEED_WORDS`` words of a test item is a possible seed. One pass over all documents
-finds the seeds they hold; from the numbers of documents, each item keeps the rarer half of its
-seeds (a rank inside the item, so it means the same at every corpus size). Documents that hold a
-seed of an item are aligned with it word by word around the seeds, so copies with changed, lost or
-added words are found as well. A document is contaminated if some alignment reaches
-``MIN_SCORE`` of the item's own score.
+Every run of ``SEED_WORDS`` words of a test item is a seed. One pass over all documents finds the
+seeds they hold; around each of them, however common it is, the document is aligned with the item
+word by word, so copies with changed, lost or added words are found as well. A document is
+contaminated if some alignment reaches ``MIN_SCORE`` of the item's own score. A copy that keeps no
+``SEED_WORDS`` words of an item together has no seed and isn't aligned.
 
 The items are a stated query set: they are taken in blocks of at most ``BLOCK_SEEDS`` seeds, and
-only a block is ever sent to the tasks, so the bound doesn't depend on the tables. Seeds found are
-rows of (document, seed), summed on the map side; alignments are row-local.
+only a block is ever sent to the tasks, so the bound doesn't depend on the tables. Seeds and
+alignments are row-local; only scores are moved.
 
 Defined cases: null, empty or blank texts hold nothing and stay; null, empty or blank items match
 nothing; items shorter than a seed are one seed by themselves; repeated rows are judged alike;
@@ -25,7 +24,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from seriesmill.llm.text import bounded_batches, mixed, table, window_hashes, word_hashes
 from seriesmill.session import written
@@ -116,8 +114,8 @@ class _Block:
         return np.concatenate(places), np.concatenate(seeds)
 
 
-def _hits(block: _Block):
-    """A row per document and block with its seeds and their places."""
+def _aligned(block: _Block):
+    """A row per document and passage with the item met and its alignment score."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -126,32 +124,28 @@ def _hits(block: _Block):
                 words = word_hashes(plain_words(text))
                 places, seeds = block.found(words)
                 if len(places) and not pd.isna(i):
-                    spans = _passages(block, words, places, seeds)
-                    rows += [(i, *x) for x in spans]
-            yield pd.DataFrame(rows, columns=["doc_id", "item", "seeds", "words"]).astype(
-                {"doc_id": "int64", "item": "int64"}
+                    for owner, passage in _passages(block, words, places, seeds):
+                        item, own = block.items[owner]
+                        rows.append((i, item, alignment(own, passage)))
+            yield pd.DataFrame(rows, columns=["doc_id", "item", "score"]).astype(
+                {"doc_id": "int64", "item": "int64", "score": "float64"}
             )
 
     return run
 
 
 def _passages(block: _Block, words: np.ndarray, places: np.ndarray, seeds: np.ndarray):
-    """For each item met: the seeds found and the stretches of the document they point to."""
+    """For each item met: the stretches of the document that its seeds point to."""
     lo, hi = np.searchsorted(block.hashes, seeds), np.searchsorted(block.hashes, seeds, "right")
-    met: dict[int, list[tuple[int, int, int]]] = {}
-    for place, seed, a, b in zip(places.tolist(), seeds.tolist(), lo.tolist(), hi.tolist(), strict=True):
+    met: dict[int, set[int]] = {}
+    for place, a, b in zip(places.tolist(), lo.tolist(), hi.tolist(), strict=True):
         for k in range(a, b):
-            met.setdefault(int(block.owner[k]), []).append((place - int(block.at[k]), place, seed))
-    for owner, found in met.items():
+            met.setdefault(int(block.owner[k]), set()).add(place - int(block.at[k]))
+    for owner, starts in met.items():
         size = len(block.items[owner][1])
         slack = int(np.ceil(SLACK * size)) + 2
-        for start, end in _merged(sorted({(max(0, s - slack), min(len(words), s + size + slack)) for s, _, _ in found})):
-            own = {x for s, p, x in found if start <= p < end}
-            yield (
-                block.items[owner][0],
-                np.array(sorted(own), np.uint64).view(np.int64).tolist(),
-                words[start:end].tobytes(),
-            )
+        for start, end in _merged(sorted({(max(0, s - slack), min(len(words), s + size + slack)) for s in starts})):
+            yield owner, words[start:end]
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -180,45 +174,16 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         yield block
 
 
-def _aligned(items: dict[int, np.ndarray]):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            found = [
-                alignment(items[i], np.frombuffer(words, np.uint64))
-                for i, words in zip(pdf["item"], pdf["words"], strict=True)
-            ]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "item": pdf["item"], "score": np.array(found, float)})
-
-    return run
-
-
 def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows doc_id, item, score: every document with the items whose rarer seeds it holds."""
+    """Rows doc_id, item, score: every document with the items whose seeds it holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = []
+    found = spark.createDataFrame([], "doc_id long, item long, score double")
     for items in _blocks(benchmark):
-        block = _Block(items)
-        hits = written(texts.mapInPandas(_hits(block), "doc_id long, item long, seeds array<long>, words binary"), "hits")
-        places = hits.select("doc_id", "item", F.explode("seeds").alias("seed")).distinct()
-        counts = places.groupBy("item", "seed").agg(F.count("*").alias("df"))
-        own = spark.createDataFrame(
-            [(i, s) for i, words in items for s in np.unique(seeds_of(words)).view(np.int64).tolist()], "item long, seed long"
-        )
-        # seeds that no document holds are the rarest of all and count in the ranks
-        ranks = own.join(counts, ["item", "seed"], "left").fillna(0, ["df"])
-        ranked = ranks.withColumn("rank", F.percent_rank().over(Window.partitionBy("item").orderBy("df")))
-        rare = ranked.where("rank <= 0.5").select("item", "seed")
-        met = places.join(rare, ["item", "seed"]).select("doc_id", "item").distinct()
-        near = hits.join(met, ["doc_id", "item"], "left_semi").select("doc_id", "item", "words")
-        parts.append(near.mapInPandas(_aligned(dict(items)), "doc_id long, item long, score double"))
-    if not parts:
-        return spark.createDataFrame([], "doc_id long, item long, score double")
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionAll(part)
-    return out.groupBy("doc_id", "item").agg(F.max("score").alias("score"))
+        part = texts.mapInPandas(_aligned(_Block(items)), "doc_id long, item long, score double")
+        found = found.unionAll(written(part.groupBy("doc_id", "item").agg(F.max("score").alias("score")), "aligned"))
+    return found.groupBy("doc_id", "item").agg(F.max("score").alias("score"))
 
 
 def scores(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -236,6 +236,27 @@ def test_decontamination(spark):
     assert op4_decontaminate.scores(docs.limit(0), benchmark).count() == 0
 
 
+def test_decontamination_of_edited_copies(spark):
+    """Copies that keep few seeds, without an exact copy beside them, against alignment with whole documents."""
+    items = [[f"i{k}w{j}" for j in range(30 + k)] for k in range(6)]
+
+    def edited(item, step):
+        return " ".join(f"e{j}" if j % step == step - 1 else w for j, w in enumerate(item))
+
+    # one group of many copies and, of another item, a rare copy of other seeds beside a common one
+    texts = [f"{sentence(30)} {edited(items[k], step)} {sentence(30)}" for k, step in ((0, 5), (1, 6), (2, 7), (3, 8))]
+    texts += [f"{sentence(20)} {edited(items[4], 5)}" for _ in range(40)]
+    texts += [" ".join(items[5][:18]) + f" {sentence(20)}" for _ in range(40)] + [f"{sentence(9)} {' '.join(items[5][12:])}"]
+    benchmark = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    found = by_id(op4_decontaminate.scores(documents(spark, texts), benchmark))
+    plain = [op4_decontaminate.word_hashes(op4_decontaminate.plain_words(" ".join(t))) for t in items]
+    for k, text in enumerate(texts):
+        words = op4_decontaminate.word_hashes(op4_decontaminate.plain_words(text))
+        best = max(op4_decontaminate.alignment(item, words) for item in plain)
+        assert best >= 0.5 and found[k]["contaminated"]
+        assert found[k]["score"] == pytest.approx(best)
+
+
 def test_alignment_is_smith_waterman():
     import numpy as np
 
