@@ -1,24 +1,31 @@
 """Quality rules by distribution divergence, DataFrame functions only.
 
 A document is described by two histograms: the classes of its characters, and how often it uses
-each common word of the known languages. Both are compared by Jensen-Shannon distance with
-references learnt from all documents of each language; the nearest language counts, so a missing or
-wrong language tag does no harm. A histogram of too few characters or words is not judged.
-
-Both passes are narrow: the only shuffle is the sum of some fifty columns per known language, and
-the references (one row per entry of ``COMMON_WORDS``) are all that reaches the driver.
+each common word of a language. Both are compared by Jensen-Shannon distance with references learnt
+from all documents of each language; the nearest language counts, so a wrong language tag does no
+harm. The common words of four languages are fixed; any other value of ``lang`` with ``MIN_DOCS``
+documents or more has its own commonest words learnt first. Where the language of a document has no
+reference, or no tag says which it is, the distances are unknown (null) and reject nothing; nor is a
+histogram of too few characters or words judged.
+
+For the four languages both passes are narrow: the only shuffle is the sum of some fifty columns.
+Other languages add sums of words by language (map-side combined). The driver gets the references:
+one row per language and ``TOP_WORDS`` words for each of the others. Distances take time in
+proportion to the number of languages.
 
 Defined cases: a null text counts as empty; an empty or blank text has no words and fails the base
-rule; null ids and null languages are ordinary values; repeated rows are judged alike; an empty
+rule; null ids are ordinary values; a null language has no reference; repeated rows are judged alike; an empty
 table gives an empty result; further columns are ignored by ``judge`` and kept by ``passing``.
 """
 
 from __future__ import annotations
 
 import math
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from seriesmill.functions.once import once
 from seriesmill.llm.text import SPACE, aside, restored, table, word_array
@@ -31,6 +38,9 @@ COMMON_WORDS = {
     "es": ["de", "la", "que", "el", "en", "y", "a", "los", "se", "del", "las", "un", "por", "con", "una"],
 }
 VOCABULARY = list(dict.fromkeys(w for words in COMMON_WORDS.values() for w in words))
+#: Documents that a further language needs for a reference, and the words learnt of it.
+MIN_DOCS = 50
+TOP_WORDS = 15
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 # Guards and limits of the divergence rule; a distance is a square root of bits, at most 1.
@@ -155,7 +165,7 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """Mean shares per known language over all its documents that are long enough and use its words.
+    """Mean shares per language with fixed words over all its documents that are long enough and use its words.
 
     At most one row per entry of ``COMMON_WORDS`` comes back.
     """
@@ -171,6 +181,60 @@ def references(docs: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
     }
 
 
+class Learnt(NamedTuple):
+    """A language without fixed words: its commonest words, mean character and word shares (others first)."""
+
+    words: list[str]
+    chars: list[float]
+    shares: list[float]
+
+
+def _own_share(lowered: Column, words: Column) -> Column:
+    """Shares of all other words and of each of the given ones in a document."""
+    counts = F.transform(words, lambda w: (F.size(lowered) - F.size(F.array_remove(lowered, w))).cast("double"))
+    n = F.col("n_words").cast("double")
+    return F.transform(F.concat(F.array(n - F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)), counts), lambda c: c / n)
+
+
+def learnt(docs: DataFrame) -> dict[str, Learnt]:
+    """References of the languages that have no fixed words but enough documents."""
+    if "lang" not in docs.columns:
+        return {}
+    others = docs.select(F.col("lang").cast("string").alias("lang")).where(~F.col("lang").isin(list(COMMON_WORDS)))
+    many = [r["lang"] for r in others.groupBy("lang").count().where(F.col("count") >= MIN_DOCS).collect()]
+    if not many:
+        return {}
+    rows = _rows(docs).where(F.col("lang").isin(many)).select("doc_id", "lang", "text")
+    sized = _measured(rows).where((F.col("n_words") >= MIN_WORDS) & (F.col("word_chars") >= MIN_CHARS))
+    sized = once(sized, {"lowered": F.transform("words", lambda w: F.lower(w))})
+    # each document has the same weight, in whole billionths; the empty word counts the documents
+    one = F.lit(1_000_000_000)
+    word = sized.select("lang", "n_words", F.explode(F.concat(F.array(F.lit("")), "lowered")).alias("word"))
+    weight = F.when(F.col("word") == "", one).otherwise(F.floor(one / F.col("n_words"))).cast("decimal(38,0)")
+    sums = word.groupBy("lang", "word").agg(F.sum(weight).alias("weight"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.col("word") != "", F.desc("weight"), "word"))
+    tops: dict[str, dict[str, float]] = {}
+    for r in sums.withColumn("place", place).where(F.col("place") <= TOP_WORDS + 1).orderBy("lang", "place").collect():
+        tops.setdefault(r["lang"], {})[r["word"]] = float(r["weight"]) / 1e9
+    own = []
+    for lang, found in tops.items():
+        n = found.pop("")
+        if n >= MIN_DOCS:
+            own.append((lang, list(found), min(MIN_COMMON_SHARE, sum(found.values()) / n / 2)))
+    if not own:
+        return {}
+    known = sized.join(F.broadcast(docs.sparkSession.createDataFrame(own, "lang string, own array<string>, least double")), "lang")
+    known = once(known, {"own_share": _own_share(F.col("lowered"), F.col("own"))})
+    sums = [F.avg(F.get("chars", F.lit(k)) / F.col("word_chars")).alias(f"c{k}") for k in range(7)]
+    sums += [F.avg(F.get("own_share", F.lit(k))).alias(f"w{k}") for k in range(TOP_WORDS + 1)]
+    means = {r["lang"]: r for r in known.where(1 - F.get("own_share", F.lit(0)) >= F.col("least")).groupBy("lang").agg(*sums).collect()}
+    return {
+        lang: Learnt(words, [means[lang][f"c{k}"] for k in range(7)], [means[lang][f"w{k}"] for k in range(len(words) + 1)])
+        for lang, words, _ in own
+        if lang in means
+    }
+
+
 def js_distance(share: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance of an array of shares from a fixed one."""
 
@@ -191,17 +255,30 @@ def _nearest(share: str, refs: list[list[float]]) -> Column:
     return F.array_min(F.array(*[js_distance(F.col(share), r) for r in refs]))
 
 
-def _judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -> DataFrame:
+def _judged(docs: DataFrame) -> DataFrame:
+    refs, others = references(docs), learnt(docs)
     rows = _with_shares(_repeat_words(_measured(_rows(docs))))
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     ordered = [refs[k] for k in sorted(refs)]
+    further = [others[k] for k in sorted(others)]
+    word_distances = [_nearest("word_share", [w for _, w in ordered])]
+    if further:
+        vocabulary = sorted({w for x in further for w in x.words})
+        lowered = F.filter(F.transform("words", lambda w: F.lower(w)), lambda w: w.isin(vocabulary))
+        rows = once(rows, {"lowered": lowered})
+        shares = [_own_share(F.col("lowered"), F.array(*[F.lit(w) for w in x.words])) for x in further]
+        rows = once(rows, {f"share_{k}": F.when(F.col("n_words") >= MIN_WORDS, x) for k, x in enumerate(shares)})
+        word_distances += [js_distance(F.col(f"share_{k}"), x.shares) for k, x in enumerate(further)]
+    has_reference = F.col("lang").isin([*refs, *others])
     rows = once(
         rows,
         {
             "n_dup_lines": _dup_lines(F.col("text")),
             "base_failed": failed,
-            "char_distance": _nearest("char_share", [c for c, _ in ordered]),
-            "word_distance": _nearest("word_share", [w for _, w in ordered]),
+            "char_distance": F.when(
+                has_reference, _nearest("char_share", [*[c for c, _ in ordered], *[x.chars for x in further]])
+            ),
+            "word_distance": F.when(has_reference, F.array_min(F.array(*word_distances))),
         },
     )
     near = (F.coalesce(F.col("char_distance"), F.lit(0.0)) <= MAX_CHAR_DISTANCE) & (
@@ -212,7 +289,7 @@ def _judged(docs: DataFrame, refs: dict[str, tuple[list[float], list[float]]]) -
 
 def judge(docs: DataFrame) -> DataFrame:
     """One row per document with the counts, both distances and the verdict."""
-    return _judged(docs, references(docs)).select(
+    return _judged(docs).select(
         "doc_id",
         "n_words",
         "word_chars",
@@ -228,7 +305,7 @@ def judge(docs: DataFrame) -> DataFrame:
 
 def passing(docs: DataFrame) -> DataFrame:
     """The documents that the rules keep, with all their columns."""
-    return _judged(docs, references(docs)).where("kept").select(*restored(docs).values())
+    return _judged(docs).where("kept").select(*restored(docs).values())
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -396,6 +396,37 @@ def test_quality_distance_rejects_signs(spark):
     assert row[0] == pytest.approx(op8_quality_rules.distance(p, q))
 
 
+def test_quality_of_other_languages(spark):
+    """Languages without fixed words: with enough documents they get references, else nothing is rejected for them."""
+    common = {
+        "en": ["the", "of", "and", "to", "a", "in", "is", "that"],
+        "it": ["di", "che", "il", "non", "sono", "della", "per", "gli"],
+        "ru": ["и", "в", "не", "на", "что", "он", "как", "это"],
+        "fi": ["ja", "ei", "oli", "hän", "mutta", "niin", "kun", "myös"],
+    }
+
+    def text(lang, n=120):
+        rare = "".join(chr(0x430 + k) for k in range(6)) if lang == "ru" else "parola"
+        return " ".join(R.choice(common[lang]) if R.random() < 0.5 else f"{rare}{chr(0x430 + R.randrange(30)) if lang == 'ru' else R.choice('bcdfg')}" for _ in range(n)) + "."
+
+    def varied(lang):
+        return " ".join(w if k % 2 else R.choice(common[lang]) for k, w in enumerate(text(lang).split()))
+
+    rows = [(lang, varied(lang)) for lang, n in (("en", 30), ("it", 60), ("ru", 60), ("fi", 5), (None, 0)) for _ in range(n)]
+    rows += [(None, varied("fi"))]
+    good = len(rows)
+    rows += [(lang, " ".join(f"{w}###" for w in sentence(100).split())) for lang in ("en", "it", "ru")]
+    docs = spark.createDataFrame([(k, t, lang, "s", len(t)) for k, (lang, t) in enumerate(rows)], DOCUMENTS).repartition(3)
+    found = by_id(op8_quality_rules.judge(docs))
+    for k, (lang, _) in enumerate(rows):
+        assert found[k]["kept"] == (k < good and not found[k]["base_failed"]), (k, lang, found[k])
+        assert (found[k]["word_distance"] is None) == (lang in ("fi", None)) == (found[k]["char_distance"] is None)
+    assert sum(found[k]["kept"] for k in range(good)) > 0.9 * good
+    refs = op8_quality_rules.learnt(docs)
+    assert set(refs) == {"it", "ru"} and set(common["it"]) <= set(refs["it"].words)
+    assert sum(refs["ru"].shares) == pytest.approx(1.0) == pytest.approx(sum(refs["ru"].chars))
+
+
 def test_warc(spark, tmp_path):
     big = "<p>" + "é" * 800 + "</p>"
     rows = [(1, "http://a/ é", big), (2, None, big), (3, "u", "small"), (4, "u", "small"), (5, "", None), (None, "u", big), (7, "u", "z" * 999), (8, "u", "z" * 999), (9, "u", sentence(500))]
