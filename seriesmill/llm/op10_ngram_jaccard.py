@@ -24,8 +24,10 @@ sets are read again; a full filter only means that more sets are moved.
 
 Defined cases: null, empty and blank texts have an empty set and are their own component; fewer
 than five words make one shingle; repeated rows link; an empty table gives an empty result; further
-columns are ignored by ``classes`` and kept by ``one_of_each``. Rows with a null id belong to the
-component of their text's other copies, else to none (null).
+columns are ignored by ``classes`` and kept by ``one_of_each``. Where an id is null or repeats, rows
+get keys of their own, written with the table: each row is judged by its own text, and a component
+is named by the smallest id in it (null if all are null). Of a component the row with the smallest
+id stays, one without an id only if no other has one; rows of equal ids and empty sets are one.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -315,11 +317,31 @@ def _labelled(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
 
 
+def _id() -> Column:
+    return F.col("doc_id").cast("long")
+
+
+def _ids_are_keys(docs: DataFrame) -> bool:
+    """Whether every row has an id that no other row has."""
+    return docs.select(_id().alias("id")).groupBy("id").count().where("id is null or count > 1").isEmpty()
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """Rows doc_id, n_shingles, component_id, one per row of ``docs``."""
-    spark = docs.sparkSession
+    text = F.col("text").cast("string").alias("text")
+    if _ids_are_keys(docs):
+        found = _classes(docs.select(_id().alias("id"), text))
+        return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    keyed = written(docs.select(F.monotonically_increasing_id().alias("id"), _id().alias("doc_id"), text), "keyed")
+    found = written(_classes(keyed.select("id", "text")).join(keyed.select("id", "doc_id"), "id"), "classes")
+    names = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return found.join(names, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _classes(texts: DataFrame) -> DataFrame:
+    """Rows id, n, component of rows (id, text) whose ids are keys."""
+    spark = texts.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
     seen = written(texts.mapInPandas(_first_pass, _SEEN), "shingled")
     rows = seen.where("kind = 0")
     common = (
@@ -344,22 +366,27 @@ def classes(docs: DataFrame) -> DataFrame:
 
     final = _labelled(vertices.select("id").distinct(), links)
     roots = same.join(final, "id").select("digest", "component")
-    return rows.join(roots, "digest", "left").select(
-        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
-    )
+    return rows.join(roots, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents that are the smallest of their component, with all their columns.
-
-    Of rows with the same id one stays; they are only looked for in the texts if an id repeats.
-    """
-    with passing_tables(docs.sparkSession):
-        smallest = classes(docs).where("doc_id = component_id")
-        first = smallest.groupBy(F.col("doc_id").alias("__first")).agg(F.count("*").alias("__n"))
-        first = written(first, "first", keep=True)
-    kept = docs.join(first, docs["doc_id"] == F.col("__first"), "left_semi")
-    return kept if first.where("__n > 1").isEmpty() else kept.dropDuplicates(["doc_id"])
+    """One document of each component, that with the smallest id, with all its columns."""
+    spark = docs.sparkSession
+    if _ids_are_keys(docs):
+        with passing_tables(spark):
+            first = classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__first"))
+            first = written(first, "first", keep=True)
+        return docs.join(first, docs["doc_id"] == F.col("__first"), "left_semi")
+    keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed", keep=True)
+    with passing_tables(spark):
+        found = _classes(keyed.select(F.col("__key").alias("id"), F.col("text").cast("string").alias("text")))
+        rows = found.join(keyed.select(F.col("__key").alias("id"), _id().alias("doc_id")), "id")
+        # empty sets of one id meet by it; of all others each is its own component
+        group = F.when((F.col("n") > 0) | F.col("doc_id").isNull(), F.col("component"))
+        rows = rows.select(group.alias("group"), F.when(group.isNull(), F.col("doc_id")).alias("empty"), "doc_id", "id")
+        least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "id"))["id"]
+        first = written(rows.groupBy("group", "empty").agg(least.alias("__key")).select("__key"), "first", keep=True)
+    return keyed.join(first, "__key", "left_semi").drop("__key")
 
 
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

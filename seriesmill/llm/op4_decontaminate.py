@@ -11,7 +11,8 @@ only a block is ever sent to the tasks, so the bound doesn't depend on the table
 alignments are row-local; only scores are moved.
 
 Defined cases: null, empty or blank texts hold nothing and stay; null, empty or blank items match
-nothing; items shorter than a seed are one seed by themselves; repeated rows are judged alike;
+nothing; items shorter than a seed are one seed by themselves; repeated rows are judged alike; null
+ids and equal ids with different texts are ordinary rows, each judged by its own text;
 with an empty benchmark every document stays; further columns are ignored by ``scores`` and kept by
 ``clean``.
 """
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.llm.text import bounded_batches, mixed, table, window_hashes, word_hashes
@@ -120,16 +121,14 @@ def _aligned(block: _Block):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, text in zip(pdf["doc_id"], pdf["text"], strict=True):
+            for key, text in zip(pdf["key"], pdf["text"], strict=True):
                 words = word_hashes(plain_words(text))
                 places, seeds = block.found(words)
-                if len(places) and not pd.isna(i):
+                if len(places):
                     for owner, passage in _passages(block, words, places, seeds):
                         item, own = block.items[owner]
-                        rows.append((i, item, alignment(own, passage)))
-            yield pd.DataFrame(rows, columns=["doc_id", "item", "score"]).astype(
-                {"doc_id": "int64", "item": "int64", "score": "float64"}
-            )
+                        rows.append((key, item, alignment(own, passage)))
+            yield pd.DataFrame(rows, columns=["key", "item", "score"]).astype({"item": "int64", "score": "float64"})
 
     return run
 
@@ -174,26 +173,31 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
         yield block
 
 
+def _key() -> Column:
+    """A digest of id and text: rows that share it are judged alike, whatever ids are null or repeat."""
+    return F.unhex(F.sha2(F.concat_ws(" ", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("text").cast("string")), 256))
+
+
 def alignments(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Rows doc_id, item, score: every document with the items whose seeds it holds."""
+    """Rows key, item, score: every document, known by its key, with the items whose seeds it holds."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = spark.createDataFrame([], "doc_id long, item long, score double")
+    texts = docs.select(_key().alias("key"), F.col("text").cast("string").alias("text"))
+    found = spark.createDataFrame([], "key binary, item long, score double")
     for items in _blocks(benchmark):
-        part = texts.mapInPandas(_aligned(_Block(items)), "doc_id long, item long, score double")
-        found = found.unionAll(written(part.groupBy("doc_id", "item").agg(F.max("score").alias("score")), "aligned"))
-    return found.groupBy("doc_id", "item").agg(F.max("score").alias("score"))
+        part = texts.mapInPandas(_aligned(_Block(items)), "key binary, item long, score double")
+        found = found.unionAll(written(part.groupBy("key", "item").agg(F.max("score").alias("score")), "aligned"))
+    return found.groupBy("key", "item").agg(F.max("score").alias("score"))
 
 
 def scores(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows doc_id, best_item, score, contaminated for every document; no item: null and 0."""
-    best = alignments(docs, benchmark).groupBy("doc_id").agg(
+    best = alignments(docs, benchmark).groupBy("key").agg(
         F.max_by("item", F.struct("score", -F.col("item"))).alias("best_item"), F.max("score").alias("score")
     )
     return (
-        docs.select("doc_id")
-        .join(best, "doc_id", "left")
+        docs.select("doc_id", _key().alias("key"))
+        .join(best, "key", "left")
         .select(
             "doc_id",
             "best_item",
@@ -205,8 +209,8 @@ def scores(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents that hold no passage of the benchmark, with all their columns."""
-    bad = alignments(docs, benchmark).where(F.col("score") >= MIN_SCORE).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"] == F.col("__bad"), "left_anti")
+    bad = alignments(docs, benchmark).where(F.col("score") >= MIN_SCORE).select(F.col("key").alias("__bad")).distinct()
+    return docs.join(bad, _key() == F.col("__bad"), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

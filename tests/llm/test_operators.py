@@ -502,6 +502,30 @@ def test_jaccard_components(spark):
     assert op10_ngram_jaccard.classes(docs.limit(0)).count() == 0
 
 
+def test_null_and_repeated_ids(spark):
+    """Without ids, or with one id for different texts, rows are judged by their own texts."""
+    base = sentence(150).split()
+    copies = [" ".join(f"e{k}" if j == 40 * k else w for j, w in enumerate(base)) for k in range(3)]
+    single = [sentence(60) for _ in range(3)]
+    item = " ".join(f"q{k}" for k in range(30))
+    rows = [(None, single[0]), (5, single[1]), (5, single[2]), (None, copies[0]), (9, copies[1]), (8, copies[2]), (None, ""), (None, None)]
+    rows += [(7, ""), (7, ""), (5, single[1]), (None, sentence(70)), (None, rows[0][1])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3).withColumn("size", F.lit(1))
+    kept = op10_ngram_jaccard.one_of_each(docs)
+    want = [rows[k] for k in (0, 1, 2, 5, 6, 7, 8, 11)]
+    assert kept.columns == docs.columns and sorted(map(str, [(r["doc_id"], r["text"]) for r in kept.collect()])) == sorted(map(str, want))
+    found = Counter((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in op10_ngram_jaccard.classes(docs).collect())
+    assert found == Counter({(None, True, None): 3, (5, True, 5): 3, (None, True, 8): 1, (9, True, 8): 1, (8, True, 8): 1, (None, False, None): 2, (7, False, 7): 2})
+
+    leaks = [(None, f"{sentence(20)} {item}"), (3, f"{item} {sentence(20)}"), (3, sentence(40)), (None, sentence(40)), (None, None)]
+    docs = spark.createDataFrame(leaks, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(1, item)], "item_id long, text string")
+    left = op4_decontaminate.clean(docs, benchmark).collect()
+    assert sorted(map(str, [(r["doc_id"], r["text"]) for r in left])) == sorted(map(str, leaks[2:]))
+    judged = Counter((r["doc_id"], r["best_item"], r["contaminated"]) for r in op4_decontaminate.scores(docs, benchmark).collect())
+    assert judged == Counter({(None, 1, True): 1, (3, 1, True): 1, (3, None, False): 1, (None, None, False): 2})
+
+
 def test_components_of_long_paths(spark):
     from seriesmill.llm.graph import components
 
