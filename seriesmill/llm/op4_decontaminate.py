@@ -12,7 +12,7 @@ alignments are row-local; only scores are moved.
 
 Defined cases: null, empty or blank texts hold nothing and stay; null, empty or blank items match
 nothing; items shorter than a seed are one seed by themselves; repeated rows are judged alike; null
-ids and equal ids with different texts are ordinary rows, each judged by its own text;
+ids and equal ids with different texts are ordinary rows of both tables, each judged by its own text;
 with an empty benchmark every document stays; further columns are ignored by ``scores`` and kept by
 ``clean``.
 """
@@ -78,9 +78,9 @@ def alignment(item: np.ndarray, passage: np.ndarray) -> float:
 
 
 class _Block:
-    """The items of one block with an index of their seeds."""
+    """The items of one block, known by their place (ids are labels), with an index of their seeds."""
 
-    def __init__(self, items: list[tuple[int, np.ndarray]]):
+    def __init__(self, items: list[tuple[int | None, np.ndarray]]):
         self.items = items
         hashes, owner, at = [], [], []
         for k, (_, words) in enumerate(items):
@@ -128,7 +128,7 @@ def _aligned(block: _Block):
                     for owner, passage in _passages(block, words, places, seeds):
                         item, own = block.items[owner]
                         rows.append((key, item, alignment(own, passage)))
-            yield pd.DataFrame(rows, columns=["key", "item", "score"]).astype({"item": "int64", "score": "float64"})
+            yield pd.DataFrame(rows, columns=["key", "item", "score"]).astype({"item": "Int64", "score": "float64"})
 
     return run
 
@@ -157,14 +157,14 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, np.ndarray]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int | None, np.ndarray]]]:
     """Items with their words, in blocks of a bounded number of seeds; rows come one partition at a time."""
     block, held = [], 0
-    for row in benchmark.select("item_id", "text").where("item_id is not null").toLocalIterator():
+    for row in benchmark.select("item_id", "text").toLocalIterator():
         words = word_hashes(plain_words(row["text"]))
         if not len(words):
             continue
-        block.append((int(row["item_id"]), words))
+        block.append((None if row["item_id"] is None else int(row["item_id"]), words))
         held += len(words)
         if held >= BLOCK_SEEDS:
             yield block

@@ -257,6 +257,15 @@ def test_decontamination_of_edited_copies(spark):
         assert found[k]["score"] == pytest.approx(best)
 
 
+def test_decontamination_by_items_without_own_ids(spark):
+    items = [" ".join(f"i{k}w{j}" for j in range(30)) for k in range(3)]
+    benchmark = spark.createDataFrame([(1, items[0]), (1, items[1]), (None, items[2])], "item_id long, text string")
+    texts = [f"{sentence(20)} {t}" for t in items] + [sentence(40)]
+    found = by_id(op4_decontaminate.scores(documents(spark, texts), benchmark))
+    assert [(found[k]["best_item"], found[k]["score"]) for k in range(4)] == [(1, 1.0), (1, 1.0), (None, 1.0), (None, 0.0)]
+    assert [found[k]["contaminated"] for k in range(4)] == [True, True, True, False]
+
+
 def test_alignment_is_smith_waterman():
     import numpy as np
 
