@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seriesmill.llm.op1_pii import op1_pii
 from seriesmill.llm.op10_ngram_jaccard import op10_ngram_jaccard
 from seriesmill.llm.op11_whitening import op11_whitening
+from seriesmill.llm.op12_periodic_runs import op12_periodic_runs
 from seriesmill.llm.op2_substring_dedup import op2_substring_dedup
 from seriesmill.llm.op3_lm_scoring import op3_lm_scoring
 from seriesmill.llm.op4_decontaminate import op4_decontaminate
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_warc": op9_warc,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_whitening": op11_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 ORACLES: dict[str, str] = {
     "op6_mix_sources": OP6_SQL,
