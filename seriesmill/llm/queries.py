@@ -10,6 +10,7 @@ from seriesmill.llm.op1_pii import op1_pii
 from seriesmill.llm.op10_ngram_jaccard import op10_ngram_jaccard
 from seriesmill.llm.op11_whitening import op11_whitening
 from seriesmill.llm.op12_periodic_runs import op12_periodic_runs
+from seriesmill.llm.op13_chat_template import op13_chat_template
 from seriesmill.llm.op2_substring_dedup import op2_substring_dedup
 from seriesmill.llm.op3_lm_scoring import op3_lm_scoring
 from seriesmill.llm.op4_decontaminate import op4_decontaminate
@@ -34,6 +35,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_whitening": op11_whitening,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_chat_template": op13_chat_template,
 }
 ORACLES: dict[str, str] = {
     "op6_mix_sources": OP6_SQL,
