@@ -8,13 +8,14 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.q_forecast import CONFIG, cv_sql, fin_sql, predictions, rounded, values
+from checks.q_forecast import CONFIG, cv_sql, fin_sql, frame, predictions, rounded, values
 from checks.registry import query
 from seriesmill import testbed as T
 from seriesmill.config import AssumptionRule, Scenario
 from seriesmill.functions.periods import shift_date
 from seriesmill.operators import backtest as FC
 from seriesmill.operators import hierarchy as H
+from seriesmill.operators import outcome as O
 from seriesmill.operators import panel as P
 from seriesmill.operators import scenarios as SC
 
@@ -157,8 +158,12 @@ rec AS (
   FROM agg JOIN exp ON exp.tipo IS NOT DISTINCT FROM agg.tipo AND exp.marca IS NOT DISTINCT FROM agg.marca)"""
 
 
-def reconciled(spark, sf, hierarchy=WITH_TOTAL):
-    return H.reconcile_bottom_up(predictions(spark, sf, "ean"), bridge(spark, sf), hierarchy)
+def final_rows(spark, sf, grain="ean"):
+    return O.final_panel(frame(spark, sf, grain))
+
+
+def reconciled(spark, sf, hierarchy=WITH_TOTAL, **options):
+    return O.roll_up(final_rows(spark, sf), T.entities(spark, sf), hierarchy, len(PERIODS), **options)
 
 
 @query("reconcile_bottom_up", f"WITH {RECON.strip()} SELECT node_id, level, measure, ds, model_alias, round(yhat, 4) AS yhat, n_leaves, status FROM rec")
@@ -167,6 +172,13 @@ def _(spark, sf):
     return rounded(out, "yhat")
 
 
+@query("reconcile_stored", f"WITH {RECON.strip()} SELECT level, model_alias, status, count(*) AS n, round(sum(yhat), 4) AS yhat FROM rec GROUP BY ALL")
+def _(spark, sf):
+    """The same from stored predictions, one row per date."""
+    out = H.reconcile_bottom_up(predictions(spark, sf, "ean"), bridge(spark, sf), WITH_TOTAL)
+    return out.groupBy("level", "model_alias", "status").agg(F.count("*").alias("n"), F.round(F.sum("yhat"), 4).alias("yhat"))
+
+
 @query("reconcile_label", f"WITH {RECON.strip()} SELECT level, model_alias, CASE WHEN status = 'ok' THEN 'MinT' ELSE 'BottomUp' END AS reconciliation, count(*) AS n FROM rec GROUP BY ALL")
 def _(spark, sf):
     out = reconciled(spark, sf, replace(WITH_TOTAL, mode="mintrace"))
@@ -184,10 +196,7 @@ def _(spark, sf):
     FROM rec LEFT JOIN wn USING (level, measure, ds, model_alias)""",
 )
 def _(spark, sf):
-    leaves = predictions(spark, sf, "ean")
-    b = bridge(spark, sf).where("level < 2")
-    parents = H.reconcile_bottom_up(leaves, b, WITH_TOTAL)
-    out = H.round_and_recompose(leaves, parents, b).where("level <> 'folha'")
+    out = reconciled(spark, sf, whole_units=True)
     return rounded(out.select("level", "measure", "ds", "model_alias", "yhat", "status"), "yhat")
 
 
@@ -398,39 +407,63 @@ def _(spark, sf):
     return rounded(rounded(out, "yhat", "yhat_base", digits=6), "variation", digits=6)
 
 
+def members(spark, sf, level):
+    return H.node_bridge(T.entities(spark, sf), T.HIERARCHY, keep=("dims",)).where(level)
+
+
 @query(
     "apply_scenario_nodes",
     f"""WITH {ENT.strip()}, ents AS (SELECT * FROM entities),{RULES_SQL},
     meas AS (SELECT * FROM (VALUES ('unidades'), ('valor')) t(measure)),
-    lf AS (SELECT e.entity_id, e.tipo, e.marca, p.period AS ds, m.measure, coalesce(f.factor, 1.0) AS factor
+    lf AS (SELECT e.entity_id, e.tipo, e.marca, p.period AS ds, m.measure, coalesce(f.factor, 1.0) AS factor, f.factor IS NOT NULL AS hit
            FROM ents e, pers p, meas m LEFT JOIN fac f ON f.scenario_id = 'growth' AND f.entity_id = e.entity_id AND f.ds = p.period AND f.measure = m.measure)
     SELECT {S.node_id(1, ["tipo", "marca"])} AS node_id, ds, measure, round(min(factor), 9) AS factor,
-           round(min(factor), 12) = round(max(factor), 12) AS uniform, count_if(factor <> 1) AS n_touched, count(*) AS n_leaves FROM lf GROUP BY tipo, marca, ds, measure
+           round(min(factor), 12) = round(max(factor), 12) AND bool_and(hit) = bool_or(hit) AS uniform, count_if(hit) AS n_touched, count(*) AS n_leaves
+    FROM lf GROUP BY tipo, marca, ds, measure
     UNION ALL
-    SELECT {S.node_id(0, ["tipo"])}, ds, measure, round(min(factor), 9), round(min(factor), 12) = round(max(factor), 12), count_if(factor <> 1), count(*) FROM lf GROUP BY tipo, ds, measure""",
+    SELECT {S.node_id(0, ["tipo"])}, ds, measure, round(min(factor), 9), round(min(factor), 12) = round(max(factor), 12) AND bool_and(hit) = bool_or(hit),
+           count_if(hit), count(*) FROM lf GROUP BY tipo, ds, measure""",
 )
 def _(spark, sf):
-    b = H.node_bridge(T.entities(spark, sf), T.HIERARCHY).where("level < 2")
-    out = SC.node_factors(b, T.entities(spark, sf), PERIODS, ("unidades", "valor"), GROWTH)
-    return rounded(out, "factor", digits=9)
+    out = SC.node_factors(members(spark, sf, "level < 2"), PERIODS, ("unidades", "valor"), (GROWTH,))
+    return rounded(out.drop("scenario_id"), "factor", digits=9)
+
+
+# Rules of whole types suit the nodes of level 0; a rule of brands covers them in part.
+WHOLE = Scenario(
+    "whole",
+    (
+        rule("w1", "whole", "price", "valor", "annual_step", 0.05, date(2001, 11, 1)),
+        rule("w2", "whole", "promo", "unidades", "pulse", 0.25, date(2001, 12, 1), date(2002, 2, 1), 1, tipo=("ECONOMY", "SMALL")),
+        rule("w3", "whole", "promo", "unidades", "step", -0.1, date(2002, 1, 1), None, 0, tipo=("ECONOMY",)),
+        rule("w4", "whole", "mix", "valor", "step", 0.02, date(2002, 3, 1), None, 0),
+    ),
+)
+PART = Scenario("part", (rule("p1", "part", "mix", "unidades", "step", 0.02, date(2001, 10, 1), None, 0, marca=("Brand#2", "Brand#17")),))
+WHOLE_FACTOR = """
+    CASE WHEN measure = 'valor' THEN (CASE WHEN ds >= DATE '2001-11-01' THEN 1.05 ELSE 1.0 END) * (CASE WHEN ds >= DATE '2002-03-01' THEN 1.02 ELSE 1.0 END)
+         WHEN level IN ('ECONOMY', 'SMALL') AND ds BETWEEN DATE '2001-12-01' AND DATE '2002-02-01' THEN 1.25
+         WHEN level = 'ECONOMY' AND ds >= DATE '2002-01-01' THEN 0.9 ELSE 1.0 END"""
 
 
 @query(
     "scenario_partial_nodes",
-    f"""WITH {RECON.strip()[0:]}, ents AS (SELECT * FROM entities),{RULES_SQL},
-    lf AS (SELECT e.entity_id, e.tipo, p.period AS ds, 'unidades' AS measure, coalesce(f.factor, 1.0) AS factor
-           FROM ents e CROSS JOIN pers p LEFT JOIN fac f ON f.scenario_id = 'growth' AND f.entity_id = e.entity_id AND f.ds = p.period AND f.measure = 'unidades'),
-    nf AS (SELECT tipo AS level, ds, measure, min(factor) AS lo, max(factor) AS hi FROM lf GROUP BY ALL)
-    SELECT rec.level, rec.ds, rec.model_alias, round(rec.yhat * lo, 4) AS yhat, lo <> hi AS blocked,
-           CASE WHEN lo <> hi THEN 'E_SCENARIO_PARTIAL_NODE' ELSE '' END AS code
-    FROM rec JOIN nf ON nf.level = rec.level AND nf.ds = rec.ds AND nf.measure = rec.measure""",
+    f"""WITH {RECON.strip()}, top AS (SELECT * FROM rec WHERE level IN (SELECT tipo FROM entities)),
+    n AS (SELECT count(*) AS n_cells FROM (SELECT DISTINCT tipo FROM entities e1
+          WHERE EXISTS (SELECT 1 FROM entities e2 WHERE e2.tipo = e1.tipo AND marca IN ('Brand#2', 'Brand#17'))
+            AND EXISTS (SELECT 1 FROM entities e2 WHERE e2.tipo = e1.tipo AND marca NOT IN ('Brand#2', 'Brand#17'))), range(11))
+    SELECT scenario_id, level, measure, model_alias, ds, round(yhat * f, 4) AS yhat, NULL AS code, NULL AS n_cells FROM (
+      SELECT 'whole' AS scenario_id, *, {WHOLE_FACTOR} AS f FROM top UNION ALL SELECT 'copy', *, 1.0 FROM top)
+    UNION ALL SELECT 'part', NULL, NULL, NULL, NULL, NULL, 'E_SCENARIO_PARTIAL_NODE', n_cells FROM n WHERE n_cells > 0""",
 )
 def _(spark, sf):
-    b = H.node_bridge(T.entities(spark, sf), T.HIERARCHY).where("level = 0")
-    nodes = H.reconcile_bottom_up(predictions(spark, sf, "ean").where("measure = 'unidades'"), b, T.HIERARCHY)
-    factors = SC.node_factors(b, T.entities(spark, sf), PERIODS, ("unidades",), GROWTH)
-    out = SC.apply_scenario_nodes(nodes, factors, GROWTH).select("level", "ds", "model_alias", "yhat", "blocked", "code")
-    return rounded(out, "yhat")
+    """Rows of three scenarios on level 0, and one issue row for the one that covers types in part."""
+    nodes = H.reconcile_bottom_up(predictions(spark, sf, "ean"), bridge(spark, sf).where("level = 0"), WITH_TOTAL)
+    all_three = (COPY, WHOLE, PART)
+    factors = SC.node_factors(members(spark, sf, "level = 0"), PERIODS, ("unidades", "valor"), all_three)
+    out, issues = SC.apply_scenario_nodes(nodes, factors, all_three)
+    rows = rounded(out.select("scenario_id", "level", "measure", "model_alias", "ds", "yhat"), "yhat")
+    return rows.unionByName(issues, allowMissingColumns=True)
 
 
 @query(

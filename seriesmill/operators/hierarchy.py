@@ -46,27 +46,47 @@ def _level_id(level: int, hierarchy: HierarchyConfig) -> Column:
     return ids.node_id(level, [F.col(d) for d in hierarchy.levels[level]])
 
 
-def node_bridge(entities: DataFrame, hierarchy: HierarchyConfig) -> DataFrame:
-    """(entity, node) for every level; ids come from the row's own dimensions, so nothing joins."""
+def _nodes_of(hierarchy: HierarchyConfig) -> list[tuple[int, Column, Column, Column]]:
+    """(level, level name, node id, parent id) of an entity's row, from the top down."""
     total = ids.total_node_id()
-    entries = []
-    if hierarchy.include_total:
-        entries.append((TOTAL_LEVEL, F.lit("Total"), total, F.lit(None).cast("string")))
+    none = F.lit(None).cast("string")
+    entries = [(TOTAL_LEVEL, F.lit("Total"), total, none)] if hierarchy.include_total else []
     for level, dims in enumerate(hierarchy.levels):
         if level > 0:
             parent = _level_id(level - 1, hierarchy)
         else:
-            parent = total if hierarchy.include_total else F.lit(None).cast("string")
+            parent = total if hierarchy.include_total else none
         entries.append((level, F.concat_ws(" > ", *dims), _level_id(level, hierarchy), parent))
+    return entries
+
+
+def node_bridge(entities: DataFrame, hierarchy: HierarchyConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(entity, node) for every level; ids come from the row's own dimensions, so nothing joins.
+
+    Columns named in ``keep`` stay beside each node of their entity.
+    """
     nodes = F.array(
         *[
             F.struct(
                 F.lit(level).alias("level"), name.alias("level_name"), node.alias("node_id"), up.alias("parent_node_id")
             )
-            for level, name, node, up in entries
+            for level, name, node, up in _nodes_of(hierarchy)
         ]
     )
-    return entities.select("entity_id", F.explode(nodes).alias("b")).select("entity_id", "b.*")
+    return entities.select("entity_id", *keep, F.explode(nodes).alias("b")).select("entity_id", *keep, "b.*")
+
+
+def ancestors(entities: DataFrame, hierarchy: HierarchyConfig) -> DataFrame:
+    """One row per entity with the ids of its nodes above the leaves as an array."""
+    above = [node for level, _, node, _ in _nodes_of(hierarchy) if level < len(hierarchy.levels) - 1]
+    found = F.array(*above) if above else F.array().cast("array<string>")
+    return entities.select("entity_id", found.alias("ancestors"))
+
+
+def expected_leaves(entities: DataFrame, hierarchy: HierarchyConfig) -> DataFrame:
+    """Per node above the leaves: its name and the leaves it should have."""
+    above = node_bridge(entities, hierarchy).where(F.col("level") < len(hierarchy.levels) - 1)
+    return above.groupBy("node_id", "level_name").agg(F.count("*").alias("_expected"))
 
 
 def build_nodes(bridge: DataFrame) -> DataFrame:
@@ -123,10 +143,10 @@ def aggregate_history(values: DataFrame, bridge: DataFrame, level: int) -> DataF
 
 
 def reconcile_bottom_up(predictions: DataFrame, bridge: DataFrame, hierarchy: HierarchyConfig) -> DataFrame:
-    """Leaf forecasts summed at every ancestor; status against the leaves the node should have.
+    """Stored leaf forecasts, one row per date, summed at every ancestor.
 
-    Sums combine before the shuffle, so the top node costs one row per task and period. Limits
-    of single series are not additive and stay null.
+    Sums combine before the shuffle, so the top node costs one row per task and period. A run that still
+    has its horizon in arrays sums those instead (``outcome.roll_up``).
     """
     leaf_level = len(hierarchy.levels) - 1
     above = bridge.where(F.col("level") < leaf_level)
@@ -137,6 +157,14 @@ def reconcile_bottom_up(predictions: DataFrame, bridge: DataFrame, hierarchy: Hi
         .groupBy("node_id", "measure", "scenario_id", "ds", "model_alias")
         .agg(F.sum("yhat").alias("yhat"), F.count("yhat").alias("n_leaves"))
     )
+    return labelled(summed, expected, hierarchy)
+
+
+def labelled(summed: DataFrame, expected: DataFrame, hierarchy: HierarchyConfig, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Summed nodes as predictions: status against the leaves a node should have.
+
+    Limits of single series are not additive and stay null.
+    """
     complete = F.col("n_leaves") == F.col("_expected")
     return summed.join(expected, "node_id").select(
         "node_id",
@@ -153,6 +181,7 @@ def reconcile_bottom_up(predictions: DataFrame, bridge: DataFrame, hierarchy: Hi
         F.when(complete, "ok").otherwise("partial_coverage").alias("status"),
         "n_leaves",
         F.when(complete & F.lit(hierarchy.mode == "mintrace"), "MinT").otherwise("BottomUp").alias("reconciliation"),
+        *keep,
     )
 
 

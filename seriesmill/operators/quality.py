@@ -135,19 +135,24 @@ def densify(dedup: DataFrame, study: StudyConfig) -> DataFrame:
     """
     start = F.lit(grid_start(study.history_end, study.history_periods, study.step))
     end = F.lit(study.history_end)
-    by_series = Window.partitionBy("series_id").orderBy("ds")
     place = _periods_from_end(study)
     on_grid = place["on_grid"]
-    opening = ~on_grid & (F.row_number().over(by_series) == 1)
-    known = dedup.select(
+    newest_first = Window.partitionBy("series_id").orderBy(F.desc("ds"))
+    later = newest_first.rowsBetween(Window.unboundedPreceding, -1)
+    rows = dedup.select(*SERIES, "ds", F.col("y_raw").cast("double").alias("_y"), on_grid.alias("_on"), place["next"].alias("_up"))
+    rows = rows.withColumns(
+        {
+            "_then": F.last(F.when(F.col("_on"), F.col("ds")), ignorenulls=True).over(later),
+            "_opens": F.lead("ds").over(newest_first).isNull(),
+        }
+    )
+    known = rows.where("_on or _opens").select(
         *SERIES,
-        F.when(on_grid, F.col("ds")).otherwise(place["next"]).alias("ds"),
-        F.when(on_grid, F.col("y_raw").cast("double")).alias("_y"),
-        on_grid.alias("_on"),
-        opening.alias("_opens"),
-    ).where("_on or _opens")
-    following = F.add_months(F.lead("ds").over(Window.partitionBy("series_id").orderBy("ds", "_on")), -study.step)
-    spans = known.withColumn("_next", following).select(
+        F.when(F.col("_on"), F.col("ds")).otherwise(F.col("_up")).alias("ds"),
+        F.when(F.col("_on"), F.col("_y")).alias("_y"),
+        F.add_months("_then", -study.step).alias("_next"),
+    )
+    spans = known.select(
         *SERIES,
         F.col("ds").alias("_at"),
         "_y",

@@ -34,13 +34,18 @@ def entity_matches(filters: Column, dims: Column) -> Column:
     )
 
 
+def _covers(rule: AssumptionRule, entity: Column, dims: Column) -> Column:
+    out = in_scope(rule.filters, dims)
+    return out & ~entity.isin(*rule.excluded) if rule.excluded else out
+
+
+def _in_time(rule: AssumptionRule, period: Column) -> Column:
+    out = period >= F.lit(rule.start)
+    return out & (period <= F.lit(rule.end)) if rule.end is not None and rule.effect != "step" else out
+
+
 def rule_applies(rule: AssumptionRule, entity: Column, dims: Column, period: Column) -> Column:
-    out = in_scope(rule.filters, dims) & (period >= F.lit(rule.start))
-    if rule.excluded:
-        out = out & ~entity.isin(*rule.excluded)
-    if rule.end is not None and rule.effect != "step":
-        out = out & (period <= F.lit(rule.end))
-    return out
+    return _covers(rule, entity, dims) & _in_time(rule, period)
 
 
 def annual_occurrences(start: date, period: Column) -> Column:
@@ -190,38 +195,90 @@ def apply_scenario(predictions: DataFrame, entities: DataFrame, scenarios: tuple
     return _scaled(with_dims.withColumn("factor", factor)).drop("dims")
 
 
+def _marks(rules: list[AssumptionRule], entity: Column, dims: Column) -> Column:
+    """For every rule a 1 where its scope covers the entity, else a 0, as one text."""
+    marks = [F.when(_covers(r, entity, dims), "1").otherwise("0") for r in rules]
+    return F.concat(*marks) if marks else F.lit("")
+
+
+def _marked_factor(rules: list[AssumptionRule], place: dict[int, int], marks: Column, period: Column, measure: Column) -> tuple[Column, Column]:
+    """Factor of an entity with these marks, and whether any rule touches it."""
+    factor, touched = F.lit(1.0), F.lit(False)
+    for (_, target), members in _families(rules).items():
+        own = [(F.substring(marks, place[id(r)], 1) == "1") & _in_time(r, period) & (measure == target) for r in members]
+        factor = factor * F.coalesce(*[F.when(hit, rule_factor(r, period)) for r, hit in zip(members, own)], F.lit(1.0))
+        for hit in own:
+            touched = touched | hit
+    return factor, touched
+
+
 def node_factors(
-    bridge: DataFrame, entities: DataFrame, periods: list[date], measures: tuple[str, ...], scenario: Scenario
+    members: DataFrame, periods: list[date], measures: tuple[str, ...], scenarios: tuple[Scenario, ...]
 ) -> DataFrame:
-    """Factor per (node, ds, measure) and whether all covered leaves share it."""
-    cells = F.explode(
-        F.array(*[F.struct(F.lit(p).alias("ds"), F.lit(m).alias("measure")) for p in periods for m in measures])
-    ).alias("c")
-    leaves = entities.select("entity_id", "dims", cells).select("entity_id", "dims", "c.ds", "c.measure")
-    own = factor_expression(scenario.rules, F.col("entity_id"), F.col("dims"), F.col("ds"), F.col("measure"))
+    """Factor per (scenario, node, ds, measure) and whether all leaves of the node share it.
+
+    ``members`` are (entity_id, node_id, dims). What rules do to a leaf depends on the leaf only by whether
+    their scopes cover it, so leaves are first counted per node and set of rules that cover them; scenarios,
+    periods and measures multiply those few rows, not the leaves. A node is uniform where no leaf is
+    touched, or all are and their factors are equal.
+    """
+    live = {s.scenario_id: _live(s.rules) for s in scenarios}
+    rules = [r for own in live.values() for r in own]
+    place = {id(r): k for k, r in enumerate(rules, 1)}
+    marks = _marks(rules, F.col("entity_id"), F.col("dims"))
+    sets = members.groupBy("node_id", marks.alias("_marks")).agg(F.count("*").alias("_n"))
+    cells = [
+        F.struct(F.lit(s).alias("scenario_id"), F.lit(p).alias("ds"), F.lit(m).alias("measure"))
+        for s, own in live.items()
+        for p in periods
+        for m in measures
+        if own
+    ]
+    none = F.array().cast("array<struct<scenario_id:string,ds:date,measure:string>>")
+    rows = sets.select("node_id", "_marks", "_n", F.explode(F.array(*cells) if cells else none).alias("c"))
+    rows = rows.select("node_id", "_marks", "_n", "c.*")
+    factor, touched = F.lit(1.0), F.lit(False)
+    for s, own in live.items():
+        here = F.col("scenario_id") == s
+        f, t = _marked_factor(own, place, F.col("_marks"), F.col("ds"), F.col("measure"))
+        factor, touched = F.when(here, f).otherwise(factor), F.when(here, t).otherwise(touched)
+    keys = ["scenario_id", "node_id", "ds", "measure"]
+    same = (F.min("factor") == F.max("factor")) & (F.bool_and("_touched") == F.bool_or("_touched"))
     return (
-        leaves.select("entity_id", "ds", "measure", own.alias("factor"))
-        .join(bridge.select("entity_id", "node_id"), "entity_id")
-        .groupBy("node_id", "ds", "measure")
+        rows.select(*keys, "_n", factor.alias("factor"), touched.alias("_touched"))
+        .groupBy(*keys)
         .agg(
             F.min("factor").alias("factor"),
-            (F.min("factor") == F.max("factor")).alias("uniform"),
-            F.count_if(F.col("factor") != 1.0).alias("n_touched"),
-            F.count("*").alias("n_leaves"),
+            same.alias("uniform"),
+            F.sum(F.when(F.col("_touched"), F.col("_n")).otherwise(0)).alias("n_touched"),
+            F.sum("_n").alias("n_leaves"),
         )
     )
 
 
-def apply_scenario_nodes(predictions: DataFrame, factors: DataFrame, scenario: Scenario) -> DataFrame:
-    """Aggregate forecasts times the shared factor; partly covered nodes are marked and left out of the sum."""
-    rows = predictions.join(factors, ["node_id", "ds", "measure"], "left").withColumns(
-        {
-            "scenario_id": F.lit(scenario.scenario_id),
-            "factor": F.coalesce("factor", F.lit(1.0)),
-            "blocked": ~F.coalesce("uniform", F.lit(True)),
-        }
-    )
-    return _scaled(rows).withColumn("code", F.when(F.col("blocked"), "E_SCENARIO_PARTIAL_NODE").otherwise(""))
+def partial_nodes(factors: DataFrame, cells: DataFrame) -> DataFrame:
+    """Scenarios that touch only some leaves of a node, one issue row each; none of their rows may be used.
+
+    ``cells`` (entity_id, ds, measure) are the forecasts of nodes that there are; other cells don't count.
+    """
+    broken = factors.where(~F.col("uniform")).withColumnRenamed("node_id", "entity_id")
+    broken = broken.join(cells, ["entity_id", "ds", "measure"], "left_semi")
+    return broken.groupBy("scenario_id", F.lit("E_SCENARIO_PARTIAL_NODE").alias("code")).agg(F.count("*").alias("n_cells"))
+
+
+def apply_scenario_nodes(predictions: DataFrame, factors: DataFrame, scenarios: tuple[Scenario, ...]) -> tuple[DataFrame, DataFrame]:
+    """(scaled rows, issues) of upper-level forecasts, times the factor that all leaves of a node share.
+
+    The rows carry their node as the entity. A scenario that covers a node in part gives no rows at
+    all; the list of those has a row per scenario setting at most, which bounds the broadcast.
+    """
+    issues = partial_nodes(factors, predictions.select("entity_id", "ds", "measure"))
+    names = F.array(*[F.lit(s.scenario_id) for s in scenarios])
+    keys = ["scenario_id", "entity_id", "ds", "measure"]
+    own = factors.withColumnRenamed("node_id", "entity_id").select(*keys, "factor")
+    rows = predictions.withColumn("scenario_id", F.explode(names)).join(own, keys, "left")
+    rows = rows.join(F.broadcast(issues.select("scenario_id")), "scenario_id", "left_anti")
+    return _scaled(rows.withColumn("factor", F.coalesce("factor", F.lit(1.0)))), issues
 
 
 def family_clashes(scenarios: tuple[Scenario, ...], regressor_names: dict[str, str]) -> list[tuple[str, str]]:
@@ -253,7 +310,7 @@ def generate_scenarios(
     clashes = family_clashes(scenarios, regressor_names or {})
     clashing = {s for s, _ in clashes}
     open_ = tuple(s for s in scenarios if s.scenario_id != BASE and s.scenario_id not in clashing)
-    issues = _clash_issues(spark, clashes)
+    issues = clash_issues(spark, clashes)
     if not open_:
         rest = base if with_base else base.where(F.lit(False))
         return rest.withColumn("factor", F.lit(1.0)), issues, compile_assumptions(entities, periods, ())
@@ -270,7 +327,7 @@ def generate_scenarios(
     return applied, issues, trace
 
 
-def _clash_issues(spark: SparkSession, clashes: list[tuple[str, str]]) -> DataFrame:
+def clash_issues(spark: SparkSession, clashes: list[tuple[str, str]]) -> DataFrame:
     rows = [(s, "E_SCENARIO_REG_FAMILY_DUP", 1) for s, _ in clashes]
     return spark.createDataFrame(rows, "scenario_id string, code string, n_cells long")
 
