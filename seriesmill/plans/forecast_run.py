@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from datetime import date
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +13,7 @@ from seriesmill.functions.periods import shift_date
 from seriesmill.operators import backtest as FC
 from seriesmill.operators import global_trees as G
 from seriesmill.operators import hierarchy as H
+from seriesmill.operators import outcome as O
 from seriesmill.operators import panel as P
 from seriesmill.operators import quality as Q
 from seriesmill.operators import regressors as R
@@ -37,18 +41,19 @@ def run_forecast(
 
     ``keep_frame`` writes the method frame to the shared checkpoint folder, so its readers
     (backtest, final, scenarios) share one computation and lost executors do not repeat it.
-    ``entities`` carry the hierarchy dimensions and a ``dims`` map.
+    ``entities`` carry the hierarchy dimensions and a ``dims`` map. Settings that can't be used raise an
+    error before anything is read; what the data say against a run comes back in ``issues``. Rules of a run at an
+    upper level still speak of leaves, and must reach all leaves of a node alike.
     """
-    problems = [*study.validate(), *config.validate()]
-    if problems:
-        raise ValueError("; ".join(f"{name}: {text}" for name, text in problems))
+    check_settings(study, config, hierarchy, scenarios, regressors)
     values = Q.prepare(observations, study, policy).values
-    bridge = H.node_bridge(entities, hierarchy) if hierarchy else None
-    modelled, owners = values, entities
+    bridge = H.node_bridge(entities, hierarchy, keep=("dims",)) if hierarchy else None
+    modelled, owners, members = values, entities, None
     if hierarchy and hierarchy.mode == "independent":
         level = hierarchy.forecast_level or 0
         modelled = H.aggregate_history(values, bridge, level)
         owners = _level_owners(entities, bridge, hierarchy, level)
+        members = bridge.where(F.col("level") == level)
     if policy.missing in FILLED:
         folds = P.calendar_folds(study, config)
     else:
@@ -65,27 +70,68 @@ def run_forecast(
         frame = cut_lineage(frame)
     cv = FC.cv_predictions(frame)
     scores = FC.select_model(FC.score_models(cv), config)
-    base = FC.final_forecast(frame, native_only=not (fitted or regressors or global_iterations))
-    base = FC.conformal_intervals(base, cv, config.interval_level, any_history=False).select(*base.columns)
-    predictions, issues = base, None
+    base = O.final_panel(frame, config.interval_level)
+    rows, issues = base, SC.clash_issues(base.sparkSession, [])
     if scenarios:
         names = {s.regressor_id: s.name for s in regressors}
         refits = [s for s in scenarios if s.overrides and regressors]
         shared = tuple(s for s in scenarios if s not in refits)
-        more, issues, _ = SC.generate_scenarios(base, owners, shared, horizon, names, with_base=True, own_dates=True)
-        predictions = more.select(*base.columns)
+        rows, issues = O.with_scenarios(base, entities, shared, horizon, names, members)
         for s in refits:
-            own = scenario_refit(base, modelled, owners, regressor_values, regressors, study, config, folds, horizon, s)
-            extra, more_issues, _ = SC.generate_scenarios(own, owners, (s,), horizon, names, own_dates=True)
-            predictions = predictions.unionByName(extra.select(*base.columns))
-            issues = issues.unionByName(more_issues)
-    out = {"values": modelled, "cv": cv, "scores": scores, "predictions": predictions}
-    if issues is not None:
-        out["issues"] = issues
+            again = O.final_panel(_exogenous(modelled, owners, regressor_values, regressors, study, config, folds, horizon, s.overrides), config.interval_level)
+            own = refitted(base, again)
+            extra, more_issues = O.with_scenarios(own, entities, (s,), horizon, names, members, with_base=False)
+            rows, issues = rows.unionByName(extra), issues.unionByName(more_issues)
+    out = {"values": modelled, "cv": cv, "scores": scores, "predictions": O.exploded(rows)}
+    out["issues"] = run_issues(issues, entities, hierarchy, regressors, regressor_values, horizon)
     if hierarchy and hierarchy.mode != "independent":
-        out["aggregates"] = H.reconcile_bottom_up(predictions, bridge, hierarchy)
+        out["aggregates"] = O.roll_up(rows, entities, hierarchy, config.horizon, study.step)
         out["nodes"] = H.run_nodes(values, entities, bridge)
-    out["summary"] = FC.run_summary(modelled, base)
+    out["summary"] = O.summary(modelled, base)
+    return out
+
+
+def check_settings(
+    study: StudyConfig,
+    config: ForecastConfig,
+    hierarchy: HierarchyConfig | None = None,
+    scenarios: tuple[Scenario, ...] = (),
+    regressors: tuple[RegressorSpec, ...] = (),
+) -> None:
+    """All settings of a run before anything is read; what is wrong is told at once."""
+    problems = [*study.validate(), *config.validate()]
+    problems += H.level_issues(hierarchy) if hierarchy else []
+    for s in scenarios:
+        problems += [(r.rule_id, text) for r in s.rules for _, text in r.validate()]
+        problems += [(s.scenario_id, f"no regressor {r}") for r in s.overrides if regressors and r not in {x.regressor_id for x in regressors}]
+    problems += [(x, "two regressors have this id") for x, n in Counter(r.regressor_id for r in regressors).items() if n > 1]
+    if problems:
+        raise ValueError("; ".join(f"{name}: {text}" for name, text in problems))
+
+
+ISSUES = "stage string, code string, severity string, subject string, n_cells long"
+
+
+def run_issues(
+    scenario_issues: DataFrame,
+    entities: DataFrame,
+    hierarchy: HierarchyConfig | None,
+    regressors: tuple[RegressorSpec, ...],
+    regressor_values: DataFrame | None,
+    horizon: list[date],
+) -> DataFrame:
+    """What the data of a run say against it: blocked scenarios, ambiguous leaves, unusable regressors."""
+    out = scenario_issues.select(
+        F.lit("scenario").alias("stage"), "code", F.lit("error").alias("severity"), F.col("scenario_id").alias("subject"), "n_cells"
+    )
+    if hierarchy:
+        leaves = H.ambiguous_leaves(entities, hierarchy)
+        name = F.concat_ws(" > ", *hierarchy.levels[-1])
+        out = out.unionByName(leaves.select(F.lit("hierarchy").alias("stage"), "code", F.lit("error").alias("severity"), name.alias("subject"), F.col("n_entities").alias("n_cells")))
+    if regressors and regressor_values is not None:
+        found = R.regressor_validate(regressor_values, regressors, horizon)
+        subject = F.concat_ws(" / ", "regressor_id", "other_id").alias("subject")
+        out = out.unionByName(found.select(F.lit("regressor").alias("stage"), "code", "severity", subject, F.lit(1).cast("long").alias("n_cells")))
     return out
 
 
@@ -103,11 +149,18 @@ def _exogenous(modelled, owners, values, specs, study, config, folds, horizon, o
     return R.ar_exog(panel, config.season_length or study.season)
 
 
-def scenario_refit(base, modelled, owners, values, specs, study, config, folds, horizon, scenario) -> DataFrame:
-    """Base predictions with the exogenous method forecast again on the scenario's regressor values.
+def refitted(base: DataFrame, again: DataFrame) -> DataFrame:
+    """Base rows with those of the exogenous method replaced where it could be forecast again.
 
     Rows that could not be forecast again stay as they are in the base.
     """
+    exogenous = F.col("model_alias") == "AutoAR_X"
+    kept = base.where(exogenous).join(again.select(*O.KEYS), O.KEYS, "left_anti")
+    return base.where(~exogenous).unionByName(kept.select(*base.columns)).unionByName(again.select(*base.columns))
+
+
+def scenario_refit(base, modelled, owners, values, specs, study, config, folds, horizon, scenario) -> DataFrame:
+    """The same for predictions with one row per date."""
     again = FC.final_forecast(_exogenous(modelled, owners, values, specs, study, config, folds, horizon, scenario.overrides))
     rows = ["node_id", "measure", "model_alias", "ds"]
     kept = base.where(F.col("model_alias") == "AutoAR_X").join(again.select(*rows), rows, "left_anti")
