@@ -159,7 +159,7 @@ rec AS (
 
 
 def final_rows(spark, sf, grain="ean"):
-    return O.final_panel(frame(spark, sf, grain))
+    return O.final_values(frame(spark, sf, grain))
 
 
 def reconciled(spark, sf, hierarchy=WITH_TOTAL, **options):

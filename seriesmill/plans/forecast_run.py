@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Callable
 from datetime import date
 
 from pyspark.sql import DataFrame
@@ -70,24 +71,35 @@ def run_forecast(
         frame = cut_lineage(frame)
     cv = FC.cv_predictions(frame)
     scores = FC.select_model(FC.score_models(cv), config)
-    base = O.final_panel(frame, config.interval_level)
-    rows, issues = base, SC.clash_issues(base.sparkSession, [])
-    if scenarios:
-        names = {s.regressor_id: s.name for s in regressors}
-        refits = [s for s in scenarios if s.overrides and regressors]
-        shared = tuple(s for s in scenarios if s not in refits)
+    refits = [s for s in scenarios if s.overrides and regressors]
+    shared = tuple(s for s in scenarios if s not in refits)
+    names = {s.regressor_id: s.name for s in regressors}
+    again = {
+        s.scenario_id: _exogenous(modelled, owners, regressor_values, regressors, study, config, folds, horizon, s.overrides)
+        for s in refits
+    }
+
+    def finished(finals: Callable[[DataFrame], DataFrame], source: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Final rows of the base and of all scenarios, and the issues of those that are blocked."""
+        base = finals(source)
         rows, issues = O.with_scenarios(base, entities, shared, horizon, names, members)
         for s in refits:
-            again = O.final_panel(_exogenous(modelled, owners, regressor_values, regressors, study, config, folds, horizon, s.overrides), config.interval_level)
-            own = refitted(base, again)
-            extra, more_issues = O.with_scenarios(own, entities, (s,), horizon, names, members, with_base=False)
-            rows, issues = rows.unionByName(extra), issues.unionByName(more_issues)
+            own = refitted(base, finals(again[s.scenario_id]))
+            extra, more = O.with_scenarios(own, entities, (s,), horizon, names, members, with_base=False)
+            rows, issues = rows.unionByName(extra), issues.unionByName(more)
+        return rows, issues
+
+    rows, issues = finished(lambda f: O.final_panel(f, config.interval_level, config.cv_windows), frame)
     out = {"values": modelled, "cv": cv, "scores": scores, "predictions": O.exploded(rows)}
     out["issues"] = run_issues(issues, entities, hierarchy, regressors, regressor_values, horizon)
     if hierarchy and hierarchy.mode != "independent":
-        out["aggregates"] = O.roll_up(rows, entities, hierarchy, config.horizon, study.step)
+        # Sums have no limits, so a run of array methods alone doesn't work them out here.
+        plain = rows
+        if not (fitted or regressors or global_iterations):
+            plain = finished(O.final_values, frame if keep_frame else FC.forecast_frame(panel, study, config, False, limits=False))[0]
+        out["aggregates"] = O.roll_up(plain, entities, hierarchy, config.horizon, study.step)
         out["nodes"] = H.run_nodes(values, entities, bridge)
-    out["summary"] = O.summary(modelled, base)
+    out["summary"] = O.summary(modelled, O.final_panel(frame, config.interval_level, config.cv_windows))
     return out
 
 

@@ -37,24 +37,29 @@ def _money(total: Column) -> Column:
     return (total.cast("decimal(20,0)") / 100).cast("decimal(20,2)")
 
 
-def monthly_sales(spark: SparkSession, sf_dir: str, grain: str = "ean") -> DataFrame:
-    """Sales per month of the grain; lineitem is reduced per part before anything joins it."""
+def _part_sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cents per part and month; lineitem is reduced before anything joins it."""
     items = table(spark, sf_dir, "lineitem").select(
         "l_partkey",
         F.trunc(F.col("l_shipdate").cast("date"), "month").alias("ds"),
         cents(F.col("l_quantity")).alias("q"),
         cents(F.col("l_extendedprice")).alias("v"),
     )
-    per_part = items.groupBy("l_partkey", "ds").agg(F.sum("q").alias("q"), F.sum("v").alias("v"))
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_brand")
-    joined = per_part.join(part, per_part.l_partkey == part.p_partkey).select(
+    return items.groupBy("l_partkey", "ds").agg(F.sum("q").alias("q"), F.sum("v").alias("v"))
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("l_partkey"),
         F.col("p_type").alias("tipo"),
         F.col("p_brand").alias("marca"),
         F.lpad(F.col("p_partkey").cast("string"), 13, "0").alias("ean"),
-        "ds",
-        "q",
-        "v",
     )
+
+
+def monthly_sales(spark: SparkSession, sf_dir: str, grain: str = "ean") -> DataFrame:
+    """Sales per month of the grain."""
+    joined = _part_sales(spark, sf_dir).join(_parts(spark, sf_dir), "l_partkey")
     dims = grain_dims(grain)
     if grain != "ean":
         joined = joined.groupBy(*dims, "ds").agg(F.sum("q").alias("q"), F.sum("v").alias("v"))
@@ -65,24 +70,32 @@ def grain_dims(grain: str) -> list[str]:
     return list(DIMENSIONS[: DIMENSIONS.index(grain) + 1])
 
 
+def _with_ids(rows: DataFrame, dims: list[str], keep: list[str]) -> DataFrame:
+    owned = rows.select(*keep, ids.entity_id([(d, F.col(d)) for d in dims]).alias("entity_id"))
+    return owned.withColumns({f"id_{m}": ids.series_id(F.col("entity_id"), F.lit(m)) for m in ("unidades", "valor")})
+
+
 def observations(spark: SparkSession, sf_dir: str, grain: str = "ean") -> DataFrame:
-    """Canonical observations of monthly sales, one row per series and month."""
+    """Canonical observations of monthly sales, one row per series and month.
+
+    Ids of parts are made once per part, before the join with its months.
+    """
     dims = grain_dims(grain)
-    sales = monthly_sales(spark, sf_dir, grain)
+    if grain == "ean":
+        owners = _with_ids(_parts(spark, sf_dir), dims, ["l_partkey"])
+        sales = _part_sales(spark, sf_dir).join(owners, "l_partkey")
+        sales = sales.withColumns({"unidades": _money(F.col("q")), "valor": _money(F.col("v"))})
+    else:
+        sales = _with_ids(monthly_sales(spark, sf_dir, grain), dims, ["ds", "unidades", "valor"])
     measures = F.array(
-        *[F.struct(F.lit(m).alias("measure"), F.col(m).alias("y_raw")) for m in ("unidades", "valor")]
+        *[
+            F.struct(F.col(f"id_{m}").alias("series_id"), F.lit(m).alias("measure"), F.col(m).alias("y_raw"))
+            for m in ("unidades", "valor")
+        ]
     )
     return (
-        sales.select(
-            ids.entity_id([(d, F.col(d)) for d in dims]).alias("entity_id"), "ds", F.explode(measures).alias("m")
-        )
-        .select(
-            "entity_id",
-            ids.series_id(F.col("entity_id"), F.col("m.measure")).alias("series_id"),
-            "ds",
-            "m.measure",
-            "m.y_raw",
-        )
+        sales.select("entity_id", "ds", F.explode(measures).alias("m"))
+        .select("entity_id", "m.series_id", "ds", "m.measure", "m.y_raw")
         .withColumn("_order", F.datediff("ds", F.lit(date(1970, 1, 1))).cast("long"))
     )
 

@@ -36,19 +36,19 @@ def test_limits_agree_with_the_joined_ones(spark, rows):
     cv = backtest.cv_predictions(rows)
     base = backtest.final_forecast(rows)
     whole = backtest.conformal_intervals(base, cv, 80, any_history=False)
-    got = outcome.exploded(outcome.final_panel(rows, 80))
+    got = outcome.exploded(outcome.final_panel(rows, 80, 2))
     same(got, whole, ["yhat", "lo80", "hi80", "interval_method", "status", "clipped", "level", "entity_id"])
     assert got.columns == base.columns
 
 
 def test_summary_agrees(spark, rows):
     values = forecast_run.Q.prepare(observations(spark, SERIES), STUDY, ZERO).values
-    finals = outcome.final_panel(rows, 80)
+    finals = outcome.final_panel(rows, 80, 2)
     assert outcome.summary(values, finals).first() == backtest.run_summary(values, outcome.exploded(finals)).first()
 
 
 def test_scenarios_and_roll_up_agree(spark, rows):
-    finals = outcome.final_panel(rows, 80)
+    finals = outcome.final_panel(rows, 80, 2)
     sc = (
         Scenario("up", (rule("1", "up", "p", "unidades", "pulse", 0.5, DAYS[1], DAYS[2], 2, grupo=("A",)), rule("2", "up", "q", "unidades", "step", -0.2, DAYS[0]))),
         Scenario("tie", (rule("1", "tie", "p", "unidades", "step", 0.1, DAYS[0]), rule("2", "tie", "p", "unidades", "step", 0.2, DAYS[4]))),
@@ -70,7 +70,7 @@ def test_series_that_end_earlier_meet_on_their_dates(spark):
     policy = TreatmentPolicy(missing="keep_gaps")
     values = forecast_run.Q.prepare(observations(spark, early), STUDY, policy).values
     panel = forecast_run.P.train_panel(values, STUDY, CONFIG, forecast_run.P.calendar_folds(STUDY, CONFIG))
-    finals = outcome.final_panel(backtest.forecast_frame(panel, STUDY, CONFIG, False))
+    finals = outcome.final_panel(backtest.forecast_frame(panel, STUDY, CONFIG, False), folds=2)
     up = outcome.roll_up(finals, tree(spark), LEVELS, 6).where("level = 'A' AND model_alias = 'Naive'").orderBy("ds").collect()
     assert [r["ds"] for r in up] == [shift_date(END, k) for k in range(-1, 7)]
     assert [r["n_leaves"] for r in up] == [1, 1, 2, 2, 2, 2, 1, 1]
@@ -78,7 +78,7 @@ def test_series_that_end_earlier_meet_on_their_dates(spark):
 
 def test_rounded_leaves_make_whole_parents(spark):
     rows = frame(spark, {"a1": [1.4] * 30, "a2": [2.4] * 30, "b1": [0.5] * 30}, fitted=False)
-    finals = outcome.final_panel(rows)
+    finals = outcome.final_panel(rows, folds=2)
     up = outcome.roll_up(finals, tree(spark), LEVELS, 6, whole_units=True).where("model_alias = 'Naive'").collect()
     assert {(r["level"], r["yhat"]) for r in up} == {("A", 3.0), ("B", 0.0), ("Total", 3.0)}
 
