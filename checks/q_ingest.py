@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from dataclasses import replace
 from datetime import date
 
 from pyspark.sql import functions as F
@@ -54,6 +56,64 @@ def _(spark, sf):
     )
 
 
+# One key column, so that other dimensions of a part change between its rows.
+BY_EAN = replace(T.LONG_MAPPING, key_columns=("ean",), dimension_columns={d: d for d in ("tipo", "marca", "fornecedor")})
+CONFLICTS = """k AS (SELECT entity_id, row_no, tipo, marca, fornecedor FROM good),
+l AS (SELECT entity_id, row_no, 'tipo' AS dimension, tipo AS value FROM k
+      UNION ALL SELECT entity_id, row_no, 'marca', marca FROM k UNION ALL SELECT entity_id, row_no, 'fornecedor', fornecedor FROM k),
+f AS (SELECT *, first_value(value) OVER (PARTITION BY entity_id, dimension ORDER BY row_no, value) AS first_value FROM l),
+conf AS (SELECT entity_id, dimension FROM f WHERE first_value <> '' GROUP BY ALL HAVING count(DISTINCT value) > 1)"""
+LANES = "".join(f"|| '-' || CAST(sum(CAST(CAST('0x' || substr(h, {1 + 12 * i}, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4))
+
+
+def literal(text_: str) -> str:
+    return "'" + text_.replace("'", "''") + "'"
+
+
+def json_text(text_: str) -> str:
+    return literal(json.dumps(text_, ensure_ascii=False))
+
+
+EAN_CANON = S.canon_long().replace("tipo = '' AND marca = '' AND ean = '' AS no_key", "ean = '' AS no_key").replace(S.entity_id(S.DIMS["ean"]), S.entity_id(["ean"]))
+
+
+@query("normalize_result", S.q(EAN_CANON + ",\n" + CONFLICTS, f"""
+, h AS (SELECT sha256(series_id || '|' || strftime(ds, '%Y-%m-%d') || '|' || CAST(y_raw AS VARCHAR)) AS h FROM cobs),
+dig AS (SELECT count(*) AS n, sha256(CAST(count(*) AS VARCHAR) {LANES}) AS digest FROM h),
+ne AS (SELECT count(DISTINCT entity_id) AS e FROM good)
+SELECT code, severity, count(*) AS n_rows FROM issues GROUP BY ALL
+UNION ALL SELECT 'E_DIMENSION_CONFLICT', 'error', count(*) FROM conf
+UNION ALL SELECT 'E_ENTITY_LIMIT', 'error', 1 UNION ALL SELECT 'E_OBS_LIMIT', 'error', 1 UNION ALL SELECT 'E_ROWS_LIMIT', 'error', 1
+UNION ALL SELECT 'E_MEASURE_MISSING', 'error', 1
+UNION ALL SELECT 'fingerprint', sha256('["lineitem","' || n || '","' || e || '",' || {json_text(BY_EAN.to_json())} || ',' || {json_text(T.STUDY.to_json())} || ',"' || digest || '"]'), n FROM dig, ne
+""").replace(")\n, h AS", "),\nh AS"))
+def _(spark, sf):
+    """Every kind of issue of a source, and its fingerprint."""
+    src = T.raw_long(spark, sf)
+    out = N.normalize(src, T.STUDY, BY_EAN, F.col("row_key"), F.col("row_no"), "lineitem", N.Limits(10, 10, 10))
+    counts = out.issues.groupBy("code", "severity").agg(F.count("*").alias("n_rows"))
+    lacking = N.normalize(src.drop("valor"), T.STUDY, BY_EAN, F.col("row_key"), F.col("row_no")).issues
+    lacking = lacking.groupBy("code", "severity").agg(F.count("*").alias("n_rows"))
+    mark = out.observations.agg(F.lit("fingerprint").alias("code"), F.lit(out.fingerprint).alias("severity"), F.count("*").alias("n_rows"))
+    return counts.unionByName(lacking).unionByName(mark)
+
+
+@query("inspect_sample", S.q(S.raw_long(), """, first AS (SELECT * FROM src ORDER BY row_no LIMIT 100)
+SELECT c."column", c.kind AS inferred_type, c.n_filled, n_rows, 'E_ROWS_LIMIT' AS code FROM (
+  SELECT count(*) AS n_rows, [
+    {'column': 'row_no', 'kind': 'integer', 'n_filled': count(*)},
+    {'column': 'tipo', 'kind': 'text', 'n_filled': count_if(tipo <> '')},
+    {'column': 'ean', 'kind': 'integer', 'n_filled': count_if(ean <> '')},
+    {'column': 'tamanho', 'kind': 'integer', 'n_filled': count(*)},
+    {'column': 'valor', 'kind': 'text', 'n_filled': count(*)}] AS cs FROM first), unnest(cs) t(c)""").replace(")\n, first", "),\nfirst"))
+def _(spark, sf):
+    """The first hundred rows of a source that is over its row limit."""
+    path = scratch_dir(spark, "inspect_sample")
+    T.raw_long(spark, sf).orderBy("row_no").write.csv(path, sep=";", header=True)
+    profile, _, issues = scan.inspect_text(spark, path, max_rows=500)
+    return profile.where(F.col("column").isin("row_no", "tipo", "ean", "tamanho", "valor")).drop("role").withColumn("code", F.lit(issues.first()["code"]))
+
+
 @query("flag_invalid_rows", S.q(S.canon_long(), "SELECT code, severity, row_key AS source_row_id FROM issues"))
 def _(spark, sf):
     return canonical(spark, sf).issues.select("code", "severity", "source_row_id")
@@ -379,6 +439,28 @@ def _(spark, sf):
     return store.upsert_nodes(stored, batch)
 
 
+@query("save_assumptions", """
+SELECT CAST(o_custkey AS VARCHAR) AS draft_id, strftime(max(o_orderdate), '%Y-%m-%d') AS updated_at,
+       arg_max(CAST(o_orderkey AS VARCHAR), (o_orderdate, CAST(o_orderkey AS VARCHAR))) AS payload FROM orders GROUP BY o_custkey""")
+def _(spark, sf):
+    """Two writers and a compaction between them; the newest draft of each id is read."""
+    path = scratch_dir(spark, "drafts")
+    orders = T.table(spark, sf, "orders").select(
+        F.lit("d").alias("dataset_id"),
+        F.lit("scenario").alias("kind"),
+        F.col("o_custkey").cast("string").alias("draft_id"),
+        F.col("o_orderkey").cast("string").alias("payload"),
+        F.date_format("o_orderdate", "yyyy-MM-dd").alias("updated_at"),
+    )
+    late = F.col("updated_at") >= "1998-01-01"
+    store.save_assumptions(orders.where(late), path)
+    store.compact_assumptions(spark, path)
+    store.save_assumptions(orders.where(~late), path)
+    store.save_assumptions(orders.where(late), path)
+    store.compact_assumptions(spark, path)
+    return store.saved_assumptions(spark, path, "d").select("draft_id", "updated_at", "payload")
+
+
 @query("save_load_assumptions", """
 SELECT CAST(o_custkey AS VARCHAR) AS draft_id, CAST(max(o_orderdate) AS DATE) AS updated_at,
        arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS payload FROM orders GROUP BY o_custkey""")

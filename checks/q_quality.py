@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import replace
 from datetime import date
 
@@ -14,6 +15,8 @@ from seriesmill.config import TreatmentPolicy
 from seriesmill.functions.periods import grid_start
 from seriesmill.operators import normalize as N
 from seriesmill.operators import quality as Q
+from seriesmill.plans.preparation import prepare_once
+from seriesmill.session import scratch_dir
 
 ZERO = TreatmentPolicy(duplicates="sum", missing="zero")
 
@@ -295,10 +298,53 @@ def _(spark, sf):
     return N.issue_counts(canonical(spark, sf).issues)
 
 
-@query("preparation_id")
+def _json(value: str) -> str:
+    return "'" + json.dumps(value, ensure_ascii=False).replace("'", "''") + "'"
+
+
+LANES = "".join(f"|| '-' || CAST(sum(CAST(CAST('0x' || substr(h, {1 + 12 * i}, 12) AS BIGINT) AS HUGEINT)) AS VARCHAR)" for i in range(4))
+
+
+def digest_sql(source: str) -> str:
+    return f"""h AS (SELECT sha256(series_id || '|' || strftime(ds, '%Y-%m-%d') || '|' || CAST(y_raw AS VARCHAR)) AS h FROM {source}),
+dig AS (SELECT count(*) AS n_rows, sha256(CAST(count(*) AS VARCHAR) {LANES}) AS digest FROM h)"""
+
+
+@query("preparation_id", S.q(S.canon_long() + ",\n" + digest_sql("cobs"), f"""SELECT n_rows, sha256('["' || digest || '",' || {_json(ZERO.to_json())} || ',""]') AS preparation_id FROM dig"""))
 def _(spark, sf):
     digest = N.content_digest(canonical(spark, sf).observations)
     return digest.select("n_rows", Q.preparation_id(F.col("digest"), ZERO, None).alias("preparation_id"))
 
 
+@query("prepare_once", S.q(S.prep("marca") + ",\n" + digest_sql("obs"), f"""SELECT sha256('["' || digest || '",' || {_json(T.STUDY.to_json())} || ',' || {_json(ZERO.to_json())} || ',""]') AS preparation_id,
+ adjustment_reason, count(*) AS n_rows, round(sum(y), 2) AS total, CAST(1 AS BIGINT) AS n_kept FROM prep, dig GROUP BY ALL"""))
+def _(spark, sf):
+    """Prepared twice: the second one finds the first by its content and keeps nothing new."""
+    root = scratch_dir(spark, "prepared")
+    obs = T.observations(spark, sf, "marca")
+    first = prepare_once(obs, T.STUDY, ZERO, root)
+    again = prepare_once(obs.repartition(3), T.STUDY, ZERO, root)
+    assert first.preparation_id == again.preparation_id
+    kept = spark.read.parquet(f"{root}/catalog").count()
+    out = again.values.groupBy("adjustment_reason").agg(F.count("*").alias("n_rows"), F.round(F.sum("y"), 2).alias("total"))
+    return out.withColumns({"preparation_id": F.lit(again.preparation_id), "n_kept": F.lit(kept).cast("long")})
+
+
+@query("preparation_issues", S.q(S.raw_long(), """, k AS (SELECT row_no, CAST(strptime(CASE WHEN length(periodo) = 7 AND periodo[5] = '-' THEN periodo || '-01' END, '%Y-%m-%d') AS DATE) AS ds, ean FROM src
+ WHERE ean <> '' AND regexp_full_match(periodo, '\\d{4}-\\d{2}') AND periodo <> '2026-13'),
+d AS (SELECT ean, ds, count(*) AS n FROM k GROUP BY ALL)
+SELECT 'E_DUPLICATE' AS code, 'error' AS severity, count(*) AS n_cells, CAST(sum(n) AS BIGINT) AS n_rows FROM d WHERE n > 1
+UNION ALL SELECT 'E_DATE_OFF_GRID', 'warning', count(*), count(*) FROM d WHERE (2001 * 12 + 8 - year(ds) * 12 - month(ds)) % 3 <> 0""").replace(")\n, k", "),\nk"))
+def _(spark, sf):
+    """Single rows of lineitem in a quarterly study that keeps the first of repeated periods."""
+    rows = T.raw_long(spark, sf).where((F.col("ean") != "") & F.col("periodo").rlike(r"^\d{4}-\d{2}$") & (F.col("periodo") != "2026-13"))
+    rows = rows.select(
+        F.col("ean").alias("series_id"), F.lit("unidades").alias("measure"), F.col("ean").alias("entity_id"),
+        F.to_date(F.concat("periodo", F.lit("-01"))).alias("ds"), F.lit(1).cast("decimal(20,2)").alias("y_raw"), F.col("row_no").alias("_order"),
+    )
+    study = replace(T.STUDY, source_frequency="quarterly", model_frequency="quarterly")
+    issues = Q.prepare(rows, study, replace(ZERO, duplicates="reject")).issues
+    return issues.groupBy("code", "severity").agg(F.count("*").alias("n_cells"), F.sum("n_rows").alias("n_rows"))
+
+
 GRID_START = grid_start(T.STUDY.history_end, T.STUDY.history_periods, T.STUDY.step)

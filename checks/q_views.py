@@ -7,17 +7,20 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.q_forecast import CONFIG, RANK, SCORES, SELECT, cv_sql, fin_sql, frame, metric_digits, predictions, rounded, values
+from checks.q_forecast import CONFIG, RANK, SCORES, SELECT, ZERO, cv_sql, fin_sql, frame, metric_digits, panel, predictions, rounded, values
 from checks.q_hierarchy import BRIDGE, ENT, PERIODS, SCENARIOS, UNTIED, bridge
 from checks.q_ingest import canonical
 from checks.registry import query
 from seriesmill import testbed as T
+from seriesmill.config import HierarchyConfig
 from seriesmill.functions.periods import shift_date
 from seriesmill.functions.text import chip_label
 from seriesmill.operators import backtest as FC
 from seriesmill.operators import mat as M
 from seriesmill.operators import scenarios as SC
+from seriesmill.plans import candidates
 from seriesmill.plans import exports as X
+from seriesmill.plans import forecast_run as RUN
 from seriesmill.plans import views as V
 from seriesmill.session import scratch_dir
 from seriesmill.sources import store
@@ -449,6 +452,13 @@ def _(spark, sf):
     return T.entities(spark, sf).select("entity_id", chip_label([F.col(d) for d in DIMS]).alias("label"))
 
 
+RECON_MARCA = f"""{fin_sql("marca")}, tm AS (SELECT DISTINCT p_type AS tipo, p_brand AS marca FROM part SEMI JOIN lineitem ON l_partkey = p_partkey),
+ ent2 AS (SELECT *, {S.entity_id(["tipo", "marca"])} AS entity_id FROM tm),
+ agg AS (SELECT tipo, measure, ds, model_alias, sum(yhat) AS yhat FROM fin JOIN ent2 USING (entity_id) GROUP BY GROUPING SETS ((measure, ds, model_alias), (tipo, measure, ds, model_alias))),
+ rec AS (SELECT coalesce(tipo, 'Total') AS node_id, * EXCLUDE (tipo) FROM agg),
+ nn AS (SELECT count(*) + count(DISTINCT tipo) + 1 AS n FROM tm)"""
+
+
 @query("persist_run", S.q(fin_sql("marca"), "SELECT node_id, measure, model_alias, ds, round(yhat, 6) AS yhat FROM fin"))
 def _(spark, sf):
     """Half of a run first, then all of it: the stored run is the whole one, each key once."""
@@ -464,9 +474,63 @@ def _(spark, sf):
 @query("save_preparation", S.q(S.prep("marca"), "SELECT adjustment_reason, count(*) AS n_rows, round(sum(y), 2) AS total FROM prep GROUP BY ALL"))
 def _(spark, sf):
     """Saved twice under one content key; the second time nothing is written."""
-    path = scratch_dir(spark, "preparations")
+    root = scratch_dir(spark, "preparations")
     vals = values(spark, sf, "marca")
-    assert store.save_preparation(vals, path, "p1")
-    assert not store.save_preparation(vals.limit(0), path, "p1")
-    back = spark.read.parquet(path).where(F.col("preparation_id") == "p1")
+    assert store.save_preparation(vals, root, "p1")
+    assert not store.save_preparation(vals.where(F.lit(False)), root, "p1")
+    back = store.load_preparation(spark, root, "p1")
     return back.groupBy("adjustment_reason").agg(F.count("*").alias("n_rows"), F.round(F.sum("y"), 2).alias("total"))
+
+
+@query("stored_run", f"""WITH {RECON_MARCA}
+SELECT 'predictions' AS name, count(*) AS n_rows, count(DISTINCT node_id) AS n_nodes, round(sum(yhat), 2) AS total, 'completed' AS status, 12 AS horizon FROM fin
+UNION ALL SELECT 'aggregates', count(*), count(DISTINCT node_id), round(sum(yhat), 2), 'completed', 12 FROM rec
+UNION ALL SELECT 'cv', count(*), count(DISTINCT node_id), round(sum(yhat), 2), 'completed', 12 FROM cv
+UNION ALL SELECT 'scores', count(*), count(DISTINCT node_id), NULL, 'completed', 12 FROM (SELECT DISTINCT node_id, measure, model_alias FROM cv)
+UNION ALL SELECT 'nodes', (SELECT count(DISTINCT series_id) FROM prep) + n, (SELECT count(DISTINCT series_id) FROM prep) + n, NULL, 'completed', 12 FROM nn
+UNION ALL SELECT 'summary', 1, NULL, NULL, 'completed', 12
+UNION ALL SELECT 'issues', 0, NULL, NULL, 'completed', 12""")
+def _(spark, sf):
+    """A whole run kept; what another, unfinished write of it left is not seen."""
+    root = scratch_dir(spark, "stored")
+    ents, obs = T.entities(spark, sf, "marca"), T.observations(spark, sf, "marca")
+    levels = HierarchyConfig((("tipo",), ("tipo", "marca")), include_total=True)
+    RUN.stored_run(root, "r1", obs, ents, T.STUDY, ZERO, CONFIG, levels, "d1", fitted=False)
+    store.load_run(spark, root, "r1", "cv").withColumn("yhat", F.lit(0.0)).write.parquet(f"{root}/cv/r1/unfinished")
+    datasets = spark.range(1).select(F.lit("d1").alias("dataset_id"), F.lit("lineitem").alias("filename"))
+    catalog = store.stored_catalog(spark, root, datasets).select("run_id", "status", "horizon")
+    out = None
+    for name in store.RUN_TABLES:
+        rows = store.load_run(spark, root, "r1", name)
+        nodes = F.count_distinct("node_id") if "node_id" in rows.columns else F.lit(None).cast("long")
+        total = F.round(F.sum("yhat"), 2) if "yhat" in rows.columns else F.lit(None).cast("double")
+        own = rows.agg(F.lit(name).alias("name"), F.count("*").alias("n_rows"), nodes.alias("n_nodes"), total.alias("total")).withColumn("run_id", F.lit("r1"))
+        out = own if out is None else out.unionByName(own)
+    return out.join(catalog, "run_id").drop("run_id")
+
+
+@query("candidate_cached", S.q(fin_sql("tipo"), """SELECT series_id AS node_id, measure, 'SeasonalNaive' AS model_alias,
+  CASE WHEN raw IS NULL THEN 'insufficient_history' ELSE 'ok' END AS status, round(CASE WHEN raw IS NOT NULL THEN greatest(raw[1], 0.0) END, 4) AS first_yhat
+  FROM fmd WHERE model_alias = 'SeasonalNaive'"""))
+def _(spark, sf):
+    """Half of the series first, then all: the second question computes the rest only."""
+    root = scratch_dir(spark, "candidates")
+    rows = panel(spark, sf, "tipo")
+    candidates.store_panel(rows, f"{root}/panel")
+    names = tuple(sorted(r["series_id"] for r in rows.select("series_id").distinct().collect()))
+    for asked in (names[::2], names):
+        out = candidates.candidate(spark, f"{root}/panel", f"{root}/cache", asked, "SeasonalNaive", T.STUDY, CONFIG)
+    return out.select("node_id", "measure", "model_alias", "status", F.round(F.try_element_at("yhat", F.lit(1)), 4).alias("first_yhat"))
+
+
+@query("dashboard_mat", S.q(fin_sql("marca"), """
+, both_ AS (SELECT series_id AS node_id, ds, y, NULL AS model_alias FROM prep WHERE measure = 'valor'),
+al AS (SELECT DISTINCT node_id, model_alias FROM fin WHERE measure = 'valor'),
+pts AS (SELECT al.node_id, al.model_alias, b.ds, b.y, FALSE AS ahead FROM al JOIN both_ b USING (node_id)
+        UNION ALL SELECT node_id, model_alias, ds, yhat, TRUE FROM fin WHERE measure = 'valor'),
+m AS (SELECT *, sum(greatest(y, 0)) OVER w AS mat, count(*) OVER w AS n FROM pts
+      WINDOW w AS (PARTITION BY node_id, model_alias ORDER BY ds RANGE BETWEEN INTERVAL 11 MONTH PRECEDING AND CURRENT ROW))
+SELECT model_alias, ds, count(*) AS n_nodes, round(sum(mat), 3) AS mat FROM m WHERE ahead AND n = 12 GROUP BY ALL""").replace(")\n, both_", "),\nboth_"))
+def _(spark, sf):
+    out = V.dashboard_query(run_tables(spark, sf), T.entities(spark, sf, "marca"), None, V.ResultFilter(measure="valor"))["mat"]
+    return out.groupBy("model_alias", "ds").agg(F.count("*").alias("n_nodes"), F.round(F.sum("mat"), 3).alias("mat"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,3 +42,8 @@ def node_id(level: int, values: list[Column]) -> Column:
 
 def total_node_id() -> Column:
     return F.sha2(F.lit('["h","total"]'), 256)
+
+
+def stable_id(*parts: str) -> str:
+    """The id of some texts known to the driver, as the column functions make it."""
+    return hashlib.sha256(json.dumps(parts, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()

@@ -31,14 +31,21 @@ def rank_of(alias: Column) -> Column:
 
 
 def forecast_frame(
-    panel: DataFrame, study: StudyConfig, config: ForecastConfig, fitted: bool = True, limits: bool = True
+    panel: DataFrame,
+    study: StudyConfig,
+    config: ForecastConfig,
+    fitted: bool = True,
+    limits: bool = True,
+    specs: list[models.ModelSpec] | None = None,
 ) -> DataFrame:
     """One row per (series, fold, eligible method) with its h values and optional limits.
 
+    ``specs`` are the methods; without them they come from the settings.
+
     A method that cannot be computed keeps its row with a null ``yhat`` and a reason, so a
     failure never turns silently into another method.
     """
-    specs = models.candidate_registry(study, config, fitted)
+    specs = models.candidate_registry(study, config, fitted) if specs is None else specs
     season = config.season_length or study.season
     fitted_names = [s.alias for s in specs if not s.native]
     source = panel

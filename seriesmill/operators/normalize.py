@@ -6,9 +6,10 @@ period, keys and an array of issues, and the four outputs are plain selections f
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from seriesmill.config import MappingConfig, StudyConfig
@@ -16,6 +17,7 @@ from seriesmill.functions import ids
 from seriesmill.functions.once import once
 from seriesmill.functions.periods import parse_period
 from seriesmill.functions.text import measure_of_label, parse_number
+from seriesmill.session import written
 
 # Issue codes and their severities.
 KEY_EMPTY = ("E_KEY_EMPTY", "error", "row without any key value")
@@ -24,17 +26,31 @@ NOT_NUMERIC = ("E_ROW_INVALID", "warning", "value is not numeric")
 FRACTION = ("E_UNITS_FRACTION", "error", "units must be whole")
 BAD_LABEL = ("E_MEASURE_UNKNOWN", "error", "measure label is unknown")
 CONFLICT = ("E_DIMENSION_CONFLICT", "error", "dimension changes between rows of one entity")
+ROW_LIMIT, ENTITY_LIMIT, OBSERVATION_LIMIT = "E_ROWS_LIMIT", "E_ENTITY_LIMIT", "E_OBS_LIMIT"
 # End of fixed values.
 
 CELL_TYPE = "array<struct<measure:string,ds:date,raw:string>>"
 
 
+ISSUE_ROW = "code string, severity string, message string, source_row_id string, entity_id string"
+
+
 @dataclass(frozen=True)
 class Canonical:
     observations: DataFrame
     entities: DataFrame
     source_rows: DataFrame
     issues: DataFrame
+    fingerprint: str | None = None
+
+
+@dataclass(frozen=True)
+class Limits:
+    """Product limits; one left at None is not checked."""
+
+    rows: int | None = None
+    entities: int | None = None
+    observations: int | None = None
 
 
 def _issue(code: str, severity: str, message: str) -> Column:
@@ -93,6 +109,36 @@ def _annotate(df: DataFrame, mapping: MappingConfig, row_id: Column, row_order:
     )
 
 
+def _parsed(rows: DataFrame, cells: Column, mapping: MappingConfig, raw_columns: list[str]) -> DataFrame:
+    """One row per source row with everything read from its text: key, dimensions, issue, and cells with values.
+
+    ``rows`` carry ``_bad`` (a row issue or null); a bad row keeps one empty cell for the log.
+    """
+    hole = F.array(F.struct(F.lit(None), F.lit(None), F.lit(None))).cast(CELL_TYPE)
+    found = F.when(F.col("_bad").isNull(), cells.cast(CELL_TYPE)).otherwise(hole)
+    read = F.transform(
+        found,
+        lambda c: F.struct(
+            c["measure"].alias("measure"),
+            c["ds"].alias("ds"),
+            parse_number(c["raw"], mapping.decimal_separator, mapping.thousands_separator).alias("y"),
+        ),
+    )
+    raw = F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw_columns]))
+    return rows.select(
+        "source_row_id", "_order", "entity_id", "key_json", "dims", "attrs", "_bad", read.alias("cells"), raw.alias("raw_json")
+    )
+
+
+def _cell_issue(bad: Column, cell: Column) -> Column:
+    y = cell["y"]
+    return (
+        F.when(bad.isNotNull(), bad)
+        .when(y.isNull(), _issue(*NOT_NUMERIC))
+        .when((cell["measure"] == "unidades") & (y != F.floor(y)), _issue(*FRACTION))
+    )
+
+
 def _finish(rows: DataFrame, cells: Column, mapping: MappingConfig, raw_columns: list[str]) -> Canonical:
     """``rows`` carry ``_bad`` (a row issue or null); bad rows keep one empty cell for the log.
 
@@ -108,36 +154,41 @@ def _finish(rows: DataFrame, cells: Column, mapping: MappingConfig, raw_columns:
     )
     value = parse_number(F.col("c.raw"), mapping.decimal_separator, mapping.thousands_separator)
     per_cell = once(per_cell, {"y": value})
-    y = F.col("y")
-    issue = (
-        F.when(F.col("_bad").isNotNull(), F.col("_bad"))
-        .when(y.isNull(), _issue(*NOT_NUMERIC))
-        .when((F.col("c.measure") == "unidades") & (y != F.floor(y)), _issue(*FRACTION))
+    per_cell = per_cell.withColumn("c", F.struct("c.measure", "c.ds", "y"))
+    source_rows = rows.select(
+        "source_row_id", "_order", F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw_columns])).alias("raw_json")
     )
-    marked = per_cell.withColumn("i", issue)
-    observations = marked.where(F.col("i").isNull()).select(
+    entities = build_entities(rows.where(F.col("_bad").isNull()))
+    return Canonical(_observations(per_cell), entities, source_rows, _issues(per_cell))
+
+
+def _observations(per_cell: DataFrame) -> DataFrame:
+    good = per_cell.where(_cell_issue(F.col("_bad"), F.col("c")).isNull())
+    return good.select(
         "source_row_id",
         "_order",
         "entity_id",
         ids.series_id(F.col("entity_id"), F.col("c.measure")).alias("series_id"),
         "c.ds",
         "c.measure",
-        y.cast("decimal(20,2)").alias("y_raw"),
+        F.col("c.y").cast("decimal(20,2)").alias("y_raw"),
         F.lit(True).alias("observed"),
     )
-    issues = marked.where(F.col("i").isNotNull()).select(
-        "i.code", "i.severity", "i.message", "source_row_id", "entity_id"
-    )
-    source_rows = rows.select(
-        "source_row_id", "_order", F.to_json(F.struct(*[F.col(f"`{c}`") for c in raw_columns])).alias("raw_json")
-    )
-    return Canonical(observations, build_entities(rows.where(F.col("_bad").isNull())), source_rows, issues)
+
+
+def _issues(per_cell: DataFrame) -> DataFrame:
+    marked = per_cell.withColumn("i", _cell_issue(F.col("_bad"), F.col("c")))
+    return marked.where(F.col("i").isNotNull()).select("i.code", "i.severity", "i.message", "source_row_id", "entity_id")
 
 
 def normalize_long(
     df: DataFrame, study: StudyConfig, mapping: MappingConfig, row_id: Column, row_order: Column
 ) -> Canonical:
     """One observation per (row, measure column)."""
+    return _finish(*_long_rows(df, mapping, row_id, row_order), mapping, df.columns)
+
+
+def _long_rows(df: DataFrame, mapping: MappingConfig, row_id: Column, row_order: Column) -> tuple[DataFrame, Column]:
     ds = parse_period(F.col(f"`{mapping.period_column}`"), mapping.period_format)
     rows = _annotate(df, mapping, row_id, row_order, {"_ds": ds})
     bad = F.when(F.col("_no_key"), _issue(*KEY_EMPTY)).when(F.col("_ds").isNull(), _issue(*BAD_DATE))
@@ -147,7 +198,7 @@ def normalize_long(
             for measure, c in mapping.measure_columns.items()
         ]
     )
-    return _finish(rows.withColumn("_bad", bad), cells, mapping, df.columns)
+    return rows.withColumn("_bad", bad), cells
 
 
 def unpivot_wide(df: DataFrame, mapping: MappingConfig, id_columns: list[str]) -> DataFrame:
@@ -165,6 +216,10 @@ def normalize_wide(
     df: DataFrame, study: StudyConfig, mapping: MappingConfig, row_id: Column, row_order: Column
 ) -> Canonical:
     """One observation per (row, period column); the row's label names the measure."""
+    return _finish(*_wide_rows(df, mapping, row_id, row_order), mapping, df.columns)
+
+
+def _wide_rows(df: DataFrame, mapping: MappingConfig, row_id: Column, row_order: Column) -> tuple[DataFrame, Column]:
     if mapping.measure_label_column is not None:
         measure = measure_of_label(F.coalesce(F.col(f"`{mapping.measure_label_column}`"), F.lit("")))
     elif len(mapping.measure_columns) == 1:
@@ -179,7 +234,86 @@ def normalize_wide(
             for c, day in mapping.wide_periods.items()
         ]
     )
-    return _finish(rows.withColumn("_bad", bad), cells, mapping, df.columns)
+    return rows.withColumn("_bad", bad), cells
+
+
+def _lanes(text: Column) -> list[Column]:
+    """Four numbers of 48 bits from the SHA-256 of a text; their sums don't depend on the order of rows."""
+    digest = F.sha2(text, 256)
+    return [F.conv(F.substring(digest, 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)") for i in range(4)]
+
+
+def _observation_text(series: Column, ds: Column, y: Column) -> Column:
+    return F.concat_ws("|", series, F.date_format(ds, "yyyy-MM-dd"), y.cast("string"))
+
+
+def normalize(
+    df: DataFrame,
+    study: StudyConfig,
+    mapping: MappingConfig,
+    row_id: Column,
+    row_order: Column,
+    name: str = "",
+    limits: Limits = Limits(),
+) -> Canonical:
+    """The whole result of reading a source: tables, every kind of issue, and the fingerprint.
+
+    Missing columns end it before a row is read. Otherwise the text is parsed once, into scratch tables of rows and
+    of observations; row counts and the content digest are observed while these are written, in the stage that writes them, so
+    a task that runs again isn't counted twice. Issues are those of rows and cells, dimensions that change
+    within an entity (one row per entity and dimension), and limits.
+    """
+    spark = df.sparkSession
+    missing = require_columns(df.columns, mapping)
+    if missing:
+        rows = [(code, "error", f"column {column!r} is missing", None, None) for code, column in missing]
+        return _nothing(spark, spark.createDataFrame(rows, ISSUE_ROW))
+    shape = _wide_rows if mapping.wide_periods else _long_rows
+    read = Observation()
+    parsed = _parsed(*shape(df, mapping, row_id, row_order), mapping, df.columns)
+    rows = written(parsed.observe(read, F.count(F.lit(1)).alias("rows")), "source_rows")
+    per_cell = rows.select("source_row_id", "_order", "entity_id", "_bad", F.explode("cells").alias("c"))
+    kept = Observation()
+    found = once(_observations(per_cell), {"_l": F.array(*_lanes(_observation_text(F.col("series_id"), F.col("ds"), F.col("y_raw"))))})
+    sums = [F.sum(F.col("_l")[i]).alias(f"lane{i}") for i in range(4)]
+    found = found.observe(kept, F.count(F.lit(1)).alias("observations"), *sums).drop("_l")
+    observations = written(found, "observations")
+    owners = Observation()
+    entities = written(build_entities(rows.where(F.col("_bad").isNull())).observe(owners, F.count(F.lit(1)).alias("entities")), "entities")
+    n = {**read.get, **owners.get, **kept.get}
+    digest = _digest_text(n["observations"], [n[f"lane{i}"] or 0 for i in range(4)])
+    content = hashlib.sha256(digest.encode()).hexdigest()
+    fingerprint = ids.stable_id(name, str(n["observations"]), str(n["entities"]), mapping.to_json(), study.to_json(), content)
+    issues = _issues(per_cell).unionByName(_conflict_issues(rows, mapping)).unionByName(_limit_issues(spark, n, limits))
+    source_rows = rows.select("source_row_id", "_order", "raw_json")
+    return Canonical(observations, entities, source_rows, issues, fingerprint)
+
+
+def _nothing(spark: SparkSession, issues: DataFrame) -> Canonical:
+    def empty(schema: str) -> DataFrame:
+        return spark.createDataFrame([], schema)
+
+    return Canonical(
+        empty("source_row_id string, _order long, entity_id string, series_id string, ds date, measure string, y_raw decimal(20,2), observed boolean"),
+        empty("entity_id string, key_json string, dimensions_json string, attributes_json string"),
+        empty("source_row_id string, _order long, raw_json string"),
+        issues,
+        None,
+    )
+
+
+def _conflict_issues(rows: DataFrame, mapping: MappingConfig) -> DataFrame:
+    dims = list(mapping.dimension_columns)
+    good = rows.where(F.col("_bad").isNull()).select("entity_id", "_order", *[F.col("dims")[d].alias(d) for d in dims])
+    found = dimension_conflicts(good, dims, "entity_id", "_order")
+    text = F.concat(F.lit(CONFLICT[2] + ": "), "dimension", F.lit(" in "), F.col("conflict_rows").cast("string"), F.lit(" rows"))
+    return found.select("code", F.lit(CONFLICT[1]).alias("severity"), text.alias("message"), F.lit(None).cast("string").alias("source_row_id"), "entity_id")
+
+
+def _limit_issues(spark: SparkSession, n: dict[str, int], limits: Limits) -> DataFrame:
+    checks = ((ROW_LIMIT, "rows", limits.rows), (ENTITY_LIMIT, "entities", limits.entities), (OBSERVATION_LIMIT, "observations", limits.observations))
+    rows = [(code, "error", f"{n[what]} {what}, limit {most}", None, None) for code, what, most in checks if most is not None and n[what] > most]
+    return spark.createDataFrame(rows, ISSUE_ROW)
 
 
 def build_entities(rows: DataFrame) -> DataFrame:
@@ -235,23 +369,26 @@ def dimension_conflicts(rows: DataFrame, dimensions: list[str], entity: str, ord
 
 
 def guard_limits(
-    observations: DataFrame, max_entities: int | None, max_observations: int | None
+    observations: DataFrame, max_entities: int | None, max_observations: int | None, max_rows: int | None = None
 ) -> DataFrame:
-    """Size limits as issue rows; a limit left at None is not checked."""
-    sizes = observations.agg(
-        F.countDistinct("entity_id").alias("n_entities"), F.count("*").alias("n_observations")
-    )
+    """Size limits as issue rows; a limit left at None is not checked. Rows are source rows."""
+    sizes = [F.count("*").alias("n_observations")]
+    if max_entities is not None:
+        sizes.append(F.countDistinct("entity_id").alias("n_entities"))
+    if max_rows is not None:
+        sizes.append(F.countDistinct("source_row_id").alias("n_rows"))
     checks = [
         F.struct(F.lit(code).alias("code"), F.col(col).alias("found"), F.lit(limit).cast("long").alias("allowed"))
         for code, col, limit in (
-            ("E_ENTITY_LIMIT", "n_entities", max_entities),
-            ("E_OBS_LIMIT", "n_observations", max_observations),
+            (ENTITY_LIMIT, "n_entities", max_entities),
+            (OBSERVATION_LIMIT, "n_observations", max_observations),
+            (ROW_LIMIT, "n_rows", max_rows),
         )
         if limit is not None
     ]
-    if not checks:
-        return sizes.select(F.lit("").alias("code"), F.lit(0).cast("long").alias("found"), F.lit(0).cast("long").alias("allowed")).where(F.lit(False))
-    return sizes.select(F.explode(F.array(*checks)).alias("c")).select("c.*").where("found > allowed")
+    none = F.array().cast("array<struct<code:string,found:bigint,allowed:bigint>>")
+    found = observations.agg(*sizes).select(F.explode(F.array(*checks) if checks else none).alias("c"))
+    return found.select("c.*").where("found > allowed")
 
 
 def issue_counts(issues: DataFrame) -> DataFrame:
@@ -266,10 +403,12 @@ def content_digest(observations: DataFrame) -> DataFrame:
     Sums combine map-side, so nothing but one row per task ever meets in one place; a sorted
     concatenation of all row hashes would need the whole table in one task.
     """
-    row = F.sha2(F.concat_ws("|", "series_id", F.date_format("ds", "yyyy-MM-dd"), F.col("y_raw").cast("string")), 256)
-    hashed = observations.select(row.alias("h"))
-    lanes = [
-        F.sum(F.conv(F.substring("h", 1 + 12 * i, 12), 16, 10).cast("decimal(20,0)")) for i in range(4)
-    ]
-    text = F.concat_ws("-", F.count("*").cast("string"), *[F.coalesce(lane, F.lit(0)).cast("string") for lane in lanes])
+    lanes = _lanes(_observation_text(F.col("series_id"), F.col("ds"), F.col("y_raw")))
+    hashed = observations.select(F.array(*lanes).alias("h"))
+    sums = [F.coalesce(F.sum(F.col("h")[i]), F.lit(0)).cast("string") for i in range(4)]
+    text = F.concat_ws("-", F.count("*").cast("string"), *sums)
     return hashed.agg(F.count("*").alias("n_rows"), F.sha2(text, 256).alias("digest"))
+
+
+def _digest_text(n: int, lanes: list) -> str:
+    return "-".join([str(n), *[str(int(x)) for x in lanes]])

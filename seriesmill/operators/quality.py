@@ -17,6 +17,7 @@ from seriesmill.config import (
     StudyConfig,
     TreatmentPolicy,
 )
+from seriesmill.functions import ids
 from seriesmill.functions.periods import grid_start, period_sequence
 
 SERIES = ["series_id", "measure", "entity_id"]
@@ -28,6 +29,7 @@ class Prepared:
     adjustments: DataFrame
     excluded: DataFrame
     preparation_id: str | None = None
+    issues: DataFrame | None = None
 
 
 def profile_series(observations: DataFrame) -> DataFrame:
@@ -292,9 +294,24 @@ def prepare(
         values = drop_negatives(values)
     if policy.outliers == "winsorize":
         values = winsorize(values, policy.upper_quantile)
-    return Prepared(values, adjustments_log(values), excluded_series(observations, values))
+    issues = preparation_issues(kept, dedup, study, policy)
+    return Prepared(values, adjustments_log(values), excluded_series(observations, values), None, issues)
+
+
+def preparation_issues(kept: DataFrame, dedup: DataFrame, study: StudyConfig, policy: TreatmentPolicy) -> DataFrame:
+    """Repeated periods (an error where only the first row counts) and dates off the grid, as rows."""
+    repeats = profile_duplicates(kept).select(
+        *SERIES, "ds", "code", F.lit("error" if policy.duplicates == "reject" else "warning").alias("severity"), "n_rows"
+    )
+    return repeats.unionByName(off_grid(dedup, study).withColumn("n_rows", F.lit(1).cast("long")))
 
 
 def preparation_id(fingerprint: Column, policy: TreatmentPolicy, cutoff: date | None) -> Column:
+    """Content id of what a policy makes of a source with this fingerprint."""
     stamp = cutoff.isoformat() if cutoff else ""
     return F.sha2(F.to_json(F.array(fingerprint, F.lit(policy.to_json()), F.lit(stamp))), 256)
+
+
+def preparation_key(fingerprint: str, study: StudyConfig, policy: TreatmentPolicy, cutoff: date | None) -> str:
+    """The same for a fingerprint of the observations alone, which doesn't name the study yet."""
+    return ids.stable_id(fingerprint, study.to_json(), policy.to_json(), cutoff.isoformat() if cutoff else "")

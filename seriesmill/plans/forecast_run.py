@@ -20,6 +20,7 @@ from seriesmill.operators import quality as Q
 from seriesmill.operators import regressors as R
 from seriesmill.operators import scenarios as SC
 from seriesmill.session import cut_lineage
+from seriesmill.sources import store
 
 FILLED = ("zero", "ffill")
 
@@ -103,6 +104,38 @@ def run_forecast(
     return out
 
 
+def stored_run(
+    root: str,
+    run_id: str,
+    observations: DataFrame,
+    entities: DataFrame,
+    study: StudyConfig,
+    policy: TreatmentPolicy,
+    config: ForecastConfig,
+    hierarchy: HierarchyConfig | None = None,
+    dataset_id: str = "",
+    **options,
+) -> str:
+    """A whole run, kept: every table of its result appears with one commit; returns the status.
+
+    Its state is noted before and after, so a run that stops in between is found by ``mark_interrupted_runs`` and
+    none of its tables is ever read. ``options`` are those of ``run_forecast``.
+    """
+    spark = observations.sparkSession
+    settings = {"dataset_id": dataset_id, "config_json": config.to_json()}
+    check_settings(study, config, hierarchy, options.get("scenarios", ()), options.get("regressors", ()))
+    store.record_run(spark, root, run_id, "running", **settings)
+    try:
+        out = run_forecast(observations, entities, study, policy, config, hierarchy, **{"keep_frame": True, **options})
+        store.persist_run({name: rows for name, rows in out.items() if name in store.RUN_TABLES}, root, run_id)
+        status = store.load_run(spark, root, run_id, "summary").first()["status"]
+    except Exception:
+        store.record_run(spark, root, run_id, "failed")
+        raise
+    store.record_run(spark, root, run_id, status)
+    return status
+
+
 def check_settings(
     study: StudyConfig,
     config: ForecastConfig,

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.operators import backtest as FC
 from seriesmill.operators import mat as M
+from seriesmill.session import written
 
 # Reason texts and limits of the exceptions ranking.
 HIGH_ERROR = 0.30
@@ -308,26 +309,137 @@ def distinct_measures(predictions: DataFrame) -> DataFrame:
     return predictions.select("measure").distinct().orderBy("measure")
 
 
+def dashboard_selection(run: dict[str, DataFrame], entities: DataFrame, bridge: DataFrame, flt: ResultFilter) -> DataFrame:
+    """One row per chosen (node, measure) with all that a dashboard shows of it as arrays.
+
+    Predictions, history, backtest and scores of a node meet in a single shuffle. A node's arrays are bounded by
+    the study grid, the horizon, methods and scenarios.
+    """
+    preds = query_predictions(run["predictions"], flt, entities, bridge)
+    history = run["values"].withColumn("node_id", F.col("series_id"))
+    sources = {"preds": preds, "history": history, "cv": run["cv"], "scores": run["scores"]}
+    if flt.measure is not None:
+        sources = {name: rows.where(F.col("measure") == flt.measure) for name, rows in sources.items()}
+    kinds = {name: F.struct(*[F.col(c) for c in rows.columns]) for name, rows in sources.items()}
+    both = None
+    for name, rows in sources.items():
+        own = rows.select("node_id", "measure", kinds[name].alias(name))
+        both = own if both is None else both.unionByName(own, allowMissingColumns=True)
+    lists = [F.collect_list(name).alias(name) for name in sources]
+    return both.groupBy("node_id", "measure").agg(*lists).where(F.size("preds") > 0)
+
+
+def _curves(selection: DataFrame) -> DataFrame:
+    """One row per (node, measure, scenario, method) with its predictions in order of time."""
+    keys = F.array_distinct(F.transform("preds", lambda p: F.struct(p["scenario_id"].alias("scenario_id"), p["model_alias"].alias("model_alias"))))
+    rows = selection.select("node_id", "measure", "history", "preds", F.explode(keys).alias("k"))
+    own = F.filter("preds", lambda p: p["scenario_id"].eqNullSafe(F.col("k.scenario_id")) & (p["model_alias"] == F.col("k.model_alias")))
+    points = F.sort_array(F.transform(own, lambda p: F.struct(p["ds"].alias("ds"), p["yhat"].alias("yhat"))))
+    return rows.select("node_id", "measure", "k.scenario_id", "k.model_alias", "history", points.alias("points"))
+
+
+def _history_by_date(selection: DataFrame) -> DataFrame:
+    points = selection.select("measure", F.explode("history").alias("h"))
+    return points.groupBy("measure", "h.ds").agg(F.sum("h.y").alias("y"))
+
+
+def _cards(curves: DataFrame, per_date: DataFrame, step: int) -> DataFrame:
+    """``view_cards`` from curves: the history joins once per measure, as one array of dates."""
+    total = F.aggregate("points", F.lit(0.0), lambda acc, p: acc + F.coalesce(p["yhat"], F.lit(0.0)))
+    dates = F.flatten(F.collect_set(F.col("points.ds")))
+    ahead = curves.groupBy("measure", "scenario_id", "model_alias").agg(
+        F.count("*").alias("n_nodes"),
+        F.sum(F.size("points")).alias("forecast_rows"),
+        F.sum(total).alias("total_forecast"),
+        F.array_distinct(dates).alias("_dates"),
+    )
+    past = per_date.groupBy("measure").agg(F.collect_list(F.struct("ds", "y")).alias("_past"))
+    first = F.array_min("_dates")
+    since = F.add_months(first, -F.size("_dates") * step)
+    inside = F.filter("_past", lambda h: (h["ds"] < first) & (h["ds"] >= since))
+    out = ahead.join(past, "measure", "left").withColumn(
+        "total_history",
+        F.when(F.size(inside) > 0, F.aggregate(inside, F.lit(0.0), lambda acc, h: acc + F.coalesce(h["y"], F.lit(0.0)))),
+    )
+    out = out.drop("_dates", "_past")
+    return out.withColumn("variation", F.try_divide(F.col("total_forecast") - F.col("total_history"), F.col("total_history")))
+
+
+def _metrics(selection: DataFrame) -> DataFrame:
+    """``backtest_by_model`` from the selection: a node's errors are summed in its row."""
+    methods = F.array_distinct(F.transform("preds", lambda p: p["model_alias"]))
+    rows = selection.select("measure", "cv", F.explode(methods).alias("model_alias"))
+    own = F.filter("cv", lambda c: c["evaluated"] & (c["model_alias"] == F.col("model_alias")))
+    rows = rows.select("measure", "model_alias", own.alias("own"))
+
+    def total(f) -> Column:
+        return F.aggregate("own", F.lit(0.0), lambda acc, c: acc + f(c["yhat"] - c["y_actual"], c["y_actual"]))
+
+    cuts = F.array_distinct(F.transform("own", lambda c: c["cutoff"]))
+    longest = F.array_max(F.transform(cuts, lambda k: F.size(F.filter("own", lambda c: c["cutoff"] == k))))
+    per_node = rows.where(F.size("own") > 0).select(
+        "measure",
+        "model_alias",
+        F.size("own").alias("n"),
+        total(lambda e, y: F.abs(e)).alias("off"),
+        total(lambda e, y: e * e).alias("square"),
+        total(lambda e, y: e).alias("lean"),
+        total(lambda e, y: F.abs(y)).alias("actual"),
+        F.size(cuts).alias("folds"),
+        longest.cast("long").alias("h"),
+    )
+    n = F.sum("n")
+    return per_node.groupBy("measure", "model_alias").agg(
+        (F.sum("off") / n).alias("mae"),
+        F.sqrt(F.sum("square") / n).alias("rmse"),
+        F.when(F.sum("actual") > 0, F.sum("off") / F.sum("actual")).alias("wape"),
+        (F.sum("lean") / n).alias("bias"),
+        n.alias("n_eval"),
+        F.sum("folds").alias("n_folds"),
+        F.max("h").alias("cv_horizon"),
+    )
+
+
+def _mat_positions(curves: DataFrame, step: int) -> DataFrame:
+    """``mat_forecast`` of curves, row by row: a date has a total where all periods of its year are there."""
+    span = M.SPAN // step
+    old = F.transform("history", lambda h: F.struct(h["ds"].alias("ds"), h["y"].alias("y")))
+    past = F.slice(F.sort_array(old, asc=False), 1, span - 1)
+    new = F.transform("points", lambda p: F.struct(p["ds"].alias("ds"), p["yhat"].alias("y")))
+    known = F.concat(F.filter(past, lambda h: h["y"].isNotNull()), F.filter(new, lambda p: p["y"].isNotNull()))
+    rows = curves.select("node_id", "measure", "scenario_id", "model_alias", "points", known.alias("known"))
+
+    def year(d: Column) -> Column:
+        # Dates are distinct, so as many values as periods inside the year are exactly its periods.
+        inside = F.filter("known", lambda v: (v["ds"] <= d) & (v["ds"] > F.add_months(d, -M.SPAN)))
+        summed = F.aggregate(inside, F.lit(0.0), lambda acc, v: acc + F.greatest(v["y"], F.lit(0.0)))
+        return F.when(F.size(inside) == span, summed)
+
+    cells = F.transform("points", lambda p: F.struct(p["ds"].alias("ds"), year(p["ds"]).alias("mat")))
+    out = rows.select("node_id", "measure", "scenario_id", "model_alias", F.explode(cells).alias("c"))
+    return out.where(F.col("c.mat").isNotNull()).select("node_id", "measure", "scenario_id", "model_alias", "c.ds", "c.mat")
+
+
 def dashboard_query(
     run: dict[str, DataFrame], entities: DataFrame, bridge: DataFrame, flt: ResultFilter, step: int = 1
 ) -> dict[str, DataFrame]:
-    """Filtered predictions with everything shown beside them."""
-    preds = query_predictions(run["predictions"], flt, entities, bridge)
-    nodes = preds.select("node_id").distinct()
-    values = run["values"].withColumn("node_id", F.col("series_id"))
-    history = leaf_history(values.join(nodes, "node_id", "left_semi").drop("node_id"))
-    cv = run["cv"].join(nodes, "node_id", "left_semi")
-    if flt.measure is not None:
-        history, cv = (d.where(F.col("measure") == flt.measure) for d in (history, cv))
+    """Filtered predictions with everything shown beside them.
+
+    The selection is made and written once; all parts are read from it, most of them row by row.
+    """
+    selection = written(dashboard_selection(run, entities, bridge, flt), "dashboard")
+    curves = _curves(selection)
+    per_date = _history_by_date(selection)
     covered = run["predictions"].where(F.col("scenario_id") == flt.scenario_id).groupBy("status").agg(
         F.count_distinct("node_id").alias("n_nodes")
     )
-    return {
-        "predictions": preds,
-        "scores": run["scores"].join(nodes, "node_id", "left_semi"),
+    out = {
+        "predictions": selection.select(F.inline("preds")),
+        "scores": selection.select(F.inline("scores")),
         "coverage": covered,
-        "cards": view_cards(preds, history, step),
-        "metrics": FC.backtest_by_model(cv, preds),
-        "history": history.groupBy("measure", "ds").agg(F.sum("y").alias("y")),
-        "mat": M.mat_forecast(history.select("node_id", "measure", "ds", "y"), preds, step),
+        "cards": _cards(curves, per_date, step),
+        "metrics": _metrics(selection),
+        "history": per_date,
+        "mat": _mat_positions(curves, step),
     }
+    return out | {"issues": run["issues"]} if "issues" in run else out

@@ -109,6 +109,49 @@ def inspect_source(df: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of the sample that tells what a source holds.
+SAMPLE = 100
+
+
+def source_sample(spark: SparkSession, path: str, delimiter: str = ";", encoding: str = "UTF-8", rows: int = SAMPLE) -> DataFrame:
+    """The first rows of a source, by file name: files are opened until there are enough rows."""
+    found = None
+    for file in sorted(spark.read.text(path).inputFiles()):
+        part = scan_text_table(spark, file, delimiter, encoding).limit(rows)
+        found = part if found is None else found.unionByName(part, allowMissingColumns=True)
+        taken = found.limit(rows).collect()
+        if len(taken) == rows:
+            break
+    if found is None or not found.columns:
+        return spark.createDataFrame([], "")
+    return spark.createDataFrame(taken, found.schema)
+
+
+def over_limit(df: DataFrame, most: int) -> bool:
+    """Whether there are more rows than that. Partitions are read until the answer is known, not all of them."""
+    return bool(df.select(F.lit(1)).offset(most).limit(1).collect())
+
+
+def inspect_text(
+    spark: SparkSession, path: str, delimiter: str | None = None, encoding: str = "UTF-8", max_rows: int | None = None
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(column profile of the sample, the sample, issues) of a delimited source, without reading all of it."""
+    if delimiter is None:
+        first = sniff_delimiter(spark, path).first()
+        delimiter = first["delimiter"] if first else DELIMITERS[0]
+    sample = source_sample(spark, path, delimiter, encoding)
+    rows = scan_text_table(spark, path, delimiter, encoding)
+    over = max_rows is not None and over_limit(rows, max_rows)
+    issues = [("E_ROWS_LIMIT", "error", f"more than {max_rows} rows")] if over else []
+    if not sample.columns:
+        issues.append(("E_ROWS_INVALID", "error", "there is no header line"))
+    profile = inspect_source(sample) if sample.columns else spark.createDataFrame([], PROFILE)
+    return profile, sample, spark.createDataFrame(issues, "code string, severity string, message string")
+
+
+PROFILE = "column string, role string, inferred_type string, n_filled long, n_rows long"
+
+
 def number_rows(df: DataFrame, first: int = 0) -> DataFrame:
     """Dense row numbers in file order (path, then place in the file) without a global sort.
 
