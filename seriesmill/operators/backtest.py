@@ -58,7 +58,11 @@ def forecast_frame(
         scored = F.col("cv_n") >= spec.min_train
         any_scored = any_scored | (models.eligible(spec) & scored)
         point = models.point_forecast(spec.alias, season) if spec.native else F.col(f"fits.{spec.alias}")
-        width = models.half_widths(spec.alias, season, config.interval_level) if spec.interval and limits else none
+        width = none
+        if spec.interval and limits and spec.native:
+            width = models.half_widths(spec.alias, season, config.interval_level)
+        elif spec.interval and limits:
+            width = models.widths_of(F.col(f"fits.`{fitters.deviation_of(spec.alias)}`"), config.interval_level)
         wanted = (F.col("fold") == FINAL_FOLD) & models.interval_allowed() & usable
         entries.append(
             F.when(

@@ -14,7 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-Fitter = Callable[[np.ndarray, int, int], np.ndarray]
+#: Values ahead, [series, h]; and, of fitters that know it, the standard deviation of their errors at each step.
+Answer = np.ndarray | tuple[np.ndarray, np.ndarray]
+Fitter = Callable[[np.ndarray, int, int], Answer]
 
 ALPHAS = np.array([0.05, 0.1, 0.2, 0.3, 0.5, 0.7, 0.9])
 TREND_SHARES = np.array([0.05, 0.2, 0.5])
@@ -33,8 +35,13 @@ def _grid(trend: str, seasonal: str) -> np.ndarray:
     return np.stack([a, a * b, p, (1 - a) * g])
 
 
-def smooth(y: np.ndarray, h: int, season: int, trend: str, seasonal: str) -> tuple[np.ndarray, np.ndarray]:
-    """Best grid point per series of one exponential-smoothing form: (AICc, h values)."""
+def smooth(y: np.ndarray, h: int, season: int, trend: str, seasonal: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Best grid point per series of one exponential-smoothing form: (AICc, h values, their deviations).
+
+    An error of one at some step moves the state by the smoothing weights, and with it every later value; the variance of a
+    step is that of its own error and of the moves by all errors before it. For multiplicative seasons
+    the moves are those of first order.
+    """
     s, n = y.shape
     alpha, beta, phi, gamma = _grid(trend, seasonal)
     if seasonal == "N":
@@ -72,34 +79,47 @@ def smooth(y: np.ndarray, h: int, season: int, trend: str, seasonal: str) -> tup
     aicc = fit + 2 * k + (2 * k * (k + 1) / spare if spare > 0 else np.inf)
     steps = np.arange(1, h + 1)
     damp = np.cumsum(phi[best][:, None] ** steps, axis=1)
-    out = lev[rows, best][:, None] + damp * tre[rows, best][:, None]
+    trended = lev[rows, best][:, None] + damp * tre[rows, best][:, None]
+    moved = alpha[best][:, None] + beta[best][:, None] * damp  # by an error 1, 2, ... steps before
+    back = np.where(steps % max(season, 1) == 0, gamma[best][:, None], 0.0) if cycle is not None else np.zeros((s, h))
+    out = trended
     if cycle is not None:
         wave = np.stack([cycle[(n + i) % season][rows, best] for i in range(h)], axis=1)
-        out = out + wave if seasonal == "A" else out * wave
-    return np.where(np.isfinite(sse[rows, best]), aicc, np.inf), out
+        out = trended + wave if seasonal == "A" else trended * wave
+    total = np.ones((s, h))
+    for i in range(h - 1):
+        later = slice(i + 1, h)
+        if seasonal == "M":
+            move = moved[:, : h - 1 - i] * wave[:, later] / wave[:, [i]] + back[:, : h - 1 - i] * trended[:, later] / trended[:, [i]]
+        else:
+            move = moved[:, : h - 1 - i] + back[:, : h - 1 - i]
+        total[:, later] += move * move
+    deviation = np.sqrt(sse[rows, best] / max(n - k, 1))[:, None] * np.sqrt(total)
+    return np.where(np.isfinite(sse[rows, best]), aicc, np.inf), out, deviation
 
 
-def _pick(y: np.ndarray, h: int, season: int, forms: list[tuple[str, str]]) -> np.ndarray:
+def _pick(y: np.ndarray, h: int, season: int, forms: list[tuple[str, str]]) -> Answer:
     n = y.shape[1]
     usable = [f for f in forms if f[1] == "N" or (season > 1 and n >= 2 * season + 2)]
     fits = [smooth(y, h, season, trend, seasonal) for trend, seasonal in usable]
     order = np.stack([f[0] for f in fits]).argmin(axis=0)
-    return np.stack([f[1] for f in fits])[order, np.arange(y.shape[0])]
+    rows = np.arange(y.shape[0])
+    return np.stack([f[1] for f in fits])[order, rows], np.stack([f[2] for f in fits])[order, rows]
 
 
-def holt(y: np.ndarray, h: int, season: int) -> np.ndarray:
-    return smooth(y, h, season, "A", "N")[1]
+def holt(y: np.ndarray, h: int, season: int) -> Answer:
+    return smooth(y, h, season, "A", "N")[1:]
 
 
-def holt_damped(y: np.ndarray, h: int, season: int) -> np.ndarray:
-    return smooth(y, h, season, "Ad", "N")[1]
+def holt_damped(y: np.ndarray, h: int, season: int) -> Answer:
+    return smooth(y, h, season, "Ad", "N")[1:]
 
 
-def auto_ets(y: np.ndarray, h: int, season: int) -> np.ndarray:
+def auto_ets(y: np.ndarray, h: int, season: int) -> Answer:
     return _pick(y, h, season, [(t, s) for t in ("N", "A", "Ad") for s in ("N", "A", "M")])
 
 
-def ets_damped(y: np.ndarray, h: int, season: int) -> np.ndarray:
+def ets_damped(y: np.ndarray, h: int, season: int) -> Answer:
     return _pick(y, h, season, [("Ad", s) for s in ("N", "A", "M")])
 
 
@@ -122,8 +142,11 @@ def seasonal_index(y: np.ndarray, season: int) -> np.ndarray:
     return np.where((np.abs(acf[:, -1]) > bound)[:, None], index, 0.0)
 
 
-def auto_theta(y: np.ndarray, h: int, season: int) -> np.ndarray:
-    """Simple smoothing plus a share of the linear trend; the share with the least squared error."""
+def auto_theta(y: np.ndarray, h: int, season: int) -> Answer:
+    """Simple smoothing plus a share of the linear trend; the share with the least squared error.
+
+    Only the level carries errors on, each by the smoothing weight.
+    """
     s, n = y.shape
     index = seasonal_index(y, season)
     width = index.shape[1]
@@ -139,12 +162,15 @@ def auto_theta(y: np.ndarray, h: int, season: int) -> np.ndarray:
         for j, share in enumerate(shares):
             sse[j] += (z[:, [i]] - level - share * slope[:, None] * grown) ** 2
         level = level + alpha * (z[:, [i]] - level)
-    flat = np.concatenate(sse, axis=1).argmin(axis=1)
+    errors = np.concatenate(sse, axis=1)
+    flat = errors.argmin(axis=1)
+    sigma = np.sqrt(errors[np.arange(s), flat] / max(n - 3, 1))
     share, a = np.array(shares)[flat // alpha.size], alpha[flat % alpha.size]
     start = level[np.arange(s), flat % alpha.size]
     steps = np.arange(h)[None, :] + ((1 - (1 - a) ** n) / a)[:, None]
     out = start[:, None] + (share * slope)[:, None] * steps
-    return out + index[:, (n + np.arange(h)) % width]
+    deviation = sigma[:, None] * np.sqrt(1 + np.arange(h)[None, :] * a[:, None] ** 2)
+    return out + index[:, (n + np.arange(h)) % width], deviation
 
 
 def _regress(z: np.ndarray, lags: tuple[int, ...], start: int, x: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
@@ -172,13 +198,20 @@ def _roll(z: np.ndarray, lags: tuple[int, ...], coef: np.ndarray, h: int, x_next
     return path[:, z.shape[1] :]
 
 
-def auto_ar(
-    y: np.ndarray, h: int, season: int, x: np.ndarray | None = None, x_next: np.ndarray | None = None
-) -> np.ndarray:
+def _responses(lags: tuple[int, ...], coef: np.ndarray, h: int) -> np.ndarray:
+    """What an error of one leaves in the values 0, 1, ... h - 1 steps later."""
+    psi = np.zeros((coef.shape[0], h))
+    psi[:, 0] = 1.0
+    for j in range(1, h):
+        psi[:, j] = sum((coef[:, 1 + i] * psi[:, j - k] for i, k in enumerate(lags) if k <= j), np.zeros(coef.shape[0]))
+    return psi
+
+
+def auto_ar(y: np.ndarray, h: int, season: int, x: np.ndarray | None = None, x_next: np.ndarray | None = None) -> Answer:
     """Order search over p ≤ 3, one seasonal lag and first differences, by AICc on one sample."""
     s, n = y.shape
     # a series that no order fits stays without an answer
-    best, out = np.full(s, np.inf), np.full((s, h), np.nan)
+    best, out, deviation = np.full(s, np.inf), np.full((s, h), np.nan), np.full((s, h), np.nan)
     seasonal = season > 1 and n >= 2 * season + 8
     start = (season if seasonal else 3) + 1
     for d in (0, 1):
@@ -199,9 +232,13 @@ def auto_ar(
                 aicc = obs * np.log(np.maximum(sse, scale) / obs) + 2 * k + 2 * k * (k + 1) / (obs - k - 1)
                 path = _roll(z, lags, coef, h, fd)
                 path = y[:, -1:] + np.cumsum(path, axis=1) if d else path
+                psi = _responses(lags, coef, h)
+                psi = np.cumsum(psi, axis=1) if d else psi
+                spread = np.sqrt(sse / (obs - k))[:, None] * np.sqrt(np.cumsum(psi * psi, axis=1))
                 better = (aicc < best) & np.isfinite(path).all(axis=1)
-                best, out = np.where(better, aicc, best), np.where(better[:, None], path, out)
-    return out
+                best = np.where(better, aicc, best)
+                out, deviation = np.where(better[:, None], path, out), np.where(better[:, None], spread, deviation)
+    return out, deviation
 
 
 FITTERS: dict[str, Fitter] = {
@@ -218,8 +255,19 @@ def _lists(values: np.ndarray) -> list:
     return [list(map(float, row)) if np.isfinite(row).all() else None for row in values]
 
 
+def _both(answer: Answer) -> tuple[list, list]:
+    """Values and deviations as lists; a fitter without deviations has none."""
+    if isinstance(answer, tuple):
+        return _lists(answer[0]), _lists(answer[1])
+    return _lists(answer), [None] * len(answer)
+
+
+def deviation_of(name: str) -> str:
+    return f"{name} deviation"
+
+
 def _fit_batch(ys: pd.Series, h: pd.Series, chosen: dict[str, Fitter], season: int, least: int) -> pd.DataFrame:
-    out = {name: np.full(len(ys), None, dtype=object) for name in chosen}
+    out = {c: np.full(len(ys), None, dtype=object) for name in chosen for c in (name, deviation_of(name))}
     lengths, horizons = ys.map(len).to_numpy(), h.to_numpy()
     for n, steps in {(a, b) for a, b in zip(lengths, horizons) if a >= least}:
         rows = np.flatnonzero((lengths == n) & (horizons == steps))
@@ -227,19 +275,22 @@ def _fit_batch(ys: pd.Series, h: pd.Series, chosen: dict[str, Fitter], season: i
             stacked = np.vstack([np.asarray(ys.iloc[i], dtype=float) for i in part])
             for name, fit in chosen.items():
                 with np.errstate(all="ignore"):
-                    found = _lists(fit(stacked, int(steps), season))
-                for i, row in zip(part, found):
-                    out[name][i] = row
+                    found = _both(fit(stacked, int(steps), season))
+                for c, lists in zip((name, deviation_of(name)), found):
+                    for i, row in zip(part, lists):
+                        out[c][i] = row
     return pd.DataFrame(out)
 
 
 def fit_panel(panel: DataFrame, chosen: dict[str, Fitter], season: int, least: int = 1) -> DataFrame:
-    """Add ``fits``: one array of h values per fitter; null where a fitter could not answer.
+    """Add ``fits``: per fitter an array of h values, null where it could not answer, and their deviations.
 
-    Any user function ``(values[series, time], h, season) -> values[series, h]`` can be passed; it
-    is called for every series of at least ``least`` values.
+    Any user function ``(values[series, time], h, season) -> values[series, h]`` can be passed, or one that
+    returns deviations of the same shape beside the values; it is called for every series of at least ``least``
+    values.
     """
-    schema = T.StructType([T.StructField(name, T.ArrayType(T.DoubleType())) for name in chosen])
+    fields = [c for name in chosen for c in (name, deviation_of(name))]
+    schema = T.StructType([T.StructField(c, T.ArrayType(T.DoubleType())) for c in fields])
 
     def fit(ys: pd.Series, h: pd.Series) -> pd.DataFrame:
         return _fit_batch(ys, h, chosen, season, least)
@@ -251,9 +302,9 @@ def with_fits(panel: DataFrame, names: list[str], season: int) -> DataFrame:
     return fit_panel(panel, {n: FITTERS[n] for n in names}, season, MIN_LENGTH)
 
 
-def _fit_exogenous_batch(ys: pd.Series, xs: pd.Series, x_next: pd.Series, h: pd.Series, season: int) -> pd.Series:
+def _fit_exogenous_batch(ys: pd.Series, xs: pd.Series, x_next: pd.Series, h: pd.Series, season: int) -> pd.DataFrame:
     """Rows of equal length, regressor count and horizon are stacked, as in ``_fit_batch``."""
-    out = np.full(len(ys), None, dtype=object)
+    out = {c: np.full(len(ys), None, dtype=object) for c in ("raw", "deviation")}
     groups: dict[tuple[int, int, int], list[int]] = {}
     for i, (y, x, f, steps) in enumerate(zip(ys, xs, x_next, h)):
         if x is not None and f is not None and len(y) >= MIN_LENGTH:
@@ -264,17 +315,18 @@ def _fit_exogenous_batch(ys: pd.Series, xs: pd.Series, x_next: pd.Series, h: pd.
             past = np.stack([np.stack(list(xs.iloc[i])).astype(float) for i in part])
             future = np.stack([np.stack(list(x_next.iloc[i])).astype(float) for i in part])
             with np.errstate(all="ignore"):
-                found = _lists(auto_ar(y, steps, season, past, future))
-            for i, row in zip(part, found):
-                out[i] = row
-    return pd.Series(out)
+                found = _both(auto_ar(y, steps, season, past, future))
+            for c, lists in zip(out, found):
+                for i, row in zip(part, lists):
+                    out[c][i] = row
+    return pd.DataFrame(out)
 
 
 def fit_exogenous(panel: DataFrame, season: int) -> DataFrame:
-    """Autoregression with the panel's ``xs`` (history × regressor) and ``x_next`` columns."""
+    """Autoregression with the panel's ``xs`` (history × regressor) and ``x_next`` columns: ``raw`` and ``deviation``."""
 
-    def fit(ys: pd.Series, xs: pd.Series, x_next: pd.Series, h: pd.Series) -> pd.Series:
+    def fit(ys: pd.Series, xs: pd.Series, x_next: pd.Series, h: pd.Series) -> pd.DataFrame:
         return _fit_exogenous_batch(ys, xs, x_next, h, season)
 
-    udf = F.pandas_udf(fit, T.ArrayType(T.DoubleType()))
-    return panel.withColumn("raw", udf("ys", "xs", "x_next", "h"))
+    udf = F.pandas_udf(fit, "raw array<double>, deviation array<double>")
+    return panel.withColumn("_fit", udf("ys", "xs", "x_next", "h")).select("*", "_fit.*").drop("_fit")

@@ -56,6 +56,8 @@ NATIVE = (
     "CrostonSBA",
     "TSB",
 )
+#: Methods whose own errors give their limits; of the others backtest errors do.
+WITH_LIMITS = ("Naive", "HistoricAverage", "SeasonalNaive", "RegLinearDrift", "Holt", "HoltDamped", "AutoETS", "ETS_Damped", "AutoAR", "AutoTheta")
 FITTED = ("Holt", "HoltDamped", "AutoETS", "ETS_Damped", "AutoAR", "AutoTheta")
 
 
@@ -83,7 +85,7 @@ def candidate_registry(study: StudyConfig, config: ForecastConfig, fitted: bool
             min_train=(config.season_length or study.season) if m == "SeasonalNaive" else MIN_TRAIN[m],
             intermittent=m in INTERMITTENT_MODELS,
             native=m in NATIVE,
-            interval=m in ("Naive", "HistoricAverage", "SeasonalNaive", "RegLinearDrift"),
+            interval=m in WITH_LIMITS,
         )
         for m in names
     ]
@@ -172,9 +174,18 @@ def point_forecast(alias: str, season: int) -> Column:
     raise KeyError(alias)
 
 
+def z_of(level: int) -> float:
+    return NormalDist().inv_cdf(0.5 + level / 200)
+
+
+def widths_of(deviations: Column, level: int) -> Column:
+    """z(level) × the deviations that a fitter gives."""
+    return F.transform(deviations, lambda d: d * z_of(level))
+
+
 def half_widths(alias: str, season: int, level: int) -> Column:
     """z(level) × σ of the in-sample residuals × growth with the step."""
-    z = NormalDist().inv_cdf(0.5 + level / 200)
+    z = z_of(level)
     ys, n, h = F.col("ys"), F.col("n"), F.col("h")
 
     def sigma(residuals: Column, divisor: Column) -> Column:

@@ -221,7 +221,7 @@ def exogenous_panel(
     ).drop("_one", "_calendar", "dims")
 
 
-def ar_exog(panel: DataFrame, season: int) -> DataFrame:
+def ar_exog(panel: DataFrame, season: int, level: int = 80) -> DataFrame:
     """Autoregression with regressors; unavailable inputs keep their row with the reason."""
 
     def holes(matrix: str) -> Column:
@@ -244,11 +244,11 @@ def ar_exog(panel: DataFrame, season: int) -> DataFrame:
             "failure_reason": F.when(F.col("_why") != "", F.col("_why"))
             .when(F.col("raw").isNull(), "model_failed")
             .otherwise(""),
-            "width": F.lit(None).cast("array<double>"),
+            "width": F.when((F.col("fold") == FINAL_FOLD) & models.interval_allowed(), models.widths_of(F.col("deviation"), level)),
             "evaluable": F.lit(None).cast("boolean"),
             "any_evaluable": F.lit(None).cast("boolean"),
         }
-    ).drop("_why", "xs", "x_next")
+    ).drop("_why", "xs", "x_next", "deviation")
 
 
 def final_rows(frame: DataFrame) -> DataFrame:

@@ -191,7 +191,7 @@ def _level_owners(entities: DataFrame, bridge: DataFrame, hierarchy: HierarchyCo
 def _exogenous(modelled, owners, values, specs, study, config, folds, horizon, overrides) -> DataFrame:
     future = R.regressor_future(values, specs, horizon, study.history_end, overrides)
     panel = R.exogenous_panel(modelled, owners, values, future, specs, study, config, folds)
-    return R.ar_exog(panel, config.season_length or study.season)
+    return R.ar_exog(panel, config.season_length or study.season, config.interval_level)
 
 
 def refitted(base: DataFrame, again: DataFrame) -> DataFrame:

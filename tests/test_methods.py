@@ -486,3 +486,78 @@ def test_csv_round_trip_keeps_text(spark, tmp_path):
     back = {tuple(r) for r in scan.scan_text_table(spark, path).collect()}
     assert back == {("0012", 'say "x"; y', ""), ("0013", "a,b", "'-5")}
     assert scan.sniff_delimiter(spark, path).first()["delimiter"] == ";"
+
+
+# Limits of fitted methods: simulate the recursion with random errors and compare the spread of its paths.
+
+
+def _ets_paths(rng, n, h, season, trend, seasonal, alpha, beta, phi, gamma, sigma, level, slope, wave):
+    """Values of ``n`` futures of one exponential-smoothing state, written step by step."""
+    out = np.empty((n, h))
+    lev, tre = np.full(n, level), np.full(n, slope)
+    cycle = [np.full(n, w) for w in wave]
+    for t in range(h):
+        ahead, now = lev + phi * tre, cycle[t % season]
+        e = rng.normal(0, sigma, n)
+        out[:, t] = (ahead + now if seasonal == "A" else ahead * now) + e
+        move = e if seasonal == "A" else e / now
+        cycle[t % season] = now + gamma * (e if seasonal == "A" else e / ahead)
+        lev, tre = ahead + alpha * move, phi * tre + beta * move
+    return out
+
+
+@pytest.mark.parametrize(("trend", "seasonal"), [("N", "N"), ("A", "N"), ("Ad", "N"), ("A", "A"), ("Ad", "M")])
+def test_smoothing_deviations_against_simulated_paths(monkeypatch, trend, seasonal):
+    season, n, h = 4, 60, 9
+    grid = np.array([[0.3], [0.06 if trend != "N" else 0.0], [0.9 if trend == "Ad" else 1.0], [0.1 if seasonal != "N" else 0.0]])
+    monkeypatch.setattr(fitters, "_grid", lambda *_: grid)
+    rng = np.random.default_rng(3)
+    t = np.arange(n)
+    y = 200 + 0.5 * t + (rng.normal(0, 4, n)) + (10 * np.sin(2 * np.pi * t / season) if seasonal != "N" else 0)
+    _, out, deviation = fitters.smooth(y[None, :], h, season, trend, seasonal)
+    sigma = deviation[0, 0]
+    # The state at the end, from the values ahead without errors: the recursion is run once more.
+    alpha, beta, phi, gamma = grid[:, 0]
+    wave = np.zeros(season) if seasonal != "M" else np.ones(season)
+    if seasonal == "N":
+        slope = out[0, 1] - out[0, 0] if trend != "N" else 0.0
+        slope = slope / phi**2 if trend != "N" else 0.0
+        level = out[0, 0] - phi * slope
+        paths = _ets_paths(rng, 60_000, h, 1, trend, "A", alpha, beta, phi, 0.0, sigma, level, slope, [0.0])
+    else:
+        wave = out[0, :season] / out[0, :season].mean() if seasonal == "M" else out[0, :season] - out[0, :season].mean()
+        level = out[0, :season].mean()
+        paths = _ets_paths(rng, 60_000, h, season, trend, seasonal, alpha, beta, phi, gamma, sigma, level, 0.0, wave)
+    spread = paths.std(axis=0)
+    assert deviation[0] == pytest.approx(spread, rel=0.03)
+
+
+def test_autoregressive_deviations_against_simulated_paths():
+    rng = np.random.default_rng(4)
+    y = np.zeros(400)
+    for t in range(2, 400):
+        y[t] = 0.6 * y[t - 1] - 0.3 * y[t - 2] + rng.normal()
+    lags, h = (1, 2), 8
+    coef, sse = fitters._regress(y[None, :], lags, 4, None)
+    psi = fitters._responses(lags, coef, h)
+    e = rng.normal(size=(80_000, h))
+    paths = np.zeros((80_000, h + 2))
+    for t in range(h):
+        paths[:, t + 2] = coef[0, 1] * paths[:, t + 1] + coef[0, 2] * paths[:, t] + e[:, t]
+    assert np.sqrt(np.cumsum(psi[0] ** 2)) == pytest.approx(paths[:, 2:].std(axis=0), rel=0.02)
+    values, deviation = fitters.auto_ar(np.cumsum(y)[None, :], h, 1)
+    assert (np.diff(deviation[0]) > 0).all() and deviation.shape == values.shape == (1, h)
+
+
+def test_theta_deviations_grow_by_the_weight():
+    rng = np.random.default_rng(5)
+    y = 50 + np.cumsum(rng.normal(0, 1, (3, 80)), axis=1)
+    _, deviation = fitters.auto_theta(y, 6, 1)
+    ratio = (deviation / deviation[:, [0]]) ** 2 - 1
+    assert ratio / np.arange(6).clip(1) == pytest.approx(np.repeat(ratio[:, [1]], 6, axis=1) * (np.arange(6) > 0))
+
+
+def test_fitted_methods_have_their_own_limits(spark):
+    rows = backtest.final_forecast(frame(spark, {"s": SEASONAL})).where("model_alias IN ('AutoETS', 'AutoTheta', 'AutoAR', 'Holt')").collect()
+    assert {r["interval_method"] for r in rows} == {"native"}
+    assert all(r["lo80"] <= r["yhat"] <= r["hi80"] for r in rows)
