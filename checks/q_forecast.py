@@ -237,12 +237,36 @@ for _alias, _key in (
     ("MediaMovel12", "moving_average_12"),
     ("SeasonalNaive", "seasonal_naive"),
     ("RegLinearDrift", "drift"),
-    ("ZeroBaseline", "zero_baseline"),
     ("CrostonSBA", "croston_sba"),
     ("TSB", "tsb"),
 ):
     _one_model(_alias, _key)
 
+def zeroed(spark, sf):
+    """Units of the parts whose number ends in 3 are zero throughout."""
+    idle = (F.col("measure") == "unidades") & F.col("ean").endswith("3")
+    owners = T.entities(spark, sf).select("entity_id", "ean")
+    rows = values(spark, sf).join(owners, "entity_id").withColumn("y", F.when(idle, 0.0).otherwise(F.col("y"))).drop("ean")
+    return P.train_panel(rows, T.STUDY, CONFIG, P.calendar_folds(T.STUDY, CONFIG))
+
+
+ZERO_SQL = cv_sql("ean").replace(
+    "prep AS (SELECT * FROM prep0 WHERE y IS NOT NULL)",
+    """idle AS (SELECT DISTINCT entity_id FROM obs WHERE ean LIKE '%3'),
+prep AS (SELECT * REPLACE (CASE WHEN measure = 'unidades' AND entity_id IN (SELECT entity_id FROM idle) THEN 0.0 ELSE y END AS y) FROM prep0 WHERE y IS NOT NULL)""",
+)
+
+
+@query("zero_baseline", S.q(ZERO_SQL, """SELECT measure, fold, ds, model_alias, count(*) AS n, count_if(evaluated) AS n_evaluated, round(sum(yhat), 4) AS total, round(sum(y_actual), 4) AS actual
+ FROM cv WHERE all_zero GROUP BY ALL"""))
+def _(spark, sf):
+    """Series that are zero throughout keep the zero baseline alone."""
+    rows = FC.cv_predictions(FC.forecast_frame(zeroed(spark, sf), T.STUDY, CONFIG, False, False)).where("all_zero")
+    return rows.groupBy("measure", "fold", "ds", "model_alias").agg(
+        F.count("*").alias("n"), F.count_if("evaluated").alias("n_evaluated"), F.round(F.sum("yhat"), 4).alias("total"), F.round(F.sum("y_actual"), 4).alias("actual")
+    )
+
+
 SCORE_COLS = "round(mae, 7) AS mae, round(rmse, 4) AS rmse, round(wape, 9) AS wape, round(bias, 7) AS bias, n_eval, n_folds"
 
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import asdict
 from datetime import date
 
 from pyspark.sql import functions as F
 
 from checks import sql as S
-from checks.q_forecast import CONFIG, ZERO, fin_sql, panel, rounded, values
+from checks.q_forecast import CONFIG, SCORES, SELECT, ZERO, cv_sql, panel, rounded, scores, values
 from checks.q_hierarchy import ENT, GROWTH, PERIODS, RECON, WITH_TOTAL
 from checks.registry import query
 from seriesmill import testbed as T
@@ -242,12 +243,16 @@ def _(spark, sf):
     return settings.select("kind", "id").join(reached, "id")
 
 
-@query("export_manifest", S.q(fin_sql("marca"), "SELECT 'run' AS section, 'n_predictions' AS key, CAST(count(*) AS VARCHAR) AS value FROM fin UNION ALL SELECT 'run', 'n_series', CAST(count(DISTINCT node_id) AS VARCHAR) FROM fin UNION ALL SELECT 'study', 'history_end', '2001-08-01' UNION ALL SELECT 'forecast', 'horizon', '12'"))
+def _text(value) -> str:
+    return "'" + str(value).replace("'", "''") + "'"
+
+
+SETTINGS = [("study", T.STUDY), ("forecast", CONFIG)]
+SETTING_ROWS = " UNION ALL ".join(f"SELECT '{section}', '{k}', {_text(v)}" for section, c in SETTINGS for k, v in asdict(c).items())
+
+
+@query("export_manifest", S.q(cv_sql("marca"), f"""{SCORES}{SELECT} SELECT 'selection' AS section, measure || ' / ' || model_alias || ' / ' || selection_reason AS key, CAST(count(*) AS VARCHAR) AS value
+ FROM sel WHERE selected GROUP BY measure, model_alias, selection_reason
+ UNION ALL SELECT 'run', 'run_id', 'r1' UNION ALL {SETTING_ROWS}""").replace(")\n,\nsc", "),\nsc"))
 def _(spark, sf):
-    frame = FC.forecast_frame(panel(spark, sf, "marca"), T.STUDY, CONFIG, False, False)
-    summary = FC.run_summary(values(spark, sf, "marca"), FC.final_forecast(frame, native_only=True))
-    counts = summary.select(
-        F.explode(F.create_map(F.lit("n_predictions"), F.col("n_predictions").cast("string"), F.lit("n_series"), F.col("n_series").cast("string"))).alias("key", "value")
-    ).select(F.lit("run").alias("section"), "key", "value")
-    manifest = X.export_manifest(spark, {}, T.STUDY, CONFIG).where(F.col("key").isin("history_end", "horizon"))
-    return counts.unionByName(manifest)
+    return X.export_manifest(spark, {"run_id": "r1"}, T.STUDY, CONFIG, scores(spark, sf, "marca"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from checks import sql as S
 from checks.q_forecast import CONFIG, RANK, SCORES, SELECT, ZERO, cv_sql, fin_sql, frame, metric_digits, panel, predictions, rounded, values
-from checks.q_hierarchy import BRIDGE, ENT, PERIODS, SCENARIOS, UNTIED, bridge
+from checks.q_hierarchy import BRIDGE, ENT, PERIODS, SCENARIOS, UNTIED, WITH_TOTAL, bridge
 from checks.q_ingest import canonical
 from checks.registry import query
 from seriesmill import testbed as T
@@ -16,6 +16,7 @@ from seriesmill.config import HierarchyConfig
 from seriesmill.functions.periods import shift_date
 from seriesmill.functions.text import chip_label
 from seriesmill.operators import backtest as FC
+from seriesmill.operators import hierarchy as H
 from seriesmill.operators import mat as M
 from seriesmill.operators import scenarios as SC
 from seriesmill.plans import candidates
@@ -98,7 +99,7 @@ def _mat_long(spark, sf):
 
 @query("node_history", f"WITH {S.prep('ean').strip()},{BRIDGE} SELECT node_id, measure, ds, round(sum(y), 2) AS y, bool_and(observed) AS observed, bool_or(was_adjusted) AS was_adjusted FROM prep JOIN bridge USING (entity_id) WHERE level < 2 GROUP BY ALL")
 def _(spark, sf):
-    return rounded(V.node_history(values(spark, sf), bridge(spark, sf).where("level < 2")), "y", digits=2)
+    return rounded(V.node_history(values(spark, sf), H.ancestors(T.entities(spark, sf), WITH_TOTAL)), "y", digits=2)
 
 
 @query("view_cards", S.q(fin_sql("ean"), """
@@ -227,9 +228,16 @@ def _(spark, sf):
  FROM fin f JOIN entities e ON e.entity_id = f.entity_id LEFT JOIN er ON er.item = tipo AND er.measure = f.measure AND er.model_alias = f.model_alias
  GROUP BY tipo, f.measure, f.model_alias, f.ds""")
 def _(spark, sf):
+    out = V.series_by_model_panel(frame(spark, sf), T.entities(spark, sf), "tipo", len(PERIODS))
+    return rounded(rounded(out, "yhat"), "wape_pooled", digits=9)
+
+
+@query("series_by_model_stored", VIEW + " SELECT tipo AS item, f.measure, f.model_alias, count(*) AS n_rows, round(sum(yhat), 4) AS yhat FROM fin f JOIN entities e ON e.entity_id = f.entity_id GROUP BY ALL")
+def _(spark, sf):
+    """The same from stored predictions and backtest rows."""
     fr = frame(spark, sf)
     out = V.series_by_model(FC.final_forecast(fr, native_only=True), FC.cv_predictions(fr), T.entities(spark, sf), "tipo")
-    return rounded(rounded(out, "yhat"), "wape_pooled", digits=9)
+    return out.groupBy("item", "measure", "model_alias").agg(F.sum("n_series").alias("n_rows"), F.round(F.sum("yhat"), 4).alias("yhat"))
 
 
 PIVOT = ", ".join(f"""round(sum(CASE WHEN ds = DATE '{p.isoformat()}' THEN yhat END), 4) AS "{p.strftime('%Y-%m')}" """ for p in PERIODS)
@@ -416,6 +424,12 @@ def _(spark, sf):
     return X.template_rows(ents, PERIODS)
 
 
+@query("template_wide", f"""WITH {ENT} SELECT tipo, marca, ean, m AS medida, {", ".join(f"CASE WHEN m = 'unidades' THEN {10 + j} ELSE {(10 + j) * 1.5} END AS \"{p.strftime('%Y-%m')}\"" for j, p in enumerate(PERIODS))}
+ FROM entities, (VALUES ('unidades'), ('valor')) t(m)""")
+def _(spark, sf):
+    return X.template_wide(T.entities(spark, sf).select(*DIMS), PERIODS, ("unidades", "valor"))
+
+
 @query("sink_long_csv", LONG + " SELECT tipo, count(*) AS n_rows, round(sum(round(valor, 4)), 2) AS total FROM lng GROUP BY ALL")
 def _(spark, sf):
     path = scratch_dir(spark, "long_csv")
@@ -424,11 +438,12 @@ def _(spark, sf):
     return back.groupBy("tipo").agg(F.count("*").alias("n_rows"), F.round(F.sum(F.col("valor").cast("double")), 2).alias("total"))
 
 
-@query("sink_wide_by_model", S.q(fin_sql("marca"), "SELECT model_alias, count(DISTINCT (node_id, measure)) AS n_rows FROM fin GROUP BY ALL"))
+@query("sink_wide_by_model", S.q(fin_sql("marca"), "SELECT model_alias, count(DISTINCT (node_id, measure)) AS n_rows, round(sum(yhat) FILTER (ds = DATE '2001-12-01'), 4) AS december FROM fin GROUP BY ALL"))
 def _(spark, sf):
     path = scratch_dir(spark, "by_model")
     X.write_by_model(X.wide_by_node(predictions(spark, sf), ["node_id", "measure", "model_alias"], "yhat", PERIODS), path)
-    return spark.read.parquet(path).groupBy("model_alias").agg(F.count("*").alias("n_rows"))
+    back = spark.read.parquet(path).groupBy("model_alias")
+    return back.agg(F.count("*").alias("n_rows"), F.round(F.sum("200112"), 4).alias("december"))
 
 
 @query("sink_metrics", fix(S.q(cv_sql("marca"), f"{SCORES} SELECT model_alias, count(*) AS n_rows, round(sum(round(mae, 4)), 2) AS total FROM sc GROUP BY ALL")))
@@ -440,11 +455,11 @@ def _(spark, sf):
     return back.groupBy("model_alias").agg(F.count("*").alias("n_rows"), F.round(F.sum(F.col("mae").cast("double")), 2).alias("total"))
 
 
-@query("sink_quality", S.q(S.canon_long(), "SELECT code, count(*) AS n_rows FROM issues GROUP BY ALL"))
+@query("sink_quality", S.q(S.canon_long(), "SELECT code, severity, row_key AS source_row_id FROM issues"))
 def _(spark, sf):
     path = scratch_dir(spark, "quality_csv")
     X.write_csv(X.quality_frame(canonical(spark, sf).issues), path)
-    return spark.read.csv(path, sep=";", header=True).groupBy("code").agg(F.count("*").alias("n_rows"))
+    return spark.read.csv(path, sep=";", header=True).select("code", "severity", "source_row_id")
 
 
 @query("chip_label", S.q(ENT, "SELECT entity_id, tipo || ' / ' || marca || ' / ' || ean AS label FROM entities"))

@@ -76,9 +76,10 @@ def node_bridge(entities: DataFrame, hierarchy: HierarchyConfig, keep: tuple[str
     return entities.select("entity_id", *keep, F.explode(nodes).alias("b")).select("entity_id", *keep, "b.*")
 
 
-def ancestors(entities: DataFrame, hierarchy: HierarchyConfig) -> DataFrame:
-    """One row per entity with the ids of its nodes above the leaves as an array."""
-    above = [node for level, _, node, _ in _nodes_of(hierarchy) if level < len(hierarchy.levels) - 1]
+def ancestors(entities: DataFrame, hierarchy: HierarchyConfig, leaves: bool = False) -> DataFrame:
+    """One row per entity with the ids of its nodes above the leaves as an array, or of all its nodes."""
+    deepest = len(hierarchy.levels) - 1
+    above = [node for level, _, node, _ in _nodes_of(hierarchy) if leaves or level < deepest]
     found = F.array(*above) if above else F.array().cast("array<string>")
     return entities.select("entity_id", found.alias("ancestors"))
 

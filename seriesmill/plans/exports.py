@@ -12,11 +12,13 @@ from seriesmill.config import AssumptionRule, ForecastConfig, RegressorSpec, Stu
 from seriesmill.functions.text import is_formula, protect_formula
 from seriesmill.operators import mat as M
 
+# Columns of the long export.
 LONG_TAIL = [
     "node_id", "level", "entity_id", "measure", "scenario_id", "ds", "tipo", "valor", "yhat_base",
     "observado", "ajustado", "lo80", "hi80", "model_alias", "interval_method", "status",
     "run_id", "preparation_id", "dataset_id",
 ]
+# End of fixed values.
 
 
 def history_rows(history: DataFrame) -> DataFrame:
@@ -143,12 +145,30 @@ def assumptions_frame(spark: SparkSession, rules: tuple[AssumptionRule, ...], re
     return spark.createDataFrame(rows, schema)
 
 
-def export_manifest(spark: SparkSession, run: dict[str, str], study: StudyConfig, config: ForecastConfig) -> DataFrame:
-    """Section, key and value rows describing a run."""
+def export_manifest(
+    spark: SparkSession,
+    run: dict[str, str],
+    study: StudyConfig,
+    config: ForecastConfig,
+    scores: DataFrame | None = None,
+    issues: DataFrame | None = None,
+) -> DataFrame:
+    """Section, key and value rows describing a run: its settings, what was selected how often, and its issues.
+
+    Settings are a few rows known to the driver; the rest is counted from the run's tables.
+    """
     rows = [("run", k, str(v)) for k, v in run.items()]
     rows += [("study", k, str(v)) for k, v in asdict(study).items()]
     rows += [("forecast", k, str(v)) for k, v in asdict(config).items()]
-    return spark.createDataFrame(rows, "section string, key string, value string")
+    out = spark.createDataFrame(rows, "section string, key string, value string")
+    if scores is not None:
+        out = out.unionByName(_counted("selection", scores.where("selected"), ("measure", "model_alias", "selection_reason")))
+    return out if issues is None else out.unionByName(_counted("issues", issues, ("code", "severity")))
+
+
+def _counted(section: str, rows: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    found = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    return found.select(F.lit(section).alias("section"), F.concat_ws(" / ", *keys).alias("key"), F.col("n").cast("string").alias("value"))
 
 
 def template_rows(entities: DataFrame, periods: list[date], start: int = 1) -> DataFrame:
@@ -158,6 +178,13 @@ def template_rows(entities: DataFrame, periods: list[date], start: int = 1) -> D
     return rows.withColumn("valor", F.col("unidades") * 1.5).withColumn("periodo", F.date_format("ds", "yyyy-MM")).drop("i", "ds")
 
 
+def template_wide(entities: DataFrame, periods: list[date], measures: tuple[str, ...]) -> DataFrame:
+    """Example rows in the wide layout: one per entity and measure, a column per period."""
+    rows = entities.select("*", F.explode(F.array(*[F.lit(m) for m in measures])).alias("medida"))
+    scale = F.when(F.col("medida") == "unidades", F.lit(1.0)).otherwise(F.lit(1.5))
+    return rows.withColumns({p.strftime("%Y-%m"): scale * (10 + j) for j, p in enumerate(periods)})
+
+
 def protect_table(df: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Text cells that could be read as formulas get an apostrophe; second frame counts them."""
     texts = [name for name, kind in df.dtypes if kind == "string"]

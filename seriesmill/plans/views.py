@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from seriesmill.operators import backtest as FC
 from seriesmill.operators import mat as M
+from seriesmill.operators.models import floor_zero
+from seriesmill.operators.panel import FINAL_FOLD
 from seriesmill.session import written
 
 # Reason texts and limits of the exceptions ranking.
@@ -86,10 +88,16 @@ def cascade_items(entities: DataFrame, level: str, marked: tuple[str, ...], belo
     return entities.where(F.col(level).isin(*marked)).select(F.col(below).alias("value")).distinct()
 
 
-def node_history(values: DataFrame, bridge: DataFrame) -> DataFrame:
-    """Per (node, measure, date): summed value, everything observed, anything adjusted."""
+def node_history(values: DataFrame, above: DataFrame) -> DataFrame:
+    """Per (node, measure, date): summed value, everything observed, anything adjusted.
+
+    ``above`` has a row per entity with its nodes as an array (``hierarchy.ancestors``): the values meet a table of
+    the entities' size, and rows per node exist only until they are combined in the same task.
+    """
     return (
-        values.join(bridge.select("entity_id", "node_id"), "entity_id")
+        values.select("entity_id", "measure", "ds", "y", "observed", "was_adjusted")
+        .join(above, "entity_id")
+        .select(F.explode("ancestors").alias("node_id"), "measure", "ds", "y", "observed", "was_adjusted")
         .groupBy("node_id", "measure", "ds")
         .agg(
             F.sum("y").alias("y"),
@@ -106,12 +114,16 @@ def leaf_history(values: DataFrame) -> DataFrame:
 def view_cards(predictions: DataFrame, history: DataFrame, step: int = 1) -> DataFrame:
     """Totals and the change against the equally long calendar window before the forecast."""
     keys = ["measure", "scenario_id", "model_alias"]
-    ahead = predictions.groupBy(*keys).agg(
-        F.count_distinct("node_id").alias("n_nodes"),
-        F.count("*").alias("forecast_rows"),
-        F.count_distinct("ds").alias("_span"),
-        F.min("ds").alias("_first"),
-        F.sum("yhat").alias("total_forecast"),
+    # A row per node first: it counts the nodes, and their dates are sets of the horizon's size.
+    per_node = predictions.groupBy(*keys, "node_id").agg(
+        F.count("*").alias("_n"), F.sum("yhat").alias("_sum"), F.array_sort(F.collect_set("ds")).alias("_dates")
+    )
+    ahead = per_node.groupBy(*keys).agg(
+        F.count("*").alias("n_nodes"),
+        F.sum("_n").alias("forecast_rows"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("_dates")))).alias("_span"),
+        F.min(F.get("_dates", F.lit(0))).alias("_first"),
+        F.sum("_sum").alias("total_forecast"),
     )
     per_date = history.groupBy("measure", "ds").agg(F.sum("y").alias("y"))
     inside = (F.col("ds") < F.col("_first")) & (F.col("ds") >= F.add_months("_first", -F.col("_span").cast("int") * step))
@@ -285,6 +297,47 @@ def series_by_model(
     return curves.join(errors.select(*keys, F.col("wape").alias("wape_pooled")), keys, "left")
 
 
+def series_by_model_panel(
+    frame: DataFrame, entities: DataFrame, dimension: str, horizon: int, step: int = 1, items: tuple[str, ...] | None = None
+) -> DataFrame:
+    """``series_by_model`` of a frame of array methods, in one pass over it.
+
+    Final rows add their values position by position, fold rows their errors; both meet in one aggregate per
+    dimension value and method, and only its few rows are exploded.
+    """
+    keys = ["item", "measure", "model_alias"]
+    final = F.col("fold") == FINAL_FOLD
+    shown = final & F.col("raw").isNotNull() & (F.col("evaluable") | (~F.col("any_evaluable") & (F.col("model_alias") == "Naive")))
+    value = [F.when(shown, floor_zero(F.get("raw", F.lit(k)))) for k in range(horizon)]
+    pairs = F.transform("actuals", lambda a, i: F.struct(a.alias("a"), floor_zero(F.get("raw", i)).alias("f")))
+    known = F.filter(pairs, lambda p: p["a"].isNotNull() & p["f"].isNotNull())
+
+    def total(f) -> Column:
+        return F.when(~final, F.aggregate(known, F.lit(0.0), lambda acc, p: acc + f(p)))
+
+    rows = _items(frame, entities, dimension, items).select(
+        *keys,
+        F.when(shown, F.get("eval_dates", F.lit(0))).alias("start"),
+        total(lambda p: F.abs(p["f"] - p["a"])).alias("off"),
+        total(lambda p: F.abs(p["a"])).alias("actual"),
+        *[F.when(~F.isnan(v), v).alias(f"y{k}") for k, v in enumerate(value)],
+    )
+    sums = [F.sum(f"y{k}").alias(f"y{k}") for k in range(horizon)]
+    counts = [F.count(f"y{k}").alias(f"n{k}") for k in range(horizon)]
+    summed = rows.groupBy(*keys, "start").agg(F.sum("off").alias("off"), F.sum("actual").alias("actual"), *sums, *counts)
+    whole = Window.partitionBy(*keys)
+    wape = F.when(F.sum("actual").over(whole) > 0, F.sum("off").over(whole) / F.sum("actual").over(whole))
+    cells = [
+        F.struct(F.add_months("start", k * step).alias("ds"), F.col(f"y{k}").alias("yhat"), F.col(f"n{k}").alias("n"))
+        for k in range(horizon)
+    ]
+    curves = summed.withColumn("wape_pooled", wape).where(F.col("start").isNotNull())
+    long = curves.select(*keys, "wape_pooled", F.explode(F.array(*cells)).alias("c")).where("c.n > 0")
+    return long.groupBy(*keys, "c.ds").agg(
+        F.sum("c.yhat").alias("yhat"), F.sum("c.n").alias("n_series"), F.first("wape_pooled").alias("wape_pooled")
+    )
+
+
 def executive_table(
     predictions: DataFrame, entities: DataFrame, dimension: str, model: str, periods: list[date], items: tuple[str, ...] | None = None
 ) -> DataFrame:
@@ -329,15 +382,6 @@ def dashboard_selection(run: dict[str, DataFrame], entities: DataFrame, bridge:
     return both.groupBy("node_id", "measure").agg(*lists).where(F.size("preds") > 0)
 
 
-def _curves(selection: DataFrame) -> DataFrame:
-    """One row per (node, measure, scenario, method) with its predictions in order of time."""
-    keys = F.array_distinct(F.transform("preds", lambda p: F.struct(p["scenario_id"].alias("scenario_id"), p["model_alias"].alias("model_alias"))))
-    rows = selection.select("node_id", "measure", "history", "preds", F.explode(keys).alias("k"))
-    own = F.filter("preds", lambda p: p["scenario_id"].eqNullSafe(F.col("k.scenario_id")) & (p["model_alias"] == F.col("k.model_alias")))
-    points = F.sort_array(F.transform(own, lambda p: F.struct(p["ds"].alias("ds"), p["yhat"].alias("yhat"))))
-    return rows.select("node_id", "measure", "k.scenario_id", "k.model_alias", "history", points.alias("points"))
-
-
 def _history_by_date(selection: DataFrame) -> DataFrame:
     points = selection.select("measure", F.explode("history").alias("h"))
     return points.groupBy("measure", "h.ds").agg(F.sum("h.y").alias("y"))
@@ -400,26 +444,6 @@ def _metrics(selection: DataFrame) -> DataFrame:
     )
 
 
-def _mat_positions(curves: DataFrame, step: int) -> DataFrame:
-    """``mat_forecast`` of curves, row by row: a date has a total where all periods of its year are there."""
-    span = M.SPAN // step
-    old = F.transform("history", lambda h: F.struct(h["ds"].alias("ds"), h["y"].alias("y")))
-    past = F.slice(F.sort_array(old, asc=False), 1, span - 1)
-    new = F.transform("points", lambda p: F.struct(p["ds"].alias("ds"), p["yhat"].alias("y")))
-    known = F.concat(F.filter(past, lambda h: h["y"].isNotNull()), F.filter(new, lambda p: p["y"].isNotNull()))
-    rows = curves.select("node_id", "measure", "scenario_id", "model_alias", "points", known.alias("known"))
-
-    def year(d: Column) -> Column:
-        # Dates are distinct, so as many values as periods inside the year are exactly its periods.
-        inside = F.filter("known", lambda v: (v["ds"] <= d) & (v["ds"] > F.add_months(d, -M.SPAN)))
-        summed = F.aggregate(inside, F.lit(0.0), lambda acc, v: acc + F.greatest(v["y"], F.lit(0.0)))
-        return F.when(F.size(inside) == span, summed)
-
-    cells = F.transform("points", lambda p: F.struct(p["ds"].alias("ds"), year(p["ds"]).alias("mat")))
-    out = rows.select("node_id", "measure", "scenario_id", "model_alias", F.explode(cells).alias("c"))
-    return out.where(F.col("c.mat").isNotNull()).select("node_id", "measure", "scenario_id", "model_alias", "c.ds", "c.mat")
-
-
 def dashboard_query(
     run: dict[str, DataFrame], entities: DataFrame, bridge: DataFrame, flt: ResultFilter, step: int = 1
 ) -> dict[str, DataFrame]:
@@ -428,7 +452,7 @@ def dashboard_query(
     The selection is made and written once; all parts are read from it, most of them row by row.
     """
     selection = written(dashboard_selection(run, entities, bridge, flt), "dashboard")
-    curves = _curves(selection)
+    curves = M.curves(selection)
     per_date = _history_by_date(selection)
     covered = run["predictions"].where(F.col("scenario_id") == flt.scenario_id).groupBy("status").agg(
         F.count_distinct("node_id").alias("n_nodes")
@@ -440,6 +464,6 @@ def dashboard_query(
         "cards": _cards(curves, per_date, step),
         "metrics": _metrics(selection),
         "history": per_date,
-        "mat": _mat_positions(curves, step),
+        "mat": M.curve_positions(curves, step),
     }
     return out | {"issues": run["issues"]} if "issues" in run else out
