@@ -18,6 +18,7 @@ from seriesmill.operators import hierarchy as H
 from seriesmill.operators import outcome as O
 from seriesmill.operators import panel as P
 from seriesmill.operators import scenarios as SC
+from seriesmill.plans import views as V
 
 WITH_TOTAL = replace(T.HIERARCHY, include_total=True)
 PERIODS = [shift_date(T.HISTORY_END, k) for k in range(1, 13)]
@@ -212,10 +213,7 @@ def _(spark, sf):
 def _(spark, sf):
     level = bridge(spark, sf).where("level = 1")
     wide = H.build_nodes(level).where("n_entities >= 14").select("node_id")
-    covered = level.join(wide, "node_id", "left_semi").select("entity_id")
-    rest = values(spark, sf).join(covered, "entity_id", "left_anti")
-    out = rest.groupBy(F.col("series_id").alias("node_id"), "measure").agg(F.sum("y").alias("y"))
-    return rounded(out, "y", digits=2)
+    return rounded(V.uncovered_history(values(spark, sf), level.join(wide, "node_id", "left_semi")), "y", digits=2)
 
 
 def rule(rule_id, scenario, family, measure, effect, rate, start, end=None, priority=0, excluded=(), **filters):

@@ -18,6 +18,7 @@ from seriesmill.functions.text import chip_label
 from seriesmill.operators import backtest as FC
 from seriesmill.operators import hierarchy as H
 from seriesmill.operators import mat as M
+from seriesmill.operators import outcome as O
 from seriesmill.operators import scenarios as SC
 from seriesmill.plans import candidates
 from seriesmill.plans import exports as X
@@ -102,6 +103,33 @@ def _(spark, sf):
     return rounded(V.node_history(values(spark, sf), H.ancestors(T.entities(spark, sf), WITH_TOTAL)), "y", digits=2)
 
 
+CHOSEN = f"""WITH {S.prep('ean').strip()},{BRIDGE},
+ own AS (SELECT DISTINCT series_id FROM prep JOIN entities USING (entity_id) WHERE ean LIKE '%77'),
+ top AS (SELECT DISTINCT node_id FROM bridge WHERE level = 0 AND level_name IN ('ECONOMY', 'SMALL'))"""
+
+
+@query("chosen_history", CHOSEN + """ SELECT node_id, measure, ds, round(sum(y), 2) AS y, bool_and(observed) AS observed, bool_or(was_adjusted) AS was_adjusted
+ FROM prep JOIN bridge USING (entity_id) WHERE node_id IN (SELECT node_id FROM top) GROUP BY ALL
+ UNION ALL SELECT series_id, measure, ds, round(y, 2), observed, was_adjusted FROM prep WHERE series_id IN (SELECT series_id FROM own)""")
+def _(spark, sf):
+    """Two nodes of the hierarchy and some ids of series, asked for together."""
+    vals, ents = values(spark, sf), T.entities(spark, sf)
+    tops = H.node_bridge(ents, T.HIERARCHY).where("level = 0 AND level_name IN ('ECONOMY', 'SMALL')").select("node_id").distinct()
+    few = vals.join(ents.where(F.col("ean").endswith("77")).select("entity_id"), "entity_id").select("series_id").distinct()
+    asked = tuple(r[0] for r in tops.unionAll(few).collect())
+    return rounded(V.chosen_history(vals, H.ancestors(ents, T.HIERARCHY), asked), "y", digits=2)
+
+
+@query("selection_table", fix(S.q(fin_sql("ean"), f"""{SCORES}{SELECT},
+ clip AS (SELECT series_id AS node_id, model_alias, len(list_filter(raw, lambda v: v < 0)) AS n FROM fmd)
+ SELECT sel.node_id, sel.measure, sel.model_alias, selection_reason, CAST(3 AS INTEGER) AS cv_horizon, n_folds, FALSE AS fallback_used, coalesce(n, 0) AS clipped_count
+ FROM sel LEFT JOIN clip ON clip.node_id = sel.node_id AND clip.model_alias = sel.model_alias WHERE selected""")))
+def _(spark, sf):
+    fr = frame(spark, sf)
+    picked = FC.select_model(FC.score_models(FC.cv_predictions(fr)), CONFIG)
+    return O.selection(picked, O.final_values(fr), CONFIG.resolved_cv_horizon(T.STUDY))
+
+
 @query("view_cards", S.q(fin_sql("ean"), """
 , a AS (SELECT measure, model_alias, count(DISTINCT node_id) AS n_nodes, count(*) AS forecast_rows, sum(yhat) AS tf, min(ds) AS first, count(DISTINCT ds) AS span FROM fin GROUP BY ALL),
 h AS (SELECT measure, ds, sum(y) AS y FROM prep GROUP BY ALL)
@@ -502,6 +530,7 @@ SELECT 'predictions' AS name, count(*) AS n_rows, count(DISTINCT node_id) AS n_n
 UNION ALL SELECT 'aggregates', count(*), count(DISTINCT node_id), round(sum(yhat), 2), 'completed', 12 FROM rec
 UNION ALL SELECT 'cv', count(*), count(DISTINCT node_id), round(sum(yhat), 2), 'completed', 12 FROM cv
 UNION ALL SELECT 'scores', count(*), count(DISTINCT node_id), NULL, 'completed', 12 FROM (SELECT DISTINCT node_id, measure, model_alias FROM cv)
+UNION ALL SELECT 'selection', count(*), count(DISTINCT node_id), NULL, 'completed', 12 FROM (SELECT DISTINCT node_id, measure FROM cv)
 UNION ALL SELECT 'nodes', (SELECT count(DISTINCT series_id) FROM prep) + n, (SELECT count(DISTINCT series_id) FROM prep) + n, NULL, 'completed', 12 FROM nn
 UNION ALL SELECT 'summary', 1, NULL, NULL, 'completed', 12
 UNION ALL SELECT 'issues', 0, NULL, NULL, 'completed', 12""")

@@ -100,7 +100,9 @@ def run_forecast(
             plain = finished(O.final_values, frame if keep_frame else FC.forecast_frame(panel, study, config, False, limits=False))[0]
         out["aggregates"] = O.roll_up(plain, entities, hierarchy, config.horizon, study.step)
         out["nodes"] = H.run_nodes(values, entities, bridge)
-    out["summary"] = O.summary(modelled, O.final_panel(frame, config.interval_level, config.cv_windows))
+    base = O.final_panel(frame, config.interval_level, config.cv_windows)
+    out["selection"] = O.selection(scores, base, config.resolved_cv_horizon(study))
+    out["summary"] = O.summary(modelled, base)
     return out
 
 

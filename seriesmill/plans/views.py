@@ -107,6 +107,25 @@ def node_history(values: DataFrame, above: DataFrame) -> DataFrame:
     )
 
 
+def chosen_history(values: DataFrame, above: DataFrame, node_ids: tuple[str, ...]) -> DataFrame:
+    """``node_history`` of chosen nodes; an id that is no node of the hierarchy is looked up as a series.
+
+    The ids come with the question, so only the entities below them are joined.
+    """
+    ours = F.filter("ancestors", lambda n: n.isin(*node_ids))
+    below = above.select("entity_id", ours.alias("ancestors")).where(F.size("ancestors") > 0)
+    known = below.select(F.explode("ancestors").alias("series_id")).distinct()
+    series = values.where(F.col("series_id").isin(*node_ids)).join(known, "series_id", "left_anti")
+    own = leaf_history(series).select("node_id", "measure", "ds", "y", "observed", "was_adjusted")
+    return node_history(values, below).unionByName(own)
+
+
+def uncovered_history(values: DataFrame, bridge: DataFrame) -> DataFrame:
+    """History per series of the entities that no node of the bridge covers."""
+    rest = values.join(bridge.select("entity_id").distinct(), "entity_id", "left_anti")
+    return rest.groupBy(F.col("series_id").alias("node_id"), "measure").agg(F.sum("y").alias("y"))
+
+
 def leaf_history(values: DataFrame) -> DataFrame:
     return values.select(F.col("series_id").alias("node_id"), "measure", "entity_id", "ds", "y", "observed", "was_adjusted")
 

@@ -89,6 +89,7 @@ RUN_TABLES = {
     "aggregates": FORECAST_KEY,
     "cv": CV_KEY,
     "scores": SCORE_KEY,
+    "selection": SCORE_KEY,
     "nodes": NODE_KEY,
     "issues": ISSUE_KEY,
     "summary": ["run_id"],
