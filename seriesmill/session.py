@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -59,12 +58,6 @@ def remove_path(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of plans that are done: it does so when the driver's collector meets them."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 _passing: list[list[str]] = []
 
 
