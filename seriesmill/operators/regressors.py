@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seriesmill.config import ForecastConfig, RegressorSpec, StudyConfig
+from seriesmill.functions.periods import grid_start, shift_date
 from seriesmill.operators import fitters, models
 from seriesmill.operators.panel import FINAL_FOLD, Fold, train_panel
 from seriesmill.operators.scenarios import in_scope
@@ -26,9 +27,14 @@ def _enabled(specs: tuple[RegressorSpec, ...]) -> list[RegressorSpec]:
 
 
 def by_date(values: DataFrame, specs: tuple[RegressorSpec, ...]) -> DataFrame:
-    """One row per date, one column per regressor: as many rows as the calendar has periods."""
-    wide = values.groupBy("ds").pivot("regressor_id", [s.regressor_id for s in _enabled(specs)])
-    return wide.agg(F.first("value", ignorenulls=True))
+    """One row per date, one column per regressor: as many rows as the calendar has periods.
+
+    Where a date is told twice, history goes before the future, and of equals the smaller value stands.
+    """
+    told = values if "is_future" in values.columns else values.withColumn("is_future", F.lit(False))
+    wide = told.groupBy("ds").pivot("regressor_id", [s.regressor_id for s in _enabled(specs)])
+    order = F.when(F.col("value").isNotNull(), F.struct("is_future", "value"))
+    return wide.agg(F.min_by("value", order))
 
 
 def pearson_pairs(values: DataFrame, specs: tuple[RegressorSpec, ...]) -> DataFrame:
@@ -173,6 +179,17 @@ def _as_known(spec: RegressorSpec, place: int):
     return lambda d: last["v"]
 
 
+def _calendar(values: DataFrame, study: StudyConfig, config: ForecastConfig) -> DataFrame:
+    """History inside grid and horizon, and the last value before it."""
+    start = F.lit(grid_start(study.history_end, study.history_periods, study.step))
+    end = F.lit(shift_date(study.history_end, config.horizon * study.step))
+    known = values.where(~F.col("is_future")).select("regressor_id", "ds", "value", "is_future")
+    newest = F.max(F.struct("ds", "value")).alias("m")
+    before = known.where((F.col("ds") < start) & F.col("value").isNotNull()).groupBy("regressor_id").agg(newest)
+    held = before.select("regressor_id", "m.ds", "m.value", F.lit(False).alias("is_future"))
+    return known.where(F.col("ds").between(start, end)).unionByName(held)
+
+
 def exogenous_panel(
     series: DataFrame,
     entities: DataFrame,
@@ -185,13 +202,12 @@ def exogenous_panel(
 ) -> DataFrame:
     """The training panel with ``xs`` and ``x_next``: one row of values per date, scoped regressors only.
 
-    The regressor calendar is one map of at most (periods + horizon) entries per regressor. It
-    reaches the panel as one aggregated row keyed by a constant, broadcast because the calendar
-    bounds its size.
+    The regressor calendar is one map with the dates of grid and horizon, and of each regressor the last date
+    before them, which a hold may need. It reaches the panel as one aggregated row keyed by a constant, broadcast
+    because the settings bound its size.
     """
     live = _enabled(specs)
-    known = values.where(~F.col("is_future")).select("regressor_id", "ds", "value")
-    rows = by_date(known.unionByName(future.select("regressor_id", "ds", "value")), specs)
+    rows = by_date(_calendar(values, study, config).unionByName(future.select("regressor_id", "ds", "value", F.lit(True).alias("is_future"))), specs)
     row = F.struct(F.col("ds").alias("key"), F.array(*[F.col(f"`{s.regressor_id}`") for s in live]).alias("value"))
     calendar = rows.groupBy(F.lit(1).alias("_one")).agg(F.map_from_entries(F.collect_list(row)).alias("_calendar"))
     panel = train_panel(series, study, config, folds).withColumn("_one", F.lit(1))

@@ -561,3 +561,29 @@ def test_fitted_methods_have_their_own_limits(spark):
     rows = backtest.final_forecast(frame(spark, {"s": SEASONAL})).where("model_alias IN ('AutoETS', 'AutoTheta', 'AutoAR', 'Holt')").collect()
     assert {r["interval_method"] for r in rows} == {"native"}
     assert all(r["lo80"] <= r["yhat"] <= r["hi80"] for r in rows)
+
+
+def test_a_regressor_told_twice_keeps_its_history(spark):
+    rows = [("r", END, 5.0, True), ("r", END, 3.0, False), ("r", END, 4.0, False), ("r", MONTHS[0], None, False), ("r", MONTHS[0], 9.0, True)]
+    values = spark.createDataFrame(rows, "regressor_id string, ds date, value double, is_future boolean")
+    for k in (1, 4):
+        found = {r["ds"]: r["r"] for r in regressors.by_date(values.repartition(k), (RegressorSpec("r", "r"),)).collect()}
+        assert found == {END: 3.0, MONTHS[0]: 9.0}
+
+
+def test_the_regressor_calendar_is_bounded_by_the_settings(spark):
+    old = [("r", date(1900 + k, 1, 1), float(k), False) for k in range(100)]
+    inside = [("r", d, 1.0, False) for d in MONTHS] + [("r", date(2090, 1, 1), 7.0, False)]
+    values = spark.createDataFrame(old + inside, "regressor_id string, ds date, value double, is_future boolean")
+    found = regressors._calendar(values, STUDY, CONFIG).collect()
+    assert len(found) == 61 and max(r["value"] for r in found if r["ds"] < MONTHS[0]) == 99.0
+
+
+def test_short_seasons_and_missing_values_keep_their_rows_in_the_global_model(spark):
+    values = quality.prepare(observations(spark, {f"s{k}": [10.0 + (i * k) % 7 for i in range(40)] for k in range(25)}), STUDY, ZERO).values
+    trained = global_trees.train_global_model(values, "unidades", 1, iterations=2)
+    rows = panel.train_panel(values, STUDY, CONFIG, []).where("series_id IN ('s1', 's2', 's3')")
+    bad = rows.withColumn("ys", F.when(F.col("series_id") == "s2", F.transform("ys", lambda y, i: F.when(i < 38, y))).otherwise(F.col("ys")))
+    bad = bad.withColumn("n", F.when(F.col("series_id") == "s3", 2).otherwise(F.col("n")))
+    found = {r["series_id"]: (r["failure_reason"], r["raw"] and len(r["raw"])) for r in global_trees.forecast_global(bad, trained, 1, 6).collect()}
+    assert found == {"s1": ("", 6), "s2": ("missing_values", None), "s3": ("insufficient_history", None)}
