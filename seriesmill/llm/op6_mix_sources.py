@@ -20,7 +20,7 @@ further columns are ignored by ``mix`` and kept by ``mixture``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -136,7 +136,7 @@ def _lines(docs: DataFrame, sources: DataFrame) -> DataFrame:
     sums = rows.groupBy("sid", "bucket").agg(F.sum("size").alias("held"))
     earlier = Window.partitionBy("sid").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.select("sid", "bucket", F.coalesce(F.sum("held").over(earlier), F.lit(0)).alias("begins"))
-    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size")
+    inside = Window.partitionBy("sid", "bucket").orderBy("key", "doc_id", "size", "row")
     before = inside.rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("at", F.row_number().over(inside))
@@ -148,13 +148,18 @@ def _lines(docs: DataFrame, sources: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """Rows doc_id, size, source_size, target, taken: one per row of ``docs``."""
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-    sized = written(sized, "sizes")
+    return _mixed(docs, F.lit(0))[0].drop("row")
+
+
+def _mixed(docs: DataFrame, row: Column) -> tuple[DataFrame, DataFrame]:
+    """The plan with the rows' own keys, and the sizes that it was made from."""
+    sized = written(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), row.alias("row")), "sizes")
     sizes = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = written(_with_block(source_targets(sizes)), "sources")
     bound = sources.select("total", "block").first()
     if bound is None:
-        return sized.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"))
+        none = [F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken")]
+        return sized.select("row", "doc_id", "size", *none), sized
     block = bound["block"]
     slots = schedule(sources, bound["total"], block).select("sid", F.col("rank").alias("block"), F.lit(1).alias("used"))
     lines = _lines(sized, sources.select("source", "sid", "source_size", "target", "quota"))
@@ -168,19 +173,31 @@ def mix(docs: DataFrame) -> DataFrame:
     taken = pieces.join(slots, ["sid", "block"], "left").withColumn(
         "part", F.when(F.col("used") == 1, overlap).otherwise(F.lit(0))
     )
-    return (
-        taken.groupBy("sid", "bucket", "at", "doc_id", "size", "source_size", "target")
+    plan = (
+        taken.groupBy("sid", "bucket", "at", "row", "doc_id", "size", "source_size", "target")
         .agg(F.sum("part").cast("long").alias("taken"))
-        .select("doc_id", "size", "source_size", "target", "taken")
+        .select("row", "doc_id", "size", "source_size", "target", "taken")
     )
+    return plan, sized
 
 
 def mixture(docs: DataFrame) -> DataFrame:
-    """The documents with all their columns and size, source_size, target and taken; ids must be unique."""
-    plan = mix(docs).withColumnRenamed("doc_id", "__doc")
+    """The documents with all their columns and size, source_size, target and taken, one row per row.
+
+    Ids that are there and differ are the rows' keys; otherwise the table is written once with keys of its own.
+    """
     names = ["size", "source_size", "target", "taken"]
     own = docs.select(*[c for c in docs.columns if c not in names])
-    return own.join(plan, own["doc_id"].eqNullSafe(plan["__doc"])).drop("__doc")
+    key = "__row"
+    while key in own.columns:
+        key += "_"
+    keyed = own.withColumn(key, F.col("doc_id"))
+    plan, sized = _mixed(keyed, F.col(key))
+    clash = sized.groupBy("row").agg(F.count("*").alias("n")).where("n > 1 or row IS NULL")
+    if not clash.isEmpty():
+        keyed = written(own.withColumn(key, F.monotonically_increasing_id()), "keyed")
+        plan, _ = _mixed(keyed, F.col(key))
+    return keyed.join(plan.select(F.col("row").alias(key), *names), key).select(*own.columns, *names)
 
 
 def op6_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
