@@ -450,7 +450,7 @@ WHOLE_FACTOR = """
     n AS (SELECT count(*) AS n_cells FROM (SELECT DISTINCT tipo FROM entities e1
           WHERE EXISTS (SELECT 1 FROM entities e2 WHERE e2.tipo = e1.tipo AND marca IN ('Brand#2', 'Brand#17'))
             AND EXISTS (SELECT 1 FROM entities e2 WHERE e2.tipo = e1.tipo AND marca NOT IN ('Brand#2', 'Brand#17'))), range(11))
-    SELECT scenario_id, level, measure, model_alias, ds, round(yhat * f, 4) AS yhat, NULL AS code, NULL AS n_cells FROM (
+    SELECT scenario_id, level, measure, model_alias, ds, CASE WHEN yhat > 0 THEN round(f, 9) END AS ratio, NULL AS code, NULL AS n_cells FROM (
       SELECT 'whole' AS scenario_id, *, {WHOLE_FACTOR} AS f FROM top UNION ALL SELECT 'copy', *, 1.0 FROM top)
     UNION ALL SELECT 'part', NULL, NULL, NULL, NULL, NULL, 'E_SCENARIO_PARTIAL_NODE', n_cells FROM n WHERE n_cells > 0""",
 )
@@ -459,8 +459,8 @@ def _(spark, sf):
     nodes = H.reconcile_bottom_up(predictions(spark, sf, "ean"), bridge(spark, sf).where("level = 0"), WITH_TOTAL)
     all_three = (COPY, WHOLE, PART)
     factors = SC.node_factors(members(spark, sf, "level = 0"), PERIODS, ("unidades", "valor"), all_three)
-    out, issues = SC.apply_scenario_nodes(nodes, factors, all_three)
-    rows = rounded(out.select("scenario_id", "level", "measure", "model_alias", "ds", "yhat"), "yhat")
+    out, issues = SC.apply_scenario_nodes(nodes.withColumn("base", F.col("yhat")), factors, all_three)
+    rows = out.select("scenario_id", "level", "measure", "model_alias", "ds", F.round(F.try_divide("yhat", "base"), 9).alias("ratio"))
     return rows.unionByName(issues, allowMissingColumns=True)
 
 
