@@ -193,25 +193,64 @@ def test_lm_scores(spark):
     assert op3_lm_scoring.scores(docs.limit(0)).count() == 0
 
 
-def test_lm_chances_sum_to_one():
+def test_lm_scores_against_plain_restaurants(spark):
+    """Same seats, but totals and probabilities by plain dictionaries over all buckets at once."""
     import numpy as np
 
-    h, c = op3_lm_scoring.tokens(" ".join(sentence(400).split()))
-    words_, types, contexts, n = op3_lm_scoring._folded(h, c, np.ones(len(h), int))
-    t = op3_lm_scoring._Types(words_, np.repeat(np.arange(len(words_)), types), contexts, n)
-    customers = np.bincount(contexts, n, op3_lm_scoring.CONTEXTS)
-    world = op3_lm_scoring._World(int(n.sum()), len(words_), customers)
-    tables = np.bincount(contexts, minlength=op3_lm_scoring.CONTEXTS).astype(float)
-    tables[0] = 0
-    sweeps = [op3_lm_scoring._Totals(tables, float(customers[0] + tables.sum()), float(len(words_)))]
-    for _ in range(3):
-        *_, (own, above_n, above_t) = op3_lm_scoring.chain(0, t, world, sweeps)
-        sweeps.append(op3_lm_scoring._Totals(np.bincount(contexts, own, len(tables)), float(above_n.sum()), float(above_t.sum())))
-    # with the totals of its own last sweep a model is a distribution over the words and the unknown
-    model = op3_lm_scoring._Model(0, t, world, [*sweeps[:-1], sweeps[-1]])
-    for context in np.unique(contexts)[:5]:
-        _, p = model.chances(np.append(words_, np.uint64(12345)), np.full(len(words_) + 1, context))
-        assert p.sum() == pytest.approx(1.0, abs=0.05)
+    lm = op3_lm_scoring
+    texts = [*TEXTS, *[sentence(R.randint(200, 900)) for _ in range(20)]]
+    classes, buckets = lm.MIN_CLASSES, 8
+    own = {k: list(zip(*(x.tolist() for x in lm.tokens(t, classes)), strict=True)) for k, t in enumerate(texts)}
+    train = [x for k, xs in own.items() if not lm.held_out(k) for x in xs]
+    pairs, words_ = Counter(train), Counter(w for w, _ in train)
+    customers = Counter(c for _, c in train)
+    v = len(words_)
+    parts = {}
+    for b in range(buckets):
+        mine = sorted(x for x in pairs if lm._bucket(np.array([x[0]], np.uint64), buckets)[0] == b)
+        ws = sorted({w for w, _ in mine})
+        at = {w: k for k, w in enumerate(ws)}
+        columns = ([at[w] for w, _ in mine], [c for _, c in mine], [pairs[x] for x in mine])
+        parts[b] = (mine, ws, lm._Types(np.array(ws, np.uint64), *(np.array(x, np.int64) for x in columns)))
+    at_tables = Counter(c for _, c in pairs)
+    world = lm._World(len(train), v, np.array([customers[c] for c in range(classes)], float))
+    sweeps = [lm._Totals(np.array([at_tables[c] for c in range(classes)], float), float(len(pairs)), float(v))]
+    for _ in range(lm.SWEEPS):
+        seats, guests, over = {}, {}, {}
+        for b, (mine, ws, t) in parts.items():
+            *_, (tables, n, above) = lm.chain(b, t, world, sweeps)
+            seats |= dict(zip(mine, tables, strict=True))
+            guests |= dict(zip(ws, n, strict=True))
+            over |= dict(zip(ws, above, strict=True))
+        assert all(1 <= seats[x] <= pairs[x] for x in pairs) and all(1 <= over[w] <= guests[w] for w in words_)
+        at_tables = Counter()
+        for (_, c), n in seats.items():
+            at_tables[c] += n
+        sweeps.append(lm._Totals(np.array([at_tables[c] for c in range(classes)], float), sum(guests.values()), sum(over.values())))
+        kept = [*([] if len(sweeps) <= 2 else kept[-1:]), (seats, guests, over, at_tables)]
+
+    (d0, d1), (s0, s1) = lm.DISCOUNT, lm.STRENGTH
+
+    def chance(w, c):
+        out = 0.0
+        for seats, guests, over, tables in kept:
+            above = sum(guests.values())
+            parent = (guests.get(w, 0) - d0 * over.get(w, 0) + (s0 + d0 * sum(over.values())) / (v + 1)) / (s0 + above)
+            out += (pairs[w, c] - d1 * seats.get((w, c), 0) + (s1 + d1 * tables[c]) * parent) / (s1 + customers[c]) / len(kept)
+        return out
+
+    for c in [*sorted(customers)[:40], 1023, 511]:
+        assert sum(chance(w, c) for w in [*words_, -1]) == pytest.approx(1.0, abs=1e-9)
+    found = by_id(lm.scores(documents(spark, texts)))
+    for k, xs in own.items():
+        assert found[k]["score"] == pytest.approx(sum(math.log10(chance(w, c)) for w, c in xs), rel=1e-9)
+
+
+def test_lm_contexts_grow_with_the_text():
+    sizes = [op3_lm_scoring.context_classes(n) for n in (0, 1, 1 << 25, (1 << 25) + 1, 1 << 33, 1 << 45)]
+    assert sizes == [1024, 1024, 1024, 2048, 1 << 18, 1 << 21]
+    _, context = op3_lm_scoring.tokens("of considerable lengths", 1 << 20)
+    assert context[0] == op3_lm_scoring.START_CONTEXT and len(set(context.tolist())) == 4
 
 
 def test_decontamination(spark):
