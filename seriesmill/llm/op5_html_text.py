@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from seriesmill.llm.text import bounded_batches, table
 
-LABELLED_PAGES = 400
+LABELLED_PAGES = 800
 SEED = 11
 BOILER, CONTENT, MIXED = range(3)
 
@@ -65,6 +65,8 @@ CUES = {
     "form": r"form|login|signup|sign-in|search|subscribe|newsletter",
     "share": r"share|social|follow|tweet|like-|byline|meta|tags?\b|author|date|print",
 }
+#: What tags tell their children.
+ROLES = {"nav": ["menu"], "header": ["head"], "footer": ["foot"], "aside": ["side"], "form": ["form"], "article": ["good"], "main": ["good"]}
 _CUES = {k: re.compile(v, re.I) for k, v in CUES.items()}
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)"
@@ -134,7 +136,7 @@ def tree(page: str) -> list[Node]:
                 return 0
         return 0
 
-    at = 0
+    at, unclosed = 0, set()
     while at < len(page):
         m = _TAG.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
@@ -156,7 +158,10 @@ def tree(page: str) -> list[Node]:
             continue
         raw = m[3] or m[6] or ""
         if name in RAW and not raw.rstrip().endswith("/"):
-            end = re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
+            # where one has no end, later ones have none either
+            end = None if name in unclosed else re.compile(rf"</{name}\b[^>]*+(?:>|\Z)", re.I).search(page, at)
+            if not end:
+                unclosed.add(name)
             at = end.end() if end else (at if name in ("head", "noscript", "button", "option", "select") else len(page))
             run.append(" ")
             continue
@@ -201,11 +206,16 @@ def features(nodes: list[Node]) -> list[list[str]]:
         if x.parent >= 0:
             size[x.parent] += size[k]
             linked[x.parent] += linked[k]
+    cues: list[list[str]] = []
     for k, x in enumerate(nodes):
         own = ["bias", f"tag:{x.tag}"]
         parent = nodes[x.parent] if x.parent >= 0 else None
-        if x.words:
-            own += [f"cue:{c}" for c, p in _CUES.items() if p.search(x.words)]
+        # an element without a cue passes on that of the one around it
+        named = [c for c, p in _CUES.items() if p.search(x.words)] if x.words else []
+        around = cues[x.parent] if parent is not None else []
+        cues.append(named or ROLES.get(x.tag) or around)
+        own += [f"cue:{c}" for c in named] or ["nocue"]
+        own += [f"around:{c}" for c in around]
         if x.hidden:
             own.append("hidden")
         share = linked[k] / size[k] if size[k] else 0.0
@@ -214,7 +224,8 @@ def features(nodes: list[Node]) -> list[list[str]]:
         if parent is not None:
             own.append(f"under:{parent.tag}")
         if x.tag == "#text":
-            own.append("stop" if re.search(r"[.!?。:;\"')]\s*$", x.text) else "nostop")
+            stop = "stop" if re.search(r"[.!?。:;\"')]\s*$", x.text) else "nostop"
+            own += [stop, f"links:{'most' if share >= 0.5 else 'few'}:{stop}:{'long' if size[k] >= 60 else 'short'}"]
             if re.search(r"©|copyright|all rights reserved", x.text, re.I):
                 own.append("rights")
             if re.search(r"cookie|subscribe|sign up|log in|privacy policy|advertisement", x.text, re.I):
@@ -286,6 +297,9 @@ def labelled_page(r: random.Random) -> str:
     def sentences(n: int) -> str:
         return " ".join(words(r.randint(1, 16)).capitalize() + "." for _ in range(n))
 
+    def service(share: float) -> str:
+        return r.choice(["cookie ", "subscribe ", "privacy policy ", "sign up "]) if r.random() < share else ""
+
     def cue(*names: str) -> str:
         return f' {r.choice(["class", "id"])}="{r.choice(names)}"' if r.random() < 0.9 else ""
 
@@ -301,7 +315,11 @@ def labelled_page(r: random.Random) -> str:
             sign = r.choice([" | ", "### ", "!! ", " ", "%%% "])
             return f"<p>{sign.join(words(1) for _ in range(r.choice([1, 3, 12, 40, 120])))}</p>"
         if kind < 0.68:
-            return f"<p>{sentences(r.choice([1, 1, 2, 3, 6]))}</p>"
+            return f"<p>{service(0.04)}{sentences(r.choice([1, 1, 2, 3, 6]))}</p>"
+        if kind < 0.70:
+            return f"<p><a href='/x'>{sentences(r.choice([1, 2, 4]))}</a></p>"
+        if kind < 0.72:
+            return f"<div>{sentences(r.choice([1, 2, 4]))}</div>"
         if kind < 0.76:
             return f"<p><b>{sentences(r.choice([1, 2, 4]))}<br>"
         if kind < 0.82:
@@ -329,9 +347,9 @@ def labelled_page(r: random.Random) -> str:
         if kind == "ad":
             return f"<{(t := r.choice(['div', 'div', 'section', 'p', 'aside']))}{cue('ad', 'advert', 'ad-box', 'sponsored', 'promo', 'banner-ad')}{b}>{sentences(r.choice([1, 1, 2, 4]))}</{t}>"
         if kind == "notice":
-            return f"<{(t := r.choice(['div', 'section', 'p', 'dialog']))}{cue('cookie-notice', 'notice', 'consent', 'alert', 'gdpr-banner', 'popup')}{b}>{sentences(r.choice([1, 2, 4]))}</{t}>"
+            return f"<{(t := r.choice(['div', 'section', 'p', 'dialog']))}{cue('cookie-notice', 'notice', 'consent', 'alert', 'gdpr-banner', 'popup')}{b}>{service(0.4)}{sentences(r.choice([1, 2, 4]))}</{t}>"
         if kind == "form":
-            return f"<form{b}{cue('search', 'newsletter', 'login')}><label>{words(3)}</label><input name=q><p>{sentences(r.choice([1, 2]))}</p></form>"
+            return f"<form{b}{cue('search', 'newsletter', 'login') if r.random() < 0.6 else ''}><label>{words(r.choice([1, 3]))}</label><input name=q>{r.choice(['', f'<p>{service(0.3)}{sentences(r.choice([1, 2]))}</p>'])}</form>"
         if kind == "share":
             return f"<div{cue('share', 'social', 'tags', 'meta')}{b}>{r.choice([links(3), words(4)])}</div>"
         own = r.choice(["<div class='comment'><p>{}</p></div>", "<li><p>{}</p></li>", "<article class='comment'>{}</article>", "<p>{}</p>"])
@@ -346,6 +364,18 @@ def labelled_page(r: random.Random) -> str:
             blocks.insert(r.randint(0, len(blocks)) if kind != "talk" else len(blocks), boiler(kind))
     main = r.choice(["article", "article", "article", "main", "div", "section"])
     name = "" if main in ("article", "main") and r.random() < 0.7 else f' {r.choice(["class", "id"])}="{r.choice(["content", "article-body", "post", "entry", "main", "story"])}"'
+    if r.random() < 0.1:
+        # the article is a heading and linked paragraphs
+        blocks = [f"<p><a href='/x'>{sentences(r.choice([1, 2, 4]))}</a></p>" for _ in range(r.choice([1, 1, 2]))]
+    if r.random() < 0.3:
+        # nothing tells what an element is for: bare boxes, with or without a heading, or text alone
+        kind, n = r.random(), r.choice([1, 2, 4])
+        main, name, title = "div", "", title if r.random() < 0.4 else ""
+        blocks = [f"<{(t := r.choice(['p', 'p', 'div']))}>{sentences(r.choice([1, 2, 4]))}</{t}>" for _ in range(n)]
+        if kind < 0.3:
+            return f'<html><body data-label="c">{title}{sentences(2 * n) if kind < 0.15 else "".join(blocks)}</body></html>'
+        if kind < 0.7:
+            blocks = ["<div>", *blocks, "</div>"]
     body = f'<{main}{name} data-label="c">{title}{"".join(blocks)}</{main}>'
     if r.random() < 0.3:
         body = f'<{r.choice(["div", "main"])}{cue("wrapper", "container", "page", "content")}>{body}{boiler(r.choice(["talk", "side", "share"]))}</div>'
@@ -388,11 +418,13 @@ def trained() -> Model:
         x[k, [names[f] for f in row]] = 1.0
     y = np.eye(3)[states]
     w, speed = np.zeros((len(names), 3)), np.zeros((len(names), 3))
-    for _ in range(250):
+    # longer steps for rare features, or they would stay near zero
+    scale = 1 / (x.mean(axis=0)[:, None] + 0.005)
+    for _ in range(350):
         z = x @ w
         p = np.exp(z - z.max(axis=1, keepdims=True))
         p /= p.sum(axis=1, keepdims=True)
-        speed = 0.9 * speed - 0.5 * (x.T @ (p - y) / len(y) + 1e-4 * w)
+        speed = 0.9 * speed - 0.1 * scale * (x.T @ (p - y) / len(y) + 1e-4 * w)
         w += speed
     # evidence without the states' own frequency, which the parent-child potentials hold
     w[names["bias"]] -= np.log(y.mean(axis=0))

@@ -33,8 +33,8 @@ from seriesmill.llm.text import bounded_batches, table
 from seriesmill.session import scratch_dir
 
 MIN_REVISIT = 1000
-#: Records in an archive file at most: a file is one row for its reader.
-FILE_RECORDS = 5000
+#: Records and bytes in an archive file at most (a longer record has its own): a file is one row for its reader.
+FILE_RECORDS, FILE_BYTES = 5000, 32 << 20
 #: Deflate level of a member.
 LEVEL = 1
 STEP = 1 << 16
@@ -102,19 +102,23 @@ def member(data: bytes) -> bytes:
 
 
 def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    file, records, size = 0, 0, 0
     for pdf in batches:
         out = []
         for row in pdf.itertuples(index=False):
             data = member(record(*row))
-            out.append(data[:-1] if data[-1] == 0 else data)
-        yield pd.DataFrame({"data": out})
+            if records == FILE_RECORDS or records and size + len(data) > FILE_BYTES:
+                file, records, size = file + 1, 0, 0
+            records, size = records + 1, size + len(data)
+            out.append((file, data[:-1] if data[-1] == 0 else data))
+        yield pd.DataFrame(out, columns=["file", "data"])
 
 
 def write(pages: DataFrame, path: str) -> None:
-    """Write the pages as archive files of at most ``FILE_RECORDS`` records, where the plan left them."""
+    """Write the pages as archive files of at most ``FILE_RECORDS`` records and ``FILE_BYTES``, where the plan left them."""
     bounded_batches(pages.sparkSession, 100)
-    data = plan(pages).mapInPandas(_members, "data binary").select(F.col("data").cast("string").alias("value"))
-    data.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    data = plan(pages).mapInPandas(_members, "file int, data binary").select("file", F.col("data").cast("string").alias("value"))
+    data.write.partitionBy("file").option("lineSep", "\0").text(path)
 
 
 def members(steps: Iterator[bytes]) -> Iterator[bytes]:

@@ -339,6 +339,40 @@ def test_html_text(spark):
     assert op5_html_text.extract(pages.limit(0)).count() == 0
 
 
+NEWS = "The river rose quickly after the storm and the town closed its bridges. Nobody was hurt, the mayor said."
+MORE = "Schools stay closed until Friday, when the water is expected to fall below the second mark."
+MENU = "<a href=/>Home</a> <a href=/n>News</a> <a href=/c>Contact</a>"
+#: Pages by hand, and the lines of their article.
+LAYOUTS = [
+    (f"<nav>{MENU}</nav><article><h1>A flood</h1><p><a href='/x'>{NEWS}</a></p></article><footer>&copy; 2024 Site</footer>", ["A flood", NEWS]),
+    (f"<article><h1>Cookies</h1><p><a href='/x'>{NEWS}</a></p><p>A cookie needs consent before you subscribe to anything.</p></article>", ["Cookies", NEWS, "A cookie needs consent before you subscribe to anything."]),
+    (f"<div><div><p>{NEWS}</p><p>{MORE}</p></div></div>", [NEWS, MORE]),
+    (f"<div>{MENU}</div><div><div>{NEWS}</div><div>{MORE}</div></div>", [NEWS, MORE]),
+    (f"<h1>A flood</h1><p>{NEWS}</p><p>{MORE}</p>", ["A flood", NEWS, MORE]),
+    (f"<main><h2>A flood</h2><p>{NEWS}<p>{MORE}</main><aside><p>{MORE}</p></aside>", ["A flood", NEWS, MORE]),
+    (f"<div id=content><h1>A flood</h1><blockquote>{NEWS}</blockquote></div><div class=sidebar><ul><li><a href=/>Old</a></li></ul></div>", ["A flood", NEWS]),
+    (f"<article><h1>A flood</h1><p>{NEWS}</p><form><label>Mail</label><input></form><p>{MORE}</p></article>", ["A flood", NEWS, MORE]),
+    (f"<article><h1>A flood</h1><p>{NEWS}</p></article><section id=comments><h2>Comments</h2><div class=comment><p>{MORE}</p></div></section>", ["A flood", NEWS]),
+    (f"<div class=cookie-notice><p>{MORE}</p></div><section class=post><h1>A flood</h1><p>{NEWS}</p></section>", ["A flood", NEWS]),
+    (f"<nav>{MENU}</nav><footer>&copy; 2024 Site</footer>", []),
+    ("<script>var a = 1</script><style>p{}</style>", []),
+]
+
+
+def test_html_layouts_by_hand():
+    model = op5_html_text.trained()
+    for page, lines in LAYOUTS:
+        assert model.text(f"<html><body>{page}</body></html>").split("\n") == (lines or [""]), page
+
+
+def test_html_tags_without_an_end():
+    import time
+
+    start = time.perf_counter()
+    nodes = op5_html_text.tree("<p>a " + "<button>b <select>c " * 50_000)
+    assert time.perf_counter() - start < 20 and sum(len(x.text) for x in nodes) > 200_000
+
+
 def test_html_marginals_are_exact():
     """Sum-product against the sum over all assignments, and labelled pages that weren't trained on."""
     from itertools import product
@@ -491,6 +525,19 @@ def test_warc(spark, tmp_path):
     assert op9_warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_warc_files_are_bounded(spark, tmp_path, monkeypatch):
+    noise = [R.randbytes(n).hex() for n in (900_000, 10, 40_000, 300_000, 20, 30, 500_000, 40)]
+    pages = spark.createDataFrame(list(enumerate(noise)), "page_id long, html string").withColumn("url", F.lit("u")).coalesce(1)
+    monkeypatch.setattr(op9_warc, "FILE_BYTES", 600_000)
+    monkeypatch.setattr(op9_warc, "FILE_RECORDS", 3)
+    op9_warc.write(pages, str(tmp_path / "w"))
+    sizes = [x.stat().st_size for x in (tmp_path / "w").rglob("part-*")]
+    longest = len(op9_warc.member(op9_warc.record(0, "u", noise[0].encode(), "", "response", None)))
+    assert len(sizes) >= 4 and sum(n > 600_000 for n in sizes) <= 2 and max(sizes) <= longest + 100
+    found = {r["page_id"]: r["payload_digest"] for r in op9_warc.read(spark, str(tmp_path / "w")).collect()}
+    assert found == {k: hashlib.sha1(x.encode()).hexdigest() for k, x in enumerate(noise)}
+
+
 def test_warc_reader_steps_and_checks():
     records = [op9_warc.record(k, "u", b"x" * n, hashlib.sha1(b"x" * n).hexdigest(), "response", None) for k, n in enumerate((0, 10, 100_000))]
     packed = op9_warc.member(records[0]) + b"\0" + b"".join(map(op9_warc.member, records[1:]))
