@@ -101,23 +101,27 @@ def member(data: bytes) -> bytes:
     return pack.compress(data) + pack.flush()
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    file, records, size = 0, 0, 0
-    for pdf in batches:
-        out = []
-        for row in pdf.itertuples(index=False):
-            data = member(record(*row))
-            if records == FILE_RECORDS or records and size + len(data) > FILE_BYTES:
-                file, records, size = file + 1, 0, 0
-            records, size = records + 1, size + len(data)
-            out.append((file, data[:-1] if data[-1] == 0 else data))
-        yield pd.DataFrame(out, columns=["file", "data"])
-
-
-def write(pages: DataFrame, path: str) -> None:
-    """Write the pages as archive files of at most ``FILE_RECORDS`` records and ``FILE_BYTES``, where the plan left them."""
+def _members(file_records: int, file_bytes: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        file, records, size = 0, 0, 0
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                data = member(record(*row))
+                if records == file_records or records and size + len(data) > file_bytes:
+                    file, records, size = file + 1, 0, 0
+                records, size = records + 1, size + len(data)
+                out.append((file, data[:-1] if data[-1] == 0 else data))
+            yield pd.DataFrame(out, columns=["file", "data"])
+
+    return run
+
+
+def write(pages: DataFrame, path: str, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES) -> None:
+    """Write the pages as archive files of at most so many records and bytes, where the plan left them."""
     bounded_batches(pages.sparkSession, 100)
-    data = plan(pages).mapInPandas(_members, "file int, data binary").select("file", F.col("data").cast("string").alias("value"))
+    data = plan(pages).mapInPandas(_members(file_records, file_bytes), "file int, data binary")
+    data = data.select("file", F.col("data").cast("string").alias("value"))
     data.write.partitionBy("file").option("lineSep", "\0").text(path)
 
 

@@ -525,12 +525,10 @@ def test_warc(spark, tmp_path):
     assert op9_warc.read(spark, str(tmp_path / "none")).count() == 0
 
 
-def test_warc_files_are_bounded(spark, tmp_path, monkeypatch):
+def test_warc_files_are_bounded(spark, tmp_path):
     noise = [R.randbytes(n).hex() for n in (900_000, 10, 40_000, 300_000, 20, 30, 500_000, 40)]
     pages = spark.createDataFrame(list(enumerate(noise)), "page_id long, html string").withColumn("url", F.lit("u")).coalesce(1)
-    monkeypatch.setattr(op9_warc, "FILE_BYTES", 600_000)
-    monkeypatch.setattr(op9_warc, "FILE_RECORDS", 3)
-    op9_warc.write(pages, str(tmp_path / "w"))
+    op9_warc.write(pages, str(tmp_path / "w"), file_records=3, file_bytes=600_000)
     sizes = [x.stat().st_size for x in (tmp_path / "w").rglob("part-*")]
     longest = len(op9_warc.member(op9_warc.record(0, "u", noise[0].encode(), "", "response", None)))
     assert len(sizes) >= 4 and sum(n > 600_000 for n in sizes) <= 2 and max(sizes) <= longest + 100
