@@ -340,27 +340,28 @@ def build_entities(rows: DataFrame) -> DataFrame:
 def dimension_conflicts(rows: DataFrame, dimensions: list[str], entity: str, order: str) -> DataFrame:
     """Per (entity, dimension): the first value and how many rows disagree with it.
 
-    Two aggregates, both combined map-side: rows per value, then values per entity.
+    Two aggregates, both combined map-side: rows per value, then values per entity. Entities travel packed,
+    dimensions as their number.
     """
-    long = rows.select(
-        F.col(entity).alias("entity_id"),
+    long = once(rows, {"_entity": ids.packed(F.col(entity).cast("string"))}).select(
+        "_entity",
         F.col(order).alias("_order"),
         F.explode(
             F.array(
-                *[F.struct(F.lit(d).alias("dimension"), F.coalesce(F.col(d).cast("string"), F.lit("")).alias("value")) for d in dimensions]
+                *[F.struct(F.lit(k).alias("d"), F.coalesce(F.col(d).cast("string"), F.lit("")).alias("value")) for k, d in enumerate(dimensions)]
             )
         ).alias("v"),
-    ).select("entity_id", "_order", "v.dimension", "v.value")
-    per_value = long.groupBy("entity_id", "dimension", "value").agg(
+    ).select("_entity", "_order", "v.d", "v.value")
+    per_value = long.groupBy("_entity", "d", "value").agg(
         F.min("_order").alias("first_order"), F.count("*").alias("n")
     )
     first = F.min(F.struct("first_order", "value", "n"))
-    out = per_value.groupBy("entity_id", "dimension").agg(
+    out = per_value.groupBy("_entity", "d").agg(
         F.count("*").alias("n_values"), F.sum("n").alias("n_rows"), first.alias("f")
     )
     return out.where((F.col("n_values") > 1) & (F.col("f.value") != "")).select(
-        "entity_id",
-        "dimension",
+        ids.unpacked(F.col("_entity")).alias("entity_id"),
+        F.get(F.array(*[F.lit(d) for d in dimensions]), F.col("d")).alias("dimension"),
         F.col("f.value").alias("first_value"),
         "n_values",
         (F.col("n_rows") - F.col("f.n")).alias("conflict_rows"),
@@ -374,7 +375,7 @@ def guard_limits(
     """Size limits as issue rows; a limit left at None is not checked. Rows are source rows."""
     sizes = [F.count("*").alias("n_observations")]
     if max_entities is not None:
-        sizes.append(F.countDistinct("entity_id").alias("n_entities"))
+        sizes.append(F.countDistinct(ids.packed(F.col("entity_id"))).alias("n_entities"))
     if max_rows is not None:
         sizes.append(F.countDistinct("source_row_id").alias("n_rows"))
     checks = [
@@ -404,11 +405,21 @@ def content_digest(observations: DataFrame) -> DataFrame:
     concatenation of all row hashes would need the whole table in one task.
     """
     lanes = _lanes(_observation_text(F.col("series_id"), F.col("ds"), F.col("y_raw")))
-    hashed = observations.select(F.array(*lanes).alias("h"))
-    sums = [F.coalesce(F.sum(F.col("h")[i]), F.lit(0)).cast("string") for i in range(4)]
+    # two halves of 24 bits, whose sums are plain longs
+    hashed = once(observations.select("series_id", "ds", "y_raw"), {"h": F.array(*[x.cast("long") for x in lanes])})
+    high, low = ([F.coalesce(F.sum(half(F.col("h")[i])), F.lit(0)) for i in range(4)] for half in (_high, _low))
+    sums = [(a.cast("decimal(20,0)") * F.lit(1 << 24) + b).cast("decimal(38,0)").cast("string") for a, b in zip(high, low, strict=True)]
     text = F.concat_ws("-", F.count("*").cast("string"), *sums)
     return hashed.agg(F.count("*").alias("n_rows"), F.sha2(text, 256).alias("digest"))
 
 
+def _high(lane: Column) -> Column:
+    return F.shiftright(lane, 24)
+
+
+def _low(lane: Column) -> Column:
+    return lane.bitwiseAND(F.lit((1 << 24) - 1))
+
+
 def _digest_text(n: int, lanes: list) -> str:
     return "-".join([str(n), *[str(int(x)) for x in lanes]])
