@@ -51,7 +51,7 @@ SELECT c.ds, c.measure, count(*) AS n_rows, count(DISTINCT entity_id) AS n_entit
 def _(spark, sf):
     return canonical(spark, sf).observations.groupBy("ds", "measure").agg(
         F.count("*").alias("n_rows"),
-        F.countDistinct("entity_id").alias("n_entities"),
+        F.countDistinct(ids.packed(F.col("entity_id"))).alias("n_entities"),
         F.sum("y_raw").cast("double").alias("total"),
     )
 
