@@ -260,7 +260,8 @@ def normalize(
 
     Missing columns end it before a row is read. Otherwise the text is parsed once, into scratch tables of rows and
     of observations; row counts and the content digest are observed while these are written, in the stage that writes them, so
-    a task that runs again isn't counted twice. Issues are those of rows and cells, dimensions that change
+    a task that runs again isn't counted twice. These tables hold entities as bytes, and series ids are made again
+    from them when they are read. Issues are those of rows and cells, dimensions that change
     within an entity (one row per entity and dimension), and limits.
     """
     spark = df.sparkSession
@@ -271,13 +272,25 @@ def normalize(
     shape = _wide_rows if mapping.wide_periods else _long_rows
     read = Observation()
     parsed = _parsed(*shape(df, mapping, row_id, row_order), mapping, df.columns)
+    parsed = parsed.withColumn("entity_id", F.unhex("entity_id"))
     rows = written(parsed.observe(read, F.count(F.lit(1)).alias("rows")), "source_rows")
+    rows = rows.withColumn("entity_id", F.lower(F.hex("entity_id")))
     per_cell = rows.select("source_row_id", "_order", "entity_id", "_bad", F.explode("cells").alias("c"))
     kept = Observation()
     found = once(_observations(per_cell), {"_l": F.array(*_lanes(_observation_text(F.col("series_id"), F.col("ds"), F.col("y_raw"))))})
     sums = [F.sum(F.col("_l")[i]).alias(f"lane{i}") for i in range(4)]
-    found = found.observe(kept, F.count(F.lit(1)).alias("observations"), *sums).drop("_l")
-    observations = written(found, "observations")
+    found = found.observe(kept, F.count(F.lit(1)).alias("observations"), *sums).drop("_l", "series_id")
+    observations = written(found.withColumn("entity_id", F.unhex("entity_id")), "observations")
+    observations = observations.withColumn("entity_id", F.lower(F.hex("entity_id"))).select(
+        "source_row_id",
+        "_order",
+        "entity_id",
+        ids.series_id(F.col("entity_id"), F.col("measure")).alias("series_id"),
+        "ds",
+        "measure",
+        "y_raw",
+        "observed",
+    )
     owners = Observation()
     entities = written(build_entities(rows.where(F.col("_bad").isNull())).observe(owners, F.count(F.lit(1)).alias("entities")), "entities")
     n = {**read.get, **owners.get, **kept.get}
@@ -320,11 +333,11 @@ def build_entities(rows: DataFrame) -> DataFrame:
     """One row per entity, the first source row wins.
 
     Distinct attribute combinations are reduced first, so an entity that owns a third of all
-    rows leaves each map task as a handful of rows.
+    rows leaves each map task as a handful of rows. Entities travel packed.
     """
-    text = ["entity_id", "key_json", "dimensions_json", "attributes_json"]
-    flat = rows.select(
-        "entity_id",
+    text = ["_entity", "key_json", "dimensions_json", "attributes_json"]
+    flat = once(rows, {"_entity": ids.packed(F.col("entity_id"))}).select(
+        "_entity",
         "key_json",
         F.to_json("dims").alias("dimensions_json"),
         F.to_json("attrs").alias("attributes_json"),
@@ -332,8 +345,8 @@ def build_entities(rows: DataFrame) -> DataFrame:
     )
     combos = flat.groupBy(*text).agg(F.min("_order").alias("first_order"))
     picked = F.min(F.struct("first_order", "key_json", "dimensions_json", "attributes_json")).alias("p")
-    return combos.groupBy("entity_id").agg(picked).select(
-        "entity_id", "p.key_json", "p.dimensions_json", "p.attributes_json"
+    return combos.groupBy("_entity").agg(picked).select(
+        ids.unpacked(F.col("_entity")).alias("entity_id"), "p.key_json", "p.dimensions_json", "p.attributes_json"
     )
 
 

@@ -432,6 +432,30 @@ def test_messy_long_rows(spark):
     assert [(r["first_value"], r["conflict_rows"]) for r in clash] == [("Mol", 1)]
 
 
+def test_scratch_tables_hold_no_hex_ids(spark):
+    df = spark.createDataFrame([(1, "0123", "2026-07", "100"), (2, "0456", "2026-08", "7")], "n long, ean string, periodo string, un string")
+    mapping = MappingConfig(("ean",), {"ean": "ean"}, {"unidades": "un"}, "periodo")
+    out = normalize.normalize(df, STUDY, mapping, F.concat(F.lit("r"), F.col("n")), F.col("n"))
+    stored = spark.read.parquet(*out.observations.inputFiles())
+    assert dict(stored.dtypes)["entity_id"] == "binary" and "series_id" not in stored.columns
+    entity = {r["key_json"]: r["entity_id"] for r in out.entities.collect()}
+    plain = df.select(ids.entity_id([("ean", F.col("ean"))]).alias("e")).select("e", ids.series_id(F.col("e"), F.lit("unidades")).alias("s"))
+    made = {r["e"]: r["s"] for r in plain.collect()}
+    assert sorted(entity) == ['{"ean":"0123"}', '{"ean":"0456"}'] and set(entity.values()) == set(made)
+    found = [(r["source_row_id"], r["series_id"], float(r["y_raw"])) for r in out.observations.orderBy("_order").collect()]
+    assert found == [("r1", made[entity['{"ean":"0123"}']], 100.0), ("r2", made[entity['{"ean":"0456"}']], 7.0)]
+
+
+def test_entities_keep_any_id(spark):
+    rows = [("abcd", 2, "x"), ("abcd", 1, "y"), ("not hex", 3, "z"), (None, 4, "w")]
+    df = spark.createDataFrame(rows, "entity_id string, _order long, v string").select(
+        "entity_id", F.lit("{}").alias("key_json"), F.create_map(F.lit("v"), F.col("v")).alias("dims"), F.create_map(F.lit("a"), F.lit("b")).alias("attrs"), "_order"
+    )
+    found = normalize.build_entities(df)
+    assert {(r["entity_id"], r["dimensions_json"]) for r in found.collect()} == {("abcd", '{"v":"y"}'), ("not hex", '{"v":"z"}'), (None, '{"v":"w"}')}
+    assert "unhex" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_digest_ignores_order_and_sees_values(spark):
     obs = observations(spark, {"s": SEASONAL, "t": SPARSE})
     a = normalize.content_digest(obs).first()
