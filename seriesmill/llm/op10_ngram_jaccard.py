@@ -352,13 +352,16 @@ def _classes(texts: DataFrame) -> DataFrame:
     vertices = rows.where("n > 0").join(same, ["digest", "id"], "left_semi").dropDuplicates(["id", "digest"])
     vertices = written(vertices.select("id", "n", "keys", "marks"), "vertices")
 
-    stars = written(_star_pairs(vertices), "stars")
-    wanted = _filter(stars.select(F.col("a").alias("id")).unionAll(stars.select(F.col("b").alias("id"))))
-    second = written(texts.mapInPandas(_second_pass(last, wanted), "id long, n long, prefix array<long>, set binary"), "prefixes")
-    near = written(_compared(stars, second.where(F.col("set").isNotNull())).where(_links()), "near")
+    # sets of the stars are the bulk of their table: they go before the prefixes are shuffled
+    with passing_tables(spark):
+        stars = written(_star_pairs(vertices), "stars")
+        wanted = _filter(stars.select(F.col("a").alias("id")).unionAll(stars.select(F.col("b").alias("id"))))
+        second = written(texts.mapInPandas(_second_pass(last, wanted), "id long, n long, prefix array<long>, set binary"), "star_sets")
+        near = written(_compared(stars, second.where(F.col("set").isNotNull())).where(_links()), "near", keep=True)
+        prefixes = written(second.select("id", "n", "prefix"), "prefixes", keep=True)
 
     labels = _labelled(vertices.select("id").distinct(), near)
-    pairs = written(_index_pairs(second.select("id", "n", "prefix").join(labels, "id"), vertices), "pairs")
+    pairs = written(_index_pairs(prefixes.join(labels, "id"), vertices), "pairs")
     ends = [pairs.select(F.col(c).alias("id")) for c in ("a", "b", "component_a", "component_b")]
     wanted = _filter(ends[0].unionAll(ends[1]).unionAll(ends[2]).unionAll(ends[3]))
     sets = written(texts.mapInPandas(_sets(wanted), "id long, n long, set binary"), "sets")

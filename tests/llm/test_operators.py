@@ -595,6 +595,29 @@ def test_jaccard_components(spark):
     assert op10_ngram_jaccard.classes(docs.limit(0)).count() == 0
 
 
+def test_sets_of_stars_go_before_the_prefixes_are_shuffled(spark, monkeypatch):
+    import os
+
+    from seriesmill import session
+
+    left = []
+
+    def seen(prefixes, vertices, inner=op10_ngram_jaccard._index_pairs):
+        folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+        left.append([x.rsplit("-", 1)[0] for x in os.listdir(folder) if x not in before])
+        return inner(prefixes, vertices)
+
+    monkeypatch.setattr(op10_ngram_jaccard, "_index_pairs", seen)
+    session.ensure_checkpoint_dir(spark)
+    before = set(os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:")))
+    docs = documents(spark, near_copies(20))
+    assert op10_ngram_jaccard.one_of_each(docs).count() < 20
+    assert "prefixes" in left[0] and "near" in left[0]
+    assert "star_sets" not in left[0] and "stars" not in left[0]
+    here = os.listdir(spark.sparkContext.getCheckpointDir().removeprefix("file:"))
+    assert sorted(x.rsplit("-", 1)[0] for x in here if x not in before) == ["first"]
+
+
 def test_null_and_repeated_ids(spark):
     """Without ids, or with one id for different texts, rows are judged by their own texts."""
     base = sentence(150).split()
