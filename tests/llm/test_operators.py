@@ -175,6 +175,16 @@ def test_hot_anchors_are_dealt_by_their_strings():
     assert len(usual) == sum(n for _, n, _, _ in plain_removal([t.decode() for t in texts]))
 
 
+def test_anchors_are_dealt_evenly():
+    """Anchors are small hashes: their buckets must not follow from their size."""
+    import numpy as np
+
+    data = np.random.default_rng(3).integers(97, 123, 300_000).astype(np.uint8)
+    _, h = op2_substring_dedup.anchors(data, np.array([len(data)]))
+    held = np.bincount(op2_substring_dedup._bucket(h, 16), minlength=16)
+    assert held.max() < 1.2 * held.mean() and held.min() > 0.8 * held.mean()
+
+
 def test_lm_scores(spark):
     docs = documents(spark, odd=True)
     found = by_id(op3_lm_scoring.scores(docs))
