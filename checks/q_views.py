@@ -116,7 +116,7 @@ def _(spark, sf):
     vals, ents = values(spark, sf), T.entities(spark, sf)
     tops = H.node_bridge(ents, T.HIERARCHY).where("level = 0 AND level_name IN ('ECONOMY', 'SMALL')").select("node_id").distinct()
     few = vals.join(ents.where(F.col("ean").endswith("77")).select("entity_id"), "entity_id").select("series_id").distinct()
-    asked = tuple(r[0] for r in tops.unionAll(few).collect())
+    asked = tops.unionAll(few.withColumnRenamed("series_id", "node_id"))
     return rounded(V.chosen_history(vals, H.ancestors(ents, T.HIERARCHY), asked), "y", digits=2)
 
 

@@ -107,15 +107,18 @@ def node_history(values: DataFrame, above: DataFrame) -> DataFrame:
     )
 
 
-def chosen_history(values: DataFrame, above: DataFrame, node_ids: tuple[str, ...]) -> DataFrame:
+def chosen_history(values: DataFrame, above: DataFrame, asked: DataFrame | tuple[str, ...]) -> DataFrame:
     """``node_history`` of chosen nodes; an id that is no node of the hierarchy is looked up as a series.
 
-    The ids come with the question, so only the entities below them are joined.
+    A table of ids has them in ``node_id``, as many as there may be: they meet nodes and series by joins.
     """
-    ours = F.filter("ancestors", lambda n: n.isin(*node_ids))
-    below = above.select("entity_id", ours.alias("ancestors")).where(F.size("ancestors") > 0)
-    known = below.select(F.explode("ancestors").alias("series_id")).distinct()
-    series = values.where(F.col("series_id").isin(*node_ids)).join(known, "series_id", "left_anti")
+    if not isinstance(asked, DataFrame):
+        asked = values.sparkSession.createDataFrame([(i,) for i in asked], "node_id string")
+    wanted = asked.select("node_id").distinct()
+    nodes = above.select("entity_id", F.explode("ancestors").alias("node_id"))
+    below = nodes.join(wanted, "node_id", "left_semi").select("entity_id", F.array("node_id").alias("ancestors"))
+    rest = wanted.join(nodes.select("node_id").distinct(), "node_id", "left_anti")
+    series = values.join(rest.withColumnRenamed("node_id", "series_id"), "series_id", "left_semi")
     own = leaf_history(series).select("node_id", "measure", "ds", "y", "observed", "was_adjusted")
     return node_history(values, below).unionByName(own)
 

@@ -316,6 +316,22 @@ def test_mat_positions_golden(spark):
     assert mat.mat_history(gappy).count() == 49 - 12
 
 
+
+def test_chosen_history_takes_a_table_of_ids(spark):
+    """Nodes and series asked for by a table, with a null, a copy and an id that nothing has."""
+    day = date(2026, 1, 1)
+    values = spark.createDataFrame(
+        [("e1", "s1", "valor", day, 1.0, True, False), ("e2", "s2", "valor", day, 2.0, False, False), ("e3", "s3", "valor", day, 4.0, True, True)],
+        "entity_id string, series_id string, measure string, ds date, y double, observed boolean, was_adjusted boolean",
+    )
+    above = spark.createDataFrame([("e1", ["n1"]), ("e2", ["n1"]), ("e3", ["n2"])], "entity_id string, ancestors array<string>")
+    ids = ("n1", "s3", "s3", "none", None)
+    asked = spark.createDataFrame([(i,) for i in ids], "node_id string")
+    want = [("n1", "valor", day, 3.0, False, False), ("s3", "valor", day, 4.0, True, True)]
+    for given in (asked, ids):
+        assert sorted(tuple(r) for r in views.chosen_history(values, above, given).collect()) == want
+    assert views.chosen_history(values, above, ()).count() == 0
+
 def test_global_model(spark):
     series = {f"s{i}": [round(20 + i + 5 * np.sin(j / 2 + i), 2) for j in range(40)] for i in range(25)}
     values = quality.prepare(observations(spark, series), STUDY, ZERO).values
