@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from seriesmill.llm.graph import components
+from seriesmill.llm.graph import stars
 from seriesmill.llm.text import bounded_batches, lower_words, mixed, table, window_hashes, word_hashes
 from seriesmill.session import passing_tables, written
 
@@ -189,8 +189,8 @@ def _in_filter(bits: np.ndarray, i) -> bool:
 
 def _filter(ids: DataFrame) -> np.ndarray:
     """A bit per slot of the ids (2 ** FILTER_BITS at most): documents outside are surely not needed."""
-    found = ids.select("id").distinct().mapInPandas(
-        lambda batches: (pd.DataFrame({"k": [_slot(i) for i in p["id"].dropna()]}, dtype="int64") for p in batches), "k long"
+    found = ids.select("id").mapInPandas(
+        lambda batches: (pd.DataFrame({"k": list({_slot(i) for i in p["id"].dropna()})}, dtype="int64") for p in batches), "k long"
     )
     bits = np.zeros(1 << (FILTER_BITS - 3), np.uint8)
     ks = found.distinct().toPandas()["k"].to_numpy(np.int64)
@@ -211,15 +211,13 @@ def _overlap(x: pd.Series, y: pd.Series) -> pd.Series:
 
 
 def _compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Overlaps of pairs (a, b): rows a, b, n_a, n_b, overlap."""
+    """Pairs (a, b, any others) that occur once, with n_a, n_b and overlap."""
     left = sets.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("set").alias("set_b"))
     return (
-        pairs.select("a", "b")
-        .distinct()
-        .join(left, "a")
+        pairs.join(left, "a")
         .join(right, "b")
-        .select("a", "b", "n_a", "n_b", _overlap("set_a", "set_b").alias("overlap"))
+        .select(*pairs.columns, "n_a", "n_b", _overlap("set_a", "set_b").alias("overlap"))
     )
 
 
@@ -239,11 +237,10 @@ def _near_sizes():
 
 
 def _with_marks(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Pairs (a, b) whose sizes and marks allow a link."""
+    """Pairs (a, b, any others) whose sizes and marks allow a link."""
     x = vertices.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("marks").alias("marks_a"))
     y = vertices.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("marks").alias("marks_b"))
-    near = pairs.join(x, "a").join(y, "b").where(_near_sizes() & _near_marks("marks_a", "marks_b"))
-    return near.select("a", "b").distinct()
+    return pairs.join(x, "a").join(y, "b").where(_near_sizes() & _near_marks("marks_a", "marks_b")).select(*pairs.columns)
 
 
 def _star_pairs(vertices: DataFrame) -> DataFrame:
@@ -294,8 +291,8 @@ def _known(links: DataFrame, member: str, root: str, name: str) -> DataFrame:
 
 
 def _rest_links(pairs: DataFrame, near: DataFrame, sets: DataFrame, vertices: DataFrame) -> DataFrame:
-    """Links among the pairs left by the index; representatives are compared first."""
-    probes = _compared(pairs.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")), sets)
+    """Components (a, b) that a link among the pairs left by the index joins; representatives are compared first."""
+    probes = _compared(pairs.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")).distinct(), sets)
     probes = written(probes.withColumn("linked", _links()), "probes")
     told = probes.select(F.col("a").alias("component_a"), F.col("b").alias("component_b"), "linked", F.col("overlap").alias("seen"))
     open_pairs = (
@@ -308,13 +305,15 @@ def _rest_links(pairs: DataFrame, near: DataFrame, sets: DataFrame, vertices: Da
     own_b = F.when(F.col("b") == F.col("component_b"), F.lit(0)).otherwise(F.col("n_b") - F.col("with_b"))
     most = F.col("seen") + own_a + own_b
     possible = (100 + PERCENT) * most >= PERCENT * (F.col("n_a") + F.col("n_b"))
-    left = _with_marks(open_pairs.where(F.coalesce(possible, F.lit(True))).select("a", "b"), vertices)
-    return probes.where("linked").select("a", "b").unionAll(_compared(left, sets).where(_links()).select("a", "b"))
+    wanted = open_pairs.where(F.coalesce(possible, F.lit(True))).select("a", "b", "component_a", "component_b")
+    found = _compared(_with_marks(wanted, vertices), sets).where(_links())
+    return probes.where("linked").select("a", "b").unionAll(found.select(F.col("component_a").alias("a"), F.col("component_b").alias("b")))
 
 
-def _labelled(vertices: DataFrame, edges: DataFrame) -> DataFrame:
-    found = components(edges)
-    return vertices.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _labelled(rows: DataFrame, name: str, hung: DataFrame) -> DataFrame:
+    """Rows with the component of what ``name`` holds, which is itself if it hangs on nothing."""
+    found = hung.select(F.col("a").alias(name), F.col("b").alias("__root"))
+    return rows.join(found, name, "left").withColumn("component", F.coalesce("__root", name)).drop("__root")
 
 
 def _id() -> Column:
@@ -326,12 +325,16 @@ def _ids_are_keys(docs: DataFrame) -> bool:
     return docs.select(_id().alias("id")).groupBy("id").count().where("id is null or count > 1").isEmpty()
 
 
+def _keyed_texts(docs: DataFrame) -> DataFrame:
+    return docs.select(_id().alias("id"), F.col("text").cast("string").alias("text"))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """Rows doc_id, n_shingles, component_id, one per row of ``docs``."""
-    text = F.col("text").cast("string").alias("text")
     if _ids_are_keys(docs):
-        found = _classes(docs.select(_id().alias("id"), text))
+        found = _classes(_keyed_texts(docs))
         return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    text = F.col("text").cast("string").alias("text")
     keyed = written(docs.select(F.monotonically_increasing_id().alias("id"), _id().alias("doc_id"), text), "keyed")
     found = written(_classes(keyed.select("id", "text")).join(keyed.select("id", "doc_id"), "id"), "classes")
     names = found.groupBy("component").agg(F.min("doc_id").alias("component_id"))
@@ -348,27 +351,26 @@ def _classes(texts: DataFrame) -> DataFrame:
         seen.where("kind = 1").groupBy("token").agg(F.sum("df").alias("df")).orderBy(F.desc("df"), "token").limit(ORDERED_LAST)
     )
     last = np.sort(common.select("token").toPandas()["token"].to_numpy(np.int64).view(np.uint64))
-    same = rows.where("n > 0").groupBy("digest").agg(F.min("id").alias("id"))
-    vertices = rows.where("n > 0").join(same, ["digest", "id"], "left_semi").dropDuplicates(["id", "digest"])
-    vertices = written(vertices.select("id", "n", "keys", "marks"), "vertices")
+    same = rows.where("n > 0").groupBy("digest").agg(F.min(F.struct("id", "n", "keys", "marks")).alias("v"))
+    vertices = written(same.select("v.*", "digest"), "vertices")
 
     # sets of the stars are the bulk of their table: they go before the prefixes are shuffled
     with passing_tables(spark):
-        stars = written(_star_pairs(vertices), "stars")
-        wanted = _filter(stars.select(F.col("a").alias("id")).unionAll(stars.select(F.col("b").alias("id"))))
+        met = written(_star_pairs(vertices), "stars")
+        wanted = _filter(met.select(F.explode(F.array("a", "b")).alias("id")))
         second = written(texts.mapInPandas(_second_pass(last, wanted), "id long, n long, prefix array<long>, set binary"), "star_sets")
-        near = written(_compared(stars, second.where(F.col("set").isNotNull())).where(_links()), "near", keep=True)
+        near = written(_compared(met, second.where(F.col("set").isNotNull())).where(_links()), "near", keep=True)
         prefixes = written(second.select("id", "n", "prefix"), "prefixes", keep=True)
 
-    labels = _labelled(vertices.select("id").distinct(), near)
+    hung = stars(near)
+    labels = _labelled(vertices.select("id").distinct(), "id", hung)
     pairs = written(_index_pairs(prefixes.join(labels, "id"), vertices), "pairs")
-    ends = [pairs.select(F.col(c).alias("id")) for c in ("a", "b", "component_a", "component_b")]
-    wanted = _filter(ends[0].unionAll(ends[1]).unionAll(ends[2]).unionAll(ends[3]))
+    wanted = _filter(pairs.select(F.explode(F.array("a", "b", "component_a", "component_b")).alias("id")))
     sets = written(texts.mapInPandas(_sets(wanted), "id long, n long, set binary"), "sets")
-    links = near.select("a", "b").unionAll(_rest_links(pairs, near.select("a", "b", "overlap"), sets, vertices))
-
-    final = _labelled(vertices.select("id").distinct(), links)
-    roots = same.join(final, "id").select("digest", "component")
+    # components are vertices now: a link between two is between their smallest documents
+    links = _rest_links(pairs, near.select("a", "b", "overlap"), sets, vertices)
+    first = _labelled(vertices.select("id", "digest"), "id", hung).withColumnRenamed("component", "__first")
+    roots = _labelled(first, "__first", stars(links)).select("digest", "component")
     return rows.join(roots, "digest", "left").select("id", "n", F.coalesce("component", "id").alias("component"))
 
 
@@ -377,7 +379,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     if _ids_are_keys(docs):
         with passing_tables(spark):
-            first = classes(docs).where("doc_id = component_id").select(F.col("doc_id").alias("__first"))
+            first = _classes(_keyed_texts(docs)).where("id = component").select(F.col("id").alias("__first"))
             first = written(first, "first", keep=True)
         return docs.join(first, docs["doc_id"] == F.col("__first"), "left_semi")
     keyed = written(docs.withColumn("__key", F.monotonically_increasing_id()), "keyed", keep=True)

@@ -658,3 +658,21 @@ def test_components_of_long_paths(spark):
     pairs = [(k, k + 1) for k in range(40)] + [(100, 101), (101, 100), (7, 7), (50, 60), (60, 55)]
     found = {r["id"]: r["component"] for r in components(spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert found == {**{k: 0 for k in range(41)}, 100: 100, 101: 100, 50: 50, 60: 50, 55: 50}
+
+
+def test_settled_stars_cost_no_round(spark, monkeypatch):
+    from seriesmill.llm import graph
+
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, name, inner=graph.written: tables.append(name) or inner(df, name))
+    pairs = [(0, 3), (4, 0), (0, 4), (7, 9), (2, 2)]
+    found = {r["id"]: r["component"] for r in graph.components(spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert found == {0: 0, 3: 0, 4: 0, 7: 7, 9: 7} and len(tables) == 1
+
+
+def test_links_between_components_join_them(spark, monkeypatch):
+    """With some links of the stars left out, the index finds them between the components of the others."""
+    monkeypatch.setattr(op10_ngram_jaccard, "_star_pairs", lambda v, inner=op10_ngram_jaccard._star_pairs: inner(v).where("a % 3 = 0"))
+    texts = TEXTS + near_copies(40)
+    found = by_id(op10_ngram_jaccard.classes(documents(spark, texts)))
+    assert {k: (r["n_shingles"], r["component_id"]) for k, r in found.items()} == plain_components(texts)
