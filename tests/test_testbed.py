@@ -71,3 +71,10 @@ def test_ids_travel_packed(spark):
     rows = obs.withColumn("ean", F.lit("1"))
     plan = normalize.dimension_conflicts(rows, ["ean"], "entity_id", "_order")._jdf.queryExecution().executedPlan().toString()
     assert not any("entity_id#" in x for x in plan.splitlines() if "hashpartitioning" in x)
+
+
+def test_sold_parts_meet_parts_by_a_shuffled_join(spark, small):
+    for grain in ("ean", "marca"):
+        nodes = T.entities(spark, small, grain)
+        assert "Broadcast" not in planned(nodes)
+        assert nodes.count() == (3 if grain == "ean" else 2)
