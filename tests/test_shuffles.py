@@ -69,6 +69,10 @@ def test_first_of_repeats_against_a_plain_pass(odd):
     assert listed(Q.keep_first_duplicate(Q.together(odd, ["y_raw", "_order"]), met=True)) == want
 
 
+def test_first_of_repeats_sorts_nothing(odd):
+    assert "Sort" not in plan(Q.keep_first_duplicate(odd))
+
+
 def test_lists_of_a_series_are_bounded(monkeypatch):
     monkeypatch.setattr(Q, "RUN_ROWS", 4)
     n = 11
