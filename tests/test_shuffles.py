@@ -8,10 +8,13 @@ import pytest
 from pyspark.sql import functions as F
 
 from seriesmill import testbed as T
-from seriesmill.config import TreatmentPolicy
+from seriesmill.config import HierarchyConfig, TreatmentPolicy
 from seriesmill.functions import ids
+from seriesmill.operators import backtest as FC
+from seriesmill.operators import hierarchy as H
 from seriesmill.operators import panel as P
 from seriesmill.operators import quality as Q
+from seriesmill.plans import views as V
 
 OBSERVED = "series_id string, measure string, entity_id string, ds date, y_raw decimal(20,2), _order long"
 JAN, FEB = date(2001, 1, 1), date(2001, 2, 1)
@@ -91,6 +94,49 @@ def test_panel_shuffles_series_once_and_as_lists(spark, odd):
     assert "MapInArrow" in plan(arrays)
 
 
+def scored(spark):
+    rows = [
+        (f"n{i}", m, f"e{i}", a, i % 2, date(2001, 1 + k, 1), float(i + k), float(i + k + len(a)), True)
+        for i in range(6) for m in ("valor", "unidades") for a in ("Naive", "TSB") for k in range(2)
+    ]
+    rows.append((None, "valor", "e0", "Naive", 0, JAN, 1.0, 2.0, True))
+    rows.append(("n1", None, "e1", "Naive", 0, JAN, 1.0, 2.0, True))
+    names = "node_id string, measure string, entity_id string, model_alias string, fold int, cutoff date, y_actual double, yhat double, evaluated boolean"
+    return spark.createDataFrame(rows, names)
+
+
+def test_rows_of_pairs_are_those_of_a_semi_join(spark):
+    rows = scored(spark)
+    keys = ["node_id", "measure", "model_alias"]
+    pairs = rows.where("NOT (node_id = 'n2' AND model_alias = 'TSB') AND coalesce(node_id, '') <> 'n3'").select(*keys)
+    want = rows.join(pairs, keys, "left_semi").select(*rows.columns)
+    found = FC.of_pairs(rows, pairs)
+    assert found.columns == rows.columns
+    assert sorted(map(repr, found.collect())) == sorted(map(repr, want.collect()))
+
+
+def test_rows_of_pairs_stay_where_their_series_lie(spark):
+    lying = scored(spark).repartition(4, "node_id")
+    picked = lying.where("yhat > 3").select("node_id", "measure", "model_alias").distinct()
+    text = plan(FC.of_pairs(lying, picked))
+    assert len([line for line in text.splitlines() if "Exchange" in line]) == 2
+    assert "ShuffledHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_rows_look_entities_up_without_a_sort(spark):
+    rows = scored(spark).selectExpr("*", "'base' AS scenario_id", "cutoff AS ds")
+    ents = spark.createDataFrame([(f"e{i}", f"t{i % 2}", f"m{i}") for i in range(6)], "entity_id string, tipo string, marca string")
+    ents = ents.hint("merge")
+    hierarchy = HierarchyConfig(levels=(("tipo",), ("tipo", "marca")))
+    bridge = H.node_bridge(ents, hierarchy)
+    stored = H.reconcile_bottom_up(rows, bridge, hierarchy)
+    for df in (V._items(rows, ents, "tipo", None), H.grain_rollup(rows, ents, "tipo", ["measure"], "yhat"), stored):
+        assert "ShuffledHashJoin" in plan(df)
+    plain = rows.join(ents, "entity_id").groupBy("tipo", "measure").agg(F.sum("yhat").alias("s"))
+    got = H.grain_rollup(rows, ents, "tipo", ["measure"], "yhat")
+    assert sorted(map(repr, map(tuple, got.select("grain", "measure", "yhat").collect()))) == sorted(map(repr, map(tuple, plain.collect())))
+
+
 def test_made_series_ids_come_back(spark):
     rows = spark.range(40).select(F.sha2(F.col("id").cast("string"), 256).alias("entity_id"), F.lit("valor").alias("measure"), F.lit(JAN).alias("ds"))
     rows = rows.withColumn("series_id", ids.series_id(F.col("entity_id"), F.col("measure"))).withColumn("y_raw", F.lit(Decimal("1.00")))
